@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, pii
+from . import bpe, media, pii
 
 QUERIES = {
     "op7_pii": pii.op7_pii,
+    "op9_bpe": bpe.op9_bpe,
     "op10_media": media.op10_media,
 }
 SQL: dict[str, str] = {}

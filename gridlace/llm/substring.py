@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw = [None if t is None else pack.compress(t.as_buffer()) if (t := x if x.is_valid else None) is not None else None for x in batch.column(1)]
+            raw = [pack.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(ids // SPAN), batch.column(0), pa.array(raw, pa.binary())], ["part", "id", "packed"])
 
     rows = texts.mapInArrow(squeeze, "part long, id long, packed binary").groupBy("part").agg(F.collect_list(F.struct("id", "packed")).alias("rows"))

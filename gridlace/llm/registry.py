@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, media, pii, substring
+from . import bpe, langid, lines, media, near, pii, substring
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op3_langid": langid.op3_langid,
     "op6_lines": lines.op6_lines,
     "op7_pii": pii.op7_pii,
+    "op8_near": near.op8_near,
     "op9_bpe": bpe.op9_bpe,
     "op10_media": media.op10_media,
 }

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Ids up to this count may be broadcast (8 bytes each in Arrow, about 100 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
@@ -56,6 +57,10 @@ class Scratch:
             df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def small(self, table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+        """A written table of ids, to be broadcast if its counted rows are within the bound, else as it is."""
+        return F.broadcast(table) if table.count() <= bound else table
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, media, near, pii, substring
+from . import bpe, langid, lines, media, near, pii, store, substring
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
+    "op2_store": store.op2_store,
     "op3_langid": langid.op3_langid,
     "op6_lines": lines.op6_lines,
     "op7_pii": pii.op7_pii,

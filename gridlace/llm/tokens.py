@@ -1,14 +1,16 @@
 """Byte-level BPE of whole texts, exactly as the tokenizers library does it, with a cache of pieces.
 
-A byte-level pre-tokenizer never lets a token cross from a non-space to a space, and looks
+A byte-level pre-tokenizer never lets a token cross from a non-space to white space, and looks
 ahead only within white space. So a cut before a space that follows a non-space character is
 a cut of the encoding in every context: the pieces between such cuts are encoded once by the
-library and then looked up. No added token may hold a space, or strip space around it; this
-is checked when the file is loaded.
+library and then looked up. In texts without two spaces in a row there are two further cuts:
+before a line break, and between an ASCII letter and a full stop or comma that ends its piece. No added
+token may hold a space, or strip space around it; this is checked when the file is loaded.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -16,8 +18,15 @@ import numpy as np
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_TWO_SPACES = re.compile(r"\s\s")
+_STOP = re.compile(r"[.,](?= )(?<=[A-Za-z].)")
+#: A piece that starts with a mark stands for itself without it, or with a line break before it.
+_BARE, _BREAK = "\ue000", "\ue001"
+_ONE_SPACE = re.compile(r"[ \n]\S+")
 #: Pieces held between batches, and the longest of them.
-CACHE, LONGEST = 300_000, 200
+CACHE, LONGEST = 400_000, 200
+#: Pieces that are encoded as one text.
+JOINED = 2000
 
 
 def default_path() -> str:
@@ -46,28 +55,52 @@ class Encoder:
         self.later: dict[str, bytes] = {}  # the key stands for a space and itself
         self._table: list[bytes] | None = None
         self._added = {i: t.content.encode() for i, t in added.items()}
+        #: Whether a token starts with a space or break: those start the pieces of a text joined of pieces without further ones.
+        self._starts = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values()) + 1, dtype=bool)
+        self._starts[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith(("\u0120", "\u010a")) and i not in self._added]] = True
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces. Those with one space or break, at their start, are encoded in joined texts."""
+        whole = [x[1:] if x[:1] == _BARE else "\n" + x[1:] if x[:1] == _BREAK else " " + x for x in new]
+        plain = [i for i, x in enumerate(whole) if _ONE_SPACE.fullmatch(x)]
+        out, size = {}, self.dtype.itemsize
+        blocks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for own, ids in zip(blocks, self._batch(["".join(whole[i] for i in b) for b in blocks]), strict=True):
+            at = np.flatnonzero(self._starts[np.frombuffer(ids, dtype=self.dtype)])
+            if len(at) != len(own) or at[0]:
+                continue
+            edges = [*(at * size).tolist(), len(ids)]
+            out.update(zip([new[i] for i in own], [ids[a:b] for a, b in itertools.pairwise(edges)], strict=True))
+        rest = [i for i, x in enumerate(new) if x not in out] if len(out) < len(new) else []
+        out.update(zip([new[i] for i in rest], self._batch([whole[i] for i in rest]), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         firsts, rests, new = [], [], set()
         later = self.later
-        if len(later) > CACHE:
-            later.clear()
+        if len(later) > CACHE:  # frequent pieces came early
+            later = self.later = dict(itertools.islice(later.items(), CACHE // 2))
         for text in texts:
-            if _SPACE_AFTER_SPACE.search(text):
+            marked = _BARE in text or _BREAK in text
+            if not marked and len(text) == len(text.strip()) and not _TWO_SPACES.search(text):
+                first, *rest = _STOP.sub(rf" {_BARE}\g<0>", text.replace("\n", " " + _BREAK)).split(" ")
+            elif marked or _SPACE_AFTER_SPACE.search(text):
                 first, *rest = _CUT.split(text)
                 rest = [x[1:] for x in rest]
+                if any(x[:1] in (_BARE, _BREAK) for x in rest):  # the marks stand in the text itself
+                    first, rest = text, []
             else:
                 first, *rest = text.split(" ")
             firsts.append(first)
             rests.append(rest)
             new.update(rest)
         new = [x for x in new if x not in later]
-        own = dict(zip(new, self._batch([" " + x for x in new]), strict=True))
+        own = self._pieces(new)
         # what is too long to hold is looked up in this batch alone
         long = {k: own.pop(k) for k in [k for k in own if len(k) > LONGEST]}
         later.update(own)
@@ -136,3 +169,39 @@ def cut_points(values: np.ndarray, mean: int, least: int, most: int, window: int
     if at < n:
         out.append(n)
     return out
+
+
+def cut_many(values: np.ndarray, bounds: np.ndarray, mean: int, least: int, most: int, window: int = 32) -> list[list[int]]:
+    """cut_points of each stream in values, of which bounds has the edges, with one hash of them all.
+
+    Cuts need least values before them, at least a window, so no hash that reaches into the stream before counts."""
+    if least < window:
+        raise ValueError("least must be a window at least")
+    if not len(values):
+        return [[] for _ in bounds[:-1]]
+    h = _GEAR[values if values.dtype.itemsize <= 2 else values & 0xFFFF]
+    width = 1
+    while width < window:
+        h[width:] = h[width:] + (h[:-width] << np.uint64(1)) * np.uint64(2 * width + 1)
+        width *= 2
+    ends = np.flatnonzero((h >> np.uint64(64 - int(mean).bit_length() + 1)) == 0) + 1
+    edges = np.searchsorted(ends, bounds, side="right")
+    ends, out = ends.tolist(), []
+    for i in range(len(bounds) - 1):
+        begin, n = int(bounds[i]), int(bounds[i + 1] - bounds[i])
+        own, at = [], 0
+        for e in ends[edges[i] : edges[i + 1]]:
+            e -= begin
+            while e - at > most:
+                at += most
+                own.append(at)
+            if e - at >= least:
+                own.append(e)
+                at = e
+        while n - at > most:
+            at += most
+            own.append(at)
+        if at < n:
+            own.append(n)
+        out.append(own)
+    return out

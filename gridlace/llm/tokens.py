@@ -24,7 +24,7 @@ _STOP = re.compile(r"[.,](?= )(?<=[A-Za-z].)")
 _BARE, _BREAK = "\ue000", "\ue001"
 _ONE_SPACE = re.compile(r"[ \n]\S+")
 #: Pieces held between batches, and the longest of them.
-CACHE, LONGEST = 400_000, 200
+CACHE, LONGEST = 300_000, 200
 #: Pieces that are encoded as one text.
 JOINED = 2000
 
@@ -84,7 +84,7 @@ class Encoder:
         firsts, rests, new = [], [], set()
         later = self.later
         if len(later) > CACHE:  # frequent pieces came early
-            later = self.later = dict(itertools.islice(later.items(), CACHE // 2))
+            later = self.later = dict(itertools.islice(later.items(), CACHE * 2 // 3))
         for text in texts:
             marked = _BARE in text or _BREAK in text
             if not marked and len(text) == len(text.strip()) and not _TWO_SPACES.search(text):

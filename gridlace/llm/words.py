@@ -17,6 +17,9 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: For matching across punctuation: letters, digits and all that isn't ASCII.
+_IS_ALNUM = np.zeros(256, dtype=bool)
+_IS_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are taken together.
@@ -47,13 +50,15 @@ def spans(bounds: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def split(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in data, and for each document the number of words before it (and in all)."""
+def split(data: np.ndarray, bounds: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in data, and for each document the number of words before it (and in all).
+
+    With alnum, ASCII punctuation parts words like white space."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(bounds), dtype=np.int64)
-    inside = _IS_WORD[data]
+    inside = (_IS_ALNUM if alnum else _IS_WORD)[data]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
     edges = bounds[(bounds > 0) & (bounds < n)]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, lines, media, near, pii, store, substring
+from . import bpe, chat, decontaminate, langid, lines, media, near, pii, store, substring
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_store": store.op2_store,
     "op3_langid": langid.op3_langid,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_chat": chat.op5_chat,
     "op6_lines": lines.op6_lines,
     "op7_pii": pii.op7_pii,
     "op8_near": near.op8_near,

@@ -186,3 +186,22 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def encode_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last stage of a pipeline: documents as token ids, with digests of the ids and of the text decoded from them."""
+    ids = encode(docs).withColumnRenamed("ids", "raw")
+    path = tokens.default_path()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches):
+        enc = tokens.encoder(path)
+        names = [str(i) for i in range(len(enc.table()))]
+        for batch in batches:
+            values = [np.frombuffer(x.as_buffer(), dtype=enc.dtype) for x in batch.column(1)]
+            digest = [hashlib.sha256(",".join(map(names.__getitem__, v.tolist())).encode()).hexdigest() for v in values]
+            decoded = [hashlib.sha256(enc.decode(v)).hexdigest() for v in values]
+            cols = [batch.column(0), pa.array([len(v) for v in values], pa.int64()), batch.column(1), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return ids.mapInArrow(read, f"doc_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

@@ -132,14 +132,16 @@ def without_boilerplate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: White space as str.strip has it.
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 OP6_SQL = rf"""
-WITH lines AS (
-  SELECT DISTINCT coalesce(source, chr(1)) AS site, regexp_replace(unnest(string_split(text, chr(10))), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line FROM documents
-), gone AS (
-  SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(*) >= {MIN_SITES}
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, text, coalesce(source, chr(1)) AS site FROM documents
 ), parts AS (
-  SELECT doc_id, string_split(text, chr(10)) AS p FROM documents
+  SELECT k, doc_id, site, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs
+), lines AS (
+  SELECT *, regexp_replace(part, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line FROM parts
+), gone AS (
+  SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), cut AS (
-  SELECT doc_id, p, list_filter(p, x -> NOT list_contains((SELECT coalesce(list(line), []) FROM gone), regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g'))) AS k FROM parts
+  SELECT k, count(gone.line) AS n, coalesce(string_agg(part, chr(10) ORDER BY i) FILTER (gone.line IS NULL), '') AS kept FROM lines LEFT JOIN gone USING (line) GROUP BY k
 )
-SELECT doc_id, coalesce(len(p) - len(k), 0)::BIGINT AS n_removed_lines, length(array_to_string(k, chr(10)))::BIGINT AS n_chars_kept, sha256(array_to_string(k, chr(10))) AS kept_sha256 FROM cut
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_removed_lines, length(kept)::BIGINT AS n_chars_kept, sha256(kept) AS kept_sha256 FROM docs LEFT JOIN cut USING (k)
 """

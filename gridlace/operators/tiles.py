@@ -20,6 +20,12 @@ from . import graph, matrix
 from . import points as P
 
 
+#: Columns of what is stored; given to readers, as an empty partitioned table has no files.
+_POINTS = "x double, y double, gene string, tile_x bigint, tile_y bigint"
+_COUNTS = "bx bigint, by bigint, gene string, n bigint, owner_x bigint, owner_y bigint"
+_EDGES = "bx_a bigint, by_a bigint, bx_b bigint, by_b bigint, owner_x bigint, owner_y bigint"
+
+
 def assign_tiles(points: DataFrame, tile_size: float) -> DataFrame:
     """points with tile_x, tile_y (may be negative)."""
     size = binning.check_positive(tile_size, "tile_size")
@@ -28,18 +34,17 @@ def assign_tiles(points: DataFrame, tile_size: float) -> DataFrame:
 
 def partition_dataset_to_tiles(points: DataFrame, tile_size: float, partition_dir: str) -> None:
     """points/ by tile, genes/ and offset/ under partition_dir; what was there is replaced."""
-    tiled = assign_tiles(points, tile_size)
+    tiled = assign_tiles(points.select(F.col("x").cast("double"), F.col("y").cast("double"), "gene"), tile_size)
     # rows of a tile go to one writer each; crowded tiles are split by the rebalancing
     tiled.hint("rebalance", "tile_x", "tile_y").write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(f"{partition_dir}/points")
-    stored = tiled.sparkSession.read.parquet(f"{partition_dir}/points")
+    stored = read_tiles(tiled.sparkSession, partition_dir)
     matrix.gene_ids(stored).write.mode("overwrite").parquet(f"{partition_dir}/genes")
     P.offset(stored).write.mode("overwrite").parquet(f"{partition_dir}/offset")
 
 
 def read_tiles(spark: SparkSession, partition_dir: str) -> DataFrame:
     sources.require(spark, f"{partition_dir}/points")
-    df = spark.read.parquet(f"{partition_dir}/points")
-    return df.withColumns({c: F.col(c).cast("bigint") for c in ("tile_x", "tile_y")})
+    return spark.read.schema(_POINTS).parquet(f"{partition_dir}/points")
 
 
 def read_offset(spark: SparkSession, partition_dir: str) -> tuple[float, float]:
@@ -132,10 +137,10 @@ def stitch_out_of_core_results(spark: SparkSession, tmp_out_dir: str, resolution
         at = read_offset(spark, tmp_out_dir)
     except FileNotFoundError:
         at = (0.0, 0.0)
-    counts = spark.read.parquet(f"{tmp_out_dir}/counts").select("bx", "by", "gene", "n").distinct()
+    counts = spark.read.schema(_COUNTS).parquet(f"{tmp_out_dir}/counts").select("bx", "by", "gene", "n").distinct()
     bins = matrix.dense_ids(counts.select("bx", "by").distinct(), "by", "bx", "bin_id")
     bins = P.get_bin_centers(bins, "square", resolution, at)
-    edges = stitched_edges(spark.read.parquet(f"{tmp_out_dir}/edges"), bins)
+    edges = stitched_edges(spark.read.schema(_EDGES).parquet(f"{tmp_out_dir}/edges"), bins)
     out = matrix.CountMatrix(counts, bins, matrix.gene_ids(counts), ("bx", "by"))
     return out, bins.select(F.col("bin_id").alias("node"), "cx", "cy"), graph.adjacency(edges), graph.laplacian(edges)
 

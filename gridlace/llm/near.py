@@ -2,22 +2,22 @@
 
 1. Each text becomes the set of its shingles; equal sets are one vertex. A vertex has TOKENS
    minwise values of its set.
-2. TREES independent trees start from all vertices. A node stands for a path of chosen minwise
-   positions and the values found there; a vertex goes on to the children that its own values at
+2. TREES independent trees start from all vertices, with two levels at once. A node stands for a path of
+   chosen minwise positions and the values found there; a vertex goes on to the children that its own values at
    the next chosen positions name. Two sets of similarity s stay together at a position with probability s.
-3. In every node each vertex is compared with the node's leader, drawn anew at each depth, and
-   links that the full sets confirm are merged into components at once. A node that lies within one
-   component has nothing more to give and ends; so a large group of copies is linked by stars
-   and never by its pairs. Nodes of up to SMALL vertices end too; their pairs across
-   components are compared exhaustively after the last depth. Larger ones branch on.
+3. In every node each vertex is compared with two leaders: one by an order common to all nodes of a round,
+   one drawn for the node. Of its leaders the likeliest of either kind are confirmed, and what is linked is merged into
+   components at once. A node that lies within one component has nothing more to give and ends; so a
+   large group of copies is linked by stars and never by its pairs. Nodes of up to SMALL vertices end too; their
+   pairs across components are compared exhaustively after the last depth. Larger ones branch on.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
-Recall: depth one chooses two positions a tree, so a pair at the threshold is missed by all 10 trees with
-probability 0.25 ** 20; up to depth 3 below 1e-9; deeper nodes choose 4/3 positions on average
-(the inverse of the threshold), where a tree's loss grows slowly (see ``loss``). Before sets are fetched,
-pairs are compared on one byte of each minwise value; a true pair has fewer than AGREE equal
-bytes with probability below 2e-6 for each comparison, and is met in many nodes.
-Vertices are 64-bit digests: n different sets have about n * n / 2**65 collisions.
+Recall: a node branches on two positions down to depth 3, below on 4/3 on average (the inverse of the
+threshold). A pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``: 0.09 at depth 2,
+so 3e-11 over ten trees, 1e-10 at depth 3; deeper the loss grows slowly. Before sets are fetched, pairs are
+compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
+below 2e-6 for each comparison, and is met in many nodes. Vertices are 64-bit digests: n different sets have about
+n * n / 2**65 collisions.
 
 Defined results: a text that is null or has no words is an empty set, alone in its component; fewer words than
 SHINGLE are one shingle; a null id keeps its row, out of all groups, with a null component; rows
@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SHINGLE, THRESHOLD = 5, 75
-TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 10, 64, 72, 12
+TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 10, 256, 72, 8
 _R = np.random.Generator(np.random.PCG64(4711))
 _XOR = _R.integers(0, 2**32, TOKENS, dtype=np.uint32)
+#: Base of the code of a path: its tree plus one, then its positions (DEPTH of them fit a long).
+_CODE = 128
 _MUL = _R.integers(0, 2**32, TOKENS, dtype=np.uint32) | np.uint32(1)
 
 
@@ -111,6 +113,14 @@ def _child(node: np.ndarray, position: int, token: np.ndarray) -> np.ndarray:
         return words.mix(words.mix(node * _SPREAD + np.uint64(position + 1)) ^ (token.astype(np.uint64) + np.uint64(1)) * _TURN)
 
 
+def _path(code: int) -> tuple[int, tuple[int, ...]]:
+    out = []
+    while code >= _CODE:
+        code, p = divmod(code, _CODE)
+        out.append(p)
+    return code - 1, tuple(reversed(out))
+
+
 def _roots(vertices: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -120,11 +130,13 @@ def _roots(vertices: DataFrame) -> DataFrame:
             tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(m, TOKENS)
             for tree in range(TREES):
                 for p in chosen(tree, ()):
-                    node = _child(np.full(m, tree, dtype=np.uint64), p, tokens[:, p]).view(np.int64)
-                    path = pa.array([bytes([tree, p])] * m, pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), path], ["vertex", "node", "path"])
+                    above = _child(np.full(m, tree, dtype=np.uint64), p, tokens[:, p])
+                    for q in chosen(tree, (p,)):
+                        node = _child(above, q, tokens[:, q]).view(np.int64)
+                        code = ((tree + 1) * _CODE + p) * _CODE + q
+                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(np.full(m, code, dtype=np.int64))], ["vertex", "node", "path"])
 
-    return vertices.select("vertex", "tokens").mapInArrow(run, "vertex long, node long, path binary")
+    return vertices.select("vertex", "tokens").mapInArrow(run, "vertex long, node long, path long")
 
 
 def _branches(rows: DataFrame) -> DataFrame:
@@ -133,16 +145,15 @@ def _branches(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             vertex, node, path, tokens = (batch.column(i) for i in range(4))
-            node = node.to_numpy().view(np.uint64)
-            paths = path.to_pylist()
-            for one in set(paths):
-                at = np.flatnonzero(np.array([x == one for x in paths]))
-                own = np.frombuffer(b"".join(tokens[int(k)].as_py() for k in at), dtype=np.uint32).reshape(len(at), TOKENS)
-                for p in chosen(one[0], tuple(one[1:])):
-                    child = _child(node[at], p, own[:, p]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([vertex.take(pa.array(at)), pa.array(child), pa.array([one + bytes([p])] * len(at), pa.binary())], ["vertex", "node", "path"])
+            node, path = node.to_numpy().view(np.uint64), path.to_numpy()
+            own = np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint32).reshape(len(batch), TOKENS)
+            for code in np.unique(path).tolist():
+                at = np.flatnonzero(path == code)
+                for p in chosen(*_path(code)):
+                    child = _child(node[at], p, own[at, p]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([vertex.take(pa.array(at)), pa.array(child), pa.array(np.full(len(at), code * _CODE + p, dtype=np.int64))], ["vertex", "node", "path"])
 
-    return rows.select("vertex", "node", "path", "tokens").mapInArrow(run, "vertex long, node long, path binary")
+    return rows.select("vertex", "node", "path", "tokens").mapInArrow(run, "vertex long, node long, path long")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -186,7 +197,8 @@ def _within(nodes: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
     """(a, b) of pairs whose full sets are similar enough. Sets are made of the texts of the smallest ids."""
-    used = store.table(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "id"), "vertex"), f"{name}-used")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "id"), "vertex").select("id")
+    used = F.broadcast(used) if 2 * pairs.count() <= scratch.BROADCAST_ROWS else used
 
     def make(batches):
         for batch in batches:
@@ -194,7 +206,7 @@ def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: sc
                 own = [hashes[edges[k] : edges[k + 1]] for k in range(len(edges) - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["vertex", "words"])
 
-    texts = docs.join(store.small(used.select("id")), "id", "left_semi")
+    texts = docs.join(used, "id", "left_semi")
     # repeated rows, and other texts under one id, give a vertex again or one that isn't asked for
     sets = store.table(texts.mapInArrow(make, "vertex long, words binary").groupBy("vertex").agg(F.min("words").alias("words")), f"{name}-sets")
     one = pairs.join(sets.select(F.col("vertex").alias("b"), F.col("words").alias("wb")), "b")
@@ -217,7 +229,7 @@ def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: sc
 def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
     """(vertex, comp) of each vertex in (a, b): comp is the smallest vertex reached. Alternating large and small stars."""
     edges = store.table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
-    seen, step = None, 0
+    step = 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -226,10 +238,11 @@ def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         step += 1
         edges = store.table(small.filter("a <> b").distinct(), f"{name}-{step}")
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(hash(a, b))")).first()
-        if now == seen:
+        # stars: a vertex below another is below one only, and nothing is below it
+        ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        ends = ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not ends.filter("down > 1 or (down > 0 and up > 0)").limit(1).count():
             break
-        seen = now
         if step > 1:
             store.drop(f"{name}-{step - 2}")
     tops = edges.select(F.col("b").alias("vertex"), F.col("b").alias("comp")).distinct()
@@ -245,36 +258,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = signed.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("tokens").alias("tokens"), F.min("bytes").alias("bytes"))
     vertices = store.table(vertices, "vertices")
     sketch = vertices.select("vertex", "n", "bytes")
-    rows = _roots(vertices)
-    comps = spark.createDataFrame([], "vertex long, comp long")
-    links = spark.createDataFrame([], "a long, b long")
-    ended, d = [], 0
+    rows, comps, ended, d = _roots(vertices), None, [], 1
 
     def labelled(df: DataFrame) -> DataFrame:
+        if comps is None:
+            return df.withColumn("comp", F.col("vertex"))
         return df.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
 
     def alive(df: DataFrame, name: str) -> DataFrame:
-        """Rows of nodes over more than one component, with the node's size and leader."""
-        drawn = F.min(F.struct(F.xxhash64("vertex", F.lit(d)).alias("h"), "vertex")).alias("leader")
-        nodes = df.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), drawn).filter("low <> high")
-        nodes = nodes.select("node", "size", F.col("leader.vertex").alias("leader"))
+        """Rows of nodes over more than one component, with the node's size and leaders."""
+        first = [F.min(F.struct(F.xxhash64("vertex", seed).alias("h"), "vertex")).alias(f"leader{k}") for k, seed in enumerate((F.lit(d), F.col("node")))]
+        nodes = df.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *first).filter("low <> high")
+        nodes = nodes.select("node", "size", *(F.col(f"leader{k}.vertex").alias(f"leader{k}") for k in (0, 1)))
         return store.table(df.select("vertex", "node", "path", "comp").join(nodes, "node"), name)
 
     while True:
         d += 1
         live = alive(labelled(rows), f"rows-{d}")
-        star = live.filter("vertex <> leader").select(F.col("leader").alias("a"), F.col("vertex").alias("b"), "comp").distinct()
-        if d > 1:
+        leaders = F.explode(F.array("leader0", "leader1")).alias("a")
+        star = live.select("vertex", "comp", leaders).filter("vertex <> a").select("a", F.col("vertex").alias("b"), "comp").distinct()
+        if comps is not None:
             star = star.join(comps.select(F.col("vertex").alias("a"), F.col("comp").alias("of")), "a", "left").filter("comp <> coalesce(of, a)")
         star = star.join(sketch.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("bytes").alias("bytes_b")), "b")
         star = star.join(sketch.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("bytes").alias("bytes_a")), "a")
-        best = _alike(star).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x")).select("x.a", "b")
-        new = _confirmed(store.table(best, f"star-{d}"), vertices, docs, store, f"star-{d}")
+        # the likeliest leader, and the one that comes first in the common order
+        ranked = _alike(star).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x"), F.min(F.struct(F.xxhash64("a", F.lit(d)).alias("h"), "a")).alias("y"))
+        pairs = ranked.select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = _confirmed(store.table(pairs.distinct(), f"star-{d}"), vertices, docs, store, f"star-{d}")
         if new.limit(1).count():
-            links = links.unionByName(new)
-            comps = components(comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, f"comps-{d}")
-        live = alive(labelled(live.drop("comp", "size", "leader")), f"alive-{d}")
-        ended.append(live.filter(F.col("size") <= small).select("vertex", "node", "size"))
+            comps = components(new if comps is None else comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, f"comps-{d}")
+            live = alive(labelled(live.select("vertex", "node", "path")), f"alive-{d}")
+        ended.append(live.filter(F.col("size") <= small).select("vertex", "node"))
         large = live.filter(F.col("size") > small)
         if d >= depth or not large.limit(1).count():
             break
@@ -286,16 +300,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     halves = large.withColumn("blocks", blocks).withColumn("own", own).select("vertex", "node", "own", other)
     halves = halves.select("vertex", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
-    rest = ended[0].select("vertex", "node")
+    rest = ended[0]
     for more in ended[1:]:
-        rest = rest.unionByName(more.select("vertex", "node"))
+        rest = rest.unionByName(more)
     rest = labelled(rest.unionByName(halves))
     nodes = rest.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node")
     filled = rest.join(nodes, "node").join(sketch, "vertex")
     members = filled.groupBy("node").agg(F.collect_list(F.struct("vertex", "n", "comp", "bytes")).alias("members"))
     pairs = store.table(_within(members).distinct(), "pairs")
     new = _confirmed(pairs, vertices, docs, store, "within")
-    comps = components(comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, "final")
+    comps = components(new if comps is None else comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, "final")
 
     named = vertices.select("vertex", "id").join(comps, "vertex")
     least = store.table(named.groupBy("comp").agg(F.min("id").alias("component_id")), "least")

@@ -5,16 +5,16 @@
 2. TREES independent trees start from all vertices, with two levels at once. A node stands for a path of
    chosen minwise positions and the values found there; a vertex goes on to the children that its own values at
    the next chosen positions name. Two sets of similarity s stay together at a position with probability s.
-3. In every node each vertex is compared with two leaders: one by an order common to all nodes of a round,
-   one drawn for the node. Of its leaders the likeliest of either kind are confirmed, and what is linked is merged into
-   components at once. A node that lies within one component has nothing more to give and ends; so a
-   large group of copies is linked by stars and never by its pairs. Nodes of up to SMALL vertices end too; their
-   pairs across components are compared exhaustively after the last depth. Larger ones branch on.
+3. Every node has two leaders: one by an order common to all nodes of a round, one drawn for the node. Each
+   vertex is compared with the two leaders that it meets in most nodes; links are confirmed, and linked vertices share a
+   label. A node under one label has nothing more to give and ends; so a large group of copies is linked by stars and
+   never by its pairs. Nodes of up to SMALL vertices end too; their pairs across labels are compared
+   exhaustively after the last depth, each pair in one of the nodes it shares. Larger ones branch on.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
 Recall: a node branches on two positions down to depth 3, below on 4/3 on average (the inverse of the
 threshold). A pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``: 0.09 at depth 2,
-so 3e-11 over ten trees, 1e-10 at depth 3; deeper the loss grows slowly. Before sets are fetched, pairs are
+so 5e-7 over six trees, 1e-6 at depth 3; deeper the loss grows slowly. Before sets are fetched, pairs are
 compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
 below 2e-6 for each comparison, and is met in many nodes. Vertices are 64-bit digests: n different sets have about
 n * n / 2**65 collisions.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SHINGLE, THRESHOLD = 5, 75
-TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 10, 256, 72, 8
+TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 6, 1024, 72, 8
 _R = np.random.Generator(np.random.PCG64(4711))
 _XOR = _R.integers(0, 2**32, TOKENS, dtype=np.uint32)
 #: Base of the code of a path: its tree plus one, then its positions (DEPTH of them fit a long).
@@ -156,8 +156,27 @@ def _branches(rows: DataFrame) -> DataFrame:
     return rows.select("vertex", "node", "path", "tokens").mapInArrow(run, "vertex long, node long, path long")
 
 
+def _frequent(live: DataFrame) -> DataFrame:
+    """(a, b): for each vertex b the two leaders that lead most of its nodes."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            vertex = batch.column(0).to_numpy()
+            for v, own in zip(vertex.tolist(), batch.column(1), strict=True):
+                leader, n = np.unique(own.values.to_numpy(), return_counts=True)
+                leader, n = leader[leader != v], n[leader != v]
+                for x in leader[np.argsort(-n, kind="stable")[:2]].tolist():
+                    a.append(x)
+                    b.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    own = live.groupBy("vertex").agg(F.flatten(F.collect_list(F.array("leader0", "leader1"))).alias("leaders"))
+    return own.mapInArrow(run, "a long, b long")
+
+
 def _alike(pairs: DataFrame) -> DataFrame:
-    """(a, b, agree) of (a, b, na, nb, bytes_a, bytes_b) that sizes and bytes allow."""
+    """(a, b) of (a, b, na, nb, bytes_a, bytes_b) that sizes and bytes allow, the smaller vertex first."""
 
     def run(batches):
         for batch in batches:
@@ -165,34 +184,50 @@ def _alike(pairs: DataFrame) -> DataFrame:
             if not m:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(m, TOKENS) for i in (2, 3))
-            same = (x == y).sum(axis=1)
-            keep = pa.array(same >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same[same >= AGREE], pa.int64())], ["a", "b", "agree"])
+            keep = (x == y).sum(axis=1) >= AGREE
+            a, b = (batch.column(i).to_numpy()[keep] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     sized = pairs.filter(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
-    return sized.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long, agree long")
+    return sized.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _within(nodes: DataFrame) -> DataFrame:
-    """(a, b) across components of small nodes, compared exhaustively on sizes and bytes: members are (vertex, n, comp, bytes)."""
+    """(a, b) across labels of nodes, compared exhaustively on sizes and bytes.
+
+    members are (vertex, n, comp, bytes, mine); mine lists the vertex's nodes, and a pair counts in the smallest
+    node of both alone."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for members in batch.column(0):
+            for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = members.values
                 vertex, n, comp = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                m = len(vertex)
+                m, mine = len(vertex), None
                 x = np.frombuffer(b"".join(values.field(3).to_pylist()), dtype=np.uint8).reshape(m, TOKENS)
                 for i in range(m - 1):
                     rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                    if len(rest):
-                        rest = rest[(x[rest] == x[i]).sum(axis=1) >= AGREE]
-                        a += np.minimum(vertex[rest], vertex[i]).tolist()
-                        b += np.maximum(vertex[rest], vertex[i]).tolist()
+                    if not len(rest):
+                        continue
+                    rest = rest[(x[rest] == x[i]).sum(axis=1) >= AGREE]
+                    if not len(rest):
+                        continue
+                    mine = mine or [set(k) for k in values.field(4).to_pylist()]
+                    rest = np.array([k for k in rest.tolist() if min(mine[i] & mine[k]) == node], dtype=np.int64)
+                    a += np.minimum(vertex[rest], vertex[i]).tolist()
+                    b += np.maximum(vertex[rest], vertex[i]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return nodes.select("members").mapInArrow(run, "a long, b long")
+    return nodes.select("node", "members").mapInArrow(run, "a long, b long")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(vertex, comp): a label that linked vertices mostly share, never one across components. Two rounds of smallest neighbours."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least(F.min(F.xxhash64("b")), F.xxhash64("a")).alias("comp"))
+    two = both.join(one.withColumnsRenamed({"a": "b", "comp": "next"}), "b").groupBy("a").agg(F.min("next").alias("comp"))
+    return two.select(F.col("a").alias("vertex"), "comp")
 
 
 def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
@@ -258,36 +293,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vertices = signed.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("tokens").alias("tokens"), F.min("bytes").alias("bytes"))
     vertices = store.table(vertices, "vertices")
     sketch = vertices.select("vertex", "n", "bytes")
-    rows, comps, ended, d = _roots(vertices), None, [], 1
+    rows, comps, links, ended, d = _roots(vertices), None, None, [], 1
 
     def labelled(df: DataFrame) -> DataFrame:
         if comps is None:
-            return df.withColumn("comp", F.col("vertex"))
-        return df.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
+            return df.withColumn("comp", F.xxhash64("vertex"))
+        return df.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("vertex")))
 
     def alive(df: DataFrame, name: str) -> DataFrame:
-        """Rows of nodes over more than one component, with the node's size and leaders."""
-        first = [F.min(F.struct(F.xxhash64("vertex", seed).alias("h"), "vertex")).alias(f"leader{k}") for k, seed in enumerate((F.lit(d), F.col("node")))]
+        """Rows of nodes under more than one label, with the node's size and leaders."""
+        first = [F.min(F.struct(F.xxhash64("vertex", *seed).alias("h"), "vertex")).alias(f"leader{k}") for k, seed in enumerate(((F.lit(d),), ("node",)))]
         nodes = df.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *first).filter("low <> high")
         nodes = nodes.select("node", "size", *(F.col(f"leader{k}.vertex").alias(f"leader{k}") for k in (0, 1)))
-        return store.table(df.select("vertex", "node", "path", "comp").join(nodes, "node"), name)
+        return store.table(df.select("vertex", "node", "path").join(nodes, "node"), name)
 
     while True:
         d += 1
         live = alive(labelled(rows), f"rows-{d}")
-        leaders = F.explode(F.array("leader0", "leader1")).alias("a")
-        star = live.select("vertex", "comp", leaders).filter("vertex <> a").select("a", F.col("vertex").alias("b"), "comp").distinct()
-        if comps is not None:
-            star = star.join(comps.select(F.col("vertex").alias("a"), F.col("comp").alias("of")), "a", "left").filter("comp <> coalesce(of, a)")
+        star = _frequent(live if d == 2 else live.filter(F.col("size") > small))
         star = star.join(sketch.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("bytes").alias("bytes_b")), "b")
         star = star.join(sketch.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("bytes").alias("bytes_a")), "a")
-        # the likeliest leader, and the one that comes first in the common order
-        ranked = _alike(star).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("x"), F.min(F.struct(F.xxhash64("a", F.lit(d)).alias("h"), "a")).alias("y"))
-        pairs = ranked.select("b", F.explode(F.array_distinct(F.array("x.a", "y.a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = _confirmed(store.table(pairs.distinct(), f"star-{d}"), vertices, docs, store, f"star-{d}")
-        if new.limit(1).count():
-            comps = components(new if comps is None else comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, f"comps-{d}")
-            live = alive(labelled(live.select("vertex", "node", "path")), f"alive-{d}")
+        new = _confirmed(store.table(_alike(star), f"star-{d}"), vertices, docs, store, f"star-{d}")
+        links = new if links is None else links.unionByName(new)
+        comps = store.table(_labels(links), f"labels-{d}")
+        live = alive(labelled(live.select("vertex", "node", "path")), f"alive-{d}")
         ended.append(live.filter(F.col("size") <= small).select("vertex", "node"))
         large = live.filter(F.col("size") > small)
         if d >= depth or not large.limit(1).count():
@@ -305,11 +334,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = rest.unionByName(more)
     rest = labelled(rest.unionByName(halves))
     nodes = rest.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node")
-    filled = rest.join(nodes, "node").join(sketch, "vertex")
-    members = filled.groupBy("node").agg(F.collect_list(F.struct("vertex", "n", "comp", "bytes")).alias("members"))
+    rest = store.table(rest.join(nodes, "node"), "rest")
+    mine = rest.groupBy("vertex").agg(F.collect_list("node").alias("mine"))
+    filled = rest.join(mine, "vertex").join(sketch, "vertex")
+    members = filled.groupBy("node").agg(F.collect_list(F.struct("vertex", "n", "comp", "bytes", "mine")).alias("members"))
     pairs = store.table(_within(members).distinct(), "pairs")
-    new = _confirmed(pairs, vertices, docs, store, "within")
-    comps = components(new if comps is None else comps.select(F.col("vertex").alias("a"), F.col("comp").alias("b")).unionByName(new), store, "final")
+    comps = components(links.unionByName(_confirmed(pairs, vertices, docs, store, "within")), store, "final")
 
     named = vertices.select("vertex", "id").join(comps, "vertex")
     least = store.table(named.groupBy("comp").agg(F.min("id").alias("component_id")), "least")

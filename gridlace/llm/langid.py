@@ -158,21 +158,26 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in keep]
     schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds), f"doc_id {docs.schema[id_col].dataType.simpleString()}", "lang_pred string, score double, rejected boolean"])
 
+    used = list(dict.fromkeys([*keep, id_col, text_col]))
+    at, ids = used.index(text_col), used.index(id_col)
+
     def run(batches):
         m = shared.value
         for batch in batches:
-            bounds, data = words.utf8(batch.column(len(keep) + 1))
-            lettered = np.array([_has_letter(data[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)], dtype=bool)
-            pred, score = np.full(len(lettered), "und", dtype=object), np.zeros(len(lettered))
-            if m is not None:
-                for i in np.flatnonzero(lettered):
-                    p = m.scores(m.logits(data[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]])))[0]
-                    pred[i], score[i] = m.labels[int(p.argmax())], float(p.max())
-            out = (score < m.threshold) | (pred == "und") if m is not None else np.ones(len(pred), dtype=bool)
-            cols = [batch.column(i) for i in range(len(keep) + 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], [*keep, "doc_id", "lang_pred", "score", "rejected"])
-
-    return docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+            bounds, data = words.utf8(batch.column(at))
+            for i, j in words.spans(bounds):  # small batches go out, whatever the size of what came in
+                pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
+                for k in range(i, j) if m is not None else ():
+                    own = data[bounds[k] : bounds[k + 1]]
+                    if _has_letter(own):
+                        p = m.scores(m.logits(own, np.array([0, len(own)])))[0]
+                        pred[k - i], score[k - i] = m.labels[int(p.argmax())], float(p.max())
+                out = (score < m.threshold) | (pred == "und") if m is not None else np.ones(j - i, dtype=bool)
+                part = batch.slice(i, j - i)
+                cols = [*(part.column(c) for c in range(len(keep))), part.column(ids)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], [*keep, "doc_id", "lang_pred", "score", "rejected"])
+
+    return docs.select(*(F.col(c) for c in used)).mapInArrow(run, schema)
 
 
 def op3_langid(spark, sf_dir: str) -> DataFrame:

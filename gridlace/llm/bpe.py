@@ -160,6 +160,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 done = enc.encode(todo)
                 ids = [b"".join(done[x] if isinstance(x, int) else x for x in own) for own in plan]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        enc.later.clear()  # the worker may go on to other work
 
     whole = texts.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "parts")
     return whole.mapInArrow(assemble, f"doc_id {kind}, ids binary")

@@ -1,15 +1,18 @@
-"""Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences.
-
-1. Benchmark items are cut into passages. Their words (letters and digits, ASCII in lower case) are the
-   terms; document frequencies of the terms are counted over all documents.
-2. A randomised SVD of the passages' TF-IDF matrix gives RANK latent directions: subspace iteration whose
-   products run as Spark jobs over the passages, with small factors on the driver. The basis is that of the
-   passages searched for, which keeps what tells them apart; the corpus gives the weights.
-3. Every document is cut into blocks of HOP words; each two neighbours are a window. Windows are projected
-   and compared with all passages; a cosine of NEAR or more makes a candidate. No number of candidates is set.
+"""Benchmark decontamination by counted words of items, confirmed by common subsequences, with latent similarity.
+
+1. Benchmark items are cut into words (letters and digits, ASCII in lower case), their terms; document frequencies of
+   the terms are counted over all documents.
+2. Every document is cut into blocks of HOP words; each two neighbours are a window, looked at with a margin of the
+   item's length on both sides.
+3. An item that matches has ``need`` words in common with what is looked at. Without its need - least most frequent words it
+   still has ``least`` of the others, so windows with fewer words of those are left out, and no others: nothing that step 4
+   would accept is lost, at any number and length of items.
 4. For a candidate the longest common subsequence of the item and the window with a margin decides:
    SURE of the item's words in order, or LIKELY of them (a paraphrase) if the answer - the item's last sentence - is
    there too: ANSWER of its words, in order. Items of under SHORT words need all words.
+5. A randomised SVD of the passages' TF-IDF matrix gives RANK latent directions: subspace iteration whose
+   products run as Spark jobs over the passages, with small factors on the driver. The cosine of a match is that of its
+   window and the nearest passage of the item there; it is reported and decides nothing.
 
 The benchmark is taken in blocks of ITEMS, so tables that are broadcast have a bound at any size of the
 benchmark; each block makes one pass for frequencies and one for the search. A document stays in its task: nothing is
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 HOP, RANK, OVER, ROUNDS = 32, 128, 16, 2
-NEAR, SURE, LIKELY, ANSWER, SHORT = 0.7, 0.75, 0.55, 0.75, 8
-ITEMS, BITS, CHUNK = 20_000, 20, 1 << 15
+SURE, LIKELY, ANSWER, SHORT = 0.75, 0.55, 0.75, 8
+ITEMS, BITS, CELLS = 20_000, 20, 1 << 22
 
 
 def _places(own: np.ndarray) -> dict[int, int]:
@@ -168,6 +171,17 @@ class Index:
     basis: np.ndarray  # (terms, rank), with weights
     latent: np.ndarray  # (rank, passages), of length 1
     owner: np.ndarray  # item of each passage
+    begin: np.ndarray  # of each term in posted
+    posted: np.ndarray  # items that count a term
+    least: np.ndarray  # counted words that a match of each item has
+
+
+def counted(own: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, int]:
+    """(terms that count for an item, words of them that every match has)."""
+    n = len(own)
+    need = n if n < SHORT else max(1, int(np.ceil(LIKELY * n - 1e-9)))
+    least = -(-need // 4)
+    return np.unique(own[np.argsort(df[own], kind="stable")][: n - need + least]), least
 
 
 def build_index(docs: DataFrame, items: list[Item], store: scratch.Scratch, name: str) -> Index:
@@ -188,56 +202,88 @@ def build_index(docs: DataFrame, items: list[Item], store: scratch.Scratch, name
     basis = (latent_basis(rows, idf) * idf[:, None]).astype(np.float32)
     latent = np.array([basis[p].sum(axis=0) for p in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Index(items, bucket, basis, np.ascontiguousarray(latent.T, dtype=np.float32), np.array(owner))
+    counts = [counted(bucket[_buckets(x.words)], df) for x in items]
+    term, item = np.concatenate([t for t, _ in counts]), np.repeat(np.arange(len(items), dtype=np.int32), [len(t) for t, _ in counts])
+    order = np.argsort(term, kind="stable")
+    begin = np.searchsorted(term[order], np.arange(len(used) + 1))
+    return Index(items, bucket, basis, np.ascontiguousarray(latent.T, dtype=np.float32), np.array(owner), begin, item[order], np.array([n for _, n in counts]))
 
 
 def _windows(index: Index, h: np.ndarray, first: np.ndarray):
-    """(document, first word, passage, cosine) of candidates; windows are two neighbouring blocks of HOP words."""
+    """(document, first word, item) of candidates, in order; windows are two neighbouring blocks of HOP words."""
     n = np.diff(first)
     blocks = np.maximum(1, -(-n // HOP)) * (n > 0)
+    ends = np.cumsum(blocks)
     doc = np.repeat(np.arange(len(n)), blocks)
-    at = (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * HOP + first[:-1][doc]
+    begins = (ends - blocks)[doc]
+    at = (np.arange(len(doc)) - begins) * HOP + first[:-1][doc]
     term = index.bucket[_buckets(h)]
-    sums = np.zeros((len(doc) + 1, index.basis.shape[1]), dtype=np.float32)
-    for i in range(0, len(doc), CHUNK // HOP):
-        j = min(i + CHUNK // HOP, len(doc))
-        a, b = at[i], at[j] if j < len(at) else len(h)
-        own = np.flatnonzero(term[a:b] >= 0)
-        edges = np.searchsorted(own, at[i:j] - a)
-        full = np.flatnonzero(np.diff(np.append(edges, len(own))))
-        if len(full):
-            sums[i + full] = np.add.reduceat(index.basis[term[a:b][own]], edges[full], axis=0)
-    for i in range(0, len(doc), 1 << 13):
-        j = min(i + (1 << 13), len(doc))
-        z = sums[i:j].copy()
-        more = np.zeros(j - i, dtype=bool)
-        more[: len(doc) - 1 - i] = doc[i + 1 : j + 1] == doc[i:j][: len(doc) - 1 - i]
-        z[more] += sums[i + 1 : j + 1][more]
-        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        cosine = z @ index.latent
-        w, p = np.nonzero(cosine >= NEAR)
-        yield doc[i + w], at[i + w], p, cosine[w, p]
+    items = len(index.items)
+    margin = -(-np.array([len(x.words) for x in index.items]) // HOP)
+    reach = int(margin.max()) + 2
+    step = max(reach, CELLS // items)
+    for i in range(0, len(doc), step):
+        j = min(i + step, len(doc))
+        a, b = max(0, i - reach), min(len(doc), j + reach)
+        lo, hi = at[a], at[b] if b < len(at) else len(h)
+        own = np.flatnonzero(term[lo:hi] >= 0)
+        block = np.searchsorted(at[a:b], own + lo, side="right") - 1
+        own = term[lo:hi][own]
+        many = index.begin[own + 1] - index.begin[own]
+        cell = np.repeat(index.begin[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = np.repeat(block * items, many) + index.posted[cell]
+        # words of each item before each block
+        hits = np.zeros((b - a + 1, items), dtype=np.int32)
+        np.cumsum(np.bincount(cell, minlength=(b - a) * items).reshape(b - a, items), axis=0, out=hits[1:])
+        window = np.arange(i, j)
+        found = []
+        for m in np.unique(margin).tolist():
+            some = np.flatnonzero(margin == m)
+            up = np.minimum(ends[doc[i:j]], window + 2 + m) - a
+            down = np.maximum(begins[i:j], window - m) - a
+            part = hits if len(some) == items else hits[:, some]
+            w, k = np.nonzero(part[up] - part[down] >= index.least[some])
+            found.append((w + i, some[k]))
+        w, k = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((k, w))
+        w, k = w[order], k[order]
+        yield doc[w], at[w], k
+
+
+def _cosine(index: Index, h: np.ndarray, item: int) -> float:
+    """Of the words of a window and the nearest passage of an item."""
+    term = index.bucket[_buckets(h)]
+    z = index.basis[term[term >= 0]].sum(axis=0)
+    return float((z @ index.latent[:, slice(*np.searchsorted(index.owner, (item, item + 1)))]).max() / max(np.linalg.norm(z), 1e-12))
 
 
 def _matches(index: Index, h: np.ndarray, first: np.ndarray):
     """(document, item, first word, end, common, sure, cosine): the best place of each document and item that matches."""
     best: dict[tuple[int, int], tuple] = {}
-    for doc, at, passage, cosine in _windows(index, h, first):
-        for d, a, p, c in zip(doc.tolist(), at.tolist(), index.owner[passage].tolist(), cosine.tolist(), strict=True):
+    own = h.tolist()
+    for doc, at, items in _windows(index, h, first):
+        for d, a, p in zip(doc.tolist(), at.tolist(), items.tolist(), strict=True):
             item = index.items[p]
             n = len(item.words)
             lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), a + 2 * HOP + n)
-            region = h[lo:hi].tolist()
+            region = own[lo:hi]
+            # no more words than places whose word is there can be common
+            there = 0
+            for m in set(map(item.whole.get, region)):
+                there |= m or 0
+            least = 1 if n < SHORT else LIKELY
+            if there.bit_count() / n < least:
+                continue
             same = common(item.whole, n, region)
             share = same / n
-            if share < (1 if n < SHORT else LIKELY):
+            if share < least:
                 continue
             sure = share >= SURE
             if not sure and common(item.last, n - item.answer, region) < ANSWER * (n - item.answer):
                 continue
             if (d, p) not in best or same > best[d, p][4]:
-                best[d, p] = (d, p, lo - int(first[d]), hi - int(first[d]), same, sure, c)
-    return sorted(best.values())
+                best[d, p] = (d, p, lo - int(first[d]), hi - int(first[d]), same, sure, a)
+    return sorted((*x[:6], _cosine(index, h[x[6] : min(x[6] + 2 * HOP, int(first[x[0] + 1]))], x[1])) for x in best.values())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items: int = ITEMS) -> DataFrame:

@@ -89,6 +89,52 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def planted_items(rng, text, vocab, sizes):
+    """Items, and documents that hold one each: exact copies, then copies with words of the first sentence changed."""
+    items = [(i, f"{text(n - 5).capitalize()}. {text(5).capitalize()}.") for i, n in enumerate(sizes)]
+    docs = []
+    for i in range(200):
+        k = rng.randrange(len(items))
+        w = items[k][1].split()
+        if i >= 100:
+            for x in rng.sample(range(len(w) - 5), int(0.35 * len(w))):
+                w[x] = rng.choice(vocab)
+        docs.append((i, f"{text(rng.randint(40, 150))} {' '.join(w)} {text(rng.randint(40, 150))}", k))
+    return items, docs
+
+
+def plain_matches(items, docs):
+    """All pairs that the subsequence and the answer accept, without any search for candidates."""
+    parsed = [decontaminate.parse_item(*x) for x in items]
+    out = set()
+    for d, t, _ in docs:
+        h = decontaminate._of(t).tolist()
+        for x in parsed:
+            n = len(x.words)
+            for at in range(0, len(h), decontaminate.HOP):
+                region = h[max(0, at - n) : at + 2 * decontaminate.HOP + n]
+                same = decontaminate.common(x.whole, n, region) / n
+                answer = decontaminate.common(x.last, n - x.answer, region) / (n - x.answer)
+                if same >= decontaminate.SURE or same >= decontaminate.LIKELY and answer >= decontaminate.ANSWER:
+                    out.add((d, x.item))
+                    break
+    return out
+
+
+def found_matches(spark, items, docs):
+    df = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").repartition(4)
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_decontaminate_many_items(spark):
+    """As many items as give far more passages than the basis has directions."""
+    rng, vocab, text = bench_texts(5)
+    items, docs = planted_items(rng, text, vocab, [rng.randint(20, 60) for _ in range(1000)])
+    found = found_matches(spark, items, docs)
+    assert found >= {(d, k) for d, _, k in docs}
+    assert found == plain_matches(items, docs)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
 

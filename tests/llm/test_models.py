@@ -135,6 +135,15 @@ def test_decontaminate_many_items(spark):
     assert found == plain_matches(items, docs)
 
 
+def test_decontaminate_short_items(spark):
+    """Items of less words than half a window, in documents whose other words are the benchmark's too."""
+    rng, vocab, text = bench_texts(6)
+    items, docs = planted_items(rng, text, vocab, [8 + k % 12 for k in range(120)])
+    found = found_matches(spark, items, docs)
+    assert found >= {(d, k) for d, _, k in docs if d < 100}
+    assert found == plain_matches(items, docs)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
 

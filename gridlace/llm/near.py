@@ -13,8 +13,8 @@
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
 Recall: a node branches on two positions down to depth 3, below on 4/3 on average (the inverse of the
-threshold). A pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``: 0.09 at depth 2,
-so 5e-7 over six trees, 1e-6 at depth 3; deeper the loss grows slowly. Before sets are fetched, pairs are
+threshold). A pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``: over ten trees 3e-11 at
+depth 2, 1e-10 at depth 3, and less than 5e-7 at every depth up to DEPTH, where it is 0.23 a tree. Before sets are fetched, pairs are
 compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
 below 2e-6 for each comparison, and is met in many nodes. Vertices are 64-bit digests: n different sets have about
 n * n / 2**65 collisions.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SHINGLE, THRESHOLD = 5, 75
-TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 6, 1024, 72, 8
+TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 10, 1024, 72, 8
 _R = np.random.Generator(np.random.PCG64(4711))
 _XOR = _R.integers(0, 2**32, TOKENS, dtype=np.uint32)
 #: Base of the code of a path: its tree plus one, then its positions (DEPTH of them fit a long).

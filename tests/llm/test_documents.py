@@ -187,6 +187,11 @@ def test_loss():
     assert near.loss(2) < 0.09 and near.loss(3) < 0.1 and near.loss(8) ** near.TREES < 0.05 and near.loss(2) ** near.TREES < 1e-6
 
 
+def test_loss_has_one_bound_at_every_depth():
+    assert all(near.loss(d) ** near.TREES < 5e-7 for d in range(2, near.DEPTH + 1))
+    assert near.loss(8) ** near.TREES < 0.01 and near.loss(2) ** near.TREES < 1e-10
+
+
 def test_components(spark):
     from gridlace.llm import scratch
 

@@ -4,8 +4,9 @@
    passages, at any depth. Lines that announce a quotation ("On ... wrote:") go with it. What is left at level 0
    is the message's own text.
 2. Own texts and quoted passages are cut into sentences, normalised (letters and digits in lower case, so line
-   breaks, marks and case don't matter) and hashed. A conversation's first message with a sentence of its own is that
-   sentence's original: one row for each hash, so a phrase that everybody repeats or quotes joins once.
+   breaks, marks and case don't matter) and hashed. Every earlier message that wrote a sentence of a passage can be its
+   original. Messages with a sentence of up to MANY writers are all compared; of those that share only more common
+   sentences, and the same ones, the latest before the quotation stands for all, as no other of them can be chosen.
 3. A passage belongs to the earlier message that wrote most of it (by characters; ties: the later message). A
    message replies to the original of its first passage at level 1, or, without one, of its lowest level.
 4. Replies are followed to the first message of their thread by pointer doubling. A conversation is ordered by threads
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+MANY = 16
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 _ANNOUNCE = re.compile(r"\s*(?:On\b.{0,300}\bwrote|Le\b.{0,300}\ba écrit|Am\b.{0,300}\bschrieb.{0,100}|El\b.{0,300}\bescribió)\s*:\s*")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n\s*\n")
@@ -86,13 +88,28 @@ def _parsed(messages: DataFrame) -> DataFrame:
     return messages.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, n_quotes long, levels long, facts array<struct<passage:int,level:int,hash:bigint,n:bigint>>")
 
 
-def link_quotes(parsed: DataFrame) -> DataFrame:
+def link_quotes(parsed: DataFrame, many: int = MANY) -> DataFrame:
     """(conv_id, turn, reply_to, level, n_common) for turns with a quotation that an earlier message explains."""
     facts = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("facts").alias("f")).select("conv_id", "turn", "f.*")
-    original = facts.filter("passage = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("first"))
     quoted = facts.filter("passage > 0").distinct()
-    found = quoted.join(original, ["conv_id", "hash"]).filter("first < turn")
-    votes = found.groupBy("conv_id", "turn", "level", "passage", "first").agg(F.sum("n").alias("n"))
+    passage = ["conv_id", "turn", "level", "passage"]
+    asked = quoted.select("conv_id", "hash").distinct()
+    wrote = facts.filter("passage = 0").select("conv_id", "hash", F.col("turn").alias("first")).distinct().join(asked, ["conv_id", "hash"], "left_semi")
+    writers = wrote.groupBy("conv_id", "hash").agg(F.count("*").alias("writers"))
+    wide = wrote.join(writers, ["conv_id", "hash"])
+    rare = quoted.join(wide.filter(F.col("writers") <= many), ["conv_id", "hash"]).filter("first < turn").select(*passage, "first")
+    # common sentences: messages by the set of them
+    sets = wide.filter(F.col("writers") > many).groupBy("conv_id", "first").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    sets = sets.withColumn("set", F.xxhash64("hashes"))
+    kinds = sets.groupBy("conv_id", "set").agg(F.first("hashes").alias("hashes")).select("conv_id", "set", F.explode("hashes").alias("hash"))
+    pairs = quoted.join(kinds, ["conv_id", "hash"]).select(*passage, "set").distinct()
+    # at one turn the quotation stands before the writer, so it sees earlier ones only
+    line = pairs.select("conv_id", "set", "turn", F.lit(None).cast(parsed.schema["turn"].dataType).alias("first")).distinct().unionByName(sets.select("conv_id", "set", F.col("first").alias("turn"), "first"))
+    before = Window.partitionBy("conv_id", "set").orderBy("turn", F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    latest = line.withColumn("latest", F.last("first", ignorenulls=True).over(before)).filter("first is null and latest is not null").select("conv_id", "set", "turn", F.col("latest").alias("first"))
+    common = pairs.join(latest, ["conv_id", "set", "turn"]).select(*passage, "first")
+    found = rare.unionByName(common).distinct().join(quoted, passage).join(wrote, ["conv_id", "first", "hash"])
+    votes = found.groupBy(*passage, "first").agg(F.sum("n").alias("n"))
     # lowest level and first passage, then most characters, then the later message
     best = F.min(F.struct("level", "passage", (-F.col("n")).alias("less"), (-F.col("first")).alias("back"))).alias("x")
     return votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", (-F.col("x.back")).alias("reply_to"), F.col("x.level").alias("level"), (-F.col("x.less")).alias("n_common"))

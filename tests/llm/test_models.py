@@ -209,6 +209,39 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], CONV)).count() == 0
 
 
+def test_chat_repeated_sentences(spark):
+    """A later message that wrote the same sentences again is the original, whatever their number of writers."""
+    rows = [
+        (1, 1, "a", "Thanks.", "x"),
+        (1, 3, "b", "Thanks.", "x"),
+        (1, 4, "c", "> Thanks.\nWelcome.", "x"),
+        (2, 0, "a", "Long first sentence here.", "x"),
+        (2, 1, "b", "Long first sentence here. New.", "x"),
+        (2, 2, "c", "> Long first sentence here. New.\nYes.", "x"),
+    ]
+    out = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.position) for r in chat.format_chats(spark.createDataFrame(rows, CONV)).collect()}
+    assert out[1, 4] == (3, 3, 2) and out[2, 2] == (1, 1, 2)
+
+    rng = random.Random(3)
+    phrases = ["Thanks.", "Fine with me.", "Let us meet tomorrow.", "No.", "See the notes of last week."]
+    rows, said, want = [], {}, {}
+    for turn in range(120):
+        own = rng.sample(phrases, rng.randint(1, 3)) + ([f"Only number {turn}."] if rng.random() < 0.3 else [])
+        text = " ".join(own)
+        if turn and rng.random() < 0.6:
+            quote = rng.sample(phrases, rng.randint(1, 3)) + [s for s in said[rng.randrange(turn)] if s.startswith("Only")]
+            score = {t: sum(len(" ".join(chat._WORDS.findall(s))) for s in quote if s in said[t]) for t in range(turn)}
+            most = max(score.values())
+            if most:
+                want[turn] = max(t for t in score if score[t] == most)
+            text = "> " + " ".join(quote) + "\n" + text
+        said[turn] = own
+        rows.append((7, turn, "a", text, "x"))
+    parsed = chat._parsed(spark.createDataFrame(rows, CONV))
+    for many in (0, 3, chat.MANY, 10**6):
+        assert {r.turn: r.reply_to for r in chat.link_quotes(parsed, many).collect()} == want
+
+
 def test_chat_one_long_conversation(spark):
     rows = [(1, i, "a", f"message number {i} says so." + (f"\n> message number {i - 1} says so." if i % 10 else ""), "x") for i in range(300)]
     rows += [(1, 299, "a", rows[-1][3], "x")]

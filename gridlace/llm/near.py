@@ -2,27 +2,26 @@
 
 1. Each text becomes the set of its shingles; equal sets are one vertex. A vertex has TOKENS
    minwise values of its set.
-2. TREES independent trees start from all vertices, with two levels at once. A node stands for a path of
-   chosen minwise positions and the values found there; a vertex goes on to the children that its own values at
-   the next chosen positions name. Two sets of similarity s stay together at a position with probability s.
-3. Every node has two leaders: one by an order common to all nodes of a round, one drawn for the node. Each
-   vertex is compared with the two leaders that it meets in most nodes; links are confirmed, and linked vertices share a
+2. TREES independent trees start at a minwise position each. A node stands for a path of positions and the values found
+   there; a vertex goes on to the two children that its own values at the node's next two positions name. A node draws these
+   positions by its own hash from those set apart for its depth, so a vertex finds its way down from its values
+   alone. Two sets of similarity s stay together at a position with probability s.
+3. A node's leader is the vertex in it that shares most places of its nodes with others: the text that copies were made
+   of rather than one of them. Vertices are compared with their leaders first; links are confirmed, and linked vertices share a
    label. A node under one label has nothing more to give and ends; so a large group of copies is linked by stars and
    never by its pairs. Nodes of up to SMALL vertices end too; their pairs across labels are compared
-   exhaustively after the last depth, each pair in one of the nodes it shares. Larger ones branch on.
+   exhaustively after the last round, node by node. Larger ones go JUMP levels down in one round.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
-Recall: a node branches on two positions down to depth 3, below on 4/3 on average (the inverse of the
-threshold). A pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``: over ten trees 3e-11 at
-depth 2, 1e-10 at depth 3, and less than 5e-7 at every depth up to DEPTH, where it is 0.23 a tree. Before sets are fetched, pairs are
-compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
-below 2e-6 for each comparison, and is met in many nodes. Vertices are 64-bit digests: n different sets have about
-n * n / 2**65 collisions.
+Recall: a pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``, which is below 1/3 at every
+depth as each node branches twice; over all trees a pair is missed with probability below 5e-7 whatever the depth. Before sets
+are fetched, pairs are compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
+below 2e-6. Vertices are 64-bit digests: n different sets have about n * n / 2**65 collisions.
 
 Defined results: a text that is null or has no words is an empty set, alone in its component; fewer words than
 SHINGLE are one shingle; a null id keeps its row, out of all groups, with a null component; rows
-that share an id and a text are one document and stay or go together; an empty table gives an empty one;
-only the id and the text column are read.
+that share an id and a text are one document and stay or go together; very long texts are hashed whole, one at a time; a set
+similar to several groups joins them; an empty table gives an empty one; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -37,31 +36,22 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SHINGLE, THRESHOLD = 5, 75
-TOKENS, TREES, SMALL, AGREE, DEPTH = 128, 10, 1024, 72, 8
+TOKENS, TREES, SMALL, AGREE, JUMP = 128, 15, 1024, 72, 3
+#: Positions that are set apart for each depth below the roots, and the depth at which they are used up.
+CHOICES = 8
+DEPTH = 1 + (TOKENS - TREES) // CHOICES
 _R = np.random.Generator(np.random.PCG64(4711))
 _XOR = _R.integers(0, 2**32, TOKENS, dtype=np.uint32)
-#: Base of the code of a path: its tree plus one, then its positions (DEPTH of them fit a long).
-_CODE = 128
 _MUL = _R.integers(0, 2**32, TOKENS, dtype=np.uint32) | np.uint32(1)
+_SPREAD, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def loss(depth: int, similarity: float = THRESHOLD / 100) -> float:
-    """Probability that a pair of that similarity is apart in all nodes of one tree at a depth."""
-    q = 0.0
-    for d in range(depth, 0, -1):
-        x = 1 - similarity + similarity * q
-        q = x * x if d <= 3 else (2 * x + x * x) / 3
-    return q
-
-
-def chosen(tree: int, path: tuple[int, ...]) -> list[int]:
-    """Positions that a node branches on, from its tree and path alone: never one of the path's own."""
-    if not path:
-        return [2 * tree, 2 * tree + 1]
-    rng = np.random.default_rng([tree, *path])
-    many = 2 if len(path) < 3 or rng.random() < 1 / 3 else 1
-    free = np.setdiff1d(np.arange(TOKENS), path)
-    return [int(x) for x in rng.choice(free, min(many, len(free)), replace=False)]
+    """Probability that a pair of that similarity is apart in all nodes of one tree at a depth; roots are at depth 1."""
+    x = 1 - similarity
+    for _ in range(depth - 1):
+        x = 1 - similarity + similarity * x * x
+    return x
 
 
 def _sets(batch: pa.RecordBatch, at: int):
@@ -77,8 +67,13 @@ def _digest(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    """Rows of a binary column of TOKENS values each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), TOKENS)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, n, vertex, tokens, bytes) of (id, text); vertex is null for an empty set or a null id."""
+    """(id, n, vertex, tokens) of (id, text); vertex is null for an empty set or a null id."""
 
     def run(batches):
         for batch in batches:
@@ -94,158 +89,160 @@ def signatures(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(i, len(n))
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 vertex = [_digest(hashes[edges[k] : edges[k + 1]]) if n[k] and known[k] else None for k in range(len(n))]
-                small = ((least * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array([r.tobytes() for r in least], pa.binary()), pa.array([r.tobytes() for r in small], pa.binary())],
-                    ["id", "n", "vertex", "tokens", "bytes"],
-                )
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array([r.tobytes() for r in least], pa.binary())], ["id", "n", "vertex", "tokens"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, vertex long, tokens binary, bytes binary")
+    return docs.mapInArrow(run, f"id {_kind(docs)}, n long, vertex long, tokens binary")
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_TURN = np.uint64(0xBF58476D1CE4E5B9)
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
 
 
-def _child(node: np.ndarray, position: int, token: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return words.mix(words.mix(node * _SPREAD + np.uint64(position + 1)) ^ (token.astype(np.uint64) + np.uint64(1)) * _TURN)
+def _with_bytes(vertices: DataFrame) -> DataFrame:
+    """Adds one byte of each minwise value to (vertex, id, n, many, tokens)."""
 
+    def run(batches):
+        for batch in batches:
+            small = ((_matrix(batch.column(4), np.uint32) * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in small], pa.binary())], [*batch.schema.names, "bytes"])
 
-def _path(code: int) -> tuple[int, tuple[int, ...]]:
-    out = []
-    while code >= _CODE:
-        code, p = divmod(code, _CODE)
-        out.append(p)
-    return code - 1, tuple(reversed(out))
+    return vertices.mapInArrow(run, f"vertex long, id {_kind(vertices)}, n long, many long, tokens binary, bytes binary")
 
 
-def _roots(vertices: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            m = len(batch)
-            if not m:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(m, TOKENS)
-            for tree in range(TREES):
-                for p in chosen(tree, ()):
-                    above = _child(np.full(m, tree, dtype=np.uint64), p, tokens[:, p])
-                    for q in chosen(tree, (p,)):
-                        node = _child(above, q, tokens[:, q]).view(np.int64)
-                        code = ((tree + 1) * _CODE + p) * _CODE + q
-                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(np.full(m, code, dtype=np.int64))], ["vertex", "node", "path"])
+def _child(node: np.ndarray, position: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return words.mix(words.mix(node * _SPREAD + position.astype(np.uint64) + np.uint64(1)) ^ (token.astype(np.uint64) + np.uint64(1)) * _TURN)
 
-    return vertices.select("vertex", "tokens").mapInArrow(run, "vertex long, node long, path long")
 
+def chosen(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two positions on which each node of a depth branches: never any of its own path."""
+    first = (node >> np.uint64(7)).astype(np.int64) % CHOICES
+    second = (first + 1 + (node >> np.uint64(17)).astype(np.int64) % (CHOICES - 1)) % CHOICES
+    base = TREES + (depth - 1) * CHOICES
+    return base + first, base + second
 
-def _branches(rows: DataFrame) -> DataFrame:
-    """Children of (vertex, node, path, tokens)."""
 
+def _roots(vertices: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            vertex, node, path, tokens = (batch.column(i) for i in range(4))
-            node, path = node.to_numpy().view(np.uint64), path.to_numpy()
-            own = np.frombuffer(b"".join(tokens.to_pylist()), dtype=np.uint32).reshape(len(batch), TOKENS)
-            for code in np.unique(path).tolist():
-                at = np.flatnonzero(path == code)
-                for p in chosen(*_path(code)):
-                    child = _child(node[at], p, own[at, p]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([vertex.take(pa.array(at)), pa.array(child), pa.array(np.full(len(at), code * _CODE + p, dtype=np.int64))], ["vertex", "node", "path"])
+            tokens = _matrix(batch.column(1), np.uint32)
+            for tree in range(TREES):
+                at = np.full(len(tokens), tree, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_child(at, at, tokens[:, tree]).view(np.int64))], ["vertex", "node"])
 
-    return rows.select("vertex", "node", "path", "tokens").mapInArrow(run, "vertex long, node long, path long")
+    return vertices.select("vertex", "tokens").mapInArrow(run, "vertex long, node long")
 
 
-def _frequent(live: DataFrame) -> DataFrame:
-    """(a, b): for each vertex b the two leaders that lead most of its nodes."""
+def _branches(rows: DataFrame, depth: int, levels: int) -> DataFrame:
+    """(vertex, node) so many levels below (vertex, node, tokens) of a depth."""
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            vertex = batch.column(0).to_numpy()
-            for v, own in zip(vertex.tolist(), batch.column(1), strict=True):
-                leader, n = np.unique(own.values.to_numpy(), return_counts=True)
-                leader, n = leader[leader != v], n[leader != v]
-                for x in leader[np.argsort(-n, kind="stable")[:2]].tolist():
-                    a.append(x)
-                    b.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            tokens, here = _matrix(batch.column(2), np.uint32), np.arange(len(batch))
+            nodes = [batch.column(1).to_numpy().view(np.uint64)]
+            for d in range(depth, depth + levels):
+                nodes = [_child(h, p, tokens[here, p]) for h in nodes for p in chosen(h, d)]
+            for h in nodes:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64))], ["vertex", "node"])
+
+    return rows.select("vertex", "node", "tokens").mapInArrow(run, "vertex long, node long").distinct()
 
-    own = live.groupBy("vertex").agg(F.flatten(F.collect_list(F.array("leader0", "leader1"))).alias("leaders"))
-    return own.mapInArrow(run, "a long, b long")
 
+_PAIR = "a long, b long, ia {0}, ib {0}"
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """(a, b) of (a, b, na, nb, bytes_a, bytes_b) that sizes and bytes allow, the smaller vertex first."""
+
+def _alike(stars: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(a, b, ia, ib) of the pairs (a, b) that sizes and bytes allow, with the vertices' ids."""
+    pairs = stars
+    for k in "ba":
+        pairs = pairs.join(sketch.select(F.col("vertex").alias(k), F.col("id").alias(f"i{k}"), F.col("n").alias(f"n{k}"), F.col("bytes").alias(f"bytes_{k}")), k)
+    pairs = pairs.filter(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
 
     def run(batches):
         for batch in batches:
-            m = len(batch)
-            if not m:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(m, TOKENS) for i in (2, 3))
-            keep = (x == y).sum(axis=1) >= AGREE
-            a, b = (batch.column(i).to_numpy()[keep] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            keep = pa.array((_matrix(batch.column(4)) == _matrix(batch.column(5))).sum(axis=1) >= AGREE, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "ia", "ib"])
 
-    sized = pairs.filter(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
-    return sized.select("a", "b", "bytes_a", "bytes_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "ia", "ib", "bytes_a", "bytes_b").mapInArrow(run, _PAIR.format(_kind(sketch)))
 
 
-def _within(nodes: DataFrame) -> DataFrame:
-    """(a, b) across labels of nodes, compared exhaustively on sizes and bytes.
-
-    members are (vertex, n, comp, bytes, mine); mine lists the vertex's nodes, and a pair counts in the smallest
-    node of both alone."""
+def _close(n: np.ndarray, comp: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of one node that labels, sizes and bytes allow."""
+    m = len(n)
+    if m <= 64:
+        i, j = np.triu_indices(m, 1)
+        some = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]))
+        i, j = i[some], j[some]
+        some = (x[i] == x[j]).sum(axis=1) >= AGREE
+        return i[some], j[some]
+    out = []
+    for i in range(m - 1):
+        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))) + i + 1
+        rest = rest[np.count_nonzero(x[rest] == x[i], axis=1) >= AGREE]
+        out.append((np.full(len(rest), i), rest))
+    i, j = zip(*out, strict=True)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """(a, b, ia, ib) across labels in nodes of (node, vertex, id, n, comp, bytes), compared exhaustively node by node."""
+
+    def pairs(batch):
+        node = batch.column(0).to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+        vertex, n, comp = (batch.column(k).to_numpy() for k in (1, 3, 4))
+        x = _matrix(batch.column(5))
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i, j = _close(n[s:e], comp[s:e], x[s:e])
+            left.append(i + s)
+            right.append(j + s)
+        i, j = np.concatenate(left), np.concatenate(right)
+        swap = vertex[i] > vertex[j]
+        i, j = pa.array(np.where(swap, j, i)), pa.array(np.where(swap, i, j))
+        return pa.RecordBatch.from_arrays([batch.column(c).take(k) for c in (1, 2) for k in (i, j)], ["a", "b", "ia", "ib"])
 
     def run(batches):
+        held = None  # rows of a node that may go on in the next batch
         for batch in batches:
-            a, b = [], []
-            for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = members.values
-                vertex, n, comp = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                m, mine = len(vertex), None
-                x = np.frombuffer(b"".join(values.field(3).to_pylist()), dtype=np.uint8).reshape(m, TOKENS)
-                for i in range(m - 1):
-                    rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                    if not len(rest):
-                        continue
-                    rest = rest[(x[rest] == x[i]).sum(axis=1) >= AGREE]
-                    if not len(rest):
-                        continue
-                    mine = mine or [set(k) for k in values.field(4).to_pylist()]
-                    rest = np.array([k for k in rest.tolist() if min(mine[i] & mine[k]) == node], dtype=np.int64)
-                    a += np.minimum(vertex[rest], vertex[i]).tolist()
-                    b += np.maximum(vertex[rest], vertex[i]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return nodes.select("node", "members").mapInArrow(run, "a long, b long")
+            if not len(batch):
+                continue
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            last = batch.column(0)[len(batch) - 1].as_py()
+            cut = int(np.argmax(batch.column(0).to_numpy() == last))
+            held = batch.slice(cut)
+            if cut:
+                yield pairs(batch.slice(0, cut))
+        if held is not None:
+            yield pairs(held)
+
+    ordered = members.select("node", "vertex", "id", "n", "comp", "bytes").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(run, _PAIR.format(_kind(members))).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
     """(vertex, comp): a label that linked vertices mostly share, never one across components. Two rounds of smallest neighbours."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.least(F.min(F.xxhash64("b")), F.xxhash64("a")).alias("comp"))
+    one = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp"))
     two = both.join(one.withColumnsRenamed({"a": "b", "comp": "next"}), "b").groupBy("a").agg(F.min("next").alias("comp"))
     return two.select(F.col("a").alias("vertex"), "comp")
 
 
-def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
-    """(a, b) of pairs whose full sets are similar enough. Sets are made of the texts of the smallest ids."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices.select("vertex", "id"), "vertex").select("id")
-    used = F.broadcast(used) if 2 * pairs.count() <= scratch.BROADCAST_ROWS else used
+def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
+    """(a, b) of (a, b, ia, ib) whose full sets are similar enough. Sets are made of the texts of the vertices' ids."""
+    ids = store.small(store.table(pairs.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{name}-ids"))
 
     def make(batches):
         for batch in batches:
-            for i, edges, hashes in _sets(batch, 1):
+            for _, edges, hashes in _sets(batch, 1):
                 own = [hashes[edges[k] : edges[k + 1]] for k in range(len(edges) - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["vertex", "words"])
 
-    texts = docs.join(used, "id", "left_semi")
-    # repeated rows, and other texts under one id, give a vertex again or one that isn't asked for
-    sets = store.table(texts.mapInArrow(make, "vertex long, words binary").groupBy("vertex").agg(F.min("words").alias("words")), f"{name}-sets")
-    one = pairs.join(sets.select(F.col("vertex").alias("b"), F.col("words").alias("wb")), "b")
-    both = one.join(sets.select(F.col("vertex").alias("a"), F.col("words").alias("wa")), "a").select("a", "b", "wa", "wb")
+    # repeated rows, and other texts under one id, give a vertex again or one that isn't asked for: no other links
+    sets = store.table(docs.join(ids, "id", "left_semi").mapInArrow(make, "vertex long, words binary"), f"{name}-sets")
+    heads = store.small(store.table(pairs.select(F.col("a").alias("vertex")).distinct(), f"{name}-heads"))
+    heads = sets.join(heads, "vertex", "left_semi").select(F.col("vertex").alias("a"), F.col("words").alias("wa"))
+    both = pairs.select("a", "b").join(sets.select(F.col("vertex").alias("b"), F.col("words").alias("wb")), "b").join(heads, "a").select("a", "b", "wa", "wb")
 
     def judge(batches):
         for batch in batches:
@@ -258,7 +255,10 @@ def _confirmed(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, store: sc
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return store.table(both.mapInArrow(judge, "a long, b long"), f"{name}-links")
+    links = store.table(both.mapInArrow(judge, "a long, b long"), f"{name}-links")
+    for part in ("ids", "sets", "heads"):
+        store.drop(f"{name}-{part}")
+    return links
 
 
 def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
@@ -273,82 +273,73 @@ def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         step += 1
         edges = store.table(small.filter("a <> b").distinct(), f"{name}-{step}")
+        store.drop(f"{name}-{step - 1}")
         # stars: a vertex below another is below one only, and nothing is below it
         ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
         ends = ends.groupBy("a").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
         if not ends.filter("down > 1 or (down > 0 and up > 0)").limit(1).count():
             break
-        if step > 1:
-            store.drop(f"{name}-{step - 2}")
     tops = edges.select(F.col("b").alias("vertex"), F.col("b").alias("comp")).distinct()
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("comp")).unionByName(tops)
 
 
+def _shared(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Rows of (vertex, node) whose node is under more than one label, with label and the node's size."""
+    label = F.col("vertex") if comps is None else F.coalesce("comp", "vertex")
+    rows = rows.select("vertex", "node")
+    rows = (rows if comps is None else rows.join(comps, "vertex", "left")).select("vertex", "node", label.alias("comp"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node", "size")
+    return rows.join(nodes, "node")
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """(a, b): each vertex b with the leaders a of its nodes. A leader is met in most places of its nodes; a hash breaks ties."""
+    weight = live.groupBy("vertex").agg((F.sum("size") * 1024 + F.pmod(F.xxhash64("vertex"), F.lit(1024))).alias("weight"))
+    leaders = live.select("vertex", "node").join(weight, "vertex").groupBy("node").agg(F.max_by("vertex", "weight").alias("a"))
+    return live.select(F.col("vertex").alias("b"), "node").join(leaders, "node").filter("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document."""
     spark = docs.sparkSession
     store = scratch.Scratch(spark, "near")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = store.table(signatures(docs), "signed")
-    vertices = signed.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("tokens").alias("tokens"), F.min("bytes").alias("bytes"))
-    vertices = store.table(vertices, "vertices")
-    sketch = vertices.select("vertex", "n", "bytes")
+    vertices = signed.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("many"), F.min("tokens").alias("tokens"))
+    vertices = store.table(_with_bytes(vertices), "vertices")
+    sketch = vertices.select("vertex", "id", "n", "bytes")
     rows, comps, links, ended, d = _roots(vertices), None, None, [], 1
-
-    def labelled(df: DataFrame) -> DataFrame:
-        if comps is None:
-            return df.withColumn("comp", F.xxhash64("vertex"))
-        return df.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("vertex")))
-
-    def alive(df: DataFrame, name: str) -> DataFrame:
-        """Rows of nodes under more than one label, with the node's size and leaders."""
-        first = [F.min(F.struct(F.xxhash64("vertex", *seed).alias("h"), "vertex")).alias(f"leader{k}") for k, seed in enumerate(((F.lit(d),), ("node",)))]
-        nodes = df.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *first).filter("low <> high")
-        nodes = nodes.select("node", "size", *(F.col(f"leader{k}.vertex").alias(f"leader{k}") for k in (0, 1)))
-        return store.table(df.select("vertex", "node", "path").join(nodes, "node"), name)
-
     while True:
-        d += 1
-        live = alive(labelled(rows), f"rows-{d}")
-        star = _frequent(live if d == 2 else live.filter(F.col("size") > small))
-        star = star.join(sketch.select(F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("bytes").alias("bytes_b")), "b")
-        star = star.join(sketch.select(F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("bytes").alias("bytes_a")), "a")
-        new = _confirmed(store.table(_alike(star), f"star-{d}"), vertices, docs, store, f"star-{d}")
+        live = store.table(_shared(rows, comps), f"live-{d}")
+        new = _confirmed(store.table(_alike(_stars(live), sketch), f"star-{d}"), docs, store, f"star-{d}")
         links = new if links is None else links.unionByName(new)
         comps = store.table(_labels(links), f"labels-{d}")
-        live = alive(labelled(live.select("vertex", "node", "path")), f"alive-{d}")
-        ended.append(live.filter(F.col("size") <= small).select("vertex", "node"))
-        large = live.filter(F.col("size") > small)
+        alive = store.table(_shared(live, comps), f"alive-{d}")
+        store.drop(f"live-{d}")
+        ended.append(alive.filter(F.col("size") <= small).select("vertex", "node", "comp"))
+        large = alive.filter(F.col("size") > small)
         if d >= depth or not large.limit(1).count():
             break
-        rows = store.table(_branches(large.join(vertices.select("vertex", "tokens"), "vertex")), f"branches-{d}")
+        levels = min(JUMP, depth - d)
+        rows = store.table(_branches(large.select("vertex", "node").join(vertices.select("vertex", "tokens"), "vertex"), d, levels), f"branches-{d}")
+        d += levels
 
-    # nodes that are large at the last depth are compared block with block
+    # nodes that are large when all positions are used up are compared block with block
     blocks = F.ceil(F.col("size") * 2 / small).cast("int")
     own = F.pmod(F.xxhash64("vertex", F.lit(99)), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    halves = large.withColumn("blocks", blocks).withColumn("own", own).select("vertex", "node", "own", other)
-    halves = halves.select("vertex", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
-    rest = ended[0]
-    for more in ended[1:]:
+    halves = large.select("vertex", "node", "comp", own.alias("own"), other).withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    rest = halves.select("vertex", "node", "comp")
+    for more in ended:
         rest = rest.unionByName(more)
-    rest = labelled(rest.unionByName(halves))
-    nodes = rest.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node")
-    rest = store.table(rest.join(nodes, "node"), "rest")
-    mine = rest.groupBy("vertex").agg(F.collect_list("node").alias("mine"))
-    filled = rest.join(mine, "vertex").join(sketch, "vertex")
-    members = filled.groupBy("node").agg(F.collect_list(F.struct("vertex", "n", "comp", "bytes", "mine")).alias("members"))
-    pairs = store.table(_within(members).distinct(), "pairs")
-    comps = components(links.unionByName(_confirmed(pairs, vertices, docs, store, "within")), store, "final")
-
-    named = vertices.select("vertex", "id").join(comps, "vertex")
-    least = store.table(named.groupBy("comp").agg(F.min("id").alias("component_id")), "least")
-    linked = store.table(named.select("vertex", "comp").join(least, "comp").select("vertex", "component_id"), "linked")
-    copies = signed.filter("vertex is not null").groupBy("vertex").agg(F.count("*").alias("many"), F.min("id").alias("first")).filter("many > 1")
-    known = copies.join(linked, "vertex", "full_outer").select("vertex", F.coalesce("component_id", "first").alias("component_id"))
-    out = signed.select("id", "n", "vertex").join(store.small(store.table(known, "known")), "vertex", "left")
-    comp = F.coalesce("component_id", "id").alias("component_id")
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp)
+    pairs = store.table(_within(rest.join(sketch, "vertex")), "pairs")
+    comps = components(links.unionByName(_confirmed(pairs, docs, store, "within")), store, "final")
+
+    named = store.table(vertices.select("vertex", "id", "many").join(comps, "vertex", "left").filter("comp is not null or many > 1"), "named")
+    least = named.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    known = store.table(named.join(least, "comp", "left").select("vertex", F.coalesce("least", "id").alias("component_id")), "known")
+    out = signed.select("id", "n", "vertex").join(store.small(known), "vertex", "left")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -357,7 +348,14 @@ def op8_near(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: of each component the document with the smallest id stays, columns as they were."""
+    """Stage of a pipeline: of each component the document with the smallest id stays, columns as they were.
+
+    A document is an id and a text: rows that repeat both stay or go together, other texts under one id are judged by themselves, the
+    one with the smaller hash first. Rows with a null id, a null text or no words stay. An empty table gives an empty one. Texts of any
+    length count whole. Columns may have any name."""
     store = scratch.Scratch(spark, "one-of-each")
-    gone = store.table(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(store.small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    rows, at = scratch.positional(docs)
+    key = F.when(F.col(at["doc_id"]).isNotNull(), F.struct(F.col(at["doc_id"]).alias("id"), F.xxhash64(F.col(at["text"]).cast("string")).alias("text")))
+    rows = rows.withColumn("key", key)
+    gone = store.table(near_duplicates(rows, "key", at["text"]).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return rows.join(store.small(gone), F.col("key") == F.col("gone"), "left_anti").drop("key").toDF(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,16 +17,18 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir or of setCheckpointDir; without either, a temporary one in local mode alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        at = tempfile.mkdtemp(prefix="gridlace-")
-        spark.sparkContext.setCheckpointDir(at)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return at
+    if at:
+        return at
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gridlace-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 @contextlib.contextmanager
@@ -71,3 +74,9 @@ class Scratch:
 def fanout(spark: SparkSession) -> int:
     """Shuffle partitions as the session has them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def positional(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1 and so on, and these by the names they had; so no name can clash or need quotes."""
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at

@@ -7,16 +7,16 @@
    positions by its own hash from those set apart for its depth, so a vertex finds its way down from its values
    alone. Two sets of similarity s stay together at a position with probability s.
 3. A node's leader is the vertex in it that shares most places of its nodes with others: the text that copies were made
-   of rather than one of them. Vertices are compared with their leaders first; links are confirmed, and linked vertices share a
-   label. A node under one label has nothing more to give and ends; so a large group of copies is linked by stars and
-   never by its pairs. Nodes of up to SMALL vertices end too; their pairs across labels are compared
-   exhaustively after the last round, node by node. Larger ones go JUMP levels down in one round.
+   of rather than one of them. Vertices are compared with their leaders first, on a byte of each minwise value and then on full
+   sets; linked vertices share a label. A node under one label has nothing more to give and ends; so a large group of copies
+   is linked by stars and never by its pairs. Nodes of up to SMALL vertices and WEIGHT shingles end too: after the last
+   round, their pairs across labels are compared exhaustively on full sets, and a node gives as many links as join its labels.
+   Larger nodes go down one to three levels in a round, by their size.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
 Recall: a pair at the threshold is apart in all nodes of a tree with probability ``loss(depth)``, which is below 1/3 at every
-depth as each node branches twice; over all trees a pair is missed with probability below 5e-7 whatever the depth. Before sets
-are fetched, pairs are compared on one byte of each minwise value; a true pair has fewer than AGREE equal bytes with probability
-below 2e-6. Vertices are 64-bit digests: n different sets have about n * n / 2**65 collisions.
+depth as each node branches twice; over all trees a pair is missed with probability below 5e-7 whatever the depth. The byte sketch
+only saves comparisons with leaders. Vertices are 64-bit digests: n different sets have about n * n / 2**65 collisions.
 
 Defined results: a text that is null or has no words is an empty set, alone in its component; fewer words than
 SHINGLE are one shingle; a null id keeps its row, out of all groups, with a null component; rows
@@ -27,6 +27,7 @@ similar to several groups joins them; an empty table gives an empty one; only th
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 SHINGLE, THRESHOLD = 5, 75
-TOKENS, TREES, SMALL, AGREE, JUMP = 128, 15, 1024, 72, 3
+TOKENS, TREES, SMALL, WEIGHT, AGREE, JUMP = 128, 15, 2048, 1 << 21, 72, 3
 #: Positions that are set apart for each depth below the roots, and the depth at which they are used up.
 CHOICES = 8
 DEPTH = 1 + (TOKENS - TREES) // CHOICES
+#: Numbers in a block of a node's matrix of shingles.
+CELLS = 1 << 21
 _R = np.random.Generator(np.random.PCG64(4711))
 _XOR = _R.integers(0, 2**32, TOKENS, dtype=np.uint32)
 _MUL = _R.integers(0, 2**32, TOKENS, dtype=np.uint32) | np.uint32(1)
@@ -124,27 +127,27 @@ def chosen(node: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 def _roots(vertices: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            tokens = _matrix(batch.column(1), np.uint32)
+            tokens = _matrix(batch.column(2), np.uint32)
             for tree in range(TREES):
                 at = np.full(len(tokens), tree, dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_child(at, at, tokens[:, tree]).view(np.int64))], ["vertex", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_child(at, at, tokens[:, tree]).view(np.int64))], ["vertex", "n", "node"])
 
-    return vertices.select("vertex", "tokens").mapInArrow(run, "vertex long, node long")
+    return vertices.select("vertex", "n", "tokens").mapInArrow(run, "vertex long, n long, node long")
 
 
 def _branches(rows: DataFrame, depth: int, levels: int) -> DataFrame:
-    """(vertex, node) so many levels below (vertex, node, tokens) of a depth."""
+    """(vertex, n, node) so many levels below (vertex, n, node, tokens) of a depth."""
 
     def run(batches):
         for batch in batches:
-            tokens, here = _matrix(batch.column(2), np.uint32), np.arange(len(batch))
-            nodes = [batch.column(1).to_numpy().view(np.uint64)]
+            tokens, here = _matrix(batch.column(3), np.uint32), np.arange(len(batch))
+            nodes = [batch.column(2).to_numpy().view(np.uint64)]
             for d in range(depth, depth + levels):
                 nodes = [_child(h, p, tokens[here, p]) for h in nodes for p in chosen(h, d)]
             for h in nodes:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64))], ["vertex", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h.view(np.int64))], ["vertex", "n", "node"])
 
-    return rows.select("vertex", "node", "tokens").mapInArrow(run, "vertex long, node long").distinct()
+    return rows.select("vertex", "n", "node", "tokens").mapInArrow(run, "vertex long, n long, node long").distinct()
 
 
 _PAIR = "a long, b long, ia {0}, ib {0}"
@@ -165,41 +168,73 @@ def _alike(stars: DataFrame, sketch: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "ia", "ib", "bytes_a", "bytes_b").mapInArrow(run, _PAIR.format(_kind(sketch)))
 
 
-def _close(n: np.ndarray, comp: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs of one node that labels, sizes and bytes allow."""
-    m = len(n)
-    if m <= 64:
-        i, j = np.triu_indices(m, 1)
-        some = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]))
-        i, j = i[some], j[some]
-        some = (x[i] == x[j]).sum(axis=1) >= AGREE
-        return i[some], j[some]
-    out = []
-    for i in range(m - 1):
-        rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i]))) + i + 1
-        rest = rest[np.count_nonzero(x[rest] == x[i], axis=1) >= AGREE]
-        out.append((np.full(len(rest), i), rest))
-    i, j = zip(*out, strict=True)
-    return np.concatenate(i), np.concatenate(j)
+def _in_common(own: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each two sets have in common, above the diagonal."""
+    m, n = len(own), np.array([len(x) for x in own])
+    if m == 2:
+        return np.array([[0, len(np.intersect1d(own[0], own[1], assume_unique=True))], [0, 0]])
+    # a column is a shingle that two sets have at least, with the rows of its sets side by side
+    _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), n)[np.argsort(column, kind="stable")]
+    first = np.cumsum(times) - times
+    common, few = np.zeros(m * m, dtype=np.float32), m // 10 if m > 64 else 1
+    held, size = [], 0
+    for f in np.unique(times[(times > 1) & (times <= few)]).tolist():
+        starts = first[times == f]
+        a, b = np.triu_indices(f, 1)
+        step = max(1, CELLS // len(a))
+        for k in range(0, len(starts), step):
+            rows = row[starts[k : k + step, None] + np.arange(f)]
+            held.append((rows[:, a] * m + rows[:, b]).ravel())
+            size += len(held[-1])
+            if size >= CELLS:
+                common += np.bincount(np.concatenate(held), minlength=m * m)
+                held, size = [], 0
+    if held:
+        common += np.bincount(np.concatenate(held), minlength=m * m)
+    common = common.reshape(m, m)
+    # columns of many rows: products of 0 and 1 count what is common
+    dense = np.flatnonzero(times > few) if few > 1 else np.flatnonzero(times > 1)
+    width = max(1, CELLS // m)
+    for k in range(0, len(dense), width):
+        cols = dense[k : k + width]
+        part = np.zeros((m, len(cols)), dtype=np.float32)
+        place = np.repeat(first[cols] - np.cumsum(times[cols]) + times[cols], times[cols]) + np.arange(times[cols].sum())
+        part[row[place], np.repeat(np.arange(len(cols)), times[cols])] = 1
+        common += part @ part.T
+    return common
+
+
+def _linked(own: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs of one node whose sets are similar enough, as many as join its labels."""
+    n, common = np.array([len(x) for x in own]), _in_common(own)
+    i, j = np.nonzero(np.triu(100 * common >= THRESHOLD * (n[:, None] + n[None, :] - common), 1))
+    out, root = [], {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    some = comp[i] != comp[j]
+    for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True):
+        a, b = top(int(comp[x])), top(int(comp[y]))
+        if a != b:
+            root[a] = b
+            out.append((x, y))
+    return out
 
 
 def _within(members: DataFrame) -> DataFrame:
-    """(a, b, ia, ib) across labels in nodes of (node, vertex, id, n, comp, bytes), compared exhaustively node by node."""
-
-    def pairs(batch):
-        node = batch.column(0).to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
-        vertex, n, comp = (batch.column(k).to_numpy() for k in (1, 3, 4))
-        x = _matrix(batch.column(5))
-        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            i, j = _close(n[s:e], comp[s:e], x[s:e])
-            left.append(i + s)
-            right.append(j + s)
-        i, j = np.concatenate(left), np.concatenate(right)
-        swap = vertex[i] > vertex[j]
-        i, j = pa.array(np.where(swap, j, i)), pa.array(np.where(swap, i, j))
-        return pa.RecordBatch.from_arrays([batch.column(c).take(k) for c in (1, 2) for k in (i, j)], ["a", "b", "ia", "ib"])
+    """Links (a, b) across labels in nodes of (node, vertex, comp, words), compared exhaustively node by node."""
+
+    def links(batch):
+        node, vertex, comp = (batch.column(k).to_numpy() for k in range(3))
+        own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(3)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]]).tolist()
+        out = [(vertex[s + x], vertex[s + y]) for s, e in zip(edges[:-1], edges[1:], strict=True) for x, y in _linked(own[s:e], comp[s:e])]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
         held = None  # rows of a node that may go on in the next batch
@@ -208,16 +243,15 @@ def _within(members: DataFrame) -> DataFrame:
                 continue
             if held is not None:
                 batch = pa.concat_batches([held, batch])
-            last = batch.column(0)[len(batch) - 1].as_py()
-            cut = int(np.argmax(batch.column(0).to_numpy() == last))
+            node = batch.column(0).to_numpy()
+            cut = int(np.argmax(node == node[-1]))
             held = batch.slice(cut)
             if cut:
-                yield pairs(batch.slice(0, cut))
+                yield links(batch.slice(0, cut))
         if held is not None:
-            yield pairs(held)
+            yield links(held)
 
-    ordered = members.select("node", "vertex", "id", "n", "comp", "bytes").repartition("node").sortWithinPartitions("node")
-    return ordered.mapInArrow(run, _PAIR.format(_kind(members))).distinct()
+    return members.select("node", "vertex", "comp", "words").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -228,18 +262,26 @@ def _labels(links: DataFrame) -> DataFrame:
     return two.select(F.col("a").alias("vertex"), "comp")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
-    """(a, b) of (a, b, ia, ib) whose full sets are similar enough. Sets are made of the texts of the vertices' ids."""
-    ids = store.small(store.table(pairs.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{name}-ids"))
+def _full(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(vertex, words): full sets of the texts with these ids, each once a task; other texts under one id weren't asked for."""
 
     def make(batches):
+        seen: set[int] = set()
         for batch in batches:
             for _, edges, hashes in _sets(batch, 1):
-                own = [hashes[edges[k] : edges[k + 1]] for k in range(len(edges) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["vertex", "words"])
+                own = {_digest(x): x for k in range(len(edges) - 1) if len(x := hashes[edges[k] : edges[k + 1]])}
+                new = [v for v in own if v not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[v].tobytes() for v in new], pa.binary())], ["vertex", "words"])
+
+    return docs.join(ids, "id", "left_semi").mapInArrow(make, "vertex long, words binary")
 
-    # repeated rows, and other texts under one id, give a vertex again or one that isn't asked for: no other links
-    sets = store.table(docs.join(ids, "id", "left_semi").mapInArrow(make, "vertex long, words binary"), f"{name}-sets")
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
+    """(a, b) of (a, b, ia, ib) whose full sets are similar enough. Sets are made of the texts of the vertices' ids."""
+    ids = store.small(store.table(pairs.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{name}-ids"))
+    # repeated rows give a vertex again: no other links
+    sets = store.table(_full(ids, docs), f"{name}-sets")
     heads = store.small(store.table(pairs.select(F.col("a").alias("vertex")).distinct(), f"{name}-heads"))
     heads = sets.join(heads, "vertex", "left_semi").select(F.col("vertex").alias("a"), F.col("words").alias("wa"))
     both = pairs.select("a", "b").join(sets.select(F.col("vertex").alias("b"), F.col("words").alias("wb")), "b").join(heads, "a").select("a", "b", "wa", "wb")
@@ -255,7 +297,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    links = store.table(both.mapInArrow(judge, "a long, b long"), f"{name}-links")
+    links = store.compact(both.mapInArrow(judge, "a long, b long"), f"{name}-links")
     for part in ("ids", "sets", "heads"):
         store.drop(f"{name}-{part}")
     return links
@@ -263,7 +305,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name:
 
 def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
     """(vertex, comp) of each vertex in (a, b): comp is the smallest vertex reached. Alternating large and small stars."""
-    edges = store.table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
+    edges = store.compact(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-0")
     step = 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -272,7 +314,7 @@ def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         step += 1
-        edges = store.table(small.filter("a <> b").distinct(), f"{name}-{step}")
+        edges = store.compact(small.filter("a <> b").distinct(), f"{name}-{step}")
         store.drop(f"{name}-{step - 1}")
         # stars: a vertex below another is below one only, and nothing is below it
         ends = edges.select("a", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("down"), F.lit(1).alias("up")))
@@ -283,13 +325,14 @@ def components(links: DataFrame, store: scratch.Scratch, name: str) -> DataFrame
     return edges.select(F.col("a").alias("vertex"), F.col("b").alias("comp")).unionByName(tops)
 
 
-def _shared(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of (vertex, node) whose node is under more than one label, with label and the node's size."""
+def _shared(rows: DataFrame, comps: DataFrame | None, store: scratch.Scratch, name: str) -> DataFrame:
+    """Rows of (vertex, n, node) whose node is under more than one label, with label, size and weight of the node."""
     label = F.col("vertex") if comps is None else F.coalesce("comp", "vertex")
-    rows = rows.select("vertex", "node")
-    rows = (rows if comps is None else rows.join(comps, "vertex", "left")).select("vertex", "node", label.alias("comp"))
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node", "size")
-    return rows.join(nodes, "node")
+    rows = rows.select("vertex", "n", "node")
+    rows = (rows if comps is None else rows.join(comps, "vertex", "left")).select("vertex", "n", "node", label.alias("comp"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    nodes = store.table(nodes.filter("low <> high").select("node", "size", "weight"), f"{name}-nodes")
+    return store.table(rows.join(store.small(nodes), "node"), name)
 
 
 def _stars(live: DataFrame) -> DataFrame:
@@ -310,30 +353,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = vertices.select("vertex", "id", "n", "bytes")
     rows, comps, links, ended, d = _roots(vertices), None, None, [], 1
     while True:
-        live = store.table(_shared(rows, comps), f"live-{d}")
-        new = _confirmed(store.table(_alike(_stars(live), sketch), f"star-{d}"), docs, store, f"star-{d}")
-        links = new if links is None else links.unionByName(new)
-        comps = store.table(_labels(links), f"labels-{d}")
-        alive = store.table(_shared(live, comps), f"alive-{d}")
+        live = _shared(rows, comps, store, f"live-{d}")
+        new = _confirmed(store.compact(_alike(_stars(live), sketch), f"star-{d}"), docs, store, f"star-{d}")
+        links = new if links is None else store.compact(links.unionByName(new), f"links-{d}")
+        comps = store.small(store.table(_labels(links), f"labels-{d}"))
+        alive = _shared(live, comps, store, f"alive-{d}")
         store.drop(f"live-{d}")
-        ended.append(alive.filter(F.col("size") <= small).select("vertex", "node", "comp"))
-        large = alive.filter(F.col("size") > small)
+        fits = F.col("size").between(0, small) & ((F.col("weight") <= WEIGHT) | (F.col("size") <= 8))
+        ended.append(alive.filter(fits).select("vertex", "node", "comp"))
+        large = alive.filter(~fits)
         if d >= depth or not large.limit(1).count():
             break
-        levels = min(JUMP, depth - d)
-        rows = store.table(_branches(large.select("vertex", "node").join(vertices.select("vertex", "tokens"), "vertex"), d, levels), f"branches-{d}")
+        # each level leaves a quarter or so of a node that a passage holds together; what resists goes on in longer steps
+        levels = min(JUMP, depth - d, max(len(ended), math.ceil(math.log(max(1.0, large.agg(F.max("size")).first()[0] / small), 4))))
+        rows = store.table(_branches(large.select("vertex", "n", "node").join(vertices.select("vertex", "tokens"), "vertex"), d, levels), f"branches-{d}")
         d += levels
 
     # nodes that are large when all positions are used up are compared block with block
-    blocks = F.ceil(F.col("size") * 2 / small).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") * 2 / small), F.ceil(F.col("weight") * 2 / WEIGHT)).cast("int")
     own = F.pmod(F.xxhash64("vertex", F.lit(99)), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     halves = large.select("vertex", "node", "comp", own.alias("own"), other).withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
     rest = halves.select("vertex", "node", "comp")
     for more in ended:
         rest = rest.unionByName(more)
-    pairs = store.table(_within(rest.join(sketch, "vertex")), "pairs")
-    comps = components(links.unionByName(_confirmed(pairs, docs, store, "within")), store, "final")
+    used = store.table(rest.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex"), "used")
+    # repeated rows give a vertex again: the same member twice in a node
+    sets = _full(store.small(used.select("id")), docs).join(store.small(used.select("vertex")), "vertex", "left_semi")
+    comps = components(links.unionByName(store.compact(_within(rest.join(sets, "vertex")), "within")), store, "final")
 
     named = store.table(vertices.select("vertex", "id", "many").join(comps, "vertex", "left").filter("comp is not null or many > 1"), "named")
     least = named.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))

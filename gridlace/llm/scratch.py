@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this count may be broadcast (8 bytes each in Arrow, about 100 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers each that one task takes in without a shuffle.
+PART_ROWS = 100_000
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -60,6 +62,11 @@ class Scratch:
             df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def compact(self, df: DataFrame, name: str) -> DataFrame:
+        """table(), read in as many partitions as its counted rows need; a table within one part is then grouped and joined without a shuffle."""
+        out = self.table(df, name)
+        return out.coalesce(max(1, -(-out.count() // PART_ROWS)))
+
     def small(self, table: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
         """A written table of ids, to be broadcast if its counted rows are within the bound, else as it is."""
         return F.broadcast(table) if table.count() <= bound else table

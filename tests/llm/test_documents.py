@@ -306,3 +306,11 @@ def test_lines_near_the_threshold_are_counted(spark):
     rows = [(i, f"line{n}", f"s{i}") for n in range(6, 19) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert lines.boilerplate(df).count() == 7
+
+
+def test_common_counts():
+    rng = np.random.default_rng(8)
+    for m, k, n in ((2, 50, 20), (9, 60, 30), (90, 400, 60), (200, 3000, 40)):
+        own = [np.unique(np.concatenate([rng.integers(0, k, n), np.arange(5 * (i % 2))])).astype(np.uint64) for i in range(m)]
+        common = near._in_common(own)
+        assert all(common[i, j] == len(set(own[i].tolist()) & set(own[j].tolist())) for j in range(m) for i in range(j))

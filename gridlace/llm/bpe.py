@@ -1,19 +1,17 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 1. A rolling hash cuts each text into chunks; their digests are counted over all documents.
-2. Of each chunk that occurs more than once, the body is encoded once, at its first place.
-   The body runs from the first to the last point of the chunk at which every encoding is
-   cut (a space after a non-space, see ``tokens``), so its ids hold in every context.
-3. Each document joins the bodies of its shared chunks. Every join is repaired: the text from
-   the last agreed point on the left to the first on the right, over as many chunks as that
-   takes, is encoded anew, so both sides agree exactly with the encoding of the whole text.
-   What isn't shared is encoded in place.
+2. Each chunk that occurs more than once is encoded once, by itself, at its first place. It is used only if its ids spell its bytes.
+3. Each document joins the ids of its shared chunks. Every join is repaired: the last ids of the chunk on its left, the text that
+   isn't shared, and the first ids of the chunk on its right are encoded anew as one seam. A seam holds once its first
+   and last MATCH ids are those of the chunks; else its margin there is doubled, until both sides agree or a whole chunk has
+   become part of the seam. Where the file has cuts that hold in every context (see ``tokens``), margins start and end at them.
 
 Only digests are shuffled to count chunks; texts move compressed, keyed by document.
 Defined results: a null text is empty and has no ids; repeated rows and documents with one id
-are each encoded; a text without any space is one seam; an empty table gives an empty one;
-only the id and the text column are read. A hot chunk has one row for each document that holds
-it, spread by adaptive skew joins.
+are each encoded; a text without shared chunks is one seam; very long texts are encoded whole, one at a time; an empty
+table gives an empty one; only the id and the text column are read. A hot chunk has one row for each document that holds
+it, spread by adaptive skew joins over tables that were written before.
 """
 
 from __future__ import annotations
@@ -29,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens, words
 
-#: Bytes of a chunk: on average, at least and at most.
-MEAN, LEAST, MOST = 2048, 512, 65536
+#: Bytes of a chunk: on average, at least and at most. Ids of a margin at first, and of them those that must agree.
+MEAN, LEAST, MOST, MARGIN, MATCH = 2048, 512, 65536, 16, 6
 
 
 def _chunks(data: np.ndarray) -> list[bytes]:
@@ -45,17 +43,6 @@ def _chunks(data: np.ndarray) -> list[bytes]:
     return out
 
 
-def _body(chunk: str) -> tuple[int, int] | None:
-    """First and last point of a chunk at which any encoding is cut."""
-    first = tokens._CUT.search(chunk)
-    if first is None:
-        return None
-    i, j = first.start(), len(chunk)
-    while (j := chunk.rfind(" ", 0, j)) > i and chunk[j - 1].isspace():
-        pass
-    return (i, j) if j > i else None
-
-
 def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
@@ -70,6 +57,80 @@ def _groups(sizes: list[int], limit: int = words.SLICE) -> Iterator[tuple[int, i
     return words.spans(np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))]).astype(np.int64), limit) if sizes else iter(())
 
 
+class Known:
+    """A chunk with its own ids, of which head come before and tail after what is kept."""
+
+    def __init__(self, enc: tokens.Encoder, raw: bytes, ids: np.ndarray):
+        self.raw, self.ids, self.n = raw, ids, len(ids)
+        self.ends = np.concatenate([[0], np.cumsum(enc.lengths()[ids])])
+        at = np.arange(self.n + 1)
+        if enc.level:
+            at = at[np.isin(self.ends, enc.cuts(np.frombuffer(raw, dtype=np.uint8)))]
+        #: Numbers of ids after which a margin may end.
+        self.stops = at[(at > 0) & (at < self.n)]
+        self.head = self.tail = 0
+        self.usable = self.widen(0) and self.widen(1)
+
+    def widen(self, side: int) -> bool:
+        """Double the margin at the head (0) or tail (1); False once nothing would be left of the chunk."""
+        if side == 0:
+            more = self.stops[self.stops >= max(MARGIN, 2 * self.head)]
+            self.head = int(more[0]) if len(more) else self.n
+        else:
+            more = self.stops[self.stops <= self.n - max(MARGIN, 2 * self.tail)]
+            self.tail = self.n - int(more[-1]) if len(more) else self.n
+        return self.head + self.tail < self.n
+
+    def begin(self) -> bytes:
+        return self.raw[: self.ends[self.head]]
+
+    def end(self) -> bytes:
+        return self.raw[self.ends[self.n - self.tail] :]
+
+
+def join(enc: tokens.Encoder, docs: list[list[bytes | Known]]) -> list[np.ndarray]:
+    """Ids of texts that are given as runs of bytes and known chunks, in order."""
+    docs = [[p for p in own if not isinstance(p, Known) or p.usable or not p.raw] for own in ([p if not isinstance(p, Known) or p.usable else p.raw for p in own] for own in docs)]
+    done: dict[int, list] = {}
+    todo = list(range(len(docs)))
+    while todo:
+        texts, spans = [], []
+        for d in todo:
+            seam, seams, chunks = [], [], []
+            for p in docs[d]:
+                if isinstance(p, Known):
+                    seams.append(b"".join([*seam, p.begin()]))
+                    chunks.append(p)
+                    seam = [p.end()]
+                else:
+                    seam.append(p)
+            seams.append(b"".join(seam))
+            spans.append((len(texts), chunks))
+            texts += seams
+        bounds = np.cumsum([0, *map(len, texts)])
+        ids, edges = enc.encode_bytes(np.frombuffer(b"".join(texts), dtype=np.uint8), bounds)
+        again = []
+        for d, (at, chunks) in zip(todo, spans, strict=True):
+            own = [ids[edges[k] : edges[k + 1]] for k in range(at, at + len(chunks) + 1)]
+            wrong = False
+            for k, c in enumerate(chunks):
+                left, right = own[k], own[k + 1]
+                if not np.array_equal(left[-min(MATCH, c.head) :], c.ids[max(0, c.head - MATCH) : c.head]):
+                    wrong, c.usable = True, c.widen(0)
+                if not np.array_equal(right[: min(MATCH, c.tail)], c.ids[c.n - c.tail : c.n - c.tail + MATCH][: c.tail]):
+                    wrong, c.usable = True, c.widen(1) and c.usable
+            if wrong:
+                docs[d] = [p.raw if isinstance(p, Known) and not p.usable else p for p in docs[d]]
+                again.append(d)
+                continue
+            parts = [own[0]]
+            for c, right in zip(chunks, own[1:], strict=True):
+                parts += [c.ids[c.head : c.n - c.tail], right]
+            done[d] = np.concatenate(parts)
+        todo = again
+    return [done[d] for d in range(len(docs))]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned integers, two bytes each where the vocabulary fits, else four."""
     spark = docs.sparkSession
@@ -107,82 +168,69 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     texts = docs.mapInArrow(keyed, f"doc_id {kind}, key binary, packed binary")
 
-    def encode_bodies(batches):
+    def encode_shared(batches):
         enc, unpack = tokens.encoder(path), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = batch.to_pydict()
             for i, j in _groups([len(x) * 4 for x in rows["packed"]]):
-                digests, bodies = [], []
+                digests, raw = [], []
                 for packed, own in zip(rows["packed"][i:j], rows["own"][i:j], strict=True):
                     chunks = _chunks(np.frombuffer(unpack.decompress(packed), dtype=np.uint8))
                     for o in own:
-                        text = chunks[o["seq"]].decode()
-                        if (at := _body(text)) is not None:
-                            digests.append(o["digest"])
-                            bodies.append(text[at[0] : at[1]])
-                ids = enc.encode(bodies)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.binary())], ["digest", "ids"])
+                        digests.append(o["digest"])
+                        raw.append(chunks[o["seq"]])
+                ids, edges = enc.encode_bytes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+                spelled = enc.spelled(ids, edges)
+                keep = [k for k in range(len(raw)) if spelled[k] == raw[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array([ids[edges[k] : edges[k + 1]].tobytes() for k in keep], pa.binary())], ["digest", "ids"])
+        enc.forget()  # the worker may go on to other work
 
     owners = shared.groupBy("key").agg(F.collect_list(F.struct("seq", "digest")).alias("own"))
     first = texts.select("key", "packed").join(owners.hint("shuffle_hash"), "key")
-    bodies = store.table(first.mapInArrow(encode_bodies, "digest binary, ids binary"), "bodies")
-
     # one row for each digest: documents that are repeated row by row have encoded theirs more than once
-    once = bodies.groupBy("digest").agg(F.min("ids").alias("ids"))
-    parts = places.join(once, "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids")).alias("parts"))
+    once = first.mapInArrow(encode_shared, "digest binary, ids binary").groupBy("digest").agg(F.min("ids").alias("ids"))
+    parts = places.join(store.table(once, "once"), "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids")).alias("parts"))
 
     def assemble(batches):
         enc, unpack = tokens.encoder(path), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = batch.select(["packed", "parts"]).to_pydict()
-            for i, j in _groups([len(x) * 4 for x in rows["packed"]]):
-                todo, plan = [], []
+            for i, j in _groups([len(x) * 4 for x in rows["packed"]], tokens.SLICE):
+                plan: list[list[bytes | Known]] = []
                 for packed, parts in zip(rows["packed"][i:j], rows["parts"][i:j], strict=True):
                     raw = unpack.decompress(packed)
-                    if not parts:
-                        plan.append([len(todo)])
-                        todo.append(raw.decode())
-                        continue
-                    known, seam, own = {p["seq"]: p["ids"] for p in parts}, [], []
-                    for s, c in enumerate(_chunks(np.frombuffer(raw, dtype=np.uint8))):
-                        text = c.decode()
-                        at = _body(text) if s in known else None
-                        if at is None:
-                            seam.append(text)
-                            continue
-                        seam.append(text[: at[0]])
-                        own += [len(todo), known[s]]
-                        todo.append("".join(seam))
-                        seam = [text[at[1] :]]
-                    own.append(len(todo))
-                    todo.append("".join(seam))
-                    plan.append(own)
-                done = enc.encode(todo)
-                ids = [b"".join(done[x] if isinstance(x, int) else x for x in own) for own in plan]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-        enc.later.clear()  # the worker may go on to other work
+                    known = {p["seq"]: p["ids"] for p in parts or ()}
+                    chunks = _chunks(np.frombuffer(raw, dtype=np.uint8)) if known else [raw]
+                    plan.append([Known(enc, c, np.frombuffer(known[s], dtype=enc.dtype)) if s in known else c for s, c in enumerate(chunks)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in join(enc, plan)], pa.binary())], ["doc_id", "ids"])
+        enc.forget()
 
     whole = texts.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "parts")
     return whole.mapInArrow(assemble, f"doc_id {kind}, ids binary")
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() gave; the text is decoded from the ids."""
+def _read(encoded: DataFrame, path: str | None, keep: bool) -> DataFrame:
+    """(doc_id, n_tokens, ids if kept, ids_sha256, decoded_sha256) of (doc_id, ids)."""
     path = path or tokens.default_path()
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    kinds = {"doc_id": encoded.schema["doc_id"].dataType.simpleString(), "n_tokens": "long"} | ({"ids": "binary"} if keep else {}) | {"ids_sha256": "string", "decoded_sha256": "string"}
 
     def read(batches):
         enc = tokens.encoder(path)
-        names = [str(i) for i in range(len(enc.table()))]
         for batch in batches:
-            rows = []
-            for raw in batch.column(1):
-                ids = np.frombuffer(raw.as_py(), dtype=enc.dtype)
-                rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            at, raw = words.utf8(batch.column(1))
+            for i, j in words.spans(at):
+                ids, edges = raw[at[i] : at[j]].view(enc.dtype), (at[i : j + 1] - at[i]) // enc.dtype.itemsize
+                listed = [hashlib.sha256(x[:-1]).hexdigest() for x in enc.listed(ids, edges)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in enc.decoded(ids, edges)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edges)), *([part.column(1)] if keep else []), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], list(kinds))
 
-    return encoded.mapInArrow(read, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(read, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+
+
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() gave; the text is decoded from the ids."""
+    return _read(encoded, path, False)
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
@@ -190,19 +238,8 @@ def op9_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of a pipeline: documents as token ids, with digests of the ids and of the text decoded from them."""
-    ids = encode(docs).withColumnRenamed("ids", "raw")
-    path = tokens.default_path()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def read(batches):
-        enc = tokens.encoder(path)
-        names = [str(i) for i in range(len(enc.table()))]
-        for batch in batches:
-            values = [np.frombuffer(x.as_buffer(), dtype=enc.dtype) for x in batch.column(1)]
-            digest = [hashlib.sha256(",".join(map(names.__getitem__, v.tolist())).encode()).hexdigest() for v in values]
-            decoded = [hashlib.sha256(enc.decode(v)).hexdigest() for v in values]
-            cols = [batch.column(0), pa.array([len(v) for v in values], pa.int64()), batch.column(1), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+    """Last stage of a pipeline: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256), one row for each row of docs.
 
-    return ids.mapInArrow(read, f"doc_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    A null or empty text has no ids; null and repeated ids keep their rows; texts of any length are encoded whole; other columns,
+    whatever their names, are not read; an empty table gives an empty one."""
+    return _read(encode(docs), None, True)

@@ -33,36 +33,47 @@ from . import scratch, tokens, words
 
 #: Ids of a chunk: on average, at least and at most. Children of a node of the manifest.
 MEAN, LEAST, MOST, FAN = 1024, 256, 8192, 1024
+#: Digests that a task keeps in mind.
+SEEN = 500_000
 
 
-def _digest(raw: bytes) -> bytes:
+def _digest(raw: bytes | memoryview) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def encode_chunks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, n_tokens, digests, data) of (doc_id, text)."""
+    """(doc_id, n_tokens, digests, data) of (doc_id, text); data has the plain bytes of a chunk where the task meets it first, else null."""
 
     def run(batches):
-        enc, pack = tokens.encoder(path), zstandard.ZstdCompressor(level=1)
-        size = enc.dtype.itemsize
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        enc, seen = tokens.encoder(path), set()
+        size, end = enc.dtype.itemsize, enc.dtype.type(end_id)
         for batch in batches:
             bounds, data = words.utf8(batch.column(1))
-            for i, j in words.spans(bounds):
-                texts = [data[bounds[k] : bounds[k + 1]].tobytes().decode() for k in range(i, j)]
-                ids = [x + end for x in enc.encode(texts)]
-                edges = np.concatenate([[0], np.cumsum([len(x) // size for x in ids])]).astype(np.int64)
-                cuts = tokens.cut_many(np.frombuffer(b"".join(ids), dtype=enc.dtype), edges, MEAN, LEAST, MOST)
-                parts = [[x[a * size : b * size] for a, b in zip([0, *c[:-1]], c, strict=True)] for x, c in zip(ids, cuts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(edges)), pa.array([[_digest(p) for p in own] for own in parts], pa.list_(pa.binary())), pa.array([[pack.compress(p) for p in own] for own in parts], pa.list_(pa.binary()))],
-                    ["doc_id", "n_tokens", "digests", "data"],
-                )
+            for i, j in words.spans(bounds, tokens.SLICE):
+                ids, edges = enc.encode_bytes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                ids, edges = np.insert(ids, edges[1:], end), edges + np.arange(len(edges))
+                raw = memoryview(ids).cast("B")
+                digests, fresh = [], []
+                for at, cuts in zip(edges[:-1].tolist(), tokens.cut_many(ids, edges, MEAN, LEAST, MOST), strict=True):
+                    parts = [raw[(at + a) * size : (at + b) * size] for a, b in itertools.pairwise([0, *cuts])]
+                    own = [_digest(p) for p in parts]
+                    digests.append(own)
+                    fresh.append([None if d in seen or seen.add(d) else p for d, p in zip(own, parts, strict=True)])
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(edges)), pa.array(digests, pa.list_(pa.binary())), pa.array(fresh, pa.list_(pa.binary()))], ["doc_id", "n_tokens", "digests", "data"])
+        enc.forget()  # the worker may go on to other work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, digests array<binary>, data array<binary>")
 
 
+def _pack(batches):
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(x.as_buffer()) for x in batch.column(1)], pa.binary())], ["digest", "data"])
+
+
 def _placed(small: DataFrame, at: scratch.Scratch) -> DataFrame:
     """Rows in order with row and start: running sums within ranges of ids, and of the ranges on the driver (one row each)."""
     spark = small.sparkSession
@@ -103,7 +114,8 @@ def write(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "tex
         encoded = work.table(encode_chunks(docs, path or tokens.default_path(), end_id), "encoded")
         _placed(encoded.select("doc_id", "n_tokens", "digests"), work).write.option("compression", "zstd").parquet(f"{at}/recipes")
         each = encoded.select(F.explode(F.arrays_zip("digests", "data")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.data").alias("data"))
-        each.groupBy("digest").agg(F.min("data").alias("data")).write.option("compression", "none").parquet(f"{at}/chunks")
+        once = each.filter("data is not null").groupBy("digest").agg(F.min("data").alias("data"))
+        once.mapInArrow(_pack, "digest binary, data binary").write.option("compression", "none").parquet(f"{at}/chunks")
         manifest(spark.read.parquet(f"{at}/recipes")).write.parquet(f"{at}/manifest")
     work.drop("encoded")
     work.drop("ranged")

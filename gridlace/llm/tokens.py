@@ -1,32 +1,30 @@
 """Byte-level BPE of whole texts, exactly as the tokenizers library does it, with a cache of pieces.
 
-A byte-level pre-tokenizer never lets a token cross from a non-space to white space, and looks
-ahead only within white space. So a cut before a space that follows a non-space character is
-a cut of the encoding in every context: the pieces between such cuts are encoded once by the
-library and then looked up. In texts without two spaces in a row there are two further cuts:
-before a line break, and between an ASCII letter and a full stop or comma that ends its piece. No added
-token may hold a space, or strip space around it; this is checked when the file is loaded.
+A byte-level pre-tokenizer with its usual pattern never lets a token cross from a non-space to white space, nor from a letter to a
+mark, and looks ahead only within white space. So a cut before white space that follows a non-space, or before a mark that
+follows a letter, is a cut of the encoding in every context. Texts are cut there in numpy; Arrow numbers the pieces of a batch, and
+each new one is encoded once by the library. Marks that occur in added tokens are no cuts. Files of any other kind (normalizers,
+other pre-tokenizers, added tokens with spaces) have no such cuts: their texts are encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+
+from . import words
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-_TWO_SPACES = re.compile(r"\s\s")
-_STOP = re.compile(r"[.,](?= )(?<=[A-Za-z].)")
-#: A piece that starts with a mark stands for itself without it, or with a line break before it.
-_BARE, _BREAK = "\ue000", "\ue001"
 _ONE_SPACE = re.compile(r"[ \n]\S+")
-#: Pieces held between batches, and the longest of them.
+#: Pieces held between batches, and the longest of them in bytes.
 CACHE, LONGEST = 300_000, 200
-#: Pieces that are encoded as one text.
-JOINED = 2000
+#: Pieces that are encoded as one text, and bytes of text that are taken together.
+JOINED, SLICE = 200, 4 << 20
+_PRINT, _SPACE, _LETTER, _MARK, _HIGH = 1, 2, 4, 8, 16
 
 
 def default_path() -> str:
@@ -35,8 +33,18 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _classes(marks: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[0x21:0x7F] |= _PRINT
+    out[[0x20, *range(0x09, 0x0E)]] |= _SPACE
+    out[[*range(65, 91), *range(97, 123)]] |= _LETTER
+    out[list(marks)] |= _MARK
+    out[0x80:] |= _HIGH
+    return out
+
+
 class Encoder:
-    """encode() and decode() of a byte-level tokenizer file; ids are little-endian, two bytes where they fit."""
+    """Ids of texts and texts of ids by a tokenizer file; ids are little-endian, two bytes where they fit."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,86 +53,166 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        if self.tok.normalizer is not None or type(self.tok.pre_tokenizer).__name__ != "ByteLevel":
-            raise ValueError("a byte-level tokenizer without normalizer is needed")
+        vocab = self.tok.get_vocab(with_added_tokens=True)
         added = self.tok.get_added_tokens_decoder()
-        if any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in added.values()):
-            raise ValueError("added tokens with spaces aren't supported")
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
-        self.later: dict[str, bytes] = {}  # the key stands for a space and itself
-        self._table: list[bytes] | None = None
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f).get("pre_tokenizer") or {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True)
+        #: Whether the cuts described above hold.
+        self.level = bool(plain) and self.tok.normalizer is None and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 65536 else "<u4")
+        self._class = _classes(bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and not any(chr(b) in t.content for t in added.values())))
         self._added = {i: t.content.encode() for i, t in added.items()}
+        self._vocab = vocab
         #: Whether a token starts with a space or break: those start the pieces of a text joined of pieces without further ones.
-        self._starts = np.zeros(max(self.tok.get_vocab(with_added_tokens=True).values()) + 1, dtype=bool)
-        self._starts[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith(("\u0120", "\u010a")) and i not in self._added]] = True
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces. Those with one space or break, at their start, are encoded in joined texts."""
-        whole = [x[1:] if x[:1] == _BARE else "\n" + x[1:] if x[:1] == _BREAK else " " + x for x in new]
-        plain = [i for i, x in enumerate(whole) if _ONE_SPACE.fullmatch(x)]
-        out, size = {}, self.dtype.itemsize
+        self._starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self._starts[[i for t, i in vocab.items() if t.startswith(("\u0120", "\u010a")) and i not in self._added]] = True
+        self._tables: dict[str, pa.Array] = {}
+        self._lengths: np.ndarray | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
+        self._slot: dict[bytes, int] = {}
+        self._first, self._size, self._ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=self.dtype)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places in UTF-8 bytes at which every encoding is cut."""
+        if not self.level or len(data) < 2:
+            return np.zeros(0, dtype=np.int64)
+        c = self._class[data]
+        a, b = c[:-1], c[1:]
+        at = np.flatnonzero((a & _PRINT) & (b >> 1) | (a >> 2) & (b >> 3) & 1 | (a & _HIGH) * (b & (_SPACE | _MARK)).astype(bool)) + 1
+        odd = np.flatnonzero(data[at - 1] >= 0x80)
+        if len(odd):
+            i = at[odd]
+            x, y, z = (data[np.maximum(i - k, 0)] for k in (3, 2, 1))
+            space = (y == 0xC2) & np.isin(z, (0x85, 0xA0)) | (x == 0xE1) & np.isin(y, (0x9A, 0xA0)) | (x == 0xE2) & np.isin(y, (0x80, 0x81)) | (x == 0xE3) & (y == 0x80)
+            letter = (y == 0xC3) & (z != 0x97) & (z != 0xB7)
+            bad = np.where(c[i] & _SPACE, space, ~letter)
+            at = np.delete(at, odd[bad])
+        return at
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """Encode new pieces; their slots. Those with one space or break, at their start, are encoded in joined texts."""
+        texts = [x.decode() for x in new]
+        plain = [i for i, x in enumerate(texts) if _ONE_SPACE.fullmatch(x)]
         blocks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for own, ids in zip(blocks, self._batch(["".join(whole[i] for i in b) for b in blocks]), strict=True):
-            at = np.flatnonzero(self._starts[np.frombuffer(ids, dtype=self.dtype)])
+        order, ids, sizes, left = [], [], [], []
+        for own, got in zip(blocks, self._library(["".join(texts[i] for i in b) for b in blocks]), strict=True):
+            at = np.flatnonzero(self._starts[got])
             if len(at) != len(own) or at[0]:
+                left += own
                 continue
-            edges = [*(at * size).tolist(), len(ids)]
-            out.update(zip([new[i] for i in own], [ids[a:b] for a, b in itertools.pairwise(edges)], strict=True))
-        rest = [i for i, x in enumerate(new) if x not in out] if len(out) < len(new) else []
-        out.update(zip([new[i] for i in rest], self._batch([whole[i] for i in rest]), strict=True))
-        return out
+            order += own
+            ids.append(got)
+            sizes.append(np.diff(np.append(at, len(got))))
+        known = set(order)
+        left = sorted((i for i in range(len(new)) if i not in known), key=lambda i: len(new[i]) > LONGEST)
+        got = self._library([texts[i] for i in left])
+        ids += got
+        sizes.append(np.array([len(x) for x in got], dtype=np.int64))
+        order += left
+        size = np.concatenate(sizes)
+        slots = np.empty(len(new), dtype=np.int64)
+        slots[order] = np.arange(len(self._size), len(self._size) + len(new))
+        self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
+        self._ids = np.concatenate([self._ids, *ids])
+        return slots
+
+    def _trim(self, n: int) -> None:
+        if n < len(self._size):
+            self._ids = self._ids[: self._first[n]]
+            self._first, self._size = self._first[:n], self._size[:n]
+
+    def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, edges) of texts in UTF-8; bounds and edges have the places before each text, and the end."""
+        if not self.level:
+            own = self._library([data[a:b].tobytes().decode() for a, b in itertools.pairwise(bounds.tolist())])
+            return np.concatenate([np.zeros(0, dtype=self.dtype), *own]), np.cumsum([0, *map(len, own)])
+        if not len(data):
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(bounds), dtype=np.int64)
+        if len(self._slot) > CACHE:  # frequent pieces came early
+            keep = CACHE * 2 // 3
+            self._slot = {k: v for k, v in self._slot.items() if v < keep}
+            self._trim(keep)
+        mask = np.zeros(len(data) + 1, dtype=bool)
+        mask[self.cuts(data)] = mask[bounds] = True
+        at = np.flatnonzero(mask)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        each = pieces.dictionary.to_pylist()
+        get = self._slot.get
+        slots = np.array([get(x, -1) for x in each], dtype=np.int64)
+        new, known = np.flatnonzero(slots < 0), len(self._size)
+        if len(new):
+            own = [each[i] for i in new.tolist()]
+            slots[new] = self._learn(own)
+            self._slot.update((x, s) for x, s in zip(own, slots[new].tolist(), strict=True) if len(x) <= LONGEST)
+            known += sum(len(x) <= LONGEST for x in own)
+        slots = slots[pieces.indices.to_numpy()]
+        size = self._size[slots]
+        ends = np.cumsum(size)
+        ids = self._ids[np.repeat(self._first[slots] - ends + size, size) + np.arange(ends[-1])]
+        edges = np.concatenate([[0], ends])[np.searchsorted(at, bounds)]
+        self._trim(known)  # what is too long to hold stands last
+        return ids, edges
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        firsts, rests, new = [], [], set()
-        later = self.later
-        if len(later) > CACHE:  # frequent pieces came early
-            later = self.later = dict(itertools.islice(later.items(), CACHE * 2 // 3))
-        for text in texts:
-            marked = _BARE in text or _BREAK in text
-            if not marked and len(text) == len(text.strip()) and not _TWO_SPACES.search(text):
-                first, *rest = _STOP.sub(rf" {_BARE}\g<0>", text.replace("\n", " " + _BREAK)).split(" ")
-            elif marked or _SPACE_AFTER_SPACE.search(text):
-                first, *rest = _CUT.split(text)
-                rest = [x[1:] for x in rest]
-                if any(x[:1] in (_BARE, _BREAK) for x in rest):  # the marks stand in the text itself
-                    first, rest = text, []
-            else:
-                first, *rest = text.split(" ")
-            firsts.append(first)
-            rests.append(rest)
-            new.update(rest)
-        new = [x for x in new if x not in later]
-        own = self._pieces(new)
-        # what is too long to hold is looked up in this batch alone
-        long = {k: own.pop(k) for k in [k for k in own if len(k) > LONGEST]}
-        later.update(own)
-        heads = self._batch(firsts)
-        get = later.__getitem__ if not long else lambda k: long[k] if k in long else later[k]
-        return [h + b"".join(map(get, r)) for h, r in zip(heads, rests, strict=True)]
+        raw = [x.encode() for x in texts]
+        bounds = np.cumsum([0, *map(len, raw)])
+        data, out = np.frombuffer(b"".join(raw), dtype=np.uint8), []
+        for i, j in words.spans(bounds, SLICE):
+            ids, edges = self.encode_bytes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            out += [ids[a:b].tobytes() for a, b in itertools.pairwise(edges.tolist())]
+        return out
 
     def table(self) -> list[bytes]:
         """Bytes of each id."""
-        if self._table is None:
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in set(plain)]
-            back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-            out = [b""] * (max(self.tok.get_vocab(with_added_tokens=True).values()) + 1)
-            for token, i in self.tok.get_vocab(with_added_tokens=True).items():
-                known = all(c in back for c in token) and i not in self._added
-                out[i] = bytes(back[c] for c in token) if known else token.encode()
-            self._table = out
-        return self._table
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        out = [b""] * len(self._starts)
+        for token, i in self._vocab.items():
+            out[i] = bytes(back[c] for c in token) if i not in self._added and all(c in back for c in token) else token.encode()
+        return out
+
+    def _spelled(self, ids: np.ndarray, edges: np.ndarray, kind: str) -> list[memoryview]:
+        """Of each text the joined entries of a table for its ids."""
+        if kind not in self._tables:
+            own = self.table() if kind == "bytes" else [b"%d," % i for i in range(len(self._starts))]
+            self._tables[kind] = pa.array(own, pa.large_binary())
+        got = self._tables[kind].take(pa.array(ids))
+        _, at, data = got.buffers()
+        at = np.frombuffer(at, dtype=np.int64)[got.offset + edges].tolist() if len(ids) else [0] * len(edges)
+        data = memoryview(b"" if data is None else data)
+        return [data[a:b] for a, b in itertools.pairwise(at)]
+
+    def spelled(self, ids: np.ndarray, edges: np.ndarray) -> list[memoryview]:
+        """Bytes that the ids of each text stand for."""
+        return self._spelled(ids, edges, "bytes")
+
+    def lengths(self) -> np.ndarray:
+        """Number of bytes of each id."""
+        if self._lengths is None:
+            self._lengths = np.array([len(x) for x in self.table()], dtype=np.int64)
+        return self._lengths
+
+    def listed(self, ids: np.ndarray, edges: np.ndarray) -> list[memoryview]:
+        """Decimal ids of each text, joined by commas, with one at the end."""
+        return self._spelled(ids, edges, "decimal")
+
+    def decoded(self, ids: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """UTF-8 of each decoded text, special tokens included."""
+        if self.tok.decoder is None or type(self.tok.decoder).__name__ != "ByteLevel":
+            return [self.tok.decode(ids[a:b].tolist(), skip_special_tokens=False).encode() for a, b in itertools.pairwise(edges.tolist())]
+        return [bytes(x).decode("utf-8", "replace").encode() for x in self._spelled(ids, edges, "bytes")]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the decoded text, special tokens included."""
-        raw = b"".join(map(self.table().__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").encode()
+        return self.decoded(ids.astype(self.dtype), np.array([0, len(ids)]))[0]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -314,3 +314,57 @@ def test_common_counts():
         own = [np.unique(np.concatenate([rng.integers(0, k, n), np.arange(5 * (i % 2))])).astype(np.uint64) for i in range(m)]
         common = near._in_common(own)
         assert all(common[i, j] == len(set(own[i].tolist()) & set(own[j].tolist())) for j in range(m) for i in range(j))
+
+
+def crossing_file(at):
+    """A byte-level BPE file without a pre-tokenizing pattern: tokens run across spaces, and no place is a cut."""
+    import json
+
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    letters = [chr(c) for c in range(97, 123)] + ["Ġ"]
+    vocab = {c: i for i, c in enumerate(letters)}
+    merges = [("e", "Ġ"), ("Ġ", "t"), ("eĠ", "t"), ("a", "n"), ("an", "d"), ("d", "Ġ"), ("and", "Ġ"), ("t", "h"), ("eĠt", "h"), ("o", "n"), ("on", "eĠ"), ("Ġ", "a")]
+    for a, b in merges:
+        vocab.setdefault(a + b, len(vocab))
+    tok = Tokenizer(models.BPE(vocab, merges))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    tok.decoder = decoders.ByteLevel()
+    path = str(at / "crossing.json")
+    tok.save(path)
+    assert json.load(open(path))["pre_tokenizer"]["use_regex"] is False
+    return path
+
+
+def test_bpe_where_no_place_is_a_cut(spark, tmp_path):
+    path = crossing_file(tmp_path)
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "and", "one", "tone", "at", "thee", "ad", "on"])
+    shared = " ".join(word() for _ in range(3000))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 400))) + shared + " ".join(word() for _ in range(rng.randint(1, 400)))) for i in range(12)] + [(20, None), (21, "e t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert not tokens.encoder(path).level
+    assert got(bpe.digests(bpe.encode(df, path=path), path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows, path)
+
+
+def test_join_widens_until_both_sides_agree(tmp_path):
+    """Chunks whose ids at the edges are wrong on purpose."""
+    enc = tokens.encoder(PATH)
+    rng, vocab = random.Random(5), vocabulary(2)
+    text = " ".join(rng.choice(vocab) for _ in range(400)).encode()
+    ids = np.frombuffer(enc.encode([text.decode()])[0], enc.dtype).copy()
+    whole = b"x" + text + b"y"
+    want = enc.tok.encode(whole.decode(), add_special_tokens=False).ids
+    for wrong in (0, 10, 30, 200):
+        own = ids.copy()
+        own[:wrong], own[len(own) - wrong :] = own[:wrong][::-1], own[len(own) - wrong :][::-1]
+        assert bpe.join(enc, [[b"x", bpe.Known(enc, text, own), b"y"]])[0].tolist() == want
+    assert bpe.join(enc, [[], [b""], [b"ab", b"c d"]])[2].tolist() == enc.tok.encode("abc d", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_with_other_files(spark, docs, rows, name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    assert got(bpe.digests(bpe.encode(docs, path=path), path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows, path)

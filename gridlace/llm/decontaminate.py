@@ -328,7 +328,13 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: documents that hold a benchmark item go; columns stay as they are."""
+    """Stage of a pipeline: documents that hold a benchmark item go; columns stay as they are, whatever their names.
+
+    A row is judged by its text, so rows with a null id go too, and other texts under one id stay; repeated rows go together. A
+    null or empty text stays; texts of any length are searched whole; an empty table gives an empty one."""
     store = scratch.Scratch(spark, "decontaminated")
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(store.small(store.table(found, "gone")), docs["doc_id"] == F.col("__gone"), "left_anti")
+    rows, at = scratch.positional(docs)
+    text = F.col(at["text"]).cast("string")
+    rows = rows.withColumn("key", F.struct(F.xxhash64(text).alias("a"), F.crc32(text).alias("b"), F.length(text).alias("n")))
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", at["text"]).select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(store.small(store.table(found, "gone")), F.col("key") == F.col("gone"), "left_anti").drop("key").toDF(*docs.columns)

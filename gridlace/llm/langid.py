@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 
 #: Expected number of sampled rows for each label, and of buckets and dimensions.
 PER_LANGUAGE, BITS, DIM, EPOCHS = 800, 16, 16, 6
@@ -187,9 +187,11 @@ def op3_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: documents whose language is rejected go; columns stay as they are."""
-    names = tuple(docs.columns)
-    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at = {n: f"c{i}" for i, n in enumerate(names)}
-    out = predict(inner, train(docs), at["doc_id"], at["text"], tuple(inner.columns))
-    return out.filter(~F.col("rejected")).select(*(F.col(at[n]).alias(n) for n in names))
+    """Stage of a pipeline: documents whose language is rejected go; columns stay as they are, whatever their names.
+
+    A null text and one without letters go; a row with a null id is judged by its text as others are, but nothing is learnt from it;
+    repeated rows share their fate; texts of any length count whole; without a labelled row to learn from all go; an empty table gives
+    an empty one."""
+    rows, at = scratch.positional(docs)
+    out = predict(rows, train(rows, at["doc_id"], at["text"], at["lang"]), at["doc_id"], at["text"], tuple(at.values()))
+    return out.filter(~F.col("rejected")).drop("doc_id", "lang_pred", "score", "rejected").toDF(*docs.columns)

@@ -9,7 +9,8 @@ sites. Lines on at least ``min_sites`` sites are boilerplate and go from every d
 
 Defined results: a null text stays null; a null site is a site of its own; a document whose
 lines all go keeps an empty text; newlines between kept lines stay; repeated rows give repeated
-results; an empty table gives an empty one; further columns are kept whatever their names.
+results; very long texts are cut whole, one at a time; an empty table gives an empty one; further columns are kept whatever their
+names.
 """
 
 from __future__ import annotations
@@ -20,36 +21,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, words
 
 #: Sites from which a line is boilerplate, log2 of the sketch's registers, and its error in parts of the estimate.
 MIN_SITES, LOG_K = 12, 10
 ERROR = 3 * 1.04 / 2 ** (LOG_K / 2)
+#: Pairs of line and site that a task keeps in mind, eight bytes each.
+SEEN = 300_000
 
 
 def _hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
+def _lines(batch: pa.RecordBatch, at: int):
+    """For slices of a batch: (first row, texts, lines of each text, hash of each line or 0 if it is empty)."""
+    bounds, _ = words.utf8(batch.column(at))
+    for i, j in words.spans(bounds):
+        texts = batch.column(at).slice(i, j - i).to_pylist()
+        parts = [[] if t is None else t.split("\n") for t in texts]
+        hashes = np.array([_hash(s) if (s := p.strip()) else 0 for own in parts for p in own], dtype=np.uint64)
+        yield i, texts, parts, hashes
+
+
 def line_sites(docs: DataFrame, text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(line, site): 64-bit hashes of lines and the hash of a site that has it, each pair once a task."""
+    """(line, site): 64-bit hashes of lines and the hash of a site that has it, mostly each pair once a task."""
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            new = set()
-            for text, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    new |= {(_hash(s), site) for s in set(map(str.strip, text.split("\n"))) if s}
-            new -= seen
-            if len(seen) > 500_000:
-                seen.clear()
-            seen |= new
-            pairs = list(new)
-            line = np.array([p[0] for p in pairs], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(line), pa.array([p[1] for p in pairs], pa.int64())], ["line", "site"])
+            sites = batch.column(1).to_numpy()
+            for i, _, parts, line in _lines(batch, 0):
+                site = np.repeat(sites[i : i + len(parts)], [len(p) for p in parts])
+                some = np.flatnonzero(line)
+                pair, at = np.unique(words.mix(line[some] + words.mix(site[some].view(np.uint64))), return_index=True)
+                new = ~np.isin(pair, seen, assume_unique=True)
+                at = some[at[new]]
+                seen = np.concatenate([seen, pair[new]]) if len(seen) < SEEN else pair[new]
+                yield pa.RecordBatch.from_arrays([pa.array(line[at].view(np.int64)), pa.array(site[at])], ["line", "site"])
 
-    return docs.select(F.col(text_col), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")))).mapInArrow(run, "line long, site long")
+    return docs.select(F.col(text_col).cast("string"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")))).mapInArrow(run, "line long, site long")
 
 
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -65,58 +76,80 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
     return judged.filter(F.col("about") > high).select("line").unionByName(exact.select("line"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, bound: int = scratch.BROADCAST_ROWS) -> DataFrame:
-    """docs without boilerplate lines, and the column n_removed_lines.
+def _cut(parts: list[str], gone: np.ndarray) -> str:
+    return "\n".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g)
 
-    Up to bound boilerplate lines are broadcast as a sorted array; beyond it, documents are joined with theirs."""
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int, bound: int) -> DataFrame:
+    """docs with columns by their places (c0, c1, ...), without boilerplate lines, and n, the number of those that went."""
     spark = docs.sparkSession
     store = scratch.Scratch(spark, "boilerplate")
-    lines = store.table(boilerplate(docs, text_col, site_col, min_sites), "lines")
-    names = docs.columns
-    at = names.index(text_col)
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    plain, names = scratch.positional(docs)
+    width, at = len(names), int(names[text_col][1:])
+    lines = store.table(boilerplate(plain, names[text_col], names[site_col], min_sites), "lines")
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
-    def cut(text, gone):
-        if text is None:
-            return None, 0
-        parts = text.split("\n")
-        kept = [p for p in parts if not (s := p.strip()) or _hash(s) not in gone]
-        return (text, 0) if len(kept) == len(parts) else ("\n".join(kept), len(parts) - len(kept))
+    def cut(batches, known):
+        for batch in batches:
+            for i, texts, parts, hashes in _lines(batch, at):
+                own = batch.slice(i, len(texts))
+                gone = known(own, hashes, [len(p) for p in parts])
+                ends = np.cumsum([0, *map(len, parts)])
+                n = np.diff(np.concatenate([[0], np.cumsum(gone)])[ends])
+                out = [_cut(parts[k], gone[ends[k] : ends[k + 1]]) if n[k] else t for k, t in enumerate(texts)]
+                cols = [pa.array(out, own.column(c).type) if c == at else own.column(c) for c in range(width)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64())], [*names.values(), "n"])
 
     if lines.count() <= bound:
-        small = spark.sparkContext.broadcast(frozenset(np.array([r["line"] for r in lines.collect()], dtype=np.int64).view(np.uint64).tolist()))
+
+        def packed(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], ["part"])
+
+        raw = b"".join(bytes(r["part"]) for r in lines.mapInArrow(packed, "part binary").collect())
+        small = spark.sparkContext.broadcast(np.sort(np.frombuffer(raw, dtype=np.uint64)))
 
         def run(batches):
             gone = small.value
-            for batch in batches:
-                out = [cut(t, gone) for t in batch.column(at).to_pylist()]
-                cols = [pa.array([t for t, _ in out], batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in out], pa.int64())], [*(f"c{i}" for i in range(len(names))), "n"])
 
-        done = plain.mapInArrow(run, f"{kinds}, n long")
-    else:
-        # one row for each document and hash, joined with the lines, back to one row a document
-        keyed = plain.withColumn("key", F.xxhash64(F.col(f"c{at}"), F.col(f"c{names.index(id_col)}")))
+            def known(own, hashes, sizes):
+                return gone[np.minimum(np.searchsorted(gone, hashes), len(gone) - 1)] == hashes if len(gone) else np.zeros(len(hashes), dtype=bool)
 
-        def hashes(batches):
-            for batch in batches:
-                rows = [(k, h) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for h in {_hash(s) for s in map(str.strip, t.split("\n")) if s}]
-                line = np.array([h for _, h in rows], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array(line)], ["key", "line"])
+            yield from cut(batches, known)
 
-        own = keyed.select("key", f"c{at}").mapInArrow(hashes, "key long, line long").distinct().join(lines, "line").groupBy("key").agg(F.collect_list("line").alias("gone"))
-        joined = keyed.join(own, "key", "left").drop("key")
+        return plain.mapInArrow(run, f"{kinds}, n long")
 
-        def run(batches):
-            for batch in batches:
-                gone = batch.column(len(names)).to_pylist()
-                out = [cut(t, {h % 2**64 for h in g or ()}) for t, g in zip(batch.column(at).to_pylist(), gone, strict=True)]
-                cols = [pa.array([t for t, _ in out], batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([n for _, n in out], pa.int64())], [*(f"c{i}" for i in range(len(names))), "n"])
+    # one row for each document and hash, joined with the lines, back to one row a document
+    keyed = plain.withColumn("key", F.xxhash64(F.col(f"c{at}"), F.col(names[id_col])))
+
+    def hashes_of(batches):
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            for i, _, parts, line in _lines(batch, 1):
+                key = np.repeat(keys[i : i + len(parts)], [len(p) for p in parts])[line != 0]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(line[line != 0].view(np.int64))], ["key", "line"])
+
+    own = keyed.select("key", F.col(f"c{at}").cast("string")).mapInArrow(hashes_of, "key long, line long").distinct().join(lines, "line").groupBy("key").agg(F.collect_list("line").alias("gone"))
+    joined = keyed.join(own, "key", "left").drop("key")
+
+    def run_joined(batches):
+        def known(own, hashes, sizes):
+            lists = own.column(width).to_pylist()
+            edges = np.cumsum([0, *sizes])
+            parts = [np.isin(hashes[edges[k] : edges[k + 1]].view(np.int64), x or []) for k, x in enumerate(lists)]
+            return np.concatenate([np.zeros(0, dtype=bool), *parts])
+
+        yield from cut(batches, known)
 
-        done = joined.mapInArrow(run, f"{kinds}, n long")
-    return done.toDF(*names, "n_removed_lines")
+    return joined.mapInArrow(run_joined, f"{kinds}, n long")
+
+
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, bound: int = scratch.BROADCAST_ROWS) -> DataFrame:
+    """docs without boilerplate lines, and the column n_removed_lines, in place of one of that name.
+
+    Up to bound boilerplate lines are broadcast as a sorted array; beyond it, documents are joined with theirs."""
+    docs = docs.drop("n_removed_lines")
+    return _removed(docs, id_col, text_col, site_col, min_sites, bound).toDF(*docs.columns, "n_removed_lines")
 
 
 def op6_lines(spark, sf_dir: str) -> DataFrame:
@@ -125,8 +158,11 @@ def op6_lines(spark, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: boilerplate lines go, all documents stay, with the columns they had."""
-    return remove_boilerplate(docs).select(*docs.columns)
+    """Stage of a pipeline: boilerplate lines go, all documents stay, with the columns they had, whatever their names.
+
+    A null text stays null; a text of boilerplate alone becomes empty; a null source is a site of its own; ids play no part, so null
+    and repeated ones keep their rows; repeated rows are cut alike; long texts are cut whole; an empty table gives an empty one."""
+    return _removed(docs, "doc_id", "text", "source", MIN_SITES, scratch.BROADCAST_ROWS).drop("n").toDF(*docs.columns)
 
 
 #: White space as str.strip has it.

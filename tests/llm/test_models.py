@@ -281,3 +281,29 @@ def test_pipeline(spark, tmp_path):
 def test_registry():
     assert sorted(int(k.split("_")[0][2:]) for k in registry.QUERIES) == list(range(1, 11))
     assert set(registry.SQL) <= set(registry.QUERIES)
+
+
+STAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long, __gone long, n_removed_lines long, `a.b` string, key string, n string, gone string, c0 string, rejected string, vertex long"
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, tmp_path, stage):
+    """Null ids, repeated rows and ids, null, empty and long texts, names that clash with any used inside, an empty table."""
+    rng, _, text = bench_texts(4)
+    bench, near = text(40), text(60)
+    own = lambda d, t, lang="en": (d, t, lang, "s1", 1, 2, 3, "x", "k", "n", "g", "c", "r", 5)
+    rows = [own(i, text(30)) for i in range(40)]
+    rows += [own(None, text(25)), own(None, f"{text(9)} {bench} {text(9)}"), own(50, near), own(50, near), own(51, near), own(50, text(33)), own(52, None), own(53, ""), own(54, "12 34"), own(55, f"{bench} {text(12)}"), own(55, text(31)), own(56, text(30_000), None)]
+    at = str(tmp_path)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    df = spark.createDataFrame(rows, STAGE_ROWS).repartition(3)
+    for docs in (df, df.limit(0)):
+        out = stage(spark, docs, at)
+        got = [tuple(r) for r in out.collect()]
+        name = stage.__name__
+        if name == "encode_texts":
+            assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and len(got) == docs.count()
+            continue
+        assert out.columns == docs.columns
+        gone = {"keep_known": lambda r: r[1] in (None, "", "12 34"), "without_boilerplate": lambda r: False, "one_of_each": lambda r: r[0] == 51, "without_benchmark": lambda r: bench in (r[1] or "")}[name]
+        assert sorted(map(str, got)) == sorted(str(r) for r in map(tuple, docs.collect()) if not gone(r))

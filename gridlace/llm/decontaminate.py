@@ -1,26 +1,26 @@
-"""Benchmark decontamination by counted words of items, confirmed by common subsequences, with latent similarity.
+"""Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences.
 
 1. Benchmark items are cut into words (letters and digits, ASCII in lower case), their terms; document frequencies of
-   the terms are counted over all documents.
-2. Every document is cut into blocks of HOP words; each two neighbours are a window, looked at with a margin of the
-   item's length on both sides.
-3. An item that matches has ``need`` words in common with what is looked at. Without its need - least most frequent words it
-   still has ``least`` of the others, so windows with fewer words of those are left out, and no others: nothing that step 4
-   would accept is lost, at any number and length of items.
-4. For a candidate the longest common subsequence of the item and the window with a margin decides:
+   the terms are counted over all documents. A randomised SVD of the passages' TF-IDF matrix gives RANK latent
+   directions: subspace iteration whose products run as Spark jobs over the passages, with small factors on the driver.
+2. Every document is cut into blocks of HOP words; each two neighbours are a window. Windows are projected and compared with all
+   passages; a cosine of NEAR or more makes a candidate. No number of candidates is set.
+3. For a candidate the longest common subsequence of the item and the window with a margin of the item's length decides:
    SURE of the item's words in order, or LIKELY of them (a paraphrase) if the answer - the item's last sentence - is
    there too: ANSWER of its words, in order. Items of under SHORT words need all words.
-5. A randomised SVD of the passages' TF-IDF matrix gives RANK latent directions: subspace iteration whose
-   products run as Spark jobs over the passages, with small factors on the driver. The cosine of a match is that of its
-   window and the nearest passage of the item there; it is reported and decides nothing.
+4. A cosine can miss: a window is mostly other text where an item is short, and RANK directions hold a part of a large
+   benchmark. So pairs of document and item that step 3 left without a match get an exact second search. An item that matches has
+   ``need`` words in common with what is looked at; without its need - least most frequent words it still has ``least`` of
+   the others. Windows with fewer words of those are left out, and no others: nothing that step 3 would accept is lost, at
+   any number and length of items. The column latent says which search found a match.
 
-The benchmark is taken in blocks of ITEMS, so tables that are broadcast have a bound at any size of the
-benchmark; each block makes one pass for frequencies and one for the search. A document stays in its task: nothing is
-shuffled but counts.
+The benchmark is taken in blocks of about ITEMS items and LETTERS characters, and terms are at most 2**BITS buckets, so tables that are
+broadcast have a bound at any size of the benchmark; each block makes one pass for frequencies and one for the search. A document
+stays in its task: nothing is shuffled but counts.
 
 Defined results: a null text or item matches nothing; items without words are left out; repeated items or rows give repeated
-matches; of several places in a document the best counts, ties go to the first; an empty table on either side gives an empty
-one; only the id and text columns are read.
+matches; of several places in a document the best counts, ties go to the first; very long texts are searched whole, one at a
+time; a null id keeps its matches; an empty table on either side gives an empty one; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import scratch, words
 
 HOP, RANK, OVER, ROUNDS = 32, 128, 16, 2
-SURE, LIKELY, ANSWER, SHORT = 0.75, 0.55, 0.75, 8
-ITEMS, BITS, CELLS = 20_000, 20, 1 << 22
+NEAR, SURE, LIKELY, ANSWER, SHORT = 0.7, 0.75, 0.55, 0.75, 8
+ITEMS, LETTERS, BITS, CELLS = 5_000, 1 << 20, 18, 1 << 22
 
 
 def _places(own: np.ndarray) -> dict[int, int]:
@@ -209,14 +209,43 @@ def build_index(docs: DataFrame, items: list[Item], store: scratch.Scratch, name
     return Index(items, bucket, basis, np.ascontiguousarray(latent.T, dtype=np.float32), np.array(owner), begin, item[order], np.array([n for _, n in counts]))
 
 
-def _windows(index: Index, h: np.ndarray, first: np.ndarray):
-    """(document, first word, item) of candidates, in order; windows are two neighbouring blocks of HOP words."""
+def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block of HOP words: its document, first word, and the document's first block and end; a window is a block and the next."""
     n = np.diff(first)
     blocks = np.maximum(1, -(-n // HOP)) * (n > 0)
     ends = np.cumsum(blocks)
     doc = np.repeat(np.arange(len(n)), blocks)
     begins = (ends - blocks)[doc]
-    at = (np.arange(len(doc)) - begins) * HOP + first[:-1][doc]
+    return doc, (np.arange(len(doc)) - begins) * HOP + first[:-1][doc], begins, ends[doc]
+
+
+def _retrieved(index: Index, h: np.ndarray, first: np.ndarray):
+    """(document, first word, item, cosine) of windows near a passage of the item in the latent space, in order."""
+    doc, at, _, _ = _blocks(first)
+    term = index.bucket[_buckets(h)]
+    lead = np.searchsorted(index.owner, np.arange(len(index.items)))
+    step = max(1, min(1 << 11, CELLS // len(index.owner)))
+    for i in range(0, len(doc), step):
+        j = min(i + step, len(doc))
+        more = min(j + 1, len(doc))  # the block after the last window
+        lo, hi = at[i], at[more] if more < len(at) else len(h)
+        own = np.flatnonzero(term[lo:hi] >= 0)
+        edges = np.searchsorted(own, at[i:more] - lo)
+        sums = np.zeros((more - i + 1, index.basis.shape[1]), dtype=np.float32)
+        full = np.flatnonzero(np.diff(np.append(edges, len(own))))
+        if len(full):
+            sums[full] = np.add.reduceat(index.basis[term[lo:hi][own]], edges[full], axis=0)
+        z = sums[: j - i]
+        z = z + sums[1 : j - i + 1] * (np.append(doc[i + 1 : j + 1], -1)[: j - i] == doc[i:j])[:, None]
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        cosine = np.maximum.reduceat(z @ index.latent, lead, axis=1)
+        w, k = np.nonzero(cosine >= NEAR)
+        yield doc[i + w], at[i + w], k, cosine[w, k]
+
+
+def _counted(index: Index, h: np.ndarray, first: np.ndarray):
+    """(document, first word, item) of windows that have the words which a match needs, in order."""
+    doc, at, begins, ends = _blocks(first)
     term = index.bucket[_buckets(h)]
     items = len(index.items)
     margin = -(-np.array([len(x.words) for x in index.items]) // HOP)
@@ -239,7 +268,7 @@ def _windows(index: Index, h: np.ndarray, first: np.ndarray):
         found = []
         for m in np.unique(margin).tolist():
             some = np.flatnonzero(margin == m)
-            up = np.minimum(ends[doc[i:j]], window + 2 + m) - a
+            up = np.minimum(ends[i:j], window + 2 + m) - a
             down = np.maximum(begins[i:j], window - m) - a
             part = hits if len(some) == items else hits[:, some]
             w, k = np.nonzero(part[up] - part[down] >= index.least[some])
@@ -257,44 +286,56 @@ def _cosine(index: Index, h: np.ndarray, item: int) -> float:
     return float((z @ index.latent[:, slice(*np.searchsorted(index.owner, (item, item + 1)))]).max() / max(np.linalg.norm(z), 1e-12))
 
 
+def _judge(index: Index, own: list[int], lo: int, hi: int, item: Item) -> tuple[int, bool] | None:
+    """(words in common, sure) of an item and a region if they match."""
+    n, region = len(item.words), own[lo:hi]
+    # no more words than places whose word is there can be common
+    there = 0
+    for m in set(map(item.whole.get, region)):
+        there |= m or 0
+    least = 1 if n < SHORT else LIKELY
+    if there.bit_count() / n < least:
+        return None
+    same = common(item.whole, n, region)
+    if same / n < least:
+        return None
+    sure = same / n >= SURE
+    if not sure and common(item.last, n - item.answer, region) < ANSWER * (n - item.answer):
+        return None
+    return same, sure
+
+
 def _matches(index: Index, h: np.ndarray, first: np.ndarray):
-    """(document, item, first word, end, common, sure, cosine): the best place of each document and item that matches."""
-    best: dict[tuple[int, int], tuple] = {}
+    """(document, item, first word, end, common, sure, cosine, latent): the best place of each document and item that matches."""
     own = h.tolist()
-    for doc, at, items in _windows(index, h, first):
-        for d, a, p in zip(doc.tolist(), at.tolist(), items.tolist(), strict=True):
-            item = index.items[p]
-            n = len(item.words)
-            lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), a + 2 * HOP + n)
-            region = own[lo:hi]
-            # no more words than places whose word is there can be common
-            there = 0
-            for m in set(map(item.whole.get, region)):
-                there |= m or 0
-            least = 1 if n < SHORT else LIKELY
-            if there.bit_count() / n < least:
-                continue
-            same = common(item.whole, n, region)
-            share = same / n
-            if share < least:
-                continue
-            sure = share >= SURE
-            if not sure and common(item.last, n - item.answer, region) < ANSWER * (n - item.answer):
-                continue
-            if (d, p) not in best or same > best[d, p][4]:
-                best[d, p] = (d, p, lo - int(first[d]), hi - int(first[d]), same, sure, a)
-    return sorted((*x[:6], _cosine(index, h[x[6] : min(x[6] + 2 * HOP, int(first[x[0] + 1]))], x[1])) for x in best.values())
+
+    def search(candidates, taken: dict) -> dict[tuple[int, int], tuple]:
+        best: dict[tuple[int, int], tuple] = {}
+        for doc, at, items, *cosine in candidates:
+            for d, a, p, *c in zip(doc.tolist(), at.tolist(), items.tolist(), *(x.tolist() for x in cosine), strict=True):
+                if (d, p) in taken:
+                    continue
+                n = len(index.items[p].words)
+                lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), a + 2 * HOP + n)
+                got = _judge(index, own, lo, hi, index.items[p])
+                if got and ((d, p) not in best or got[0] > best[d, p][4]):
+                    best[d, p] = (d, p, lo - int(first[d]), hi - int(first[d]), *got, c[0] if c else _cosine(index, h[a : min(a + 2 * HOP, int(first[d + 1]))], p), bool(c))
+        return best
+
+    near = search(_retrieved(index, h, first), {})
+    return sorted((near | search(_counted(index, h, first), near)).values())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, word_from, word_to, n_common, share, paraphrase, cosine): matching pairs, and the words looked at."""
+    """(doc_id, item_id, word_from, word_to, n_common, share, paraphrase, cosine, latent): matching pairs, and the words looked at."""
     spark = docs.sparkSession
     store = scratch.Scratch(spark, "latent")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    many = -(-bench.count() // items)
+    size = bench.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
+    many = max(-(-size["n"] // items), -(-(size["letters"] or 0) // LETTERS))
     kinds = [docs.schema["doc_id"].dataType.simpleString(), bench.schema["item"].dataType.simpleString()]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, word_from long, word_to long, n_common long, share double, paraphrase boolean, cosine double"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, word_from long, word_to long, n_common long, share double, paraphrase boolean, cosine double, latent boolean"
     out = spark.createDataFrame([], schema)
     for block in range(many):
         own = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == block).collect() if many > 1 else bench.collect()
@@ -310,11 +351,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for i, j in words.spans(bounds):
                     h, first = _hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                     rows = _matches(index, h, first)
-                    d, p, lo, hi, same, sure, cosine = zip(*rows, strict=True) if rows else ((),) * 7
+                    d, p, lo, hi, same, sure, cosine, latent = zip(*rows, strict=True) if rows else ((),) * 8
                     share = [s / len(index.items[k].words) for s, k in zip(same, p, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([i + x for x in d], pa.int64())), pa.array([index.items[k].item for k in p], item_kind), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(same, pa.int64()), pa.array(share, pa.float64()), pa.array([not s for s in sure], pa.bool_()), pa.array(cosine, pa.float64())],
-                        ["doc_id", "item_id", "word_from", "word_to", "n_common", "share", "paraphrase", "cosine"],
+                        [batch.column(0).take(pa.array([i + x for x in d], pa.int64())), pa.array([index.items[k].item for k in p], item_kind), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(same, pa.int64()), pa.array(share, pa.float64()), pa.array([not s for s in sure], pa.bool_()), pa.array(cosine, pa.float64()), pa.array(latent, pa.bool_())],
+                        ["doc_id", "item_id", "word_from", "word_to", "n_common", "share", "paraphrase", "cosine", "latent"],
                     )
 
         item_kind = pa.int64() if kinds[1] in ("bigint", "int", "smallint", "tinyint") else pa.string()

@@ -3,8 +3,10 @@
 Features are byte pairs and hashed runs of four bytes, ASCII in lower case and all other
 ASCII signs as spaces, averaged over the whole text. Training takes whole texts of a bounded
 sample of labelled rows, at most PER_LANGUAGE of each label in expectation, chosen by a hash of the
-id; one part in five of them sets the temperature and the threshold below which a prediction is rejected.
-As both layers are linear, a prediction averages rows of their product: one small table per task.
+id. One part in five of them calibrates: their whole texts and short parts of them, and made-up texts of no learnt language
+(random letters, consonants, other scripts), fit a temperature and the level of a further outcome, none of the labels, by
+the likelihood of smoothed targets. The score is the probability of the best label beside that outcome; the threshold is the one that lets
+FALSE_ACCEPT of the made-up texts through. Texts of less than LETTERS bytes of letters are too short to tell and rejected. As both layers are linear, a prediction averages rows of their product: one small table per task.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected; ties
 go to the label that sorts first; repeated rows give repeated results; an empty table gives an
@@ -24,6 +26,10 @@ from . import scratch, words
 
 #: Expected number of sampled rows for each label, and of buckets and dimensions.
 PER_LANGUAGE, BITS, DIM, EPOCHS = 800, 16, 16, 6
+#: Share of texts in no learnt language that may be accepted, and how many of each kind are made up.
+FALSE_ACCEPT, MADE = 0.01, 60
+#: Bytes of letters that a text needs to be told by.
+LETTERS = 4
 _MAP = np.full(256, 32, dtype=np.uint8)
 _MAP[65:91] = np.arange(97, 123)
 _MAP[97:123] = np.arange(97, 123)
@@ -48,18 +54,32 @@ def _has_letter(raw: np.ndarray) -> bool:
     return bool((raw >= 128).any()) and any(c.isalpha() for c in raw.tobytes().decode("utf-8", "replace"))
 
 
+def _some_words(raw: np.ndarray) -> np.ndarray:
+    """Three to fourteen words from the middle of a text, to calibrate on short ones; how many follows from its length."""
+    starts, ends, _ = words.split(raw, np.array([0, len(raw)]))
+    if not len(starts):
+        return raw[:0]
+    n = 3 + len(raw) % 12
+    i = max(0, len(starts) - n) // 2
+    return raw[starts[i] : ends[min(i + n, len(starts)) - 1]]
+
+
 @dataclass
 class Model:
     labels: list[str]
     table: np.ndarray  # by bucket, the embedding already multiplied by the output layer
     bias: np.ndarray
-    temperature: float
-    threshold: float
+    temperature: float = 1.0
+    none: float = -np.inf  # level of the outcome that it is no label
+    threshold: float = 0.0
+    false_accept: float = 0.0  # as measured where it was fitted
+    false_reject: float = 0.0
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
-        z = logits / self.temperature
+        """Probabilities of the labels; what they lack to 1 is that of none."""
+        z = np.column_stack([logits, np.full(len(logits), self.none)]) / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
+        return (p / p.sum(axis=1, keepdims=True))[:, :-1]
 
     def logits(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """By document; documents must not be empty."""
@@ -92,27 +112,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     def count(batches):
         for batch in batches:
             bounds, data = words.utf8(batch.column(1))
-            used, weights = [], []
+            at, used, weights, parts = [], [], [], []
             for i in range(len(bounds) - 1):
-                own = data[bounds[i] : bounds[i + 1]]
-                if not len(own) or not _has_letter(own):
-                    used.append(None)
-                    weights.append(None)
-                    continue
-                f, n = np.unique(np.concatenate(_features(own)), return_counts=True)
-                used.append(f.astype("<u4").tobytes())
-                weights.append((n / n.sum()).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(used, pa.binary()), pa.array(weights, pa.binary())], ["id", "label", "used", "weights"])
+                whole = data[bounds[i] : bounds[i + 1]]
+                for part in (False, True):
+                    own = _some_words(whole) if part else whole
+                    if len(own) and _has_letter(own):
+                        f, n = np.unique(np.concatenate(_features(own)), return_counts=True)
+                        at.append(i)
+                        used.append(f.astype("<u4").tobytes())
+                        weights.append((n / n.sum()).astype("<f4").tobytes())
+                        parts.append(part)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(used, pa.binary()), pa.array(weights, pa.binary()), pa.array(parts, pa.bool_())], ["id", "label", "used", "weights", "part"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sample = rows.filter(drawn).mapInArrow(count, f"id {kind}, label string, used binary, weights binary").filter("used is not null").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").collect()
+    sample = rows.filter(drawn).mapInArrow(count, f"id {kind}, label string, used binary, weights binary, part boolean").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "part", "used").collect()
     known = {k: i for i, k in enumerate(labels)}
-    items = [(np.frombuffer(r["used"], "<u4"), np.frombuffer(r["weights"], "<f4"), known[r["label"]]) for r in sample]
+    items, parts = ([(np.frombuffer(r["used"], "<u4"), np.frombuffer(r["weights"], "<f4"), known[r["label"]]) for r in sample if r["part"] is part] for part in (False, True))
     if not items:
         return None
-    hold = items[::5] if len(items) >= 10 else items
-    learn = [x for i, x in enumerate(items) if i % 5] if len(items) >= 10 else items
-    return _fit(labels, learn, hold, seed)
+    few = len(items) < 10
+    held = [x for i, x in enumerate(items) if few or i % 5 == 0] + [x for i, x in enumerate(parts) if few or i % 5 == 0]
+    return _fit(labels, [x for i, x in enumerate(items) if few or i % 5], held, seed)
 
 
 def _fit(labels: list[str], learn: list, hold: list, seed: int) -> Model:
@@ -135,22 +157,55 @@ def _fit(labels: list[str], learn: list, hold: list, seed: int) -> Model:
             # the mean's gradient is spread over few rows, so its step is longer
             e[used] -= (rate * 10) * weight[:, None] * back[None, :]
             step += 1
-    model = Model(labels, e @ w, bias, 1.0, 0.0)
-    logits = np.array([u @ model.table[f] for f, u, _ in hold]) + bias
-    truth = np.array([y for *_, y in hold])
-
-    def loss(t: float) -> float:
-        model.temperature = t
-        return float(-np.log(np.maximum(model.scores(logits)[np.arange(len(truth)), truth], 1e-12)).mean())
-
-    model.temperature = min(np.geomspace(0.1, 5, 40), key=loss)
-    p = model.scores(logits)
-    right = p.argmax(axis=1) == truth
-    # keep nearly all that is right: reject below half of the lowest permille of right scores, or near chance
-    model.threshold = float(min(0.5, max(1.05 / len(labels), np.quantile(p.max(axis=1)[right], 0.001) / 2))) if right.any() and len(labels) > 1 else 0.0
+    model = Model(labels, e @ w, bias)
+    _calibrate(model, np.array([u @ model.table[f] for f, u, _ in hold]) + bias, np.array([y for *_, y in hold]), seed)
     return model
 
 
+#: First and last code points of letters of other scripts, from which texts in no learnt language are made up.
+_SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def made_up(seed: int, many: int = MADE) -> list[str]:
+    """Texts in no language: so many of random letters, of consonants, and of other scripts."""
+    rng = np.random.default_rng(seed)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", *("".join(map(chr, range(a, b + 1))) for a, b in _SCRIPTS)]
+
+    def text(letters: str, n: int) -> str:
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n))
+
+    out = [text(k, int(rng.integers(2, 40))) for k in kinds[:2] for _ in range(many)]
+    return out + [text(k, int(rng.integers(1, 40))) for k in kinds[2:] for _ in range(-(-many // len(_SCRIPTS)))]
+
+
+def _calibrate(model: Model, right: np.ndarray, truth: np.ndarray, seed: int) -> None:
+    """Sets temperature, level and threshold from logits of labelled texts and of made-up ones."""
+    raw = [np.frombuffer(t.encode(), dtype=np.uint8) for t in made_up(seed)]
+    wrong = np.concatenate([model.logits(x, np.array([0, len(x)])) for x in raw])
+    logits, k = np.concatenate([right, wrong]), len(model.labels)
+    target = np.concatenate([truth, np.full(len(wrong), k)])
+    weight = np.concatenate([np.full(len(right), 1 / len(right)), np.full(len(wrong), 1 / len(wrong))])
+    # smoothed targets, as sure as that many texts allow, keep the temperature from running to nothing
+    smooth = np.concatenate([np.full(len(right), 1 / (len(right) + 2)), np.full(len(wrong), 1 / (len(wrong) + 2))])
+    top = logits.max(axis=1)
+
+    def loss(level: float, t: float) -> float:
+        z = np.column_stack([logits, np.full(len(logits), level)]) / t
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        own = z[np.arange(len(z)), target]
+        return float(-(weight * ((1 - smooth) * own + smooth * (z.sum(axis=1) - own) / k)).sum())
+
+    span = max(float(np.ptp(top)), 1e-3)
+    grid = [(level, t) for level in np.linspace(top.min(), top.max(), 41) for t in span * np.geomspace(1e-3, 1, 31)]
+    model.none, model.temperature = min(grid, key=lambda x: loss(*x))
+    accepted = np.sort(model.scores(wrong).max(axis=1))
+    model.threshold = float(np.clip(np.quantile(accepted, 1 - FALSE_ACCEPT, method="higher") * (1 + 1e-9), 1.05 / (k + 1), 0.5))
+    p = model.scores(right)
+    model.false_accept = float((accepted >= model.threshold).mean())
+    model.false_reject = float((p.max(axis=1) < model.threshold).mean())
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, rejected), and the columns of docs named in keep before them."""
     spark = docs.sparkSession
@@ -166,13 +221,14 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for batch in batches:
             bounds, data = words.utf8(batch.column(at))
             for i, j in words.spans(bounds):  # small batches go out, whatever the size of what came in
-                pred, score = np.full(j - i, "und", dtype=object), np.zeros(j - i)
+                pred, score, short = np.full(j - i, "und", dtype=object), np.zeros(j - i), np.zeros(j - i, dtype=bool)
                 for k in range(i, j) if m is not None else ():
                     own = data[bounds[k] : bounds[k + 1]]
                     if _has_letter(own):
                         p = m.scores(m.logits(own, np.array([0, len(own)])))[0]
                         pred[k - i], score[k - i] = m.labels[int(p.argmax())], float(p.max())
-                out = (score < m.threshold) | (pred == "und") if m is not None else np.ones(j - i, dtype=bool)
+                        short[k - i] = np.count_nonzero(_LETTER[own] | (own >= 128)) < LETTERS
+                out = short | (score < m.threshold) | (pred == "und") if m is not None else np.ones(j - i, dtype=bool)
                 part = batch.slice(i, j - i)
                 cols = [*(part.column(c) for c in range(len(keep))), part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], [*keep, "doc_id", "lang_pred", "score", "rejected"])

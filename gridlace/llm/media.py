@@ -2,8 +2,8 @@
 
 A text becomes its UTF-8 bytes, padded with 255 to a positive multiple of 576 and laid
 out in rows of 576 samples. The PNG is split into length-tagged chunks with CRC-32, its
-rows are zlib-compressed; reading checks every CRC, the Adler sum and the sizes, and undoes
-all five row filters in numpy. The feature is a 64-bit hash: the image is averaged to
+rows are filtered and zlib-compressed; each row takes the filter with the least sum of absolute differences of none, left and up.
+Reading checks every CRC, the Adler sum and the sizes, and undoes all five row filters in numpy. The feature is a 64-bit hash: the image is averaged to
 32 x 32, the 8 x 8 lowest frequencies of its cosine transform are compared with their median.
 
 Defined results: a null or empty text is one row of 255; equal texts give equal bytes and
@@ -44,10 +44,15 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
 
 
 def encode_png(payload: bytes, width: int = UNIT, level: int = 4) -> bytes:
-    """Rows of width samples, each unfiltered (text bytes have no smooth gradients)."""
+    """Rows of width samples, each with the filter that makes its samples smallest (none, left or up; ties in that order)."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, width)
-    lines = np.zeros((len(rows), width + 1), dtype=np.uint8)
-    lines[:, 1:] = rows
+    forms = np.stack([rows, rows, rows])
+    forms[1, :, 1:] -= rows[:, :-1]
+    forms[2, 1:] -= rows[:-1]
+    kinds = np.minimum(forms, -forms).sum(axis=2, dtype=np.int64).argmin(axis=0)
+    lines = np.empty((len(rows), width + 1), dtype=np.uint8)
+    lines[:, 0] = kinds
+    lines[:, 1:] = forms[kinds, np.arange(len(rows))]
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return _SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
 
@@ -103,11 +108,10 @@ def decode_png(media: bytes) -> np.ndarray:
     if (kinds > 2).any():
         return _wave(kinds, lines)
     out = lines.copy()
-    for r in np.flatnonzero(kinds):
-        if kinds[r] == 1:
-            out[r] = np.cumsum(lines[r], dtype=np.uint64).astype(np.uint8)
-        elif r:
-            out[r] = lines[r] + out[r - 1]
+    left = kinds == 1
+    out[left] = np.cumsum(lines[left], axis=1, dtype=np.uint8)
+    for r in np.flatnonzero(kinds[1:] == 2) + 1:
+        out[r] += out[r - 1]
     return out
 
 

@@ -368,3 +368,34 @@ def test_bpe_with_other_files(spark, docs, rows, name):
 
     path = public_tokenizers.path(name)
     assert got(bpe.digests(bpe.encode(docs, path=path), path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows, path)
+
+
+def plain_feature(payload):
+    """The cosine hash with loops, from samples in rows of 576."""
+    rows = [payload[i : i + 576] for i in range(0, len(payload), 576)]
+    h, w = len(rows), 576
+    edge = lambda n: [(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+    down = [[sum(rows[r][c] for r in range(a, b)) / (b - a) for c in range(w)] for a, b in edge(h)]
+    small = np.array([[sum(row[a:b]) / (b - a) for a, b in edge(w)] for row in down])
+    wave = np.array([[np.cos(np.pi * (2 * x + 1) * k / 64) for x in range(32)] for k in range(8)])
+    low = np.round((wave @ small @ wave.T).ravel(), 6)
+    return "".join(f"{int(''.join('1' if v > np.median(low[1:]) else '0' for v in low[i : i + 8]), 2):02x}" for i in range(0, 64, 8))
+
+
+def test_media_rows_are_filtered(spark):
+    texts = [" ".join(vocabulary(k)) * 3 for k in range(4)] + ["a" * 576 + "b" * 576 + "ab" * 2000, "", "é" * 700]
+    kinds = set()
+    for t in texts:
+        payload = media.pad(t.encode())
+        png = media.encode_png(payload)
+        import zlib
+
+        raw = zlib.decompress(png[33 + 8 : 33 + 8 + int.from_bytes(png[33:37], "big")])
+        kinds |= {raw[i] for i in range(0, len(raw), 577)}
+        assert media.decode_png(png).tobytes() == payload
+    assert kinds >= {1, 2}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_features(media.to_media(df)).collect():
+        payload = media.pad(texts[r.doc_id].encode())
+        png = media.encode_png(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), brute.sha(png), plain_feature(payload))

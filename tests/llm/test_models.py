@@ -307,3 +307,57 @@ def test_stages_on_odd_tables(spark, tmp_path, stage):
         assert out.columns == docs.columns
         gone = {"keep_known": lambda r: r[1] in (None, "", "12 34"), "without_boilerplate": lambda r: False, "one_of_each": lambda r: r[0] == 51, "without_benchmark": lambda r: bench in (r[1] or "")}[name]
         assert sorted(map(str, got)) == sorted(str(r) for r in map(tuple, docs.collect()) if not gone(r))
+
+
+def plain_score(model, text):
+    """(label, score, rejected) with loops: mean of the rows of all pairs and runs of four, softmax with the outcome of none."""
+    raw = text.encode()
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    low = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw] + [32] * 3
+    total = np.zeros(len(model.labels))
+    for i in range(len(raw)):
+        pair = low[i] << 8 | low[i + 1]
+        four = (pair << 16 | low[i + 2] << 8 | low[i + 3]) * 2654435761 % 2**32
+        total += model.table[pair].astype(float) + model.table[(four >> (32 - langid.BITS)) + 65536]
+    z = np.append(total / (2 * len(raw)) + model.bias, model.none) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    k = int(p[:-1].argmax())
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw)
+    return model.labels[k], float(p[k]), bool(p[k] < model.threshold or letters < langid.LETTERS)
+
+
+def test_langid_rejects_what_it_has_not_learnt(spark):
+    """Other scripts, noise, single letters and a language left out are rejected; held-out texts are kept. Scores equal a plain predictor's."""
+    rows = labelled(900)
+    two = [(i, t, lang if lang != "cc" else None) for i, t, lang in rows]
+    model = langid.train(spark.createDataFrame(two, SCHEMA))
+    assert model.labels == ["aa", "bb"] and model.false_accept <= 2 * langid.FALSE_ACCEPT and model.false_reject <= 0.05
+    rng = random.Random(1)
+    odd = ["これは日本語の文章です", "Это русский текст о погоде", "x", "b", "Q!", *("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(40)) for _ in range(10))]
+    docs = [(5000 + i, t) for i, t in enumerate(odd)] + [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for d, t in docs:
+        label, score, rejected = plain_score(model, t)
+        assert (out[d].lang_pred, out[d].rejected) == (label, rejected) and out[d].score == pytest.approx(score, rel=1e-4)
+    assert all(out[5000 + i].rejected for i in range(len(odd)))
+    assert np.mean([out[d].rejected for d, _ in docs if d < 5000 and rows[d][2] != "cc" and d % 3 != 2]) <= 0.05
+    assert np.mean([out[d].rejected for d, _ in docs if d < 5000 and d % 3 == 2]) >= 0.95
+
+
+def test_decontaminate_latent_search_and_recall(spark):
+    """Verbatim items of 5 to 60 words among the benchmark's own words, and paraphrases: recall, and what the latent search finds alone."""
+    rng, vocab, text = bench_texts(8)
+    items, docs = planted_items(rng, text, vocab, [8 + k % 53 for k in range(150)])
+    items += [(150 + k, text(5 + k % 3)) for k in range(20)]
+    docs = [(d, f"{text(100)} {items[k][1] if d < 100 else t} {text(100)}", k) for d, t, k in docs]
+    docs += [(300 + k, f"{text(100)} {items[150 + k][1]} {text(100)}", 150 + k) for k in range(20)]
+    df = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").repartition(4)
+    out = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in out}
+    assert found == plain_matches(items, docs)
+    assert all((d, k) in found for d, _, k in docs if d < 100 or d >= 300)
+    assert np.mean([(d, k) in found for d, _, k in docs if 100 <= d < 200 and len(items[k][1].split()) >= 20]) >= 0.9
+    latent = {(r.doc_id, r.item_id) for r in out if r.latent}
+    long = [(d, k) in latent for d, _, k in docs if d < 100 and len(items[k][1].split()) >= 30]
+    assert np.mean(long) >= 0.9 and latent < found

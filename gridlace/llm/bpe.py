@@ -153,7 +153,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     seqs.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(seqs, pa.int32())], ["digest", "key", "seq"])
 
-    places = docs.mapInArrow(list_chunks, "digest binary, key binary, seq int")
+    places = docs.mapInArrow(words.freeing(list_chunks), "digest binary, key binary, seq int")
     places = store.table(places, "places")
     shared = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "seq")).alias("own")).filter("n > 1")
     shared = store.table(shared.select("digest", "own.key", "own.seq"), "shared")
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             keys, packed = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "key", "packed"])
 
-    texts = docs.mapInArrow(keyed, f"doc_id {kind}, key binary, packed binary")
+    texts = docs.mapInArrow(words.freeing(keyed), f"doc_id {kind}, key binary, packed binary")
 
     def encode_shared(batches):
         enc, unpack = tokens.encoder(path), zstandard.ZstdDecompressor()
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     owners = shared.groupBy("key").agg(F.collect_list(F.struct("seq", "digest")).alias("own"))
     first = texts.select("key", "packed").join(owners.hint("shuffle_hash"), "key")
     # one row for each digest: documents that are repeated row by row have encoded theirs more than once
-    once = first.mapInArrow(encode_shared, "digest binary, ids binary").groupBy("digest").agg(F.min("ids").alias("ids"))
+    once = first.mapInArrow(words.freeing(encode_shared), "digest binary, ids binary").groupBy("digest").agg(F.min("ids").alias("ids"))
     parts = places.join(store.table(once, "once"), "digest").groupBy("key").agg(F.collect_set(F.struct("seq", "ids")).alias("parts"))
 
     def assemble(batches):
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         enc.forget()
 
     whole = texts.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "parts")
-    return whole.mapInArrow(assemble, f"doc_id {kind}, ids binary")
+    return whole.mapInArrow(words.freeing(assemble), f"doc_id {kind}, ids binary")
 
 
 def _read(encoded: DataFrame, path: str | None, keep: bool) -> DataFrame:
@@ -225,7 +225,7 @@ def _read(encoded: DataFrame, path: str | None, keep: bool) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edges)), *([part.column(1)] if keep else []), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], list(kinds))
 
-    return encoded.select("doc_id", "ids").mapInArrow(read, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return encoded.select("doc_id", "ids").mapInArrow(words.freeing(read), ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:

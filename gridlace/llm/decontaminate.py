@@ -107,7 +107,7 @@ def frequencies(docs: DataFrame, index: np.ndarray, terms: int) -> tuple[np.ndar
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], seen))], ["term", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(words.freeing(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(terms + 1, dtype=np.int64)
     for r in counts:
         df[r["term"]] = r["n"]
@@ -139,7 +139,7 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed
             total = sum(np.frombuffer(x.as_buffer()) for x in table.column("part"))
             return pa.table({"at": table.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
-        rows = passages.mapInArrow(run, "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()
+        rows = passages.mapInArrow(words.freeing(run), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()
         out = np.zeros((n, width))
         for r in rows:
             part = np.frombuffer(r["part"]).reshape(-1, width)
@@ -359,7 +359,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     )
 
         item_kind = pa.int64() if kinds[1] in ("bigint", "int", "smallint", "tinyint") else pa.string()
-        found = docs.mapInArrow(run, schema.replace(f"item_id {kinds[1]}", "item_id long" if item_kind == pa.int64() else "item_id string"))
+        found = docs.mapInArrow(words.freeing(run), schema.replace(f"item_id {kinds[1]}", "item_id long" if item_kind == pa.int64() else "item_id string"))
         out = out.unionByName(found.withColumn("item_id", F.col("item_id").cast(kinds[1])))
     return out
 

@@ -127,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(used, pa.binary()), pa.array(weights, pa.binary()), pa.array(parts, pa.bool_())], ["id", "label", "used", "weights", "part"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    sample = rows.filter(drawn).mapInArrow(count, f"id {kind}, label string, used binary, weights binary, part boolean").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "part", "used").collect()
+    sample = rows.filter(drawn).mapInArrow(words.freeing(count), f"id {kind}, label string, used binary, weights binary, part boolean").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "part", "used").collect()
     known = {k: i for i, k in enumerate(labels)}
     items, parts = ([(np.frombuffer(r["used"], "<u4"), np.frombuffer(r["weights"], "<f4"), known[r["label"]]) for r in sample if r["part"] is part] for part in (False, True))
     if not items:
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 cols = [*(part.column(c) for c in range(len(keep))), part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score), pa.array(out)], [*keep, "doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(*(F.col(c) for c in used)).mapInArrow(run, schema)
+    return docs.select(*(F.col(c) for c in used)).mapInArrow(words.freeing(run), schema)
 
 
 def op3_langid(spark, sf_dir: str) -> DataFrame:

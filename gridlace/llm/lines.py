@@ -60,7 +60,7 @@ def line_sites(docs: DataFrame, text_col: str = "text", site_col: str = "source"
                 seen = np.concatenate([seen, pair[new]]) if len(seen) < SEEN else pair[new]
                 yield pa.RecordBatch.from_arrays([pa.array(line[at].view(np.int64)), pa.array(site[at])], ["line", "site"])
 
-    return docs.select(F.col(text_col).cast("string"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")))).mapInArrow(run, "line long, site long")
+    return docs.select(F.col(text_col).cast("string"), F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0")))).mapInArrow(words.freeing(run), "line long, site long")
 
 
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -117,7 +117,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
 
             yield from cut(batches, known)
 
-        return plain.mapInArrow(run, f"{kinds}, n long")
+        return plain.mapInArrow(words.freeing(run), f"{kinds}, n long")
 
     # one row for each document and hash, joined with the lines, back to one row a document
     keyed = plain.withColumn("key", F.xxhash64(F.col(f"c{at}"), F.col(names[id_col])))
@@ -129,7 +129,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
                 key = np.repeat(keys[i : i + len(parts)], [len(p) for p in parts])[line != 0]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(line[line != 0].view(np.int64))], ["key", "line"])
 
-    own = keyed.select("key", F.col(f"c{at}").cast("string")).mapInArrow(hashes_of, "key long, line long").distinct().join(lines, "line").groupBy("key").agg(F.collect_list("line").alias("gone"))
+    own = keyed.select("key", F.col(f"c{at}").cast("string")).mapInArrow(words.freeing(hashes_of), "key long, line long").distinct().join(lines, "line").groupBy("key").agg(F.collect_list("line").alias("gone"))
     joined = keyed.join(own, "key", "left").drop("key")
 
     def run_joined(batches):
@@ -141,7 +141,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sit
 
         yield from cut(batches, known)
 
-    return joined.mapInArrow(run_joined, f"{kinds}, n long")
+    return joined.mapInArrow(words.freeing(run_joined), f"{kinds}, n long")
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, bound: int = scratch.BROADCAST_ROWS) -> DataFrame:

@@ -94,7 +94,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 vertex = [_digest(hashes[edges[k] : edges[k + 1]]) if n[k] and known[k] else None for k in range(len(n))]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array([r.tobytes() for r in least], pa.binary())], ["id", "n", "vertex", "tokens"])
 
-    return docs.mapInArrow(run, f"id {_kind(docs)}, n long, vertex long, tokens binary")
+    return docs.mapInArrow(words.freeing(run), f"id {_kind(docs)}, n long, vertex long, tokens binary")
 
 
 def _kind(docs: DataFrame) -> str:
@@ -109,7 +109,7 @@ def _with_bytes(vertices: DataFrame) -> DataFrame:
             small = ((_matrix(batch.column(4), np.uint32) * np.uint32(2654435769)) >> np.uint32(24)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in small], pa.binary())], [*batch.schema.names, "bytes"])
 
-    return vertices.mapInArrow(run, f"vertex long, id {_kind(vertices)}, n long, many long, tokens binary, bytes binary")
+    return vertices.mapInArrow(words.freeing(run), f"vertex long, id {_kind(vertices)}, n long, many long, tokens binary, bytes binary")
 
 
 def _child(node: np.ndarray, position: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -132,7 +132,7 @@ def _roots(vertices: DataFrame) -> DataFrame:
                 at = np.full(len(tokens), tree, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_child(at, at, tokens[:, tree]).view(np.int64))], ["vertex", "n", "node"])
 
-    return vertices.select("vertex", "n", "tokens").mapInArrow(run, "vertex long, n long, node long")
+    return vertices.select("vertex", "n", "tokens").mapInArrow(words.freeing(run), "vertex long, n long, node long")
 
 
 def _branches(rows: DataFrame, depth: int, levels: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _branches(rows: DataFrame, depth: int, levels: int) -> DataFrame:
             for h in nodes:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h.view(np.int64))], ["vertex", "n", "node"])
 
-    return rows.select("vertex", "n", "node", "tokens").mapInArrow(run, "vertex long, n long, node long").distinct()
+    return rows.select("vertex", "n", "node", "tokens").mapInArrow(words.freeing(run), "vertex long, n long, node long").distinct()
 
 
 _PAIR = "a long, b long, ia {0}, ib {0}"
@@ -165,7 +165,7 @@ def _alike(stars: DataFrame, sketch: DataFrame) -> DataFrame:
             keep = pa.array((_matrix(batch.column(4)) == _matrix(batch.column(5))).sum(axis=1) >= AGREE, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "ia", "ib"])
 
-    return pairs.select("a", "b", "ia", "ib", "bytes_a", "bytes_b").mapInArrow(run, _PAIR.format(_kind(sketch)))
+    return pairs.select("a", "b", "ia", "ib", "bytes_a", "bytes_b").mapInArrow(words.freeing(run), _PAIR.format(_kind(sketch)))
 
 
 def _in_common(own: list[np.ndarray]) -> np.ndarray:
@@ -251,7 +251,7 @@ def _within(members: DataFrame) -> DataFrame:
         if held is not None:
             yield links(held)
 
-    return members.select("node", "vertex", "comp", "words").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return members.select("node", "vertex", "comp", "words").repartition("node").sortWithinPartitions("node").mapInArrow(words.freeing(run), "a long, b long")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _full(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[v].tobytes() for v in new], pa.binary())], ["vertex", "words"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(make, "vertex long, words binary")
+    return docs.join(ids, "id", "left_semi").mapInArrow(words.freeing(make), "vertex long, words binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
@@ -297,7 +297,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    links = store.compact(both.mapInArrow(judge, "a long, b long"), f"{name}-links")
+    links = store.compact(both.mapInArrow(words.freeing(judge), "a long, b long"), f"{name}-links")
     for part in ("ids", "sets", "heads"):
         store.drop(f"{name}-{part}")
     return links

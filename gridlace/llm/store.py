@@ -65,7 +65,7 @@ def encode_chunks(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         enc.forget()  # the worker may go on to other work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, digests array<binary>, data array<binary>")
+    return docs.mapInArrow(words.freeing(run), f"doc_id {kind}, n_tokens long, digests array<binary>, data array<binary>")
 
 
 def _pack(batches):
@@ -115,7 +115,7 @@ def write(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "tex
         _placed(encoded.select("doc_id", "n_tokens", "digests"), work).write.option("compression", "zstd").parquet(f"{at}/recipes")
         each = encoded.select(F.explode(F.arrays_zip("digests", "data")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.data").alias("data"))
         once = each.filter("data is not null").groupBy("digest").agg(F.min("data").alias("data"))
-        once.mapInArrow(_pack, "digest binary, data binary").write.option("compression", "none").parquet(f"{at}/chunks")
+        once.mapInArrow(words.freeing(_pack), "digest binary, data binary").write.option("compression", "none").parquet(f"{at}/chunks")
         manifest(spark.read.parquet(f"{at}/recipes")).write.parquet(f"{at}/manifest")
     work.drop("encoded")
     work.drop("ranged")
@@ -157,7 +157,7 @@ def read(spark: SparkSession, at: str, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    return whole.select("doc_id", "start", "n_tokens", "parts").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return whole.select("doc_id", "start", "n_tokens", "parts").mapInArrow(words.freeing(run), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def checksums(stored: DataFrame, path: str | None = None) -> DataFrame:
@@ -171,7 +171,7 @@ def checksums(stored: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return stored.mapInArrow(words.freeing(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_store(spark, sf_dir: str) -> DataFrame:

@@ -131,8 +131,20 @@ def join(enc: tokens.Encoder, docs: list[list[bytes | Known]]) -> list[np.ndarra
     return [done[d] for d in range(len(docs))]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned integers, two bytes each where the vocabulary fits, else four."""
+def _facts(enc: tokens.Encoder, ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256 of each text; the text is decoded from the ids."""
+    listed = [hashlib.sha256(x[:-1]).hexdigest() for x in enc.listed(ids, edges)]
+    decoded = [hashlib.sha256(x).hexdigest() for x in enc.decoded(ids, edges)]
+    return [pa.array(np.diff(edges)), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+
+
+_FACTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, facts: bool = False) -> DataFrame:
+    """(doc_id, ids), and n_tokens, ids_sha256, decoded_sha256 if asked for.
+
+    ids are little-endian unsigned integers, two bytes each where the vocabulary fits, else four."""
     spark = docs.sparkSession
     path = path or tokens.default_path()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -202,17 +214,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     known = {p["seq"]: p["ids"] for p in parts or ()}
                     chunks = _chunks(np.frombuffer(raw, dtype=np.uint8)) if known else [raw]
                     plan.append([Known(enc, c, np.frombuffer(known[s], dtype=enc.dtype)) if s in known else c for s, c in enumerate(chunks)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in join(enc, plan)], pa.binary())], ["doc_id", "ids"])
+                ids = join(enc, plan)
+                more = _facts(enc, np.concatenate(ids), np.cumsum([0, *map(len, ids)])) if facts else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in ids], pa.binary()), *more], list(kinds))
         enc.forget()
 
+    kinds = {"doc_id": kind, "ids": "binary"} | (_FACTS if facts else {})
+
     whole = texts.join(parts.hint("shuffle_hash"), "key", "left").select("doc_id", "packed", "parts")
-    return whole.mapInArrow(words.freeing(assemble), f"doc_id {kind}, ids binary")
+    return whole.mapInArrow(words.freeing(assemble), ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
-def _read(encoded: DataFrame, path: str | None, keep: bool) -> DataFrame:
-    """(doc_id, n_tokens, ids if kept, ids_sha256, decoded_sha256) of (doc_id, ids)."""
+def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids)."""
     path = path or tokens.default_path()
-    kinds = {"doc_id": encoded.schema["doc_id"].dataType.simpleString(), "n_tokens": "long"} | ({"ids": "binary"} if keep else {}) | {"ids_sha256": "string", "decoded_sha256": "string"}
 
     def read(batches):
         enc = tokens.encoder(path)
@@ -220,21 +235,14 @@ def _read(encoded: DataFrame, path: str | None, keep: bool) -> DataFrame:
             at, raw = words.utf8(batch.column(1))
             for i, j in words.spans(at):
                 ids, edges = raw[at[i] : at[j]].view(enc.dtype), (at[i : j + 1] - at[i]) // enc.dtype.itemsize
-                listed = [hashlib.sha256(x[:-1]).hexdigest() for x in enc.listed(ids, edges)]
-                decoded = [hashlib.sha256(x).hexdigest() for x in enc.decoded(ids, edges)]
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(edges)), *([part.column(1)] if keep else []), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], list(kinds))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *_facts(enc, ids, edges)], ["doc_id", *_FACTS])
 
+    kinds = {"doc_id": encoded.schema["doc_id"].dataType.simpleString()} | _FACTS
     return encoded.select("doc_id", "ids").mapInArrow(words.freeing(read), ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what encode() gave; the text is decoded from the ids."""
-    return _read(encoded, path, False)
-
-
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), facts=True).drop("ids")
 
 
 def encode_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -242,4 +250,4 @@ def encode_texts(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no ids; null and repeated ids keep their rows; texts of any length are encoded whole; other columns,
     whatever their names, are not read; an empty table gives an empty one."""
-    return _read(encode(docs), None, True)
+    return encode(docs, facts=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")

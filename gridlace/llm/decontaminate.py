@@ -135,11 +135,15 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed
             at = np.arange(0, n, 1024)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([out[i : i + 1024].tobytes() for i in at], pa.binary())], ["at", "part"])
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_buffer()) for x in table.column("part"))
-            return pa.table({"at": table.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+        def add(batches):
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    part = np.frombuffer(x.as_buffer())
+                    total[at] = total[at] + part if at in total else part
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["at", "part"])
 
-        rows = passages.mapInArrow(words.freeing(run), "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").collect()
+        rows = passages.mapInArrow(words.freeing(run), "at long, part binary").repartition("at").mapInArrow(words.freeing(add), "at long, part binary").collect()
         out = np.zeros((n, width))
         for r in rows:
             part = np.frombuffer(r["part"]).reshape(-1, width)

@@ -10,7 +10,7 @@
    of rather than one of them. Vertices are compared with their leaders first, on a byte of each minwise value and then on full
    sets; linked vertices share a label. A node under one label has nothing more to give and ends; so a large group of copies
    is linked by stars and never by its pairs. Nodes of up to SMALL vertices and WEIGHT shingles end too: after the last
-   round, their pairs across labels are compared exhaustively on full sets, and a node gives as many links as join its labels.
+   round, their pairs across labels are compared exhaustively by halves of all their hashes, and a node passes on as many pairs as join its labels.
    Larger nodes go down one to three levels in a round, by their size.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
@@ -205,19 +205,26 @@ def _in_common(own: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _linked(own: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
-    """Places of pairs of one node whose sets are similar enough, as many as join its labels."""
-    n, common = np.array([len(x) for x in own]), _in_common(own)
-    i, j = np.nonzero(np.triu(100 * common >= THRESHOLD * (n[:, None] + n[None, :] - common), 1))
-    out, root = [], {c: c for c in comp.tolist()}
+def _linked(own: list[np.ndarray], n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs of one node that may be similar enough by halves of their hashes, as many as join its labels.
+
+    n has the full sizes. Halves that meet by chance change a count by 1 each; pairs whose counts are so close to the threshold that
+    this could matter all go on, and join nothing here."""
+    common = _in_common(own)
+    near = 2 + (n * n >> 31)
+    near, both = near[:, None] + near[None, :], n[:, None] + n[None, :]
+    i, j = np.nonzero(np.triu(100 * (common + near) >= THRESHOLD * (both - common - near), 1))
+    some = comp[i] != comp[j]
+    i, j = i[some], j[some]
+    sure = 100 * (common[i, j] - near[i, j]) >= THRESHOLD * (both[i, j] - common[i, j] + near[i, j])
+    out, root = list(zip(i[~sure].tolist(), j[~sure].tolist(), strict=True)), {c: c for c in comp.tolist()}
 
     def top(c: int) -> int:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
-    some = comp[i] != comp[j]
-    for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True):
+    for x, y in zip(i[sure].tolist(), j[sure].tolist(), strict=True):
         a, b = top(int(comp[x])), top(int(comp[y]))
         if a != b:
             root[a] = b
@@ -226,15 +233,15 @@ def _linked(own: list[np.ndarray], comp: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _within(members: DataFrame) -> DataFrame:
-    """Links (a, b) across labels in nodes of (node, vertex, comp, words), compared exhaustively node by node."""
+    """(a, b, ia, ib) across labels in nodes of (node, vertex, id, n, comp, halves), compared exhaustively node by node."""
 
     def links(batch):
-        node, vertex, comp = (batch.column(k).to_numpy() for k in range(3))
-        own = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(3)]
+        node, n, comp = (batch.column(k).to_numpy() for k in (0, 3, 4))
+        own = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in batch.column(5)]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]]).tolist()
-        out = [(vertex[s + x], vertex[s + y]) for s, e in zip(edges[:-1], edges[1:], strict=True) for x, y in _linked(own[s:e], comp[s:e])]
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        out = [(s + x, s + y) for s, e in zip(edges[:-1], edges[1:], strict=True) for x, y in _linked(own[s:e], n[s:e], comp[s:e])]
+        a, b = (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), ())))
+        return pa.RecordBatch.from_arrays([batch.column(c).take(k) for c in (1, 2) for k in (a, b)], ["a", "b", "ia", "ib"])
 
     def run(batches):
         held = None  # rows of a node that may go on in the next batch
@@ -251,7 +258,8 @@ def _within(members: DataFrame) -> DataFrame:
         if held is not None:
             yield links(held)
 
-    return members.select("node", "vertex", "comp", "words").repartition("node").sortWithinPartitions("node").mapInArrow(words.freeing(run), "a long, b long")
+    ordered = members.select("node", "vertex", "id", "n", "comp", "halves").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(words.freeing(run), _PAIR.format(_kind(members))).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -262,8 +270,10 @@ def _labels(links: DataFrame) -> DataFrame:
     return two.select(F.col("a").alias("vertex"), "comp")
 
 
-def _full(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(vertex, words): full sets of the texts with these ids, each once a task; other texts under one id weren't asked for."""
+def _full(ids: DataFrame, docs: DataFrame, half: bool = False) -> DataFrame:
+    """(vertex, n, words): sets of the texts with these ids, each once a task; other texts under one id weren't asked for.
+
+    words has the hashes in full, or the upper halves of them."""
 
     def make(batches):
         seen: set[int] = set()
@@ -272,9 +282,10 @@ def _full(ids: DataFrame, docs: DataFrame) -> DataFrame:
                 own = {_digest(x): x for k in range(len(edges) - 1) if len(x := hashes[edges[k] : edges[k + 1]])}
                 new = [v for v in own if v not in seen]
                 seen.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[v].tobytes() for v in new], pa.binary())], ["vertex", "words"])
+                sets = [np.unique((own[v] >> np.uint64(32)).astype(np.uint32)) if half else own[v] for v in new]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([len(own[v]) for v in new], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["vertex", "n", "words"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(words.freeing(make), "vertex long, words binary")
+    return docs.join(ids, "id", "left_semi").mapInArrow(words.freeing(make), "vertex long, n long, words binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, store: scratch.Scratch, name: str) -> DataFrame:
@@ -378,9 +389,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for more in ended:
         rest = rest.unionByName(more)
     used = store.table(rest.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex"), "used")
-    # repeated rows give a vertex again: the same member twice in a node
-    sets = _full(store.small(used.select("id")), docs).join(store.small(used.select("vertex")), "vertex", "left_semi")
-    comps = components(links.unionByName(store.compact(_within(rest.join(sets, "vertex")), "within")), store, "final")
+    sets = _full(store.small(used.select("id")), docs, half=True).join(store.small(used), "vertex").select("vertex", "id", "n", "words")
+    members = rest.join(sets.withColumnRenamed("words", "halves"), "vertex")
+    comps = components(links.unionByName(_confirmed(store.compact(_within(members), "pairs"), docs, store, "within")), store, "final")
 
     named = store.table(vertices.select("vertex", "id", "many").join(comps, "vertex", "left").filter("comp is not null or many > 1"), "named")
     least = named.filter("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))

@@ -28,7 +28,8 @@ def run(spark: SparkSession, points: DataFrame, resolution: float, max_dist: flo
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="gridlace", description=__doc__)
-    parser.add_argument("--input", help="CSV or Parquet with x, y, gene")
+    parser.add_argument("--input", help="CSV with x, y, gene, or Parquet with any accepted names")
+    parser.add_argument("--min_qv", type=float, help="least quality of points; reads any accepted names from CSV too")
     parser.add_argument("--resolution", type=float, default=10.0)
     parser.add_argument("--max_dist", type=float, default=15.0)
     parser.add_argument("--generate-mock", action="store_true", help="use mock data, even with --input")
@@ -43,7 +44,8 @@ def main(argv: list[str] | None = None) -> None:
         else:  # a driver's folder isn't shared
             points = synthetic.mock_molecules(spark)
     else:
-        points = sources.load_transcript_data(spark, args.input)
+        plain = args.min_qv is None and not args.input.rstrip("/").endswith(".parquet")
+        points = sources.load_transcript_data(spark, args.input) if plain else sources.load_coordinates(spark, args.input, args.min_qv)
     s = run(spark, points, args.resolution, args.max_dist, args.output).first()
     print(f"molecules: {s.molecules}\nactive bins: {s.active_bins}\ngenes: {s.genes}\nadjacency entries: {s.adjacency_nnz}\nLaplacian: {s.active_bins} x {s.active_bins}")
 

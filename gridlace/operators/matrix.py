@@ -1,7 +1,8 @@
 """Counts of (bin, gene) as a sparse matrix in rows, and its other shapes.
 
-Ids are explicit columns: bins count from 0 in the order of two key columns, genes in the order of their names. Bin
-ids come from the counts of the first key (one small sorted table) and a rank within it, so no task sorts all bins.
+Counts of (bin, gene) are written once to the shared folder, if there is one; bins, ids, totals and cells are made of them, so the
+points are read twice (for the offset and for the counts) whatever follows. Ids are explicit columns: bins count from 0 in the
+order of two key columns, genes in the order of their names. Bin ids come from ranges of the sorted keys, one task a range.
 """
 
 from __future__ import annotations
@@ -11,15 +12,28 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlace.sources import shared
+
 from . import points as P
 
+#: Ids of the minor side that stand in one row of a compressed column.
+BLOCK = 65536
 
 def dense_ids(rows: DataFrame, major: str, minor: str, name: str) -> DataFrame:
-    """rows, distinct in (major, minor), with their place in that order, from 0."""
-    sizes = rows.groupBy(major).agg(F.count("*").alias("__n"))
-    before = sizes.select(major, (F.sum("__n").over(Window.orderBy(major)) - F.col("__n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy(major).orderBy(minor)) - 1
-    return rows.withColumn("__rank", rank).join(before, major).withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__rank", "__before")
+    """rows, distinct in (major, minor), with their place in that order, from 0.
+
+    Each range of the order is numbered by one task; the sizes of the ranges, one row each, give where it begins. Without a shared
+    folder, where a range could not be kept for a second look, the sizes of the major key take that part."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if shared.folder(rows.sparkSession) is None:
+        ranged, part = rows.withColumn("__part", F.col(major)), major
+    else:
+        ranged, part = shared.written(rows.repartitionByRange(parts, major, minor).withColumn("__part", F.spark_partition_id())), "__part"
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(major, minor)) - 1
+    before = F.broadcast(before) if part == "__part" else before
+    return ranged.withColumn("__rank", rank).join(before, "__part").withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__part", "__rank", "__before")
 
 
 def gene_ids(genes: DataFrame) -> DataFrame:
@@ -38,7 +52,7 @@ def bin_totals(counts: DataFrame, keys: tuple[str, str] = ("bx", "by")) -> DataF
 
 @dataclass
 class CountMatrix:
-    """Parts of a count matrix; all lazy. counts has (keys, gene, n), cells (bin_id, gene_id, n)."""
+    """Parts of a count matrix. counts has (keys, gene, n), cells (bin_id, gene_id, n)."""
 
     counts: DataFrame
     bins: DataFrame
@@ -56,7 +70,7 @@ class CountMatrix:
 
 def build_sparse_matrix(binned: DataFrame, keys: tuple[str, str] = ("bx", "by"), order: tuple[str, str] | None = None, genes: DataFrame | None = None) -> CountMatrix:
     """Counts with bins in the order of keys (or order) and the observed genes, or all of a given dictionary."""
-    counts = count_genes(P.clean(binned) if "x" in binned.columns else binned.filter("gene is not null"), keys)
+    counts = shared.written(count_genes(P.clean(binned) if "x" in binned.columns else binned.filter("gene is not null"), keys))
     bins = dense_ids(counts.select(*keys).distinct(), *(order or keys), "bin_id")
     return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), keys)
 
@@ -65,28 +79,33 @@ def compute_square_bins(points: DataFrame, resolution: float, genes: DataFrame |
     """Binning by floor division, counts and centres in one plan; bins are in the order of (by, bx)."""
     points = P.clean(points)
     x0, y0 = P.origin(points)
-    out = build_sparse_matrix(P.bin_square(points, resolution, "floordiv"), order=("by", "bx"), genes=genes)
-    out.bins = P.get_bin_centers(out.bins, "square", resolution, (x0, y0))
-    return out
+    binned = P.bin_square(points, resolution, "floordiv").groupBy("bx", "by", "gene")
+    counts = shared.written(binned.agg(F.count("*").alias("n"), F.any_value(x0).alias("x_min"), F.any_value(y0).alias("y_min")))
+    bins = dense_ids(counts.groupBy("bx", "by").agg(F.any_value("x_min").alias("x_min"), F.any_value("y_min").alias("y_min")), "by", "bx", "bin_id")
+    bins = P.get_bin_centers(bins, "square", resolution, (F.col("x_min"), F.col("y_min"))).drop("x_min", "y_min")
+    counts = counts.select("bx", "by", "gene", "n")
+    return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), ("bx", "by"))
 
 
 def compressed(cells: DataFrame, matrix_format: str = "csr") -> DataFrame:
-    """One row for each row (csr: bin_id) or column (csc: gene_id): start and end in the list of all values, and its own indices and data."""
+    """One row for each row (csr: bin_id) or block of a column (csc: gene_id, block): start and end in the list of all values, indices, data.
+
+    A row has an entry for each gene at most; a column may have one for every bin, so it is given by blocks of BLOCK bin ids."""
     kind = matrix_format.lower()
     if kind not in ("csr", "csc"):
         raise ValueError(f"matrix_format must be 'csr' or 'csc', not {matrix_format!r}")
-    major, minor = ("bin_id", "gene_id") if kind == "csr" else ("gene_id", "bin_id")
-    own = F.array_sort(F.collect_list(F.struct(minor, "n")))
-    lists = cells.groupBy(major).agg(F.count("*").alias("nnz"), own.alias("own"))
-    # prefix sums by blocks of ids, whose totals are few
-    block = (F.col(major) / 65536).cast("bigint")
-    lists = lists.withColumn("block", block)
-    sums = lists.groupBy("block").agg(F.sum("nnz").alias("all")).select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("before"))
-    end = F.sum("nnz").over(Window.partitionBy("block").orderBy(major).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    placed = lists.join(sums, "block").withColumn("row_end", end)
-    return placed.select(
-        major, (F.col("row_end") - F.col("nnz")).alias("row_start"), "row_end", F.transform("own", lambda c: c[minor]).alias("indices"), F.transform("own", lambda c: c["n"]).alias("data")
-    )
+    own = lambda minor: F.array_sort(F.collect_list(F.struct(minor, "n"))).alias("own")
+    if kind == "csr":
+        major, minor, keys = "bin_id", "gene_id", ["bin_id"]
+        lists = cells.groupBy(*keys).agg(F.count("*").alias("nnz"), own(minor)).withColumn("group", (F.col(major) / BLOCK).cast("bigint"))
+    else:
+        major, minor, keys = "gene_id", "bin_id", ["gene_id", "block"]
+        lists = cells.withColumn("block", (F.col(minor) / BLOCK).cast("bigint")).groupBy(*keys).agg(F.count("*").alias("nnz"), own(minor)).withColumn("group", F.col(major))
+    # prefix sums within blocks of rows, or within columns, whose totals are few
+    sums = lists.groupBy("group").agg(F.sum("nnz").alias("all")).select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("before"))
+    end = F.sum("nnz").over(Window.partitionBy("group").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    placed = lists.join(sums, "group").withColumn("row_end", end)
+    return placed.select(*keys, (F.col("row_end") - F.col("nnz")).alias("row_start"), "row_end", F.transform("own", lambda c: c[minor]).alias("indices"), F.transform("own", lambda c: c["n"]).alias("data"))
 
 
 def dense_matrix(counts: DataFrame, keys: tuple[str, ...], genes: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridlace.functions import binning
 from gridlace.sources import points as sources
+from gridlace.sources import shared
 
 from . import graph, matrix
 from . import points as P
@@ -32,11 +33,11 @@ def assign_tiles(points: DataFrame, tile_size: float) -> DataFrame:
     return P.clean(points).withColumns({f"tile_{c}": F.floor(F.col(c).cast("double") / F.lit(size)).cast("bigint") for c in "xy"})
 
 
-def partition_dataset_to_tiles(points: DataFrame, tile_size: float, partition_dir: str) -> None:
-    """points/ by tile, genes/ and offset/ under partition_dir; what was there is replaced."""
+def partition_dataset_to_tiles(points: DataFrame, tile_size: float, partition_dir: str, mode: str = "overwrite") -> None:
+    """points/ by tile, genes/ and offset/ under partition_dir; what was there is replaced, or with mode "append" added to."""
     tiled = assign_tiles(points.select(F.col("x").cast("double"), F.col("y").cast("double"), "gene"), tile_size)
     # rows of a tile go to one writer each; crowded tiles are split by the rebalancing
-    tiled.hint("rebalance", "tile_x", "tile_y").write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(f"{partition_dir}/points")
+    tiled.hint("rebalance", "tile_x", "tile_y").write.mode(mode).partitionBy("tile_x", "tile_y").parquet(f"{partition_dir}/points")
     stored = read_tiles(tiled.sparkSession, partition_dir)
     matrix.gene_ids(stored).write.mode("overwrite").parquet(f"{partition_dir}/genes")
     P.offset(stored).write.mode("overwrite").parquet(f"{partition_dir}/offset")
@@ -65,26 +66,41 @@ def load_tile_with_halo(spark: SparkSession, tile_x: int, tile_y: int, tile_size
     return near_tile(read_tiles(spark, partition_dir), tile_x, tile_y, tile_size, halo_width)
 
 
+def tile_cells(tiled: DataFrame, resolution: float, at=None, mode: str = "floor") -> DataFrame:
+    """(bx, by, gene, tile_x, tile_y, n, x_min, y_min): counts by bin and tile, written once; all else is made of them."""
+    x0, y0 = P.origin(tiled) if at is None else (F.lit(float(v)) for v in at)
+    binned = P.bin_square(tiled, resolution, mode, at).groupBy("bx", "by", "gene", "tile_x", "tile_y")
+    return shared.written(binned.agg(F.count("*").alias("n"), F.any_value(x0).alias("x_min"), F.any_value(y0).alias("y_min")))
+
+
 def bin_owners(tiled: DataFrame, tile_size: float, resolution: float, at=None, mode: str = "floor") -> DataFrame:
     """(bx, by, cx, cy, home_x, home_y, home_active, owner_x, owner_y) of every bin with points."""
-    x0, y0 = P.origin(tiled) if at is None else (F.lit(float(v)) for v in at)
-    binned = P.bin_square(tiled, resolution, mode, at)
+    return owners_of(tile_cells(tiled, resolution, at, mode), tile_size, resolution)
+
+
+def owners_of(cells: DataFrame, tile_size: float, resolution: float) -> DataFrame:
+    """bin_owners() of tile_cells()."""
     source = F.min(F.struct("tile_x", "tile_y")).alias("source")
-    # points are counted down to (bin, tile) before the smallest tile is looked for
-    spread = binned.select("bx", "by", "tile_x", "tile_y").distinct()
-    bins = P.get_bin_centers(spread.groupBy("bx", "by").agg(source), "square", resolution, (x0, y0))
+    spread = cells.select("bx", "by", "tile_x", "tile_y", "x_min", "y_min").distinct()
+    bins = spread.groupBy("bx", "by").agg(source, F.any_value("x_min").alias("x_min"), F.any_value("y_min").alias("y_min"))
+    bins = P.get_bin_centers(bins, "square", resolution, (F.col("x_min"), F.col("y_min")))
     bins = bins.withColumns({f"home_{c}": F.floor(F.col(f"c{c}") / F.lit(float(tile_size))).cast("bigint") for c in "xy"})
     active = spread.select(F.col("tile_x").alias("home_x"), F.col("tile_y").alias("home_y"), F.lit(True).alias("home_active")).distinct()
     bins = bins.join(active, ["home_x", "home_y"], "left").withColumn("home_active", F.coalesce("home_active", F.lit(False)))
     owner = [F.when(F.col("home_active"), F.col(f"home_{c}")).otherwise(F.col(f"source.tile_{c}")).alias(f"owner_{c}") for c in "xy"]
-    return bins.select("bx", "by", "cx", "cy", "home_x", "home_y", "home_active", *owner)
+    return shared.written(bins.select("bx", "by", "cx", "cy", "home_x", "home_y", "home_active", *owner))
 
 
 def tile_counts(tiled: DataFrame, tile_size: float, resolution: float, at=None, mode: str = "floor") -> DataFrame:
     """(owner_x, owner_y, bx, by, gene, n): each bin's counts at its owner."""
-    owners = bin_owners(tiled, tile_size, resolution, at, mode).select("bx", "by", "owner_x", "owner_y")
-    counts = matrix.count_genes(P.bin_square(tiled, resolution, mode, at))
-    return counts.join(owners, ["bx", "by"]).select("owner_x", "owner_y", "bx", "by", "gene", "n")
+    cells = tile_cells(tiled, resolution, at, mode)
+    return counts_at(cells, owners_of(cells, tile_size, resolution))
+
+
+def counts_at(cells: DataFrame, owners: DataFrame) -> DataFrame:
+    """tile_counts() of tile_cells() and their owners."""
+    counts = cells.groupBy("bx", "by", "gene").agg(F.sum("n").alias("n"))
+    return counts.join(owners.select("bx", "by", "owner_x", "owner_y"), ["bx", "by"]).select("owner_x", "owner_y", "bx", "by", "gene", "n")
 
 
 def bin_edges(bins: DataFrame, max_dist: float) -> DataFrame:
@@ -103,15 +119,18 @@ def tile_edges(owners: DataFrame, max_dist: float) -> DataFrame:
     return sides[0].select(*names).unionByName(sides[1].select(*names)).distinct()
 
 
-def _write(spark: SparkSession, tiled: DataFrame, tile_size: float, resolution: float, max_dist: float, at, out_dir: str, only=None, mode: str = "overwrite") -> None:
-    owners = bin_owners(tiled, tile_size, resolution, at)
-    parts = {"bins": owners, "counts": tile_counts(tiled, tile_size, resolution, at), "edges": tile_edges(owners, max_dist)}
-    for name, df in parts.items():
-        if only is not None:
-            df = df.filter((F.col("owner_x") == only[0]) & (F.col("owner_y") == only[1]))
-        writer = df.write.mode(mode).partitionBy("owner_x", "owner_y")
-        (writer if only is None else writer.option("partitionOverwriteMode", "dynamic")).parquet(f"{out_dir}/{name}")
-    spark.createDataFrame([tuple(map(float, at))], "x_min double, y_min double").write.mode("overwrite").parquet(f"{out_dir}/offset")
+def _write(spark: SparkSession, tiled: DataFrame, tile_size: float, resolution: float, max_dist: float, at, out_dir: str, only=None) -> None:
+    cells = tile_cells(tiled, resolution, at)
+    owners = owners_of(cells, tile_size, resolution)
+    for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist)}.items():
+        if only is None:
+            df.write.mode("overwrite").partitionBy("owner_x", "owner_y").parquet(f"{out_dir}/{name}")
+        else:
+            # the tile's own folder is replaced, even by nothing; others aren't touched
+            own = df.filter((F.col("owner_x") == only[0]) & (F.col("owner_y") == only[1])).drop("owner_x", "owner_y")
+            own.write.mode("overwrite").parquet(f"{out_dir}/{name}/owner_x={only[0]}/owner_y={only[1]}")
+    # the same for every tile of a data set
+    spark.createDataFrame([tuple(map(float, at))], "x_min double, y_min double").write.mode("overwrite" if only is None else "ignore").parquet(f"{out_dir}/offset")
 
 
 def process_tiles(spark: SparkSession, tile_size: float, resolution: float, max_dist: float, partition_dir: str, out_dir: str) -> None:
@@ -137,7 +156,7 @@ def stitch_out_of_core_results(spark: SparkSession, tmp_out_dir: str, resolution
         at = read_offset(spark, tmp_out_dir)
     except FileNotFoundError:
         at = (0.0, 0.0)
-    counts = spark.read.schema(_COUNTS).parquet(f"{tmp_out_dir}/counts").select("bx", "by", "gene", "n").distinct()
+    counts = shared.written(spark.read.schema(_COUNTS).parquet(f"{tmp_out_dir}/counts").select("bx", "by", "gene", "n").distinct())
     bins = matrix.dense_ids(counts.select("bx", "by").distinct(), "by", "bx", "bin_id")
     bins = P.get_bin_centers(bins, "square", resolution, at)
     edges = stitched_edges(spark.read.schema(_EDGES).parquet(f"{tmp_out_dir}/edges"), bins)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from gridlace.operators import graph, matrix, summary, tiles
 from gridlace.operators import points as P
+from gridlace.sources import exports, shared, synthetic
 from gridlace.sources import points as sources
-from gridlace.sources import synthetic
 
 
 @dataclass(frozen=True)
@@ -57,12 +57,15 @@ def _fused(spark, d, key) -> matrix.CountMatrix:
     return matrix.compute_square_bins(molecules(spark, d, key), SOURCES[key].resolution)
 
 
-def _nodes(spark, d, key) -> DataFrame:
-    return _fused(spark, d, key).bins.select(F.col("bin_id").alias("node"), "cx", "cy")
+def _graph(spark, d, key) -> tuple[matrix.CountMatrix, DataFrame, DataFrame]:
+    """Counts, nodes and edges, all of one table of counts."""
+    m = _fused(spark, d, key)
+    nodes = m.bins.select(F.col("bin_id").alias("node"), "cx", "cy")
+    return m, nodes, graph.neighbours(nodes, SOURCES[key].radius)
 
 
 def _edges(spark, d, key) -> DataFrame:
-    return graph.neighbours(_nodes(spark, d, key), SOURCES[key].radius)
+    return _graph(spark, d, key)[2]
 
 
 def _hex_nodes(spark, d, key) -> DataFrame:
@@ -84,8 +87,8 @@ def _centers(spark, d, key) -> DataFrame:
 
 
 def _kpi(spark, d, key) -> DataFrame:
-    m = _fused(spark, d, key)
-    return summary.kpi_summary(m.counts, _edges(spark, d, key))
+    m, _, edges = _graph(spark, d, key)
+    return summary.kpi_summary(m.counts, edges)
 
 
 def _stitched(spark, d, key) -> tuple[DataFrame, DataFrame]:
@@ -102,12 +105,72 @@ def _stitched_counts(spark, d, key) -> DataFrame:
 
 
 def _qv(spark, d) -> DataFrame:
-    raw = molecules(spark, d, "li").selectExpr("x as x_location", "y as y_location", "gene as feature_name")
     both = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_extendedprice / cast(100 as double) as x_location", "l_quantity * cast(10 as double) as y_location", "concat(l_returnflag, l_linestatus) as feature_name", "l_quantity as qv", "l_tax as extra")
-    assert raw.columns == both.columns[:3]
     return sources.standardise(both)
 
 
+def _place(spark) -> str:
+    """A new path in the shared folder."""
+    at = shared.folder(spark)
+    if at is None:
+        raise ValueError("spark.checkpoint.dir must name a shared folder for queries that write files")
+    return at
+
+
+def _partitioned(spark, d, key) -> str:
+    """A data set of tiles on disk: half of the table is written first, the rest appended."""
+    at, pts = _place(spark), molecules(spark, d, key)
+    half = F.pmod(F.hash("x", "y", "gene"), F.lit(2)) == 0
+    tiles.partition_dataset_to_tiles(pts.filter(half), SOURCES[key].tile, at)
+    tiles.partition_dataset_to_tiles(pts.filter(~half | half.isNull()), SOURCES[key].tile, at, mode="append")
+    return at
+
+
+def _tile_file(spark, d, key) -> DataFrame:
+    return tiles.load_tile_with_halo(spark, 1, 0, SOURCES[key].tile, SOURCES[key].radius, _partitioned(spark, d, key))
+
+
+def _from_files(spark, d, key):
+    """What the tiles wrote, put together from their files; one of the tiles was processed once more by itself."""
+    s, at, out = SOURCES[key], _partitioned(spark, d, key), _place(spark)
+    tiles.process_tiles(spark, s.tile, s.resolution, s.radius, at, out)
+    tiles.process_tile_out_of_core(spark, 1, 0, s.tile, s.resolution, s.radius, at, out)
+    return tiles.stitch_out_of_core_results(spark, out, s.resolution)
+
+
+def _csv(spark, d, load: Callable, rename: dict[str, str] | None = None, codec: str = "none") -> DataFrame:
+    at = f"{_place(spark)}.csv"
+    molecules(spark, d, "ev").withColumn("qv", F.lit(30)).withColumnsRenamed(rename or {}).write.option("compression", codec).csv(at, header=True)
+    return load(spark, at)
+
+
+def _exported(spark, d, form: str) -> DataFrame:
+    at = _place(spark)
+    if form == "dense":
+        exports.export_csv(_dense(spark, d), at)
+        return spark.read.csv(at, header=True, schema="bin_x double, bin_y double, " + ", ".join(f"{e} bigint" for e in EVENT_TYPES))
+    edges = _edges(spark, d, "ev")
+    if form == "edges":
+        exports.export_edges(edges, at)
+        return spark.read.csv(at, header=True, schema="source_bin bigint, target_bin bigint")
+    exports.export_matrix(graph.laplacian(edges), at)
+    return spark.read.parquet(at)
+
+
+def _sample_check(spark, d) -> DataFrame:
+    pts = molecules(spark, d, "ev")
+    drawn = summary.sample(pts)
+    return drawn.groupBy("x", "y", "gene").agg(F.count("*").alias("n")).join(pts.groupBy("x", "y", "gene").agg(F.count("*").alias("all")), ["x", "y", "gene"]).filter("n <= all").agg(F.sum("n").alias("rows"))
+
+
+def _mock_check(mock: Callable, low: float, high: float, names: tuple[str, ...]) -> Callable:
+    def run(spark, d) -> DataFrame:
+        inside = F.col("x").between(low, high) & F.col("y").between(low, high) & F.col("gene").isin(*names)
+        return mock(spark).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside")).select((F.col("n") == F.col("inside")).alias("inside"), F.col("n").between(15_000, 35_992).alias("sized"))
+
+    return run
+
+
 EVENT_TYPES = ["add_to_cart", "click", "purchase", "search", "view"]
 
 
@@ -136,9 +199,9 @@ FORMS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "edges": (_edges, ("ev", "li", "cu", "em")),
     "hex_edges": (lambda s, d, k: graph.neighbours(_hex_nodes(s, d, k), SOURCES[k].radius), ("ev", "cu")),
     "adjacency": (lambda s, d, k: graph.adjacency(_edges(s, d, k)), ("ev", "li", "cu")),
-    "degree": (lambda s, d, k: graph.degrees(_nodes(s, d, k), _edges(s, d, k)), ("ev", "li", "cu")),
+    "degree": (lambda s, d, k: graph.degrees(*_graph(s, d, k)[1:]), ("ev", "li", "cu")),
     "laplacian": (lambda s, d, k: graph.laplacian(_edges(s, d, k)), ("ev", "li", "cu")),
-    "edge_segments": (lambda s, d, k: graph.segments(_nodes(s, d, k), _edges(s, d, k)), ("ev", "li", "cu")),
+    "edge_segments": (lambda s, d, k: graph.segments(*_graph(s, d, k)[1:]), ("ev", "li", "cu")),
     "kpi_summary": (_kpi, ("ev", "li", "cu")),
     "tile_assign": (_tiled, ("ev", "cu")),
     "halo_tile": (lambda s, d, k: tiles.near_tile(_tiled(s, d, k), 1, 0, SOURCES[k].tile, SOURCES[k].radius), ("ev", "cu")),
@@ -149,6 +212,12 @@ FORMS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "stitched_counts": (_stitched_counts, ("ev", "li", "cu")),
     "stitched_edges": (lambda s, d, k: _stitched(s, d, k)[1], ("ev", "li", "cu")),
     "stitched_laplacian": (lambda s, d, k: graph.laplacian(_stitched(s, d, k)[1]), ("ev", "li", "cu")),
+    "tiles_written": (lambda s, d, k: tiles.read_tiles(s, _partitioned(s, d, k)), ("ev", "cu")),
+    "tile_file": (_tile_file, ("ev", "cu")),
+    "stitched_files_counts": (lambda s, d, k: _from_files(s, d, k)[0].cells, ("ev", "cu")),
+    "stitched_files_nodes": (lambda s, d, k: _from_files(s, d, k)[1], ("ev", "cu")),
+    "stitched_files_adjacency": (lambda s, d, k: _from_files(s, d, k)[2], ("ev", "cu")),
+    "stitched_files_laplacian": (lambda s, d, k: _from_files(s, d, k)[3], ("ev", "cu")),
 }
 
 
@@ -160,7 +229,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gene_filter_ev": lambda s, d: summary.only_gene(molecules(s, d, "ev"), "click"),
         "sample_ev": lambda s, d: summary.sample(molecules(s, d, "ev")),
         "bin_labels_ev": lambda s, d: summary.bin_labels(_fused(s, d, "ev").cells.groupBy("bin_id").agg(F.sum("n").alias("total"))),
-        "degree_labels_ev": lambda s, d: summary.degree_labels(graph.degrees(_nodes(s, d, "ev"), _edges(s, d, "ev"))),
+        "degree_labels_ev": lambda s, d: summary.degree_labels(graph.degrees(*_graph(s, d, "ev")[1:])),
+        "sample_check_ev": _sample_check,
+        "load_csv_ev": lambda s, d: _csv(s, d, sources.load_coordinates, {"x": "x_location", "y": "y_location", "gene": "feature_name"}),
+        "load_csv_gz_ev": lambda s, d: _csv(s, d, sources.load_coordinates, codec="gzip"),
+        "load_transcripts_ev": lambda s, d: _csv(s, d, sources.load_transcript_data),
+        "export_dense_ev": lambda s, d: _exported(s, d, "dense"),
+        "export_edges_ev": lambda s, d: _exported(s, d, "edges"),
+        "export_laplacian_ev": lambda s, d: _exported(s, d, "laplacian"),
+        "mock_cli_check": _mock_check(synthetic.mock_molecules, 10.0, 500.0, synthetic.CLI_GENES),
+        "mock_dashboard_check": _mock_check(synthetic.mock_dashboard, 50.0, 550.0, synthetic.BOARD_GENES),
         "mock_cli": lambda s, d: synthetic.mock_molecules(s),
         "mock_dashboard": lambda s, d: synthetic.mock_dashboard(s),
     }
@@ -231,7 +309,8 @@ _SELECTS = {
     "count_matrix_coo": "SELECT * FROM cells",
     "fused_matrix_coo": 'SELECT bin_id, gene_id, n FROM fc JOIN fb USING (bx, "by") JOIN g USING (gene)',
     "csr_view": _view("bin_id", "gene_id"),
-    "csc_view": _view("gene_id", "bin_id"),
+    "csc_view": """SELECT gene_id, bin_id // 65536 AS block, (sum(count(*)) OVER w - count(*))::BIGINT AS row_start, (sum(count(*)) OVER w)::BIGINT AS row_end,
+list(bin_id ORDER BY bin_id) AS indices, list(n ORDER BY bin_id) AS data FROM cells GROUP BY gene_id, bin_id // 65536 WINDOW w AS (ORDER BY gene_id, bin_id // 65536)""",
     "gene_dictionary": "SELECT * FROM g",
     "bin_dictionary": "SELECT * FROM fb",
     "bin_totals": 'SELECT bx, "by", sum(n)::BIGINT AS total FROM sc GROUP BY ALL',
@@ -254,6 +333,14 @@ _SELECTS = {
     "stitched_laplacian": """SELECT v AS row, v AS col, count(*)::DOUBLE AS value FROM (SELECT src AS v FROM se UNION ALL SELECT dst FROM se) GROUP BY v
 UNION ALL SELECT src, dst, -1::DOUBLE FROM se UNION ALL SELECT dst, src, -1::DOUBLE FROM se""",
 }
+_SELECTS |= {
+    "tiles_written": _SELECTS["tile_assign"],
+    "tile_file": _SELECTS["halo_tile"],
+    "stitched_files_counts": _SELECTS["stitched_counts"],
+    "stitched_files_nodes": 'SELECT bin_id AS node, cx, cy FROM ow JOIN si USING (bx, "by")',
+    "stitched_files_adjacency": "SELECT src AS row, dst AS col, 1::FLOAT AS value FROM se UNION ALL SELECT dst, src, 1::FLOAT FROM se",
+    "stitched_files_laplacian": _SELECTS["stitched_laplacian"],
+}
 
 
 def _sql(name: str, k: str) -> str:
@@ -273,6 +360,15 @@ def oracle_sql() -> dict[str, str]:
         "load_qv_filter_li": _base("li") + "SELECT l_extendedprice / 100::DOUBLE AS x, l_quantity * 10::DOUBLE AS y, concat(l_returnflag, l_linestatus) AS gene FROM lineitem WHERE l_quantity >= 20",
         "gene_filter_ev": "SELECT value AS x, user_id::DOUBLE AS y, event_type AS gene FROM events WHERE event_type = 'click'",
         "bin_labels_ev": base + "SELECT bin_id, 'Bin ' || bin_id || chr(10) || 'Total transcripts: ' || sum(n)::BIGINT AS label FROM fc JOIN fb USING (bx, \"by\") GROUP BY bin_id",
+        "sample_check_ev": "SELECT least(count(*), 30000)::BIGINT AS rows FROM events",
+        "load_csv_ev": base + "SELECT * FROM m",
+        "load_csv_gz_ev": base + "SELECT * FROM m",
+        "load_transcripts_ev": base + "SELECT x::FLOAT AS x, y::FLOAT AS y, gene FROM m",
+        "export_edges_ev": base + "SELECT src AS source_bin, dst AS target_bin FROM e",
+        "export_laplacian_ev": base + _SELECTS["laplacian"],
+        "mock_cli_check": "SELECT true AS inside, true AS sized",
+        "mock_dashboard_check": "SELECT true AS inside, true AS sized",
         "degree_labels_ev": base + "SELECT node, 'Bin ' || node || chr(10) || 'Degree: ' || degree AS label FROM dg",
     }
+    out["export_dense_ev"] = out["dense_matrix_ev"]
     return out

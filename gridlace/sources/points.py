@@ -79,7 +79,7 @@ def standardise(raw: DataFrame, min_qv: float | None = 20.0, kind: str = "double
     return df.select(F.col("x").cast(kind), F.col("y").cast(kind), F.col("gene").cast("string"))
 
 
-def load_coordinates(spark: SparkSession, file_path: str, min_qv: float = 20.0) -> DataFrame:
+def load_coordinates(spark: SparkSession, file_path: str, min_qv: float | None = 20.0) -> DataFrame:
     """(x DOUBLE, y DOUBLE, gene STRING) of a CSV, packed CSV or Parquet file."""
     return standardise(read_table(spark, file_path), min_qv)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the two generators.
 CLI_GENES = ("GAPDH", "ACTB", "MALAT1", "EPCAM", "CD3D")
-BOARD_GENES = ("GAPDH", "ACTB", "MALAT1", "EPCAM", "CD3D", "KRT19", "VIM", "COL1A1", "PTPRC", "CD79A")
+BOARD_GENES = ("GAPDH", "ACTB", "EPCAM", "CD3D", "MS4A1", "ERBB2", "KRT19", "PECAM1", "COL1A1", "VIM")
 
 
 def _clip(c, low: float, high: float):

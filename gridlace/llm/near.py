@@ -208,15 +208,16 @@ def _in_common(own: list[np.ndarray]) -> np.ndarray:
 def _linked(own: list[np.ndarray], n: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
     """Places of pairs of one node that may be similar enough by halves of their hashes, as many as join its labels.
 
-    n has the full sizes. Halves that meet by chance change a count by 1 each; pairs whose counts are so close to the threshold that
-    this could matter all go on, and join nothing here."""
-    common = _in_common(own)
-    near = 2 + (n * n >> 31)
-    near, both = near[:, None] + near[None, :], n[:, None] + n[None, :]
-    i, j = np.nonzero(np.triu(100 * (common + near) >= THRESHOLD * (both - common - near), 1))
+    n has the full sizes. Halves that meet within a set are known from its size and can hide as much of what is common; halves of two
+    sets that meet by chance add to it, once or not at all in sets of usual length. Pairs that such a chance would carry over
+    the threshold all go on, to be confirmed, and join nothing here."""
+    common, lost = _in_common(own), n - np.array([len(x) for x in own])
+    both, hidden = n[:, None] + n[None, :], np.minimum(lost[:, None], lost[None, :])
+    i, j = np.nonzero(np.triu(100 * (common + hidden) >= THRESHOLD * (both - common - hidden), 1))
     some = comp[i] != comp[j]
     i, j = i[some], j[some]
-    sure = 100 * (common[i, j] - near[i, j]) >= THRESHOLD * (both[i, j] - common[i, j] + near[i, j])
+    least = common[i, j] - 1 - (n[i] * n[j] >> 28)
+    sure = 100 * least >= THRESHOLD * (both[i, j] - least)
     out, root = list(zip(i[~sure].tolist(), j[~sure].tolist(), strict=True)), {c: c for c in comp.tolist()}
 
     def top(c: int) -> int:

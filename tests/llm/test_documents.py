@@ -399,3 +399,27 @@ def test_media_rows_are_filtered(spark):
         payload = media.pad(texts[r.doc_id].encode())
         png = media.encode_png(payload)
         assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), brute.sha(png), plain_feature(payload))
+
+
+def test_linked_pairs_of_a_node():
+    """Against full sets: no link across labels is left out, and what is passed on in vain is at the threshold."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    own = [np.unique(np.concatenate([base[rng.random(120) < 0.93], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)])) for _ in range(90)]
+    own += [np.unique(rng.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(10)]
+    comp = np.arange(100) // 3
+    got = near._linked([np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in own], np.array([len(x) for x in own]), comp)
+    sets = [set(x.tolist()) for x in own]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+    def parts(pairs):
+        root = {c: c for c in comp.tolist()}
+        for i, j in pairs:
+            a, b = root[int(comp[i])], root[int(comp[j])]
+            root = {k: a if v == b else v for k, v in root.items()}
+        return len(set(root.values()))
+
+    true = [(i, j) for i in range(100) for j in range(i + 1, 100) if share(i, j) >= 0.75]
+    assert all(share(i, j) > 0.73 for i, j in got)
+    assert parts([p for p in got if share(*p) >= 0.75]) == parts(true)
+    assert len(got) < len(true) / 4

@@ -1,21 +1,20 @@
 """Substring dedup: Rabin-Karp hashes of every 50-word window, counted in Spark.
 
-Pass 1 splits each text into words, hashes every window of WIDTH consecutive words to 64 bits and
-packs the hashes into one binary block for each bucket of hash values, along with the
-documents they start in. Ids are grouped by blocks of SPAN neighbours, and a task passes a
-window on once for each such block, with its smallest id there; so a window that stands in a third of all
-documents has one entry a block, not one a document. Per bucket, numpy finds the smallest id of each
-window and tells every block which of its windows also start in a smaller document.
-Pass 2 joins each block's texts with those windows and merges the words they cover into
-maximal removal intervals.
-
-Volume: 8 bytes a word and a little for ids; no row per word. More buckets than partitions
-keep each group small; their number follows spark.sql.shuffle.partitions. A collision of
-64-bit hashes would remove a window wrongly; n windows have about n * n / 2**65 of them.
-
-Defined results: a null text has no words; a null id counts as larger than all others; rows that
-share one id never remove each other's words; fewer words than WIDTH: nothing goes; an empty table
-gives an empty one; only the id and the text column are read.
+Neighbouring rows of a task form units of up to UNIT bytes of text (one row at least), written once to the
+shared folder; ids have no part in it, so rows that share one id, or have none, are spread like others.
+Pass 1 splits the texts of a unit into words, hashes every window of WIDTH consecutive words to 64 bits and packs the
+hashes by buckets of hash values, with the unit and the smallest and largest id they have there; so a
+window has one entry a unit, not one a document. Per bucket, numpy finds the smallest id of each window
+and tells every unit which of its windows also start in a smaller document.
+Pass 2 joins units with those windows and merges the words they cover into maximal removal intervals.
+
+Volume: 8 bytes a word and a little for ids; no row per word. The number of buckets follows the
+counted bytes of text, so that one holds about BUCKET bytes of hashes, and is twice the partitions at least. A
+collision of 64-bit hashes would remove a window wrongly; n windows have about n * n / 2**65 of them.
+
+Defined results: ids must be integers (TypeError otherwise); a null text has no words; a null id counts as larger
+than all others; rows that share one id (or have none) never remove each other's words; fewer words than WIDTH: nothing
+goes; a text of any length is taken whole; an empty table gives an empty one; only the id and the text column are read.
 """
 
 from __future__ import annotations
@@ -23,14 +22,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import scratch, words
 
 WIDTH = 50
-#: Neighbouring ids that are taken together (a power of two), bytes of text gathered before blocks go out.
-SPAN, GATHER = 256, 24 << 20
+#: Bytes of text of a unit, bytes of text gathered before blocks go out, bytes of hashes meant for a bucket.
+UNIT, GATHER, BUCKET = 2 << 20, 24 << 20, 32 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -40,102 +41,121 @@ def _windows(data: np.ndarray, bounds: np.ndarray, width: int):
     return starts, ends, first, h, at, doc
 
 
-def _smallest(h: np.ndarray, part: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each (hash, part) once with its smallest doc, by hash and part."""
-    order = np.lexsort((doc, part, h))
-    h, part, doc = h[order], part[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-    return h[new], part[new], doc[new]
+def _units(texts: DataFrame) -> DataFrame:
+    """(unit, size, ids, ends, packed): neighbouring rows of a task; ids and ends as 64-bit integers, texts as one zstd frame."""
 
+    def run(batches):
+        pack, base, k = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            bounds, data = words.utf8(batch.column(1))
+            for i, j in words.spans(bounds, UNIT):
+                a, b = int(bounds[i]), int(bounds[j])
+                row = [[base + k], [b - a], [ids[i:j].tobytes()], [(bounds[i + 1 : j + 1] - a).tobytes()], [pack.compress(data[a:b].tobytes())]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["unit", "size", "ids", "ends", "packed"])
+                k += 1
+
+    return texts.mapInArrow(words.freeing(run), "unit long, size long, ids binary, ends binary, packed binary")
 
-def _buckets(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, ids): packed windows of part of a task's documents."""
+
+def _rows(unit: dict, unpack: zstandard.ZstdDecompressor):
+    """Slices of a unit's texts: (bytes, bounds, ids)."""
+    ids = np.frombuffer(unit["ids"], dtype=np.int64)
+    bounds = np.concatenate([[0], np.frombuffer(unit["ends"], dtype=np.int64)])
+    data = np.frombuffer(unpack.decompress(unit["packed"], max_output_size=max(1, unit["size"])), dtype=np.uint8)
+    for i, j in words.spans(bounds):
+        yield data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], ids[i:j]
+
+
+def _once(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash once, in order of first places, with its smallest and largest doc."""
+    if not len(h):
+        return h, doc, doc
+    order = np.argsort(h, kind="stable")
+    sh, sd = h[order], doc[order]
+    lead = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
+    first = order[lead]
+    low, high = np.zeros_like(doc), np.zeros_like(doc)
+    low[first], high[first] = np.minimum.reduceat(sd, lead), np.maximum.reduceat(sd, lead)
+    keep = np.zeros(len(h), dtype=bool)
+    keep[first] = True
+    return h[keep], low[keep], high[keep]
+
+
+def _buckets(units: DataFrame, width: int, buckets: int) -> DataFrame:
+    """(bucket, hashes, units, low, more): packed windows of a few units of a task."""
     shift = np.uint64(64 - int(buckets - 1).bit_length()) if buckets > 1 else None
 
     def blocks(kept):
         pack = zstandard.ZstdCompressor(level=1)
-        h, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
-        h, _, doc = _smallest(h, doc // SPAN, doc)
-        at = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), dtype=np.int64)
-        edges = np.searchsorted(at, np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(edges))
-        rows = []
-        for b in full.tolist():
-            i, j = edges[b], edges[b + 1]
-            order = np.argsort(doc[i:j], kind="stable")
-            own = doc[i:j][order]
-            rows.append((b, h[i:j][order].tobytes(), pack.compress(np.diff(own, prepend=0).tobytes())))
-        for k in range(0, len(rows), 64):
-            b, x, y = zip(*rows[k : k + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["bucket", "hashes", "ids"])
+        h, unit, low, high = (np.concatenate(x) for x in zip(*kept, strict=True))
+        at = (h >> shift).astype(np.uint32) if shift is not None else np.zeros(len(h), dtype=np.uint32)
+        order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
+        h, unit, low, more, at = h[order], unit[order], low[order], (high - low)[order], at[order]
+        edges = np.append(np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1)), len(at)).tolist()
+        for k in range(0, len(edges) - 1, 64):
+            cut = list(zip(edges[k : k + 64], edges[k + 1 : k + 65]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(at[i]) for i, _ in cut], pa.int32()),
+                    pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()),
+                    *(pa.array([pack.compress(np.diff(x[i:j], prepend=0).tobytes()) for i, j in cut], pa.binary()) for x in (unit, low, more)),
+                ],
+                ["bucket", "hashes", "units", "low", "more"],
+            )
 
     def run(batches):
-        kept, size = [], 0
+        unpack, kept, size = zstandard.ZstdDecompressor(), [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            bounds, data = words.utf8(batch.column(1))
-            for i, j in words.spans(bounds):
-                own = bounds[i : j + 1] - bounds[i]
-                *_, h, _, doc = _windows(data[bounds[i] : bounds[j]], own, width)
-                kept.append((h, ids[i:j][doc]))
-                size += int(own[-1])
+            for k in range(batch.num_rows):
+                unit = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                found = [(h, ids[doc]) for data, bounds, ids in _rows(unit, unpack) for *_, h, _, doc in [_windows(data, bounds, width)]]
+                if not found:
+                    continue
+                h, low, high = _once(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                kept.append((h, np.full(len(h), unit["unit"]), low, high))
+                size += unit["size"]
                 if size >= GATHER:
                     yield from blocks(kept)
                     kept, size = [], 0
         if kept:
             yield from blocks(kept)
 
-    return docs.mapInArrow(run, "bucket int, hashes binary, ids binary")
+    return units.mapInArrow(words.freeing(run), "bucket int, hashes binary, units binary, low binary, more binary")
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each part, the windows that start in a smaller document too, and that document."""
+    """Of one bucket: for each unit, the windows that start in a smaller document than one there, and the smallest document."""
     pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-    h, doc = [], []
-    for x, y in zip(table.column("hashes"), table.column("ids"), strict=True):
-        h.append(np.frombuffer(x.as_py(), dtype=np.uint64))
-        doc.append(np.cumsum(np.frombuffer(unpack.decompress(y.as_py()), dtype=np.int64)))
-    h, doc = np.concatenate(h), np.concatenate(doc)
+    h = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("hashes")])
+    unit, low, more = (np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(x.as_py()), dtype=np.int64)) for x in table.column(name)]) for name in ("units", "low", "more"))
     order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    starts = np.flatnonzero(new)
-    least = np.minimum.reduceat(doc, starts) if len(starts) else doc[:0]
-    least = np.repeat(least, np.diff(np.append(starts, len(h))))
-    # a part whose own smallest is the window's first may hold larger documents with it: it needs to know too
-    part = doc // SPAN
-    h, part, least = _smallest(h, part, least)
-    # windows of one part only, with one entry, may still repeat within it; pass 2 sees that by itself
-    alone = np.ones(len(h), dtype=bool)
-    alone[1:] &= h[1:] != h[:-1]
-    alone[:-1] &= h[1:] != h[:-1]
-    h, part, least = h[~alone], part[~alone], least[~alone]
-    order = np.argsort(part, kind="stable")
-    h, part, least = h[order], part[order], least[order]
-    edges = np.flatnonzero(np.diff(part, prepend=part[0] - 1)) if len(part) else part
-    edges = np.append(edges, len(part))
-    rows = [(int(part[i]), h[i:j].tobytes(), pack.compress(least[i:j].tobytes())) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    p, x, y = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"part": pa.array(p, pa.int64()), "hashes": pa.array(x, pa.binary()), "least": pa.array(y, pa.binary())})
+    h = h[order]
+    lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    least = np.repeat(np.minimum.reduceat(low[order], lead), np.diff(np.append(lead, len(h)))) if len(h) else low
+    told = np.flatnonzero((low + more)[order] > least)
+    h, unit, least = h[told], unit[order][told], least[told]
+    order = np.argsort(unit, kind="stable")
+    h, unit, least = h[order], unit[order], least[order]
+    edges = np.append(np.flatnonzero(np.diff(unit, prepend=-1)), len(unit)).tolist()
+    cut = list(zip(edges[:-1], edges[1:]))
+    return pa.table(
+        {
+            "unit": pa.array([int(unit[i]) for i, _ in cut], pa.int64()),
+            "hashes": pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()),
+            "least": pa.array([pack.compress(least[i:j].tobytes()) for i, j in cut], pa.binary()),
+        }
+    )
 
 
 def _cut(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, known: np.ndarray, least: np.ndarray, width: int):
-    """Words, removed words, kept texts and removal intervals (in words) of documents of one part."""
+    """Words, removed words, kept texts and removal intervals (in words) of documents of one unit; known is sorted."""
     starts, ends, first, h, at, doc = _windows(data, bounds, width)
     mine = ids[doc]
     found = np.zeros(len(h), dtype=bool)
     if len(known):
         k = np.minimum(np.searchsorted(known, h), len(known) - 1)
         found = (known[k] == h) & (least[k] < mine)
-    order = np.lexsort((mine, h))
-    sh, sm = h[order], mine[order]
-    new = np.ones(len(sh), dtype=bool)
-    new[1:] = sh[1:] != sh[:-1]
-    lead = np.flatnonzero(new)
-    low = np.repeat(sm[lead], np.diff(np.append(lead, len(sh)))) if len(sh) else sm
-    found[order] |= low < sm
     cover = np.zeros(len(starts) + 1, dtype=np.int32)
     np.add.at(cover, at[found], 1)
     np.add.at(cover, at[found] + width, -1)
@@ -167,43 +187,35 @@ def _cut(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, known: np.ndarra
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, removed): removed has starts and ends of maximal intervals, in words."""
     spark = docs.sparkSession
-    if buckets is None:
-        buckets = 1 << max(4, (6 * scratch.fanout(spark)).bit_length())
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids must be integers, not {kind.simpleString()}")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("id"), F.col(text_col).cast("string").alias("text"))
     store = scratch.Scratch(spark, "substring")
-    packed = _buckets(texts, width, buckets)
-    told = packed.groupBy("bucket").applyInArrow(_repeats, "part long, hashes binary, least binary")
-    told = store.table(told, "told").groupBy("part").agg(F.collect_list(F.struct("hashes", "least")).alias("told"))
-
-    def squeeze(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw = [pack.compress(x.as_buffer()) if x.is_valid else None for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids // SPAN), batch.column(0), pa.array(raw, pa.binary())], ["part", "id", "packed"])
-
-    rows = texts.mapInArrow(squeeze, "part long, id long, packed binary").groupBy("part").agg(F.collect_list(F.struct("id", "packed")).alias("rows"))
-    joined = rows.join(told.hint("shuffle_hash"), "part", "left").select("rows", "told")
+    units = store.table(_units(texts), "units", codec="none")
+    if buckets is None:
+        size = units.agg(F.sum("size")).first()[0] or 0
+        buckets = 1 << max(4, (2 * scratch.fanout(spark)).bit_length(), (8 * size // 5 // BUCKET).bit_length())
+    told = _buckets(units, width, buckets).groupBy("bucket").applyInArrow(_repeats, "unit long, hashes binary, least binary")
+    told = store.table(told, "told").groupBy("unit").agg(F.collect_list(F.struct("hashes", "least")).alias("told"))
+    joined = units.join(told.hint("shuffle_hash"), "unit", "left").select("size", "ids", "ends", "packed", "told")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for r, t in zip(batch.column(0), batch.column(1), strict=True):
-                r, t = r.as_py(), t.as_py() or []
+            for k in range(batch.num_rows):
+                unit = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                t = unit["told"] or []
                 known = np.concatenate([np.frombuffer(x["hashes"], dtype=np.uint64) for x in t] or [np.zeros(0, dtype=np.uint64)])
                 least = np.concatenate([np.frombuffer(unpack.decompress(x["least"]), dtype=np.int64) for x in t] or [np.zeros(0, dtype=np.int64)])
                 order = np.argsort(known, kind="stable")
                 known, least = known[order], least[order]
-                raw = [unpack.decompress(x["packed"]) if x["packed"] is not None else b"" for x in r]
-                ids = np.array([x["id"] for x in r], dtype=np.int64)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-                n, lost, sizes, text, intervals = _cut(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds, ids, known, least, width)
-                whole = text.tobytes()
-                out = [whole[a:b].decode() for a, b in zip(sizes[:-1].tolist(), sizes[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([None if i == _LAST else int(i) for i in ids], pa.int64()), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(out, pa.string()), pa.array(intervals, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_text", "removed"])
-
-    done = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>")
+                for data, bounds, ids in _rows(unit, unpack):
+                    n, lost, sizes, text, intervals = _cut(data, bounds, ids, known, least, width)
+                    out = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == _LAST), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), out, pa.array(intervals, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+
+    done = joined.mapInArrow(words.freeing(run), "doc_id long, n_words long, n_removed long, kept_text string, removed array<long>")
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

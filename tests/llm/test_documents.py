@@ -81,6 +81,34 @@ def test_substring_repeated_rows(spark):
     assert got(substring.remove_repeats(df), ["doc_id", "n_removed"]) == [(5, 0), (5, 0), (6, 60)]
 
 
+def test_substring_null_and_repeated_ids_over_many_units(spark):
+    """A third of the rows without an id, a third under one id, negative ids, equal rows, a long text; in any partition."""
+    vocab = vocabulary(5)
+    draw = random.Random(5)
+    texts = [" ".join(vocab[i : i + draw.randrange(1, 90)] * draw.choice([1, 1, 2])) for i in (draw.randrange(40) for _ in range(90))]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i - 45, t) for i, t in enumerate(texts)]
+    rows += [(50, " ".join(vocab[:120] * 3000)), (None, None), (51, ""), rows[2], rows[2]]
+    last = 2**63 - 1
+    want = sorted(brute.substring([(last if d is None else d, t) for d, t in rows]))
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = substring.remove_repeats(df).withColumn("kept_sha256", F.sha2("kept_text", 256)).withColumn("doc_id", F.coalesce("doc_id", F.lit(last)))
+        assert got(out, OP1) == want
+
+
+def test_substring_ids(spark):
+    rows = [(1, " ".join(vocabulary(4)[:60]))]
+    small = substring.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert small.schema["doc_id"].dataType.simpleString() == "int" and small.first().n_words == 60
+    with pytest.raises(TypeError):
+        substring.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.lit("a")))
+
+
+def test_substring_sees_a_window_once_a_unit():
+    h, low, high = substring._once(np.array([9, 4, 9, 4, 1], dtype=np.uint64), np.array([3, 5, 2, 8, 1]))
+    assert (h.tolist(), low.tolist(), high.tolist()) == ([9, 4, 1], [2, 5, 1], [3, 8, 1])
+
+
 def of_kind(k):
     return lambda s: s.kind == k
 

@@ -1,6 +1,10 @@
 """Operators over documents against their plain forms: nulls, empties, long texts, ties, repeats, empty tables, clashing columns."""
 
+import math
 import random
+import re
+import statistics
+import zlib
 
 import numpy as np
 import pytest
@@ -416,8 +420,6 @@ def test_media_rows_are_filtered(spark):
     for t in texts:
         payload = media.pad(t.encode())
         png = media.encode_png(payload)
-        import zlib
-
         raw = zlib.decompress(png[33 + 8 : 33 + 8 + int.from_bytes(png[33:37], "big")])
         kinds |= {raw[i] for i in range(0, len(raw), 577)}
         assert media.decode_png(png).tobytes() == payload
@@ -451,3 +453,78 @@ def test_linked_pairs_of_a_node():
     assert all(share(i, j) > 0.73 for i, j in got)
     assert parts([p for p in got if share(*p) >= 0.75]) == parts(true)
     assert len(got) < len(true) / 4
+
+
+def plain_png(media):
+    """Height and samples by the letter of the format: chunks, then the filters none, left and up, sample by sample."""
+    at, body = 8, b""
+    while at < len(media):
+        size, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
+        assert zlib.crc32(media[at + 4 : at + 8 + size]) == int.from_bytes(media[at + 8 + size : at + 12 + size], "big")
+        body += media[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+        at += 12 + size
+    raw, lines, above = zlib.decompress(body), [], [0] * media.UNIT
+    for i in range(0, len(raw), media.UNIT + 1):
+        line = []
+        for x, up in zip(raw[i + 1 : i + 1 + media.UNIT], above, strict=True):
+            line.append((x + {0: 0, 1: line[-1] if line else 0, 2: up}[raw[i]]) % 256)
+        lines.append(line)
+        above = line
+    return lines
+
+
+def feature_by_definition(lines):
+    """32 x 32 means, cosine sums by their definition, signs against the median of all but the mean."""
+
+    def means(x):
+        edges = [i * len(x) // 32 for i in range(33)]
+        return [[sum(col) / len(col) for col in zip(*x[a : max(b, a + 1)], strict=True)] for a, b in zip(edges, edges[1:], strict=False)]
+
+    small = list(zip(*means([list(c) for c in zip(*means(lines), strict=True)]), strict=True))
+    wave = [[math.cos(math.pi * (2 * i + 1) * k / 64) for i in range(32)] for k in range(8)]
+    half = [[sum(w * v for w, v in zip(ws, col, strict=True)) for col in zip(*small, strict=True)] for ws in wave]
+    low = [round(sum(w * v for w, v in zip(ws, row, strict=True)), 6) for row in half for ws in wave]
+    middle = statistics.median(low[1:])
+    return f"{int(''.join('01'[v > middle] for v in low), 2):016x}"
+
+
+def test_media_against_a_plain_reader(spark, docs, rows):
+    stored = media.to_media(docs)
+    forms = {r.doc_id: r.media for r in stored.collect()}
+    texts = dict(rows)
+    for r in media.media_features(stored).collect():
+        lines = plain_png(forms[r.doc_id])
+        raw = (texts[r.doc_id] or "").encode()
+        assert bytes(x for line in lines for x in line) == media.pad(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(forms[r.doc_id]), brute.sha(forms[r.doc_id]))
+        assert r.feature == feature_by_definition(lines)
+
+
+def test_iban_and_context_against_plain_forms(spark):
+    rng = random.Random(6)
+    good = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    rows = []
+    for i in range(300):
+        words = []
+        for _ in range(rng.randint(1, 12)):
+            iban = rng.choice(good)
+            if rng.random() < 0.5:
+                k = rng.randrange(4, len(iban))
+                iban = iban[:k] + rng.choice("0123456789") + iban[k + 1 :]
+            words += [rng.choice([iban, iban.lower(), f"({iban})", f"x{iban}", "bank", "IBAN:", "accounts", "filler " * rng.randint(1, 9), "née"])]
+        rows.append((i, " ".join(words)))
+
+    def plain(text):
+        out = []
+        hits = list(re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", text))
+        for n, m in enumerate(hits):
+            if int("".join(str(int(c, 36)) for c in m[0][4:] + m[0][:4])) % 97 == 1:
+                before = text[hits[n - 1].end() if n else 0 : m.start()][-48:]
+                after = text[m.end() : hits[n + 1].start() if n + 1 < len(hits) else len(text)][:48]
+                near_word = re.search(r"\b(?:iban|account|bank|transfer|bic|swift)\b", f"{before} {after}", re.IGNORECASE | re.ASCII)
+                out.append((m.start(), m.end(), 1.0 if near_word else 0.9))
+        return out
+
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got_spans = {r.doc_id: [(s["start"], s["end"], s["score"]) for s in r.spans if s["kind"] == "iban"] for r in found}
+    assert got_spans == {i: plain(t) for i, t in rows}

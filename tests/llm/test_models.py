@@ -361,3 +361,45 @@ def test_decontaminate_latent_search_and_recall(spark):
     latent = {(r.doc_id, r.item_id) for r in out if r.latent}
     long = [(d, k) in latent for d, _, k in docs if d < 100 and len(items[k][1].split()) >= 30]
     assert np.mean(long) >= 0.9 and latent < found
+
+
+def test_langid_against_plain_averages(spark):
+    """Labels and scores of the trained model, one byte after the other."""
+    rows = [(i, t[:400], lang) for i, t, lang in labelled(90)] + [(500, "Bla, BLO; 12 gor ¿taé?", None), (501, "a", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(df)
+
+    def plain(text):
+        raw = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()]
+        x, total = raw + [32] * 3, np.zeros(len(model.labels))
+        for i in range(len(raw)):
+            four = int.from_bytes(bytes(x[i : i + 4]), "big") * 2654435761 % 2**32
+            total += model.table[x[i] * 256 + x[i + 1]] + model.table[65536 + (four >> (32 - langid.BITS))].astype(float)
+        z = np.append(total / (2 * len(raw)) + model.bias, model.none) / model.temperature
+        p = np.exp(z - z.max())
+        p = (p / p.sum())[:-1]
+        return model.labels[int(p.argmax())], p.max()
+
+    for r in langid.predict(df, model, keep=("text",)).collect():
+        label, score = plain(r.text)
+        assert r.lang_pred == label and r.score == pytest.approx(score, rel=1e-3)
+        assert r.rejected == (r.score < model.threshold or r.doc_id == 501)
+
+
+def test_chat_threads_and_places_against_a_plain_walk(spark):
+    """Random reply trees in several conversations, each message quoting one earlier message."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for conv in range(4):
+        thread = {}
+        for turn in range(60):
+            up = rng.randrange(turn) if turn and rng.random() < 0.8 else None
+            thread[turn] = turn if up is None else thread[up]
+            quote = "" if up is None else f"> word {conv} of\n> turn {up} here.\n"
+            rows.append((conv, turn, "a", f"{quote}word {conv} of turn {turn} here.", "x"))
+            want[conv, turn] = [up, thread[turn]]
+        for place, turn in enumerate(sorted(thread, key=lambda t: (thread[t], t))):
+            want[conv, turn].append(place)
+    rng.shuffle(rows)
+    out = chat.format_chats(spark.createDataFrame(rows, CONV).repartition(3)).collect()
+    assert {(r.conv_id, r.turn): [r.reply_to, r.thread, r.position] for r in out} == want

@@ -455,13 +455,13 @@ def test_linked_pairs_of_a_node():
     assert len(got) < len(true) / 4
 
 
-def plain_png(media):
+def plain_png(png):
     """Height and samples by the letter of the format: chunks, then the filters none, left and up, sample by sample."""
     at, body = 8, b""
-    while at < len(media):
-        size, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
-        assert zlib.crc32(media[at + 4 : at + 8 + size]) == int.from_bytes(media[at + 8 + size : at + 12 + size], "big")
-        body += media[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+    while at < len(png):
+        size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        assert zlib.crc32(png[at + 4 : at + 8 + size]) == int.from_bytes(png[at + 8 + size : at + 12 + size], "big")
+        body += png[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
         at += 12 + size
     raw, lines, above = zlib.decompress(body), [], [0] * media.UNIT
     for i in range(0, len(raw), media.UNIT + 1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, media, near, pii, store, substring
+from . import bpe, chat, decontaminate, langid, lines, media, near, pii, store, substring, trie
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_near": near.op8_near,
     "op9_bpe": bpe.op9_bpe,
     "op10_media": media.op10_media,
+    "op11_trie": trie.op11_trie,
 }
-SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL}
+SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL, "op11_trie": trie.OP11_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, lines, media, near, pii, search, store, substring, trie
+from . import bpe, chat, decontaminate, graphs, langid, lines, media, near, pii, search, store, substring, trie
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_media": media.op10_media,
     "op11_trie": trie.op11_trie,
+    "op12_neighbours": graphs.op12_neighbours,
     "op13_search": search.op13_search,
 }
 SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL, "op11_trie": trie.OP11_SQL, "op13_search": search.OP13_SQL}

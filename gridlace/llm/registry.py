@@ -19,4 +19,4 @@ QUERIES = {
     "op12_neighbours": graphs.op12_neighbours,
     "op13_search": search.op13_search,
 }
-SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL, "op11_trie": trie.OP11_SQL, "op13_search": search.OP13_SQL}
+SQL: dict[str, str] = {"op6_lines": lines.OP6_SQL, "op11_trie": trie.OP11_SQL, "op12_neighbours": graphs.OP12_SQL, "op13_search": search.OP13_SQL}

@@ -101,3 +101,10 @@ def test_pruning_keeps_diverse_edges():
     at = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [0, 2.2], [-3, 0]], dtype=np.float32)
     got_ = graphs.prune(at, np.array([0]), np.array([[5, 2, 4, 1, 3, -1, 0, 1]]), 4)
     assert got_.tolist() == [[1, 3, 5, -1]]
+
+
+def test_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    assert got(graphs.op12_neighbours(spark, "/root/testdata/sf0.001")) == sorted(con.sql(graphs.OP12_SQL).select(*COLS).fetchall())

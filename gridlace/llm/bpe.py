@@ -63,10 +63,12 @@ class Known:
     def __init__(self, enc: tokens.Encoder, raw: bytes, ids: np.ndarray):
         self.raw, self.ids, self.n = raw, ids, len(ids)
         self.ends = np.concatenate([[0], np.cumsum(enc.lengths()[ids])])
-        at = np.arange(self.n + 1)
+        at, data = np.arange(self.n + 1), np.frombuffer(raw, dtype=np.uint8)
         if enc.level:
-            at = at[np.isin(self.ends, enc.cuts(np.frombuffer(raw, dtype=np.uint8)))]
-        #: Numbers of ids after which a margin may end.
+            at = at[np.isin(self.ends, enc.cuts(data))]
+        else:  # an id may end within a character
+            at = at[:-1][data[np.minimum(self.ends[:-1], len(raw) - 1)] & 0xC0 != 0x80]
+        #: Numbers of ids after which a margin may end: where it does, a character does too.
         self.stops = at[(at > 0) & (at < self.n)]
         self.head = self.tail = 0
         self.usable = self.widen(0) and self.widen(1)
@@ -131,6 +133,12 @@ def join(enc: tokens.Encoder, docs: list[list[bytes | Known]]) -> list[np.ndarra
     return [done[d] for d in range(len(docs))]
 
 
+def reusable(enc: tokens.Encoder, raw: list[bytes]) -> dict[int, bytes]:
+    """Ids of those chunks that their own ids spell, by their places in raw."""
+    ids, edges = enc.encode_bytes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    return {k: ids[edges[k] : edges[k + 1]].tobytes() for k, x in enumerate(enc.spelled(ids, edges)) if x == raw[k]}
+
+
 def _facts(enc: tokens.Encoder, ids: np.ndarray, edges: np.ndarray) -> list[pa.Array]:
     """n_tokens, ids_sha256 and decoded_sha256 of each text; the text is decoded from the ids."""
     listed = [hashlib.sha256(x[:-1]).hexdigest() for x in enc.listed(ids, edges)]
@@ -191,10 +199,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     for o in own:
                         digests.append(o["digest"])
                         raw.append(chunks[o["seq"]])
-                ids, edges = enc.encode_bytes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
-                spelled = enc.spelled(ids, edges)
-                keep = [k for k in range(len(raw)) if spelled[k] == raw[k]]
-                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array([ids[edges[k] : edges[k + 1]].tobytes() for k in keep], pa.binary())], ["digest", "ids"])
+                kept = reusable(enc, raw)
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in kept], pa.binary()), pa.array(kept.values(), pa.binary())], ["digest", "ids"])
         enc.forget()  # the worker may go on to other work
 
     owners = shared.groupBy("key").agg(F.collect_list(F.struct("seq", "digest")).alias("own"))

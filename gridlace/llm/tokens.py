@@ -97,9 +97,9 @@ class Encoder:
         return at
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
-        """Encode new pieces; their slots. Those with one space or break, at their start, are encoded in joined texts."""
+        """Encode new pieces; their slots, the last of which are those of pieces too long to hold. Those with one space or break, at their start, are encoded in joined texts."""
         texts = [x.decode() for x in new]
-        plain = [i for i, x in enumerate(texts) if _ONE_SPACE.fullmatch(x)]
+        plain = [i for i, x in enumerate(texts) if len(new[i]) <= LONGEST and _ONE_SPACE.fullmatch(x)]
         blocks = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         order, ids, sizes, left = [], [], [], []
         for own, got in zip(blocks, self._library(["".join(texts[i] for i in b) for b in blocks]), strict=True):
@@ -188,7 +188,7 @@ class Encoder:
         got = self._tables[kind].take(pa.array(ids))
         _, at, data = got.buffers()
         at = np.frombuffer(at, dtype=np.int64)[got.offset + edges].tolist() if len(ids) else [0] * len(edges)
-        data = memoryview(b"" if data is None else data)
+        data = memoryview(b"" if data is None else data).cast("B")  # an Arrow buffer has signed bytes, unequal to any bytes from 128 on
         return [data[a:b] for a, b in itertools.pairwise(at)]
 
     def spelled(self, ids: np.ndarray, edges: np.ndarray) -> list[memoryview]:

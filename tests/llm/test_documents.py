@@ -1,5 +1,6 @@
 """Operators over documents against their plain forms: nulls, empties, long texts, ties, repeats, empty tables, clashing columns."""
 
+import json
 import math
 import random
 import re
@@ -379,6 +380,57 @@ def test_bpe_where_no_place_is_a_cut(spark, tmp_path):
     assert got(bpe.digests(bpe.encode(df, path=path), path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows, path)
 
 
+def test_long_pieces_leave_the_cache_alone():
+    """Pieces that are too long to hold, with and without a space before them, beside short ones that are held."""
+    enc = tokens.Encoder(PATH)
+    rng = random.Random(8)
+    texts = [" ".join(["字" * rng.choice([1, 2, 90, 200]) + rng.choice("漢語的") * rng.randint(1, 3), "short" + rng.choice("abc"), "x" * rng.choice([1, 300])]) for _ in range(60)]
+    want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(3):
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+        rng.shuffle(both := list(zip(texts, want, strict=True)))
+        texts, want = map(list, zip(*both, strict=True))
+
+
+def plain_file(at):
+    """The given file without its pattern: no place is a cut, and ids end within characters."""
+    with open(PATH, encoding="utf-8") as f:
+        own = json.load(f)
+    own["pre_tokenizer"]["use_regex"] = False
+    path = at / "plain.json"
+    path.write_text(json.dumps(own), encoding="utf-8")
+    return str(path)
+
+
+SCRIPTS = {
+    "accents": "élève garçon über straße año señor façade naïve čeština žluťoučký",
+    "cjk": "統計 資料 日本語 中文 한국어 데이터 漢字 的是不了人我在有他这为之大来以个",
+    "emoji": "😀 👍🏽 family 👨‍👩‍👧‍👦 🎉🎉 flags 🇩🇪🇫🇷 text",
+    "mixed": "plain words, naïve 中文 😀 and more",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+@pytest.mark.parametrize("plain", [False, True])
+def test_bpe_reuses_chunks_of_any_script(spark, tmp_path, script, plain):
+    path = plain_file(tmp_path) if plain else PATH
+    enc = tokens.encoder(path)
+    assert enc.level is not plain
+    rng = random.Random(3)
+    parts = SCRIPTS[script].split(" ")
+    text = lambda n: rng.choice(["", " "]).join(rng.choice(parts) for _ in range(n))
+    body = [text(3).join([" ", "\n"]) + text(rng.randint(1, 9)) for _ in range(700)]
+    shared = "".join(body)
+    chunks = bpe._chunks(np.frombuffer(shared.encode(), dtype=np.uint8))
+    assert len(chunks) > 2 and len(bpe.reusable(enc, chunks)) == len(chunks)  # each is reused
+    known = [bpe.Known(enc, c, np.frombuffer(i, enc.dtype)) for c, i in zip(chunks, bpe.reusable(enc, chunks).values(), strict=True)]
+    want = enc.tok.encode("é" + shared + "中", add_special_tokens=False).ids
+    assert bpe.join(enc, [["é".encode(), *known, "中".encode()]])[0].tolist() == want
+    rows = [(i, text(rng.randint(0, 200)) + shared + text(rng.randint(0, 200))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert got(bpe.digests(bpe.encode(df, path=path), path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == brute.bpe(rows, path)
+
+
 def test_join_widens_until_both_sides_agree(tmp_path):
     """Chunks whose ids at the edges are wrong on purpose."""
     enc = tokens.encoder(PATH)

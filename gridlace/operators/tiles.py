@@ -14,17 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlace.functions import binning
-from gridlace.sources import points as sources
-from gridlace.sources import shared
+from gridlace.sources import shared, tileset
 
 from . import graph, matrix
 from . import points as P
 
 
-#: Columns of what is stored; given to readers, as an empty partitioned table has no files.
-_POINTS = "x double, y double, gene string, tile_x bigint, tile_y bigint"
-_COUNTS = "bx bigint, by bigint, gene string, n bigint, owner_x bigint, owner_y bigint"
-_EDGES = "bx_a bigint, by_a bigint, bx_b bigint, by_b bigint, owner_x bigint, owner_y bigint"
+#: Columns of what is stored; given to readers, as an empty table has no files.
+_BINS = "bx bigint, by bigint, cx double, cy double, home_x bigint, home_y bigint, home_active boolean, owner_x bigint, owner_y bigint, run int"
+_COUNTS = "bx bigint, by bigint, gene string, n bigint, owner_x bigint, owner_y bigint, run int"
+_EDGES = "bx_a bigint, by_a bigint, bx_b bigint, by_b bigint, owner_x bigint, owner_y bigint, run int"
+_REDONE = "owner_x bigint, owner_y bigint, run int"
+_LOG = "full boolean, tile_size double, resolution double, max_dist double, x_min double, y_min double, batch int, n int"
+#: Distances are widened by this share of a coordinate, so that rounding can't leave a tile out.
+_SLACK = 2.0**-40
 
 
 def assign_tiles(points: DataFrame, tile_size: float) -> DataFrame:
@@ -34,24 +37,25 @@ def assign_tiles(points: DataFrame, tile_size: float) -> DataFrame:
 
 
 def partition_dataset_to_tiles(points: DataFrame, tile_size: float, partition_dir: str, mode: str = "overwrite") -> None:
-    """points/ by tile, genes/ and offset/ under partition_dir; what was there is replaced, or with mode "append" added to."""
+    """Points by tile under partition_dir, with index, genes and offset (see sources.tileset); what was there is replaced, or with mode
+    "append" added to, for which the new points alone are read."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
     tiled = assign_tiles(points.select(F.col("x").cast("double"), F.col("y").cast("double"), "gene"), tile_size)
-    # rows of a tile go to one writer each; crowded tiles are split by the rebalancing
-    tiled.hint("rebalance", "tile_x", "tile_y").write.mode(mode).partitionBy("tile_x", "tile_y").parquet(f"{partition_dir}/points")
-    stored = read_tiles(tiled.sparkSession, partition_dir)
-    matrix.gene_ids(stored).write.mode("overwrite").parquet(f"{partition_dir}/genes")
-    P.offset(stored).write.mode("overwrite").parquet(f"{partition_dir}/offset")
+    tileset.append(tiled, tile_size, partition_dir, replace=mode == "overwrite")
 
 
 def read_tiles(spark: SparkSession, partition_dir: str) -> DataFrame:
-    sources.require(spark, f"{partition_dir}/points")
-    return spark.read.schema(_POINTS).parquet(f"{partition_dir}/points")
+    return tileset.read_points(spark, partition_dir)
 
 
 def read_offset(spark: SparkSession, partition_dir: str) -> tuple[float, float]:
-    sources.require(spark, f"{partition_dir}/offset")
-    row = spark.read.parquet(f"{partition_dir}/offset").first()
-    return row["x_min"], row["y_min"]
+    return tileset.read_offset(spark, partition_dir)
+
+
+def read_genes(spark: SparkSession, partition_dir: str) -> DataFrame:
+    """(gene, gene_id) of all points."""
+    return matrix.gene_ids(tileset.read_genes(spark, partition_dir))
 
 
 def near_tile(tiled: DataFrame, tile_x: int, tile_y: int, tile_size: float, halo_width: float) -> DataFrame:
@@ -63,7 +67,11 @@ def near_tile(tiled: DataFrame, tile_x: int, tile_y: int, tile_size: float, halo
 
 
 def load_tile_with_halo(spark: SparkSession, tile_x: int, tile_y: int, tile_size: float, halo_width: float, partition_dir: str) -> DataFrame:
-    return near_tile(read_tiles(spark, partition_dir), tile_x, tile_y, tile_size, halo_width)
+    """near_tile() of a data set on disk; only files with points in the box are opened."""
+    ring = F.col("tile_x").between(tile_x - 1, tile_x + 1) & F.col("tile_y").between(tile_y - 1, tile_y + 1)
+    low, high = ([(t + k) * tile_size + s * halo_width for t in (tile_x, tile_y)] for k, s in ((0, -1), (1, 1)))
+    box = (F.col("x_max") >= low[0]) & (F.col("x_min") <= high[0]) & (F.col("y_max") >= low[1]) & (F.col("y_min") <= high[1])
+    return near_tile(tileset.read_files(spark, partition_dir, tileset.read_index(spark, partition_dir).filter(ring & box)), tile_x, tile_y, tile_size, halo_width)
 
 
 def tile_cells(tiled: DataFrame, resolution: float, at=None, mode: str = "floor") -> DataFrame:
@@ -119,47 +127,117 @@ def tile_edges(owners: DataFrame, max_dist: float) -> DataFrame:
     return sides[0].select(*names).unionByName(sides[1].select(*names)).distinct()
 
 
-def _write(spark: SparkSession, tiled: DataFrame, tile_size: float, resolution: float, max_dist: float, at, out_dir: str, only=None) -> None:
+def _runs(spark: SparkSession, out_dir: str, sizes: tuple[float, ...] | None = None, at: tuple[float, float] | None = None) -> list:
+    """Runs whose results count, oldest first; ValueError if they had other sizes or another offset."""
+    runs = tileset.entries(spark, f"{out_dir}/log", _LOG)
+    if runs and sizes and tuple(runs[-1][1:4]) != sizes:
+        raise ValueError(f"results there are for (tile_size, resolution, max_dist) = {tuple(runs[-1][1:4])}, not {sizes}")
+    if runs and at and tuple(runs[-1][4:6]) != at:
+        raise ValueError("the offset of the points has changed since: all tiles have to be processed")
+    return runs
+
+
+def _write(tiled: DataFrame, sizes: tuple[float, float, float], at: tuple[float, float], out_dir: str, n: int, batch: int, only: DataFrame | None = None) -> None:
+    """Results of a run: of all tiles, or of those in only (owner_x, owner_y), which count instead of earlier ones from then on."""
+    spark = tiled.sparkSession
+    tile_size, resolution, max_dist = sizes
     cells = tile_cells(tiled, resolution, at)
     owners = owners_of(cells, tile_size, resolution)
     for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist)}.items():
-        if only is None:
-            df.write.mode("overwrite").partitionBy("owner_x", "owner_y").parquet(f"{out_dir}/{name}")
-        else:
-            # the tile's own folder is replaced, even by nothing; others aren't touched
-            own = df.filter((F.col("owner_x") == only[0]) & (F.col("owner_y") == only[1])).drop("owner_x", "owner_y")
-            own.write.mode("overwrite").parquet(f"{out_dir}/{name}/owner_x={only[0]}/owner_y={only[1]}")
-    # the same for every tile of a data set
-    spark.createDataFrame([tuple(map(float, at))], "x_min double, y_min double").write.mode("overwrite" if only is None else "ignore").parquet(f"{out_dir}/offset")
+        own = df if only is None else df.join(only, ["owner_x", "owner_y"], "left_semi")
+        tileset.along_curve(own, F.col("owner_x"), F.col("owner_y"), "owner_x", "owner_y").write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
+    tileset.enter(spark, f"{out_dir}/log", _LOG, n, [only is None, *sizes, *at, batch])
 
 
 def process_tiles(spark: SparkSession, tile_size: float, resolution: float, max_dist: float, partition_dir: str, out_dir: str) -> None:
-    """Bins, counts and edges of all tiles at once, partitioned by owner; what was there is replaced."""
-    _write(spark, read_tiles(spark, partition_dir), tile_size, resolution, max_dist, read_offset(spark, partition_dir), out_dir)
+    """Bins, counts and edges of all tiles at once; what was there is replaced."""
+    old = tileset.entries(spark, f"{out_dir}/log", _LOG)
+    batch = tileset.entries(spark, f"{partition_dir}/log", tileset.LOG)
+    tiled = read_tiles(spark, partition_dir)
+    _write(tiled, (float(tile_size), float(resolution), float(max_dist)), read_offset(spark, partition_dir), out_dir, old[-1]["n"] + 1 if old else 1, batch[-1]["n"])
+    for e in old:
+        for name in ("log/n", "bins/run", "counts/run", "edges/run", "redone/run"):
+            tileset.delete(spark, f"{out_dir}/{name}={e['n']}")
+
+
+def _redo(spark: SparkSession, dirty: DataFrame, sizes: tuple[float, float, float], at: tuple[float, float], partition_dir: str, out_dir: str, n: int, batch: int) -> DataFrame:
+    """Process the tiles of dirty (owner_x, owner_y) by themselves; files are read that hold tiles within reach of these, and no others."""
+    tile_size, resolution, max_dist = sizes
+    dirty.distinct().write.mode("overwrite").parquet(f"{out_dir}/redone/run={n}")
+    only = spark.read.schema(_REDONE.removesuffix(", run int")).parquet(f"{out_dir}/redone/run={n}")
+    ring = 1 + math.ceil((max_dist + 2 * resolution) / tile_size)
+    around = [F.explode(F.sequence(F.col(f"owner_{c}") - ring, F.col(f"owner_{c}") + ring)).alias(f"tile_{c}") for c in "xy"]
+    near = only.select("owner_y", around[0]).select("tile_x", around[1]).distinct()
+    held = tileset.read_index(spark, partition_dir).join(near, ["tile_x", "tile_y"], "left_semi")
+    tiled = tileset.read_files(spark, partition_dir, held).join(near, ["tile_x", "tile_y"], "left_semi").select("x", "y", "gene", "tile_x", "tile_y")
+    _write(tiled, sizes, at, out_dir, n, batch, only)
+    return only
 
 
 def process_tile_out_of_core(spark: SparkSession, tile_x: int, tile_y: int, tile_size: float, resolution: float, max_dist: float, partition_dir: str, tmp_out_dir: str) -> None:
-    """The same for one tile; only tiles that can touch its bins or their edges are read."""
-    at = read_offset(spark, partition_dir)
-    ring = 2 + math.ceil((max_dist + resolution) / tile_size)
-    near = F.col("tile_x").between(tile_x - ring, tile_x + ring) & F.col("tile_y").between(tile_y - ring, tile_y + ring)
-    _write(spark, read_tiles(spark, partition_dir).filter(near), tile_size, resolution, max_dist, at, tmp_out_dir, (tile_x, tile_y))
+    """The same for one tile, of which earlier results no longer count; others aren't touched."""
+    sizes, at = (float(tile_size), float(resolution), float(max_dist)), read_offset(spark, partition_dir)
+    runs = _runs(spark, tmp_out_dir, sizes, at)
+    tile = spark.createDataFrame([(tile_x, tile_y)], "owner_x bigint, owner_y bigint")
+    _redo(spark, tile, sizes, at, partition_dir, tmp_out_dir, runs[-1]["n"] + 1 if runs else 1, runs[-1]["batch"] if runs else 0)
+
+
+def process_appended(spark: SparkSession, tile_size: float, resolution: float, max_dist: float, partition_dir: str, out_dir: str) -> DataFrame:
+    """Bring results up to date with the points appended since; (owner_x, owner_y) of the tiles that were processed.
+
+    A tile is processed again if it can own a bin that got points, if the owner of a bin can have changed as a tile got its first
+    points, or if it can own a bin within max_dist of a new one. All are if the smallest coordinates have changed, as all bins have then, if
+    the points were replaced, or if there are no complete results for these sizes. Files of earlier results stay as they are."""
+    sizes, at = (float(tile_size), float(resolution), float(max_dist)), read_offset(spark, partition_dir)
+    log, runs = tileset.entries(spark, f"{partition_dir}/log", tileset.LOG), _runs(spark, out_dir)
+    if not runs or not runs[0]["full"] or tuple(runs[-1][1:6]) != (*sizes, *at) or log[0]["n"] > runs[-1]["batch"]:
+        process_tiles(spark, *sizes, partition_dir, out_dir)
+        return results(spark, out_dir, "bins").select("owner_x", "owner_y").distinct()
+    done = runs[-1]["batch"]
+    if done == log[-1]["n"]:
+        return spark.createDataFrame([], "owner_x bigint, owner_y bigint")
+    new = P.bin_square(tileset.read_points(spark, partition_dir, done), resolution, at=at).select("bx", "by").distinct()
+    known = results(spark, out_dir, "bins").select("bx", "by", F.lit(True).alias("known"))
+    bins = P.get_bin_centers(new.join(known, ["bx", "by"], "left"), "square", resolution, at)
+    bins = bins.withColumn("reach", F.lit(resolution / 2) + F.when(F.col("known"), 0.0).otherwise(sizes[2]))
+    index = tileset.read_index(spark, partition_dir)
+    tiles_ = index.filter(F.col("batch") > done).select("tile_x", "tile_y").distinct()
+    active = tiles_.join(index.filter(F.col("batch") <= done), ["tile_x", "tile_y"], "left_anti")
+    half = F.lit(tile_size / 2)
+    active = active.select(*((F.col(f"tile_{c}") * F.lit(sizes[0]) + half).alias(f"c{c}") for c in "xy"), (half + F.lit(resolution / 2)).alias("reach"))
+    return _redo(spark, _tiles_within(bins.select("cx", "cy", "reach").unionByName(active), sizes[0]), sizes, at, partition_dir, out_dir, runs[-1]["n"] + 1, log[-1]["n"])
+
+
+def _tiles_within(boxes: DataFrame, tile_size: float) -> DataFrame:
+    """(owner_x, owner_y) of the tiles that meet boxes of a reach around (cx, cy)."""
+    edge = lambda c, sign: F.floor((F.col(c) + sign * (F.col("reach") + (F.abs(c) + F.col("reach")) * _SLACK)) / F.lit(tile_size)).cast("bigint")
+    span = [F.explode(F.sequence(edge(f"c{c}", -1), edge(f"c{c}", 1))).alias(f"owner_{c}") for c in "xy"]
+    return boxes.select("cy", "reach", span[0]).select("owner_x", span[1]).distinct()
+
+
+def results(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """bins, counts or edges as the latest run of each tile has them; FileNotFoundError if there were no runs."""
+    runs = _runs(spark, out_dir)
+    if not runs:
+        raise FileNotFoundError(f"{out_dir}/log")
+    kept = F.col("run").between(runs[0]["n"], runs[-1]["n"])
+    df = spark.read.schema({"bins": _BINS, "counts": _COUNTS, "edges": _EDGES}[name]).parquet(f"{out_dir}/{name}").filter(kept)
+    if runs[0]["full"] and len(runs) == 1:
+        return df.drop("run")
+    redone = spark.read.schema(_REDONE).parquet(f"{out_dir}/redone").filter(kept).groupBy("owner_x", "owner_y").agg(F.max("run").alias("last"))
+    return df.join(redone, ["owner_x", "owner_y"], "left").filter("last is null or last = run").drop("run", "last")
 
 
 def stitch_out_of_core_results(spark: SparkSession, tmp_out_dir: str, resolution: float):
     """(counts: CountMatrix, nodes (node, cx, cy), adjacency, laplacian) of what the tiles wrote; rows in the order of (by, bx)."""
-    try:
-        sources.require(spark, f"{tmp_out_dir}/counts")
-    except FileNotFoundError as e:
-        raise ValueError(f"no tile results in {tmp_out_dir}") from e
-    try:
-        at = read_offset(spark, tmp_out_dir)
-    except FileNotFoundError:
-        at = (0.0, 0.0)
-    counts = shared.written(spark.read.schema(_COUNTS).parquet(f"{tmp_out_dir}/counts").select("bx", "by", "gene", "n").distinct())
+    runs = _runs(spark, tmp_out_dir)
+    if not runs:
+        raise ValueError(f"no tile results in {tmp_out_dir}")
+    at = (runs[-1]["x_min"], runs[-1]["y_min"])
+    counts = shared.written(results(spark, tmp_out_dir, "counts").select("bx", "by", "gene", "n").distinct())
     bins = matrix.dense_ids(counts.select("bx", "by").distinct(), "by", "bx", "bin_id")
     bins = P.get_bin_centers(bins, "square", resolution, at)
-    edges = stitched_edges(spark.read.schema(_EDGES).parquet(f"{tmp_out_dir}/edges"), bins)
+    edges = stitched_edges(results(spark, tmp_out_dir, "edges"), bins)
     out = matrix.CountMatrix(counts, bins, matrix.gene_ids(counts), ("bx", "by"))
     return out, bins.select(F.col("bin_id").alias("node"), "cx", "cy"), graph.adjacency(edges), graph.laplacian(edges)
 

@@ -16,7 +16,7 @@ from .sources import points as sources
 def run(spark: SparkSession, points: DataFrame, resolution: float, max_dist: float, output: str | None = None) -> DataFrame:
     """The one-row summary; with output, counts, bins, edges and the Laplacian are written below it."""
     m = matrix.compute_square_bins(points, resolution)
-    edges = graph.neighbours(m.bins.select(F.col("bin_id").alias("node"), "cx", "cy"), max_dist)
+    edges = graph.neighbours(m.bins.select(F.col("bin_id").alias("node"), "cx", "cy"), max_dist, graph.lattice_bound(resolution, max_dist))
     if output:
         m.cells.write.mode("overwrite").parquet(f"{output}/counts")
         m.bins.write.mode("overwrite").parquet(f"{output}/bins")

@@ -1,8 +1,10 @@
 """Graphs of nodes (node, cx, cy): a distance-bounded self-join, adjacency, degrees and the Laplacian.
 
 The join puts nodes into square cells a little larger than the distance and meets each cell with itself
-and its four forward neighbours: an equi-join with a residual distance, every pair once. Crowded
-cells are split by adaptive skew joins.
+and its four forward neighbours: an equi-join with a residual distance, every pair once. Cells with more than CROWD nodes
+are split: their nodes stand along a Z-order curve, runs of CROWD of it are blocks with a bounding box, as the leaves of a quadtree are, and blocks
+whose boxes are within the distance meet, each pair of blocks under a key of its own. So no key has more than CROWD nodes on either side,
+however many are in one place.
 """
 
 from __future__ import annotations
@@ -12,13 +14,33 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlace.functions import binning
+from gridlace.sources import shared
+
+from . import matrix
+
 _FORWARD = ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))
 #: Cells are larger than the distance by this, so that rounding can't part nodes by two cells.
 _SLACK = 1 + 2**-20
+#: Nodes of a cell, or of a block, that meet those of another under one key. Parts of a cell's side that the curve tells apart.
+CROWD, PARTS = 2048, 2**10
+
+
+def lattice_bound(spacing: float, max_distance: float) -> int:
+    """Nodes that a cell can have if they lie on a square or hexagonal lattice with that spacing, and some more."""
+    return math.ceil(1.2 * (max_distance / spacing + 2) ** 2)
 
 
-def neighbours(nodes: DataFrame, max_distance: float) -> DataFrame:
-    """(src, dst), src < dst, of nodes whose distance is at most max_distance (equality counts, no tolerance)."""
+def _met(left: DataFrame, right: DataFrame, keys: list[str], r: float) -> DataFrame:
+    dx, dy = F.col("ax_") - F.col("bx_"), F.col("ay_") - F.col("by_")
+    met = left.join(right, keys).filter((~F.col("own") | (F.col("a") < F.col("b"))) & (dx * dx + dy * dy <= F.lit(r * r)))
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
+def neighbours(nodes: DataFrame, max_distance: float, densest: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """(src, dst), src < dst, of nodes whose distance is at most max_distance (equality counts, no tolerance).
+
+    densest: a known bound on the nodes of a cell (see lattice_bound); without one they are counted."""
     if not math.isfinite(max_distance) or max_distance < 0:
         raise ValueError(f"max_distance must be finite and not negative, not {max_distance!r}")
     nodes = nodes.select("node", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
@@ -27,13 +49,54 @@ def neighbours(nodes: DataFrame, max_distance: float) -> DataFrame:
         return a.join(b, ["cx", "cy"]).filter("src < dst").select("src", "dst")
     r = float(max_distance)
     kx, ky = (F.floor(F.col(c) / F.lit(r * _SLACK)).cast("bigint") for c in ("cx", "cy"))
-    right = nodes.select(F.col("node").alias("b"), F.col("cx").alias("bx_"), F.col("cy").alias("by_"), kx.alias("kx"), ky.alias("ky"))
+    placed = nodes.withColumns({"kx": kx, "ky": ky})
+    if densest is None or densest > crowd:
+        placed = shared.written(placed)
+        dense = placed.groupBy("kx", "ky").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("kx", "ky")
+        if not dense.isEmpty():
+            return _sparse(placed.join(dense, ["kx", "ky"], "left_anti"), r).unionByName(_crowded(placed, dense, r, crowd))
+    return _sparse(placed, r)
+
+
+def _stepped(left: DataFrame) -> DataFrame:
+    """Each row of (kx, ky, ...) at its own cell and the four forward ones; own marks its own."""
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _FORWARD))
-    left = nodes.select(F.col("node").alias("a"), F.col("cx").alias("ax_"), F.col("cy").alias("ay_"), kx.alias("kx"), ky.alias("ky"), F.explode(steps).alias("s"))
-    left = left.select("a", "ax_", "ay_", (F.col("kx") + F.col("s.i")).alias("kx"), (F.col("ky") + F.col("s.j")).alias("ky"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
-    dx, dy = F.col("ax_") - F.col("bx_"), F.col("ay_") - F.col("by_")
-    met = left.join(right, ["kx", "ky"]).filter((~F.col("own") | (F.col("a") < F.col("b"))) & (dx * dx + dy * dy <= F.lit(r * r)))
-    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    rest = [c for c in left.columns if c not in ("kx", "ky")]
+    own = ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own")
+    return left.withColumn("s", F.explode(steps)).select(*rest, (F.col("kx") + F.col("s.i")).alias("kx"), (F.col("ky") + F.col("s.j")).alias("ky"), own)
+
+
+def _sparse(placed: DataFrame, r: float) -> DataFrame:
+    right = placed.select(F.col("node").alias("b"), F.col("cx").alias("bx_"), F.col("cy").alias("by_"), "kx", "ky")
+    left = placed.select(F.col("node").alias("a"), F.col("cx").alias("ax_"), F.col("cy").alias("ay_"), "kx", "ky")
+    return _met(_stepped(left), right, ["kx", "ky"], r)
+
+
+def _crowded(placed: DataFrame, dense: DataFrame, r: float, crowd: int) -> DataFrame:
+    """Pairs of which one end at least is in a dense cell, by pairs of blocks."""
+    part = [F.floor(F.col(c) * F.lit(PARTS / (r * _SLACK))).cast("bigint") for c in ("cx", "cy")]
+    many = matrix.dense_ids(placed.join(dense, ["kx", "ky"], "left_semi").withColumn("z", binning.z_order(*part)), "z", "node", "rank")
+    many = many.select("node", "cx", "cy", "kx", "ky", F.floor(F.col("rank") / crowd).cast("bigint").alias("block"))
+    # sparse cells beside dense ones are blocks as they are
+    around = F.explode(F.array(*(F.struct((F.col("kx") + i).alias("kx"), (F.col("ky") + j).alias("ky")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")
+    near = dense.select(around).select("c.kx", "c.ky").distinct().join(dense, ["kx", "ky"], "left_anti")
+    few = placed.join(near, ["kx", "ky"], "left_semi").select("node", "cx", "cy", "kx", "ky", F.lit(-1).cast("bigint").alias("block"))
+    both = shared.written(many.unionByName(few))
+    boxes = both.groupBy("kx", "ky", "block").agg(*(f(c).alias(f"{c}_{n}") for c in ("cx", "cy") for n, f in (("min", F.min), ("max", F.max))))
+    boxes = shared.written(boxes)
+    left = _stepped(boxes.select(F.struct("kx", "ky", "block").alias("a"), F.struct("cx_min", "cx_max", "cy_min", "cy_max").alias("abox"), "kx", "ky"))
+    right = boxes.select(F.struct("kx", "ky", "block").alias("b"), F.struct("cx_min", "cx_max", "cy_min", "cy_max").alias("bbox"), "kx", "ky")
+    gap = [F.greatest(F.col(f"abox.{c}_min") - F.col(f"bbox.{c}_max"), F.col(f"bbox.{c}_min") - F.col(f"abox.{c}_max"), F.lit(0.0)) for c in ("cx", "cy")]
+    close = gap[0] * gap[0] + gap[1] * gap[1] <= F.lit(r * r)
+    known = (F.col("a.block") >= 0) | (F.col("b.block") >= 0)
+    pairs = left.join(right, ["kx", "ky"]).filter(close & known & (~F.col("own") | (F.col("a.block") <= F.col("b.block"))))
+    pairs = shared.written(pairs.select("a", "b", (F.col("a") == F.col("b")).alias("own")))
+    grouped = both.withColumn("g", F.struct("kx", "ky", "block"))
+    sides = [
+        pairs.withColumn("g", F.col(s)).join(grouped.select("g", F.col("node").alias(f"{s}_"), F.col("cx").alias(f"{s}x_"), F.col("cy").alias(f"{s}y_")), "g").drop("g") for s in "ab"
+    ]
+    ends = sides[0].select(F.struct("a", "b").alias("pair"), F.col("a_").alias("a"), "ax_", "ay_", "own"), sides[1].select(F.struct("a", "b").alias("pair"), F.col("b_").alias("b"), "bx_", "by_")
+    return _met(ends[0], ends[1], ["pair"], r)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -19,25 +19,45 @@ from . import points as P
 #: Ids of the minor side that stand in one row of a compressed column.
 BLOCK = 65536
 
+#: Rows from which bounds of ranges are taken, for each range.
+_BOUND_ROWS = 20
+
+
+def _ranged(rows: DataFrame, major: str, minor: str) -> DataFrame:
+    """rows with __part, the number of their range of the order; worked out alike however often the plan runs."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if shared.folder(rows.sparkSession) is not None:
+        return shared.written(rows.repartitionByRange(parts, major, minor).withColumn("__part", F.spark_partition_id()))
+    # nothing can be stored: bounds are the quantiles of a sample, the rows with the smallest hashes, and each row counts those below it
+    drawn = rows.select(major, minor).orderBy(F.xxhash64(major, minor), major, minor).limit(_BOUND_ROWS * parts)
+    bounds = drawn.distinct().orderBy(major, minor).collect()[_BOUND_ROWS::_BOUND_ROWS]
+    kinds = [rows.schema[c].dataType for c in (major, minor)]
+    key = F.struct(F.col(major).alias("a"), F.col(minor).alias("b"))
+    if not bounds:
+        return rows.withColumn("__part", F.lit(0))
+    known = F.array(*(F.struct(F.lit(a).cast(kinds[0]).alias("a"), F.lit(b).cast(kinds[1]).alias("b")) for a, b in bounds))
+    return rows.withColumn("__part", F.size(F.filter(known, lambda x: x <= key)))
+
+
 def dense_ids(rows: DataFrame, major: str, minor: str, name: str) -> DataFrame:
     """rows, distinct in (major, minor), with their place in that order, from 0.
 
-    Each range of the order is numbered by one task; the sizes of the ranges, one row each, give where it begins. Without a shared
-    folder, where a range could not be kept for a second look, the sizes of the major key take that part."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if shared.folder(rows.sparkSession) is None:
-        ranged, part = rows.withColumn("__part", F.col(major)), major
-    else:
-        ranged, part = shared.written(rows.repartitionByRange(parts, major, minor).withColumn("__part", F.spark_partition_id())), "__part"
+    Each range of the order is numbered by one task, however many rows a value of major has; the sizes of the ranges, one row each, give where it begins."""
+    ranged = _ranged(rows, major, minor)
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(major, minor)) - 1
-    before = F.broadcast(before) if part == "__part" else before
-    return ranged.withColumn("__rank", rank).join(before, "__part").withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__part", "__rank", "__before")
+    return ranged.withColumn("__rank", rank).join(F.broadcast(before), "__part").withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__part", "__rank", "__before")
+
+
+#: The code of a gene that a given dictionary lacks.
+UNKNOWN = -1
 
 
 def gene_ids(genes: DataFrame) -> DataFrame:
-    """(gene, gene_id) of the distinct genes in binary order; a dictionary, small by nature."""
+    """(gene, gene_id) of the distinct genes in binary order; a dictionary that has gene_id already, as one shared by several data sets, stays as it is."""
+    if "gene_id" in genes.columns:
+        return genes.select("gene", "gene_id")
     return genes.select("gene").distinct().select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).cast("int").alias("gene_id"))
 
 
@@ -52,17 +72,23 @@ def bin_totals(counts: DataFrame, keys: tuple[str, str] = ("bx", "by")) -> DataF
 
 @dataclass
 class CountMatrix:
-    """Parts of a count matrix. counts has (keys, gene, n), cells (bin_id, gene_id, n)."""
+    """Parts of a count matrix. counts has (keys, gene, n), cells (bin_id, gene_id, n); fixed: genes is a given dictionary, which may lack some.
+
+    Counts of genes that a dictionary lacks stand, added up, under the id UNKNOWN of their bin."""
 
     counts: DataFrame
     bins: DataFrame
     genes: DataFrame
     keys: tuple[str, str]
+    fixed: bool = False
 
     @property
     def cells(self) -> DataFrame:
         with_bin = self.counts.join(self.bins.select(*self.keys, "bin_id"), list(self.keys))
-        return with_bin.join(self.genes, "gene").select("bin_id", "gene_id", "n")
+        if not self.fixed:
+            return with_bin.join(self.genes, "gene").select("bin_id", "gene_id", "n")
+        coded = with_bin.join(self.genes, "gene", "left").select("bin_id", F.coalesce("gene_id", F.lit(UNKNOWN)).alias("gene_id"), "n")
+        return coded.groupBy("bin_id", "gene_id").agg(F.sum("n").alias("n"))
 
     def compressed(self, matrix_format: str = "csr") -> DataFrame:
         return compressed(self.cells, matrix_format)
@@ -72,7 +98,7 @@ def build_sparse_matrix(binned: DataFrame, keys: tuple[str, str] = ("bx", "by"),
     """Counts with bins in the order of keys (or order) and the observed genes, or all of a given dictionary."""
     counts = shared.written(count_genes(P.clean(binned) if "x" in binned.columns else binned.filter("gene is not null"), keys))
     bins = dense_ids(counts.select(*keys).distinct(), *(order or keys), "bin_id")
-    return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), keys)
+    return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), keys, genes is not None)
 
 
 def compute_square_bins(points: DataFrame, resolution: float, genes: DataFrame | None = None) -> CountMatrix:
@@ -84,7 +110,7 @@ def compute_square_bins(points: DataFrame, resolution: float, genes: DataFrame |
     bins = dense_ids(counts.groupBy("bx", "by").agg(F.any_value("x_min").alias("x_min"), F.any_value("y_min").alias("y_min")), "by", "bx", "bin_id")
     bins = P.get_bin_centers(bins, "square", resolution, (F.col("x_min"), F.col("y_min"))).drop("x_min", "y_min")
     counts = counts.select("bx", "by", "gene", "n")
-    return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), ("bx", "by"))
+    return CountMatrix(counts, bins, gene_ids(counts if genes is None else genes), ("bx", "by"), genes is not None)
 
 
 def compressed(cells: DataFrame, matrix_format: str = "csr") -> DataFrame:

@@ -111,16 +111,16 @@ def counts_at(cells: DataFrame, owners: DataFrame) -> DataFrame:
     return counts.join(owners.select("bx", "by", "owner_x", "owner_y"), ["bx", "by"]).select("owner_x", "owner_y", "bx", "by", "gene", "n")
 
 
-def bin_edges(bins: DataFrame, max_dist: float) -> DataFrame:
-    """(bx_a, by_a, bx_b, by_b) of (bx, by, cx, cy), the smaller bin first."""
+def bin_edges(bins: DataFrame, max_dist: float, resolution: float | None = None) -> DataFrame:
+    """(bx_a, by_a, bx_b, by_b) of (bx, by, cx, cy), the smaller bin first; resolution, if it is known, bounds the bins of a cell."""
     nodes = bins.select(F.struct("bx", "by").alias("node"), "cx", "cy")
-    e = graph.neighbours(nodes, max_dist)
+    e = graph.neighbours(nodes, max_dist, graph.lattice_bound(resolution, max_dist) if resolution else None)
     return e.select(F.col("src.bx").alias("bx_a"), F.col("src.by").alias("by_a"), F.col("dst.bx").alias("bx_b"), F.col("dst.by").alias("by_b"))
 
 
-def tile_edges(owners: DataFrame, max_dist: float) -> DataFrame:
+def tile_edges(owners: DataFrame, max_dist: float, resolution: float | None = None) -> DataFrame:
     """(owner_x, owner_y, bx_a, by_a, bx_b, by_b): an edge stands at the owner of either end, once for each."""
-    edges = bin_edges(owners, max_dist)
+    edges = bin_edges(owners, max_dist, resolution)
     ends = owners.select("bx", "by", "owner_x", "owner_y")
     sides = [edges.join(ends.withColumnsRenamed({"bx": f"bx_{s}", "by": f"by_{s}"}), [f"bx_{s}", f"by_{s}"]) for s in "ab"]
     names = ["owner_x", "owner_y", "bx_a", "by_a", "bx_b", "by_b"]
@@ -143,9 +143,9 @@ def _write(tiled: DataFrame, sizes: tuple[float, float, float], at: tuple[float,
     tile_size, resolution, max_dist = sizes
     cells = tile_cells(tiled, resolution, at)
     owners = owners_of(cells, tile_size, resolution)
-    for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist)}.items():
+    for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist, resolution)}.items():
         own = df if only is None else df.join(only, ["owner_x", "owner_y"], "left_semi")
-        tileset.along_curve(own, F.col("owner_x"), F.col("owner_y"), "owner_x", "owner_y").write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
+        own.hint("rebalance", "owner_x", "owner_y").write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
     tileset.enter(spark, f"{out_dir}/log", _LOG, n, [only is None, *sizes, *at, batch])
 
 

@@ -57,11 +57,16 @@ def _fused(spark, d, key) -> matrix.CountMatrix:
     return matrix.compute_square_bins(molecules(spark, d, key), SOURCES[key].resolution)
 
 
+def _bound(key) -> int:
+    """Centres of bins that a cell of the radius can have."""
+    return graph.lattice_bound(SOURCES[key].resolution, SOURCES[key].radius)
+
+
 def _graph(spark, d, key) -> tuple[matrix.CountMatrix, DataFrame, DataFrame]:
     """Counts, nodes and edges, all of one table of counts."""
     m = _fused(spark, d, key)
     nodes = m.bins.select(F.col("bin_id").alias("node"), "cx", "cy")
-    return m, nodes, graph.neighbours(nodes, SOURCES[key].radius)
+    return m, nodes, graph.neighbours(nodes, SOURCES[key].radius, _bound(key))
 
 
 def _edges(spark, d, key) -> DataFrame:
@@ -95,7 +100,7 @@ def _stitched(spark, d, key) -> tuple[DataFrame, DataFrame]:
     """Bins with ids, and edges between them, put together from what stands at the owners of tiles."""
     owners = _owners(spark, d, key)
     bins = matrix.dense_ids(owners.select("bx", "by"), "by", "bx", "bin_id")
-    return bins, tiles.stitched_edges(tiles.tile_edges(owners, SOURCES[key].radius), bins)
+    return bins, tiles.stitched_edges(tiles.tile_edges(owners, SOURCES[key].radius, SOURCES[key].resolution), bins)
 
 
 def _stitched_counts(spark, d, key) -> DataFrame:
@@ -138,6 +143,30 @@ def _from_files(spark, d, key):
     return tiles.stitch_out_of_core_results(spark, out, s.resolution)
 
 
+def _late(spark, d, key, at: str):
+    """Write a table as tiles in two batches, points from tile 2 on (by x) in the second; after each the caller has a turn."""
+    pts, late = molecules(spark, d, key), F.col("x") >= F.lit(2 * SOURCES[key].tile)
+    for part, mode in ((~late | late.isNull(), "overwrite"), (late, "append")):
+        tiles.partition_dataset_to_tiles(pts.filter(part), SOURCES[key].tile, at, mode=mode)
+        yield mode
+
+
+def _appended(spark, d, key):
+    """Stitched results of tiles that were processed after the first batch, and brought up to date after the second."""
+    s, at, out = SOURCES[key], _place(spark), _place(spark)
+    for _ in _late(spark, d, key, at):
+        tiles.process_appended(spark, s.tile, s.resolution, s.radius, at, out)
+    return tiles.stitch_out_of_core_results(spark, out, s.resolution)
+
+
+def _appended_metadata(spark, d, key) -> DataFrame:
+    """(gene, gene_id, x_min, y_min) as merged from the batches."""
+    at = _place(spark)
+    list(_late(spark, d, key, at))
+    x0, y0 = tiles.read_offset(spark, at)
+    return tiles.read_genes(spark, at).withColumns({"x_min": F.lit(x0), "y_min": F.lit(y0)})
+
+
 def _csv(spark, d, load: Callable, rename: dict[str, str] | None = None, codec: str = "none") -> DataFrame:
     at = f"{_place(spark)}.csv"
     molecules(spark, d, "ev").withColumn("qv", F.lit(30)).withColumnsRenamed(rename or {}).write.option("compression", codec).csv(at, header=True)
@@ -157,18 +186,23 @@ def _exported(spark, d, form: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
-def _sample_check(spark, d) -> DataFrame:
-    pts = molecules(spark, d, "ev")
-    drawn = summary.sample(pts)
-    return drawn.groupBy("x", "y", "gene").agg(F.count("*").alias("n")).join(pts.groupBy("x", "y", "gene").agg(F.count("*").alias("all")), ["x", "y", "gene"]).filter("n <= all").agg(F.sum("n").alias("rows"))
+def _sample_li(spark, d) -> DataFrame:
+    """Lines of orders as points, drawn by the hash of their keys."""
+    s = SOURCES["li"]
+    own = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", *(f"{e} as {n}" for e, n in zip(s.spark, ("x", "y", "gene"), strict=True)))
+    return summary.sample(own, keys=["l_orderkey", "l_linenumber"])
 
 
-def _mock_check(mock: Callable, low: float, high: float, names: tuple[str, ...]) -> Callable:
-    def run(spark, d) -> DataFrame:
-        inside = F.col("x").between(low, high) & F.col("y").between(low, high) & F.col("gene").isin(*names)
-        return mock(spark).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside")).select((F.col("n") == F.col("inside")).alias("inside"), F.col("n").between(15_000, 35_992).alias("sized"))
+def _dictionary(spark, d) -> DataFrame:
+    """A dictionary that two data sets share: it lacks one gene of the events, and has some that they haven't."""
+    own = molecules(spark, d, "ev").select("gene").filter("gene <> 'click'").unionByName(molecules(spark, d, "cu").select("gene"))
+    return matrix.gene_ids(own)
 
-    return run
+
+def _synthetic(spark, d) -> DataFrame:
+    """A synthetic molecule for each event."""
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    return synthetic.molecules_of(ids, 500).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gene")
 
 
 EVENT_TYPES = ["add_to_cart", "click", "purchase", "search", "view"]
@@ -197,7 +231,7 @@ FORMS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "bin_dictionary": (lambda s, d, k: _fused(s, d, k).bins.select("bin_id", "bx", "by", "cx", "cy"), ("ev", "li", "cu")),
     "bin_totals": (lambda s, d, k: matrix.bin_totals(matrix.count_genes(_square(s, d, k))), ("ev", "li", "cu")),
     "edges": (_edges, ("ev", "li", "cu", "em")),
-    "hex_edges": (lambda s, d, k: graph.neighbours(_hex_nodes(s, d, k), SOURCES[k].radius), ("ev", "cu")),
+    "hex_edges": (lambda s, d, k: graph.neighbours(_hex_nodes(s, d, k), SOURCES[k].radius, _bound(k)), ("ev", "cu")),
     "adjacency": (lambda s, d, k: graph.adjacency(_edges(s, d, k)), ("ev", "li", "cu")),
     "degree": (lambda s, d, k: graph.degrees(*_graph(s, d, k)[1:]), ("ev", "li", "cu")),
     "laplacian": (lambda s, d, k: graph.laplacian(_edges(s, d, k)), ("ev", "li", "cu")),
@@ -208,12 +242,15 @@ FORMS: dict[str, tuple[Callable, tuple[str, ...]]] = {
     "tile_home": (lambda s, d, k: _owners(s, d, k).select("bx", "by", "home_x", "home_y", "home_active"), ("ev", "cu")),
     "bin_owner": (lambda s, d, k: _owners(s, d, k).select("bx", "by", "owner_x", "owner_y"), ("ev", "li", "cu")),
     "tile_counts": (lambda s, d, k: tiles.tile_counts(_tiled(s, d, k), SOURCES[k].tile, SOURCES[k].resolution), ("ev", "li", "cu")),
-    "tile_edges": (lambda s, d, k: tiles.tile_edges(_owners(s, d, k), SOURCES[k].radius), ("ev", "cu")),
+    "tile_edges": (lambda s, d, k: tiles.tile_edges(_owners(s, d, k), SOURCES[k].radius, SOURCES[k].resolution), ("ev", "cu")),
     "stitched_counts": (_stitched_counts, ("ev", "li", "cu")),
     "stitched_edges": (lambda s, d, k: _stitched(s, d, k)[1], ("ev", "li", "cu")),
     "stitched_laplacian": (lambda s, d, k: graph.laplacian(_stitched(s, d, k)[1]), ("ev", "li", "cu")),
     "tiles_written": (lambda s, d, k: tiles.read_tiles(s, _partitioned(s, d, k)), ("ev", "cu")),
     "tile_file": (_tile_file, ("ev", "cu")),
+    "tiles_appended_counts": (lambda s, d, k: _appended(s, d, k)[0].cells, ("ev", "cu")),
+    "tiles_appended_laplacian": (lambda s, d, k: _appended(s, d, k)[3], ("ev", "cu")),
+    "tiles_appended_metadata": (_appended_metadata, ("ev", "cu")),
     "stitched_files_counts": (lambda s, d, k: _from_files(s, d, k)[0].cells, ("ev", "cu")),
     "stitched_files_nodes": (lambda s, d, k: _from_files(s, d, k)[1], ("ev", "cu")),
     "stitched_files_adjacency": (lambda s, d, k: _from_files(s, d, k)[2], ("ev", "cu")),
@@ -230,17 +267,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_ev": lambda s, d: summary.sample(molecules(s, d, "ev")),
         "bin_labels_ev": lambda s, d: summary.bin_labels(_fused(s, d, "ev").cells.groupBy("bin_id").agg(F.sum("n").alias("total"))),
         "degree_labels_ev": lambda s, d: summary.degree_labels(graph.degrees(*_graph(s, d, "ev")[1:])),
-        "sample_check_ev": _sample_check,
+        "sample_li": _sample_li,
+        "fixed_dictionary_ev": _dictionary,
+        "fixed_dictionary_coo_ev": lambda s, d: matrix.compute_square_bins(molecules(s, d, "ev"), SOURCES["ev"].resolution, _dictionary(s, d)).cells,
+        "fixed_dictionary_coo_cu": lambda s, d: matrix.build_sparse_matrix(_square(s, d, "cu"), genes=_dictionary(s, d)).cells,
+        "synthetic_molecules_ev": _synthetic,
         "load_csv_ev": lambda s, d: _csv(s, d, sources.load_coordinates, {"x": "x_location", "y": "y_location", "gene": "feature_name"}),
         "load_csv_gz_ev": lambda s, d: _csv(s, d, sources.load_coordinates, codec="gzip"),
         "load_transcripts_ev": lambda s, d: _csv(s, d, sources.load_transcript_data),
         "export_dense_ev": lambda s, d: _exported(s, d, "dense"),
         "export_edges_ev": lambda s, d: _exported(s, d, "edges"),
         "export_laplacian_ev": lambda s, d: _exported(s, d, "laplacian"),
-        "mock_cli_check": _mock_check(synthetic.mock_molecules, 10.0, 500.0, synthetic.CLI_GENES),
-        "mock_dashboard_check": _mock_check(synthetic.mock_dashboard, 50.0, 550.0, synthetic.BOARD_GENES),
-        "mock_cli": lambda s, d: synthetic.mock_molecules(s),
-        "mock_dashboard": lambda s, d: synthetic.mock_dashboard(s),
     }
     return out
 
@@ -336,6 +373,9 @@ UNION ALL SELECT src, dst, -1::DOUBLE FROM se UNION ALL SELECT dst, src, -1::DOU
 _SELECTS |= {
     "tiles_written": _SELECTS["tile_assign"],
     "tile_file": _SELECTS["halo_tile"],
+    "tiles_appended_counts": _SELECTS["stitched_counts"],
+    "tiles_appended_laplacian": _SELECTS["stitched_laplacian"],
+    "tiles_appended_metadata": "SELECT gene, gene_id, x0 AS x_min, y0 AS y_min FROM g, o",
     "stitched_files_counts": _SELECTS["stitched_counts"],
     "stitched_files_nodes": 'SELECT bin_id AS node, cx, cy FROM ow JOIN si USING (bx, "by")',
     "stitched_files_adjacency": "SELECT src AS row, dst AS col, 1::FLOAT AS value FROM se UNION ALL SELECT dst, src, 1::FLOAT FROM se",
@@ -343,6 +383,26 @@ _SELECTS |= {
 }
 
 
+_DICTIONARY = """WITH dict AS (SELECT gene, (row_number() OVER (ORDER BY gene) - 1)::INTEGER AS gene_id FROM (SELECT event_type AS gene FROM events WHERE event_type <> 'click' UNION SELECT c_mktsegment FROM customer)) """
+
+
+def _drawn(stream: str, of: str = "event_id") -> str:
+    return f"(('0x' || md5('42:{stream}:' || {of})[1:13])::BIGINT::DOUBLE / 4503599627370496::DOUBLE)"
+
+
+def _synthetic_sql() -> str:
+    at = []
+    for c in "xy":
+        normal = f"sqrt(-2::DOUBLE * ln(1::DOUBLE - {_drawn(f'near {c}/r')})) * cos(2::DOUBLE * pi() * {_drawn(f'near {c}/a')})"
+        around = f"{_drawn(f'centre {c}', 'k')} * 400::DOUBLE + 50::DOUBLE + {normal} * 15::DOUBLE"
+        at.append(f"round(least(greatest(CASE WHEN event_id < 500 THEN {_drawn(f'flat {c}')} * 490::DOUBLE + 10::DOUBLE ELSE {around} END, 10::DOUBLE), 500::DOUBLE), 6) AS {c}")
+    genes = ", ".join(f"'{g}'" for g in synthetic.CLI_GENES)
+    return f"SELECT event_id AS id, {', '.join(at)}, [{genes}][floor({_drawn('gene')} * 5)::INTEGER + 1] AS gene FROM (SELECT event_id, floor({_drawn('cluster')} * 5)::BIGINT AS k FROM events)"
+
+
+_SYNTHETIC = _synthetic_sql()
+
+
 def _sql(name: str, k: str) -> str:
     s = SOURCES[k]
     own = _SELECTS[name]
@@ -360,14 +420,16 @@ def oracle_sql() -> dict[str, str]:
         "load_qv_filter_li": _base("li") + "SELECT l_extendedprice / 100::DOUBLE AS x, l_quantity * 10::DOUBLE AS y, concat(l_returnflag, l_linestatus) AS gene FROM lineitem WHERE l_quantity >= 20",
         "gene_filter_ev": "SELECT value AS x, user_id::DOUBLE AS y, event_type AS gene FROM events WHERE event_type = 'click'",
         "bin_labels_ev": base + "SELECT bin_id, 'Bin ' || bin_id || chr(10) || 'Total transcripts: ' || sum(n)::BIGINT AS label FROM fc JOIN fb USING (bx, \"by\") GROUP BY bin_id",
-        "sample_check_ev": "SELECT least(count(*), 30000)::BIGINT AS rows FROM events",
+        "sample_li": f"SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {n}' for e, n in zip(SOURCES['li'].sql, ('x', 'y', 'gene'), strict=True))} FROM lineitem ORDER BY md5('42:sample:' || l_orderkey || ':' || l_linenumber) LIMIT 30000",
+        "fixed_dictionary_ev": _DICTIONARY + "SELECT gene, gene_id FROM dict",
+        "fixed_dictionary_coo_ev": base + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM fc JOIN fb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',
+        "fixed_dictionary_coo_cu": _base("cu") + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM sc JOIN sb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',
+        "synthetic_molecules_ev": _SYNTHETIC,
         "load_csv_ev": base + "SELECT * FROM m",
         "load_csv_gz_ev": base + "SELECT * FROM m",
         "load_transcripts_ev": base + "SELECT x::FLOAT AS x, y::FLOAT AS y, gene FROM m",
         "export_edges_ev": base + "SELECT src AS source_bin, dst AS target_bin FROM e",
         "export_laplacian_ev": base + _SELECTS["laplacian"],
-        "mock_cli_check": "SELECT true AS inside, true AS sized",
-        "mock_dashboard_check": "SELECT true AS inside, true AS sized",
         "degree_labels_ev": base + "SELECT node, 'Bin ' || node || chr(10) || 'Degree: ' || degree AS label FROM dg",
     }
     out["export_dense_ev"] = out["dense_matrix_ev"]

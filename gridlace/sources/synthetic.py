@@ -1,4 +1,6 @@
-"""Synthetic molecules: distributions with fixed figures, made by the executors from a row number and a seed."""
+"""Synthetic molecules: distributions with fixed figures, made by the executors from ids and a seed.
+
+Each row depends on its id and the seed alone (see functions.random): partitions, executors and retries change nothing, and the ids may be those of a table."""
 
 from __future__ import annotations
 
@@ -6,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlace.functions import random
+
 #: Fixed values of the two generators.
 CLI_GENES = ("GAPDH", "ACTB", "MALAT1", "EPCAM", "CD3D")
 BOARD_GENES = ("GAPDH", "ACTB", "EPCAM", "CD3D", "MS4A1", "ERBB2", "KRT19", "PECAM1", "COL1A1", "VIM")
@@ -15,40 +19,37 @@ def _clip(c, low: float, high: float):
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def molecules_of(ids: DataFrame, flat: int, seed: int = 42) -> DataFrame:
+    """(id, x DOUBLE, y DOUBLE, gene) for each id: uniform in [10, 500) squared below flat, else around five centres in [50, 450) with deviation 15; five genes alike."""
+    i = F.col("id")
+    cluster = F.floor(random.uniform(seed, "cluster", i) * 5.0).cast("bigint")
+    out = {}
+    for c in "xy":
+        centre = random.uniform(seed, f"centre {c}", cluster) * 400.0 + 50.0
+        around = centre + random.normal(seed, f"near {c}", i) * 15.0
+        out[c] = _clip(F.when(i < F.lit(flat), random.uniform(seed, f"flat {c}", i) * 490.0 + 10.0).otherwise(around), 10.0, 500.0).alias(c)
+    return ids.select("id", out["x"], out["y"], random.choice(seed, "gene", CLI_GENES, i).alias("gene"))
+
+
 def mock_molecules(spark: SparkSession, num_molecules: int = 15_000, seed: int = 42) -> DataFrame:
-    """Half uniform in [10, 500) squared, the rest around five centres in [50, 450) with deviation 15; five genes alike."""
-    rng = np.random.default_rng(seed)
-    centres = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in rng.uniform(50, 450, (5, 2))))
-    drawn = spark.range(num_molecules).select(
-        (F.col("id") < num_molecules // 2).alias("flat"), (F.rand(seed) * 490 + 10).alias("ux"), (F.rand(seed + 1) * 490 + 10).alias("uy"),
-        F.randn(seed + 2).alias("gx"), F.randn(seed + 3).alias("gy"), F.floor(F.rand(seed + 4) * 5).cast("int").alias("c"), F.floor(F.rand(seed + 5) * 5).cast("int").alias("g"),
-    )
-    at = F.get(centres, F.col("c"))
-    x = F.when(F.col("flat"), F.col("ux")).otherwise(at["x"] + F.col("gx") * 15)
-    y = F.when(F.col("flat"), F.col("uy")).otherwise(at["y"] + F.col("gy") * 15)
-    gene = F.get(F.array(*map(F.lit, CLI_GENES)), F.col("g"))
-    return drawn.select(_clip(x, 10.0, 500.0).cast("float").alias("x"), _clip(y, 10.0, 500.0).cast("float").alias("y"), gene.alias("gene"))
+    """Half of num_molecules uniform, the rest in clusters."""
+    drawn = molecules_of(spark.range(num_molecules), num_molecules // 2, seed)
+    return drawn.select(F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), "gene")
 
 
 def mock_dashboard(spark: SparkSession, seed: int = 42) -> DataFrame:
     """20 000 uniform in [50, 550) squared and eight clusters of 800 to 1999 with deviation 18; ten genes by drawn weights."""
-    rng = np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)  # figures of the clusters, a few numbers
     centres, sizes = rng.uniform(120, 480, (8, 2)), rng.integers(800, 2000, 8)
     ends = 20_000 + np.cumsum(sizes)
-    shares = np.cumsum(rng.dirichlet(np.ones(len(BOARD_GENES))))
-    cx = cy = None
-    for (a, b), e in zip(centres, ends, strict=True):
-        inside = F.col("id") < int(e)
-        cx = F.when(inside, float(a)) if cx is None else cx.when(inside, float(a))
-        cy = F.when(inside, float(b)) if cy is None else cy.when(inside, float(b))
-    gene = None
-    for name, s in zip(BOARD_GENES, shares, strict=True):
-        gene = F.when(F.col("u") <= float(s), name) if gene is None else gene.when(F.col("u") <= float(s), name)
-    gene = gene.otherwise(BOARD_GENES[-1])
-    flat = F.col("id") < 20_000
-    drawn = spark.range(int(ends[-1])).withColumns({"u": F.rand(seed), "ux": F.rand(seed + 1) * 500 + 50, "uy": F.rand(seed + 2) * 500 + 50, "gx": F.randn(seed + 3) * 18, "gy": F.randn(seed + 4) * 18})
-    x, y = F.when(flat, F.col("ux")).otherwise(cx + F.col("gx")), F.when(flat, F.col("uy")).otherwise(cy + F.col("gy"))
-    return drawn.select(_clip(x, 50.0, 550.0).cast("float").alias("x"), _clip(y, 50.0, 550.0).cast("float").alias("y"), gene.alias("gene"))
+    shares = rng.dirichlet(np.ones(len(BOARD_GENES))).tolist()
+    i, cx, cy = F.col("id"), F.lit(float(centres[-1][0])), F.lit(float(centres[-1][1]))
+    for (a, b), e in reversed(list(zip(centres[:-1], ends[:-1], strict=True))):
+        cx, cy = F.when(i < int(e), float(a)).otherwise(cx), F.when(i < int(e), float(b)).otherwise(cy)
+    flat = i < 20_000
+    at = {c: F.when(flat, random.uniform(seed, f"board flat {c}", i) * 500.0 + 50.0).otherwise(centre + random.normal(seed, f"board near {c}", i) * 18.0) for c, centre in (("x", cx), ("y", cy))}
+    gene = random.choice(seed, "board gene", BOARD_GENES, i, shares=shares)
+    return spark.range(int(ends[-1])).select(*(_clip(e, 50.0, 550.0).cast("float").alias(c) for c, e in at.items()), gene.alias("gene"))
 
 
 def generate_vectorized_mock_data(spark: SparkSession, file_path: str, num_molecules: int = 15_000, seed: int = 42) -> None:

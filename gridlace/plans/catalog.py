@@ -182,6 +182,10 @@ def _exported(spark, d, form: str) -> DataFrame:
     if form == "edges":
         exports.export_edges(edges, at)
         return spark.read.csv(at, header=True, schema="source_bin bigint, target_bin bigint")
+    if form == "npz":
+        m, _, edges = _graph(spark, d, "ev")
+        exports.export_npz_shards(graph.laplacian(edges), at, m.bins.count(), 1000)
+        return exports.read_npz_shards(spark, at)
     exports.export_matrix(graph.laplacian(edges), at)
     return spark.read.parquet(at)
 
@@ -278,6 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "export_dense_ev": lambda s, d: _exported(s, d, "dense"),
         "export_edges_ev": lambda s, d: _exported(s, d, "edges"),
         "export_laplacian_ev": lambda s, d: _exported(s, d, "laplacian"),
+        "export_npz_ev": lambda s, d: _exported(s, d, "npz"),
     }
     return out
 
@@ -430,6 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "load_transcripts_ev": base + "SELECT x::FLOAT AS x, y::FLOAT AS y, gene FROM m",
         "export_edges_ev": base + "SELECT src AS source_bin, dst AS target_bin FROM e",
         "export_laplacian_ev": base + _SELECTS["laplacian"],
+        "export_npz_ev": base + _SELECTS["laplacian"],
         "degree_labels_ev": base + "SELECT node, 'Bin ' || node || chr(10) || 'Degree: ' || degree AS label FROM dg",
     }
     out["export_dense_ev"] = out["dense_matrix_ev"]

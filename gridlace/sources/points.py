@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import urllib.request
-import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,32 +12,68 @@ from pyspark.sql import functions as F
 ALIASES = {"x_location": "x", "y_location": "y", "feature_name": "gene", "x": "x", "y": "y", "gene": "gene", "qv": "qv"}
 #: Texts that a CSV reader of the data frame world takes for null.
 NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
-_BLOCK = 64 * 1024
-
-
-def download_dataset(url: str, output_dir: str) -> str:
-    """Fetch url into output_dir unless it is there, unpack a zip unless it is unpacked; the path of the file or folder."""
-    os.makedirs(output_dir, exist_ok=True)
+#: Bytes that are copied at a time, and bytes between two lines of progress.
+_BLOCK, _TOLD = 64 * 1024, 8 << 20
+
+
+def _copy(spark: SparkSession, source, sink, total: int = 0, name: str = "") -> None:
+    """Stream bytes within the JVM; the share of total that has arrived is printed."""
+    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    if not total:
+        copy(source, sink, _BLOCK, False)
+        return
+    done = -1
+    while done < sink.getPos():
+        done = sink.getPos()
+        copy(source, sink, _TOLD, False)
+        print(f"\r{name}: {100 * sink.getPos() // total} %", end="", flush=True)
+    print()
+
+
+def download_dataset(url: str, output_dir: str, spark: SparkSession | None = None) -> str:
+    """Fetch url into output_dir unless it is there, unpack a zip unless it is unpacked; the path of the file or folder.
+
+    output_dir may be in any file system that Spark knows, so that executors can read what was fetched; a path without a scheme is in the default one.
+    Files get their names when they are complete. An entry of a zip that leads out of its folder is an error."""
+    spark = spark or SparkSession.builder.getOrCreate()
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(output_dir).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(output_dir))
     name = os.path.basename(urlparse(url).path) or "dataset"
-    target = os.path.join(output_dir, name)
-    if not os.path.exists(target):
-        part = f"{target}.part"
-        request = urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0 (point-analytics)"})
-        with urllib.request.urlopen(request) as source, open(part, "wb") as sink:
-            total, done = int(source.headers.get("Content-Length") or 0), 0
-            while block := source.read(_BLOCK):
-                sink.write(block)
-                done += len(block)
-                if total:
-                    print(f"\r{name}: {100 * done // total} %", end="", flush=True)
-        print()
-        os.replace(part, target)
+    target = f"{output_dir.rstrip('/')}/{name}"
+    if not fs.exists(at(target)):
+        link = jvm.java.net.URI(url).toURL().openConnection()
+        link.setRequestProperty("User-Agent", "Mozilla/5.0 (point-analytics)")
+        source, sink = link.getInputStream(), fs.create(at(f"{target}.part"), True)
+        try:
+            _copy(spark, source, sink, max(0, link.getContentLengthLong()), name)
+        finally:
+            sink.close()
+            source.close()
+        fs.rename(at(f"{target}.part"), at(target))
     if not name.endswith(".zip"):
         return target
     folder = target[: -len(".zip")]
-    if not os.path.isdir(folder):
-        with zipfile.ZipFile(target) as packed:
-            packed.extractall(folder)
+    if not fs.exists(at(folder)):
+        fs.delete(at(f"{folder}.part"), True)
+        fs.mkdirs(at(f"{folder}.part"))
+        packed = jvm.java.util.zip.ZipInputStream(fs.open(at(target)))
+        try:
+            while (entry := packed.getNextEntry()) is not None:
+                inner = entry.getName()
+                if inner.startswith("/") or ".." in inner.split("/"):
+                    raise ValueError(f"{name} has an entry outside its folder: {inner!r}")
+                if entry.isDirectory():
+                    fs.mkdirs(at(f"{folder}.part/{inner}"))
+                    continue
+                sink = fs.create(at(f"{folder}.part/{inner}"), True)
+                try:
+                    _copy(spark, packed, sink)
+                finally:
+                    sink.close()
+        finally:
+            packed.close()
+        fs.rename(at(f"{folder}.part"), at(folder))
     return folder
 
 

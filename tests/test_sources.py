@@ -1,11 +1,12 @@
 import gzip
+import os
 import zipfile
 
 import numpy as np
 import pytest
 
 from gridlace.operators import graph
-from gridlace.sources import exports, synthetic
+from gridlace.sources import exports, shared, synthetic
 from gridlace.sources import points as sources
 
 TEXT = "x_location,y_location,feature_name,qv,extra\n1.5,2,A,20,z\n2,3,B,19.9,z\n3,4,NA,40,z\n4,5,C,NaN,z\n5,6,D,,z\n"
@@ -51,15 +52,37 @@ def test_transcripts_prune_columns(spark, tmp_path):
     assert "more" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_download(tmp_path):
+@pytest.mark.parametrize("scheme", ["", "file:"])
+def test_download(spark, tmp_path, scheme, capsys):
     at = tmp_path / "from" / "d.zip"
     at.parent.mkdir()
     with zipfile.ZipFile(at, "w") as z:
         z.writestr("inner.csv", TEXT)
-    folder = sources.download_dataset(at.as_uri(), str(tmp_path / "to"))
-    assert (tmp_path / "to" / "d" / "inner.csv").read_text() == TEXT and folder.endswith("d")
+        z.writestr("sub/more.csv", "x" * 200_000)
+        z.mkdir("none")
+    to = f"{scheme}{tmp_path}/to"
+    folder = sources.download_dataset(at.as_uri(), to, spark)
+    assert folder == f"{to}/d" and "100 %" in capsys.readouterr().out
+    assert (tmp_path / "to" / "d" / "inner.csv").read_text() == TEXT and (tmp_path / "to" / "d" / "sub" / "more.csv").stat().st_size == 200_000
+    assert spark.read.text(f"{folder}/inner.csv").count() == TEXT.count("\n")  # by executors, from the same path
+    assert sources.load_coordinates(spark, f"{folder}/inner.csv").count() == 2
     at.unlink()
-    assert sources.download_dataset(at.as_uri(), str(tmp_path / "to")) == folder
+    assert sources.download_dataset(at.as_uri(), to) == folder  # neither is fetched or unpacked again
+    plain = tmp_path / "from" / "a.csv"
+    plain.write_text(TEXT)
+    assert sources.download_dataset(plain.as_uri(), to, spark) == f"{to}/a.csv" and (tmp_path / "to" / "a.csv").read_text() == TEXT
+
+
+def test_download_that_fails_leaves_nothing_that_counts(spark, tmp_path):
+    at = tmp_path / "bad.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        z.writestr("../out.csv", TEXT)
+    with pytest.raises(ValueError, match="outside"):
+        sources.download_dataset(at.as_uri(), f"{tmp_path}/to", spark)
+    assert not (tmp_path / "out.csv").exists() and not (tmp_path / "to" / "bad").exists()
+    with pytest.raises(Exception, match="none.csv"):
+        sources.download_dataset((tmp_path / "none.csv").as_uri(), f"{tmp_path}/to", spark)
+    assert not (tmp_path / "to" / "none.csv").exists()
 
 
 def test_mocks(spark, tmp_path):
@@ -86,3 +109,35 @@ def test_exports(spark, tmp_path):
         for i in range(4):
             dense[i, z["indices"][z["indptr"][i] : z["indptr"][i + 1]]] = z["data"][z["indptr"][i] : z["indptr"][i + 1]]
     assert dense.tolist() == [[1, -1, 0, 0], [-1, 2, -1, 0], [0, -1, 2, -1], [0, 0, -1, 1]]
+
+
+def test_npz_shards(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    size = 3_000_000
+    at = sorted({(int(r), int(c)) for r, c in zip(rng.choice([0, 1, 5, 1_048_576, 2_999_999], 400), rng.integers(0, size, 400), strict=True)} | {(7, c) for c in range(90)})
+    own = [(r, c, float(i) - 50.0) for i, (r, c) in enumerate(at)]
+    df = spark.createDataFrame(own, "row long, col long, value double").repartition(3)
+    exports.export_npz_shards(df, str(tmp_path / "m"), size, limit=60)
+    assert sorted(map(tuple, exports.read_npz_shards(spark, str(tmp_path / "m")).collect())) == own
+    shards = spark.read.parquet(str(tmp_path / "m")).drop("npz").orderBy("row_from").collect()
+    assert len(shards) > 4 and all(r.row_to - r.row_from <= exports.SHARD_ROWS for r in shards)
+    assert [r.entries_before for r in shards] == np.cumsum([0, *(r.n for r in shards)])[:-1].tolist()
+    files = exports.save_npz_shards(spark, str(tmp_path / "m"), str(tmp_path / "files"))
+    assert len(files) == len(shards)
+    with np.load(files[0]) as z:
+        assert z["shape"][1] == size and z["indptr"][-1] == shards[0].n == len(z["data"]) and z["format"] == b"csr"
+    exports.export_npz_shards(df.filter("false"), str(tmp_path / "none"), 5)
+    assert exports.read_npz_shards(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scope_deletes_what_was_written_within(spark):
+    with shared.scope(spark):
+        one = shared.written(spark.range(3))
+        with shared.scope(spark):
+            two = shared.written(spark.range(4))
+            paths = [df.inputFiles()[0].removeprefix("file:").replace("///", "/") for df in (one, two)]
+            assert two.count() == 4
+        assert one.count() == 3 and [os.path.exists(p) for p in paths] == [True, False]
+    assert not os.path.exists(paths[0])
+    kept = shared.written(spark.range(5))
+    assert kept.count() == 5

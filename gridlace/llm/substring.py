@@ -9,7 +9,8 @@ and tells every unit which of its windows also start in a smaller document.
 Pass 2 joins units with those windows and merges the words they cover into maximal removal intervals.
 
 Volume: 8 bytes a word and a little for ids; no row per word. The number of buckets follows the
-counted bytes of text, so that one holds about BUCKET bytes of hashes, and is twice the partitions at least. A
+counted bytes of text, so that one holds about BUCKET bytes of hashes, and is twice the partitions at least. Beyond 2**RANGE_BITS buckets (some 40 GB of
+text) windows are dealt by ranges first and split into buckets by a second shuffle, so that packed rows stay long. A
 collision of 64-bit hashes would remove a window wrongly; n windows have about n * n / 2**65 of them.
 
 Defined results: ids must be integers (TypeError otherwise); a null text has no words; a null id counts as larger
@@ -32,6 +33,8 @@ from . import scratch, words
 WIDTH = 50
 #: Bytes of text of a unit, bytes of text gathered before blocks go out, bytes of hashes meant for a bucket.
 UNIT, GATHER, BUCKET = 2 << 20, 24 << 20, 32 << 20
+#: Bits of a hash that blocks are first dealt by, and bytes of hashes of one range that are gathered before it is split into buckets.
+RANGE_BITS, AGAIN = 11, 64 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -82,27 +85,42 @@ def _once(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[keep], low[keep], high[keep]
 
 
+_PACKED = "bucket int, hashes binary, units binary, low binary, more binary"
+
+
+def _blocks(kept: list[tuple[np.ndarray, ...]], shift: int, spread: int):
+    """Rows of _PACKED out of (hashes, units, low, more), by the bits of the hashes from shift on; of these the lowest spread bits differ."""
+    pack = zstandard.ZstdCompressor(level=1)
+    h, unit, low, more = (np.concatenate(x) for x in zip(*kept, strict=True))
+    at = (h >> np.uint64(shift)).astype(np.uint32) if shift < 64 else np.zeros(len(h), dtype=np.uint32)
+    part = at & np.uint32((1 << spread) - 1)
+    order = np.argsort(part.astype(np.uint16) if spread <= 16 else part, kind="stable")
+    h, unit, low, more, at = (x[order] for x in (h, unit, low, more, at))
+    edges = np.append(np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1)), len(at)).tolist()
+    for k in range(0, len(edges) - 1, 64):
+        cut = list(zip(edges[k : k + 64], edges[k + 1 : k + 65]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(at[i]) for i, _ in cut], pa.int32()),
+                pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()),
+                *(pa.array([pack.compress(np.diff(x[i:j], prepend=0).tobytes()) for i, j in cut], pa.binary()) for x in (unit, low, more)),
+            ],
+            ["bucket", "hashes", "units", "low", "more"],
+        )
+
+
+def _opened(hashes, rest, unpack: zstandard.ZstdDecompressor) -> tuple[np.ndarray, ...]:
+    """Hashes, units, low and more of a row of _PACKED."""
+    return np.frombuffer(hashes, dtype=np.uint64), *(np.cumsum(np.frombuffer(unpack.decompress(x), dtype=np.int64)) for x in rest)
+
+
 def _buckets(units: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, hashes, units, low, more): packed windows of a few units of a task."""
-    shift = np.uint64(64 - int(buckets - 1).bit_length()) if buckets > 1 else None
-
-    def blocks(kept):
-        pack = zstandard.ZstdCompressor(level=1)
-        h, unit, low, high = (np.concatenate(x) for x in zip(*kept, strict=True))
-        at = (h >> shift).astype(np.uint32) if shift is not None else np.zeros(len(h), dtype=np.uint32)
-        order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
-        h, unit, low, more, at = h[order], unit[order], low[order], (high - low)[order], at[order]
-        edges = np.append(np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1)), len(at)).tolist()
-        for k in range(0, len(edges) - 1, 64):
-            cut = list(zip(edges[k : k + 64], edges[k + 1 : k + 65]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(at[i]) for i, _ in cut], pa.int32()),
-                    pa.array([h[i:j].tobytes() for i, j in cut], pa.binary()),
-                    *(pa.array([pack.compress(np.diff(x[i:j], prepend=0).tobytes()) for i, j in cut], pa.binary()) for x in (unit, low, more)),
-                ],
-                ["bucket", "hashes", "units", "low", "more"],
-            )
+    """Packed windows of a few units of a task, by buckets; beyond RANGES of them in two steps.
+
+    A row should hold many hashes, so a task deals what it gathers to RANGES ranges at most. Where these are not the buckets themselves, they are
+    dealt out once more: tasks that have gathered more of one range split it into its buckets."""
+    bits = int(buckets - 1).bit_length()
+    first = min(bits, RANGE_BITS)
 
     def run(batches):
         unpack, kept, size = zstandard.ZstdDecompressor(), [], 0
@@ -113,22 +131,44 @@ def _buckets(units: DataFrame, width: int, buckets: int) -> DataFrame:
                 if not found:
                     continue
                 h, low, high = _once(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                kept.append((h, np.full(len(h), unit["unit"]), low, high))
+                kept.append((h, np.full(len(h), unit["unit"]), low, high - low))
                 size += unit["size"]
                 if size >= GATHER:
-                    yield from blocks(kept)
+                    yield from _blocks(kept, 64 - first, first)
+                    kept, size = [], 0
+        if kept:
+            yield from _blocks(kept, 64 - first, first)
+
+    packed = units.mapInArrow(words.freeing(run), _PACKED)
+    if bits == first:
+        return packed
+
+    def split(batches):
+        unpack, kept, size, own = zstandard.ZstdDecompressor(), [], 0, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = batch.column(0)[k].as_py()
+                if kept and (at != own or size >= AGAIN):
+                    yield from _blocks(kept, 64 - bits, bits - first)
                     kept, size = [], 0
+                own = at
+                kept.append(_opened(batch.column(1)[k].as_buffer(), [batch.column(c)[k].as_buffer() for c in (2, 3, 4)], unpack))
+                size += len(kept[-1][0]) * 8
         if kept:
-            yield from blocks(kept)
+            yield from _blocks(kept, 64 - bits, bits - first)
 
-    return units.mapInArrow(words.freeing(run), "bucket int, hashes binary, units binary, low binary, more binary")
+    # a range goes to as many tasks as there are partitions for each
+    parts = scratch.fanout(units.sparkSession)
+    salt = F.pmod(F.spark_partition_id(), F.lit(-(-parts // (1 << first))) if parts > 1 << first else F.lit(1))
+    dealt = packed.withColumn("salt", salt).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket").drop("salt")
+    return dealt.mapInArrow(words.freeing(split), _PACKED)
 
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Of one bucket: for each unit, the windows that start in a smaller document than one there, and the smallest document."""
     pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-    h = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("hashes")])
-    unit, low, more = (np.concatenate([np.cumsum(np.frombuffer(unpack.decompress(x.as_py()), dtype=np.int64)) for x in table.column(name)]) for name in ("units", "low", "more"))
+    rows = zip(*(table.column(name) for name in ("hashes", "units", "low", "more")), strict=True)
+    h, unit, low, more = (np.concatenate(x) for x in zip(*(_opened(r[0].as_buffer(), [x.as_buffer() for x in r[1:]], unpack) for r in rows), strict=True))
     order = np.argsort(h, kind="stable")
     h = h[order]
     lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import statistics
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,47 @@ def test_substring(docs, none, rows):
     assert got(narrow, OP1) == brute.substring(rows, 3)
 
 
+def test_substring_in_two_steps(docs, rows, monkeypatch):
+    """More buckets than a task deals out at once, in one and in several tasks a range."""
+    monkeypatch.setattr(substring, "RANGE_BITS", 3)
+    monkeypatch.setattr(substring, "AGAIN", 2000)
+    for partitions in ("4", "40"):
+        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            out = substring.remove_repeats(docs, buckets=1 << 9).withColumn("kept_sha256", F.sha2("kept_text", 256))
+            assert got(out, OP1) == brute.substring(rows)
+        finally:
+            docs.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_substring_payload_is_flat_in_buckets(spark):
+    """Bytes that are shuffled, and their work, for 2**6 buckets to 2**23 of them."""
+    rng = np.random.default_rng(1)
+    vocab = np.array([w.encode() for w in vocabulary(6, 3000)], dtype=object)
+    texts = [b" ".join(vocab[rng.integers(0, 3000, 20_000)]).decode() for _ in range(90)]
+    size = sum(len(t.encode()) for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    units = spark.createDataFrame(substring._units(df).collect(), "unit long, size long, ids binary, ends binary, packed binary").coalesce(1)
+    total, hashes, took = {}, set(), {}
+    for bits in (6, 11, 13):
+        began = time.perf_counter()
+        out = substring._buckets(units, substring.WIDTH, 1 << bits).select(sum(F.length(c) for c in ("hashes", "units", "low", "more")).alias("n"), F.length("hashes").alias("h"))
+        total[bits], h = out.agg(F.sum("n"), F.sum("h")).first()
+        hashes.add(h)
+        took[bits] = time.perf_counter() - began
+    assert len(hashes) == 1 and max(total.values()) <= 1.35 * size and took[11] < 4 * took[6] + 2
+    # the second step of a large corpus: what a task gathers of one range, into the 2**12 buckets that 2**23 are to it
+    n, tasks = 1 << 21, 40
+    h = rng.integers(0, 2**64, n, dtype=np.uint64) >> np.uint64(11) | np.uint64(5 << 53)
+    unit = np.repeat(np.arange(tasks) << 32, n // tasks + 1)[:n]
+    low = np.sort(rng.integers(0, 10**9, n // 500)).repeat(500)[:n]
+    low = np.concatenate([low, np.full(n - len(low), low[-1])])
+    began = time.perf_counter()
+    made = list(substring._blocks([(h, unit, low, np.zeros(n, dtype=np.int64))], 64 - 23, 12))
+    assert sum(b.num_rows for b in made) == 1 << 12 and {x >> 12 for b in made for x in b.column(0).to_pylist()} == {5}
+    assert sum(b.get_total_buffer_size() for b in made) <= 1.5 * 8 * n and time.perf_counter() - began < 20
+
+
 def test_substring_intervals(spark):
     vocab = vocabulary(3)
     a, b = " ".join(vocab[:70]), " ".join(vocab[100:160])

@@ -209,6 +209,30 @@ def _synthetic(spark, d) -> DataFrame:
     return synthetic.molecules_of(ids, 500).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gene")
 
 
+def _synthetic_csv(spark, d) -> DataFrame:
+    """The same written as CSV and loaded again."""
+    at = f"{_place(spark)}.csv"
+    _synthetic(spark, d).drop("id").write.csv(at, header=True)
+    return sources.load_transcript_data(spark, at)
+
+
+def _empty_exits(spark, d) -> DataFrame:
+    """What has nothing in it, of a data set that has: a tile without points, before and after it was processed, and a radius below any distance."""
+    s, at, out = SOURCES["ev"], _place(spark), _place(spark)
+    tiles.partition_dataset_to_tiles(molecules(spark, d, "ev"), s.tile, at)
+    far = 10**6
+    tiles.process_tile_out_of_core(spark, far, far, s.tile, s.resolution, s.radius, at, out)
+    _, nodes, _ = _graph(spark, d, "ev")
+    edges = graph.neighbours(nodes, s.resolution / 2)
+    parts = {"molecules": tiles.read_tiles(spark, at), "far_rows": tiles.load_tile_with_halo(spark, far, far, s.tile, s.radius, at), "edges": edges, "laplacian": graph.laplacian(edges)}
+    parts |= {f"far_{name}": tiles.results(spark, out, name) for name in ("bins", "counts", "edges")}
+    whole = None
+    for name, df in parts.items():
+        own = df.agg(F.count("*").alias(name))
+        whole = own if whole is None else whole.crossJoin(F.broadcast(own))  # one row each
+    return whole
+
+
 EVENT_TYPES = ["add_to_cart", "click", "purchase", "search", "view"]
 
 
@@ -276,6 +300,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fixed_dictionary_coo_ev": lambda s, d: matrix.compute_square_bins(molecules(s, d, "ev"), SOURCES["ev"].resolution, _dictionary(s, d)).cells,
         "fixed_dictionary_coo_cu": lambda s, d: matrix.build_sparse_matrix(_square(s, d, "cu"), genes=_dictionary(s, d)).cells,
         "synthetic_molecules_ev": _synthetic,
+        "synthetic_csv_ev": _synthetic_csv,
+        "empty_exits_ev": _empty_exits,
         "load_csv_ev": lambda s, d: _csv(s, d, sources.load_coordinates, {"x": "x_location", "y": "y_location", "gene": "feature_name"}),
         "load_csv_gz_ev": lambda s, d: _csv(s, d, sources.load_coordinates, codec="gzip"),
         "load_transcripts_ev": lambda s, d: _csv(s, d, sources.load_transcript_data),
@@ -430,6 +456,8 @@ def oracle_sql() -> dict[str, str]:
         "fixed_dictionary_coo_ev": base + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM fc JOIN fb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',
         "fixed_dictionary_coo_cu": _base("cu") + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM sc JOIN sb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',
         "synthetic_molecules_ev": _SYNTHETIC,
+        "synthetic_csv_ev": f"SELECT x::FLOAT AS x, y::FLOAT AS y, gene FROM ({_SYNTHETIC})",
+        "empty_exits_ev": "SELECT count(*) AS molecules, 0::BIGINT AS far_rows, 0::BIGINT AS edges, 0::BIGINT AS laplacian, 0::BIGINT AS far_bins, 0::BIGINT AS far_counts, 0::BIGINT AS far_edges FROM events",
         "load_csv_ev": base + "SELECT * FROM m",
         "load_csv_gz_ev": base + "SELECT * FROM m",
         "load_transcripts_ev": base + "SELECT x::FLOAT AS x, y::FLOAT AS y, gene FROM m",

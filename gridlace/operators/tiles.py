@@ -25,7 +25,6 @@ _BINS = "bx bigint, by bigint, cx double, cy double, home_x bigint, home_y bigin
 _COUNTS = "bx bigint, by bigint, gene string, n bigint, owner_x bigint, owner_y bigint, run int"
 _EDGES = "bx_a bigint, by_a bigint, bx_b bigint, by_b bigint, owner_x bigint, owner_y bigint, run int"
 _REDONE = "owner_x bigint, owner_y bigint, run int"
-_LOG = "full boolean, tile_size double, resolution double, max_dist double, x_min double, y_min double, batch int, n int"
 #: Distances are widened by this share of a coordinate, so that rounding can't leave a tile out.
 _SLACK = 2.0**-40
 
@@ -127,12 +126,12 @@ def tile_edges(owners: DataFrame, max_dist: float, resolution: float | None = No
     return sides[0].select(*names).unionByName(sides[1].select(*names)).distinct()
 
 
-def _runs(spark: SparkSession, out_dir: str, sizes: tuple[float, ...] | None = None, at: tuple[float, float] | None = None) -> list:
+def _runs(spark: SparkSession, out_dir: str, sizes: tuple[float, float, float] | None = None, at: tuple[float, float] | None = None) -> list[dict]:
     """Runs whose results count, oldest first; ValueError if they had other sizes or another offset."""
-    runs = tileset.entries(spark, f"{out_dir}/log", _LOG)
-    if runs and sizes and tuple(runs[-1][1:4]) != sizes:
-        raise ValueError(f"results there are for (tile_size, resolution, max_dist) = {tuple(runs[-1][1:4])}, not {sizes}")
-    if runs and at and tuple(runs[-1][4:6]) != at:
+    runs = tileset.entries(spark, f"{out_dir}/log")
+    if runs and sizes and tuple(runs[-1]["sizes"]) != sizes:
+        raise ValueError(f"results there are for (tile_size, resolution, max_dist) = {tuple(runs[-1]['sizes'])}, not {sizes}")
+    if runs and at and tuple(runs[-1]["offset"]) != at:
         raise ValueError("the offset of the points has changed since: all tiles have to be processed")
     return runs
 
@@ -146,18 +145,17 @@ def _write(tiled: DataFrame, sizes: tuple[float, float, float], at: tuple[float,
     for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist, resolution)}.items():
         own = df if only is None else df.join(only, ["owner_x", "owner_y"], "left_semi")
         own.hint("rebalance", "owner_x", "owner_y").write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
-    tileset.enter(spark, f"{out_dir}/log", _LOG, n, [only is None, *sizes, *at, batch])
+    tileset.enter(spark, f"{out_dir}/log", {"n": n, "full": only is None, "sizes": sizes, "offset": at, "batch": batch})
 
 
 def process_tiles(spark: SparkSession, tile_size: float, resolution: float, max_dist: float, partition_dir: str, out_dir: str) -> None:
     """Bins, counts and edges of all tiles at once; what was there is replaced."""
-    old = tileset.entries(spark, f"{out_dir}/log", _LOG)
-    batch = tileset.entries(spark, f"{partition_dir}/log", tileset.LOG)
+    old, batch = _runs(spark, out_dir), tileset.entries(spark, f"{partition_dir}/log")
     tiled = read_tiles(spark, partition_dir)
     _write(tiled, (float(tile_size), float(resolution), float(max_dist)), read_offset(spark, partition_dir), out_dir, old[-1]["n"] + 1 if old else 1, batch[-1]["n"])
     for e in old:
-        for name in ("log/n", "bins/run", "counts/run", "edges/run", "redone/run"):
-            tileset.delete(spark, f"{out_dir}/{name}={e['n']}")
+        for name in (f"log/{e['n']}.json", *(f"{x}/run={e['n']}" for x in ("bins", "counts", "edges", "redone"))):
+            tileset.delete(spark, f"{out_dir}/{name}")
 
 
 def _redo(spark: SparkSession, dirty: DataFrame, sizes: tuple[float, float, float], at: tuple[float, float], partition_dir: str, out_dir: str, n: int, batch: int) -> DataFrame:
@@ -189,8 +187,8 @@ def process_appended(spark: SparkSession, tile_size: float, resolution: float, m
     points, or if it can own a bin within max_dist of a new one. All are if the smallest coordinates have changed, as all bins have then, if
     the points were replaced, or if there are no complete results for these sizes. Files of earlier results stay as they are."""
     sizes, at = (float(tile_size), float(resolution), float(max_dist)), read_offset(spark, partition_dir)
-    log, runs = tileset.entries(spark, f"{partition_dir}/log", tileset.LOG), _runs(spark, out_dir)
-    if not runs or not runs[0]["full"] or tuple(runs[-1][1:6]) != (*sizes, *at) or log[0]["n"] > runs[-1]["batch"]:
+    log, runs = tileset.entries(spark, f"{partition_dir}/log"), _runs(spark, out_dir)
+    if not runs or not runs[0]["full"] or (tuple(runs[-1]["sizes"]), tuple(runs[-1]["offset"])) != (sizes, at) or log[0]["n"] > runs[-1]["batch"]:
         process_tiles(spark, *sizes, partition_dir, out_dir)
         return results(spark, out_dir, "bins").select("owner_x", "owner_y").distinct()
     done = runs[-1]["batch"]
@@ -222,10 +220,11 @@ def results(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
         raise FileNotFoundError(f"{out_dir}/log")
     kept = F.col("run").between(runs[0]["n"], runs[-1]["n"])
     df = spark.read.schema({"bins": _BINS, "counts": _COUNTS, "edges": _EDGES}[name]).parquet(f"{out_dir}/{name}").filter(kept)
+    names = [c for c in df.columns if c != "run"]
     if runs[0]["full"] and len(runs) == 1:
-        return df.drop("run")
+        return df.select(*names)
     redone = spark.read.schema(_REDONE).parquet(f"{out_dir}/redone").filter(kept).groupBy("owner_x", "owner_y").agg(F.max("run").alias("last"))
-    return df.join(redone, ["owner_x", "owner_y"], "left").filter("last is null or last = run").drop("run", "last")
+    return df.join(redone, ["owner_x", "owner_y"], "left").filter("last is null or last = run").select(*names)
 
 
 def stitch_out_of_core_results(spark: SparkSession, tmp_out_dir: str, resolution: float):
@@ -233,7 +232,7 @@ def stitch_out_of_core_results(spark: SparkSession, tmp_out_dir: str, resolution
     runs = _runs(spark, tmp_out_dir)
     if not runs:
         raise ValueError(f"no tile results in {tmp_out_dir}")
-    at = (runs[-1]["x_min"], runs[-1]["y_min"])
+    at = tuple(runs[-1]["offset"])
     counts = shared.written(results(spark, tmp_out_dir, "counts").select("bx", "by", "gene", "n").distinct())
     bins = matrix.dense_ids(counts.select("bx", "by").distinct(), "by", "bx", "bin_id")
     bins = P.get_bin_centers(bins, "square", resolution, at)

@@ -2,14 +2,16 @@
 
 ``points/batch=n``: the rows of one append, in files by ranges of a curve through quarters of quarters of tiles, so a file covers few tiles and
 a crowded tile is several files. ``index/batch=n``: one row for each file and tile in it, with the smallest and largest coordinates;
-a reader opens the files that hold what it wants, and no others. ``genes/batch=n``: the genes that no earlier batch had. ``log/n=n`` is written last and makes a
+a reader opens the files that hold what it wants, and no others. ``genes/batch=n``: the genes that no earlier batch had. ``log/n.json`` is written last and makes a
 batch count; it has its smallest coordinates, so offset and dictionary of the whole are merged from batches, and an
 append reads its own rows alone. One writer at a time; a batch that failed is written over by the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlace.functions import binning
@@ -19,7 +21,6 @@ from . import points as sources
 #: Columns of what is stored; given to readers, as an empty table has no files.
 POINTS = "x double, y double, gene string, tile_x bigint, tile_y bigint, batch int"
 INDEX = "file string, tile_x bigint, tile_y bigint, n bigint, x_min double, x_max double, y_min double, y_max double, batch int"
-LOG = "full boolean, tile_size double, x_min double, y_min double, n int"
 #: Parts of a tile's side that the curve tells apart; files up to which a reader lists them.
 PARTS, FILES = 64, 10_000
 
@@ -29,20 +30,30 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def entries(spark: SparkSession, log: str, schema: str) -> list[Row]:
+def entries(spark: SparkSession, log: str) -> list[dict]:
     """Entries of a log from its last full one on, oldest first."""
-    try:
-        sources.require(spark, log)
-    except FileNotFoundError:
-        return []
-    rows = spark.read.schema(schema).parquet(log).orderBy("n").collect()
-    full = max((i for i, r in enumerate(rows) if r["full"]), default=0)
-    return rows[full:]
-
-
-def enter(spark: SparkSession, log: str, schema: str, n: int, values: list) -> None:
-    """Add entry n; its values are those of schema but for n."""
-    spark.createDataFrame([tuple(values)], schema.removesuffix(", n int")).coalesce(1).write.mode("overwrite").parquet(f"{log}/n={n}")
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.listStatus(where) if fs.exists(where) else ():
+        if status.getPath().getName().endswith(".json"):
+            source = fs.open(status.getPath())
+            try:
+                rows.append(json.loads(jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")))
+            finally:
+                source.close()
+    rows.sort(key=lambda e: e["n"])
+    return rows[max((i for i, e in enumerate(rows) if e["full"]), default=0) :]
+
+
+def enter(spark: SparkSession, log: str, entry: dict) -> None:
+    """Add an entry, which has its number n; it is there as a whole or not at all."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(log).getFileSystem(spark._jsc.hadoopConfiguration())
+    sink = fs.create(at(f"{log}/{entry['n']}.part"), True)
+    sink.write(bytearray(json.dumps(entry).encode()))
+    sink.close()
+    fs.rename(at(f"{log}/{entry['n']}.part"), at(f"{log}/{entry['n']}.json"))
 
 
 def along_curve(df: DataFrame, x, y, *more: str) -> DataFrame:
@@ -51,10 +62,14 @@ def along_curve(df: DataFrame, x, y, *more: str) -> DataFrame:
     return keyed.repartitionByRange("__z", "__tie").sortWithinPartitions("__z", *more).drop("__z", "__tie")
 
 
-def append(tiled: DataFrame, tile_size: float, at: str, replace: bool = False) -> None:
-    """Add (x, y, gene, tile_x, tile_y) as a batch, or with replace instead of all earlier ones; ValueError if those have tiles of another size."""
+def append(tiled: DataFrame, tile_size: float, at: str, replace: bool = False, epoch: int | None = None) -> None:
+    """Add (x, y, gene, tile_x, tile_y) as a batch, or with replace instead of all earlier ones; ValueError if those have tiles of another size.
+
+    epoch: number of a batch of a stream; one that has been added already, before a restart, isn't added again."""
     spark = tiled.sparkSession
-    known = entries(spark, f"{at}/log", LOG)
+    known = entries(spark, f"{at}/log")
+    if epoch is not None and any(e["epoch"] is not None and e["epoch"] >= epoch for e in known):
+        return
     if known and not replace and known[-1]["tile_size"] != float(tile_size):
         raise ValueError(f"tiles there have the size {known[-1]['tile_size']!r}, not {tile_size!r}")
     n = known[-1]["n"] + 1 if known else 1
@@ -67,17 +82,17 @@ def append(tiled: DataFrame, tile_size: float, at: str, replace: bool = False) -
     if known and not replace:
         genes = genes.join(read_genes(spark, at), "gene", "left_anti")
     genes.write.mode("overwrite").parquet(f"{at}/genes/batch={n}")
-    least = spark.read.parquet(f"{at}/index/batch={n}").agg(F.min("x_min"), F.min("y_min")).first()
-    enter(spark, f"{at}/log", LOG, n, [replace or not known, float(tile_size), *least])
+    least = spark.read.schema(INDEX.removesuffix(", batch int")).parquet(f"{at}/index/batch={n}").agg(F.min("x_min"), F.min("y_min")).first()
+    enter(spark, f"{at}/log", {"n": n, "full": replace or not known, "tile_size": float(tile_size), "x_min": least[0], "y_min": least[1], "epoch": epoch})
     if replace:
         for e in known:
-            for name in ("log/n", "points/batch", "index/batch", "genes/batch"):
-                delete(spark, f"{at}/{name}={e['n']}")
+            for name in (f"log/{e['n']}.json", *(f"{x}/batch={e['n']}" for x in ("points", "index", "genes"))):
+                delete(spark, f"{at}/{name}")
 
 
 def _table(spark: SparkSession, at: str, name: str, schema: str) -> DataFrame:
     """Rows of the batches that count."""
-    known = entries(spark, f"{at}/log", LOG)
+    known = entries(spark, f"{at}/log")
     if not known:
         raise FileNotFoundError(f"{at}/log")
     return spark.read.schema(schema).parquet(f"{at}/{name}").filter(F.col("batch").between(known[0]["n"], known[-1]["n"]))
@@ -98,7 +113,7 @@ def read_genes(spark: SparkSession, at: str) -> DataFrame:
 
 def read_offset(spark: SparkSession, at: str, upto: int | None = None) -> tuple[float, float]:
     """The smallest coordinates of all batches, or of those up to a number; zeros where there are no points."""
-    known = entries(spark, f"{at}/log", LOG)
+    known = entries(spark, f"{at}/log")
     if not known:
         raise FileNotFoundError(f"{at}/log")
     own = [e for e in known if upto is None or e["n"] <= upto]

@@ -25,5 +25,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scratch.Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.table(stage(spark, docs, sf_dir), name)
+        with scratch.scope(spark):  # what a stage has stored on its way goes when its result is written
+            docs = store.table(stage(spark, docs, sf_dir), name)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -47,11 +48,33 @@ def freeing_shuffles(spark: SparkSession):
             spark.conf.set(_CLEAN, before)
 
 
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables of a Scratch that was made within it, in this thread, go at its end: write what they were for before."""
+    before = _made.set([])
+    try:
+        yield
+    finally:
+        for at in _made.get() or ():
+            _delete(spark, at)
+        _made.reset(before)
+
+
 class Scratch:
-    """Parquet tables of one operator call, in a new subfolder of the shared folder."""
+    """Parquet tables of one operator call, in a new subfolder of the shared folder; they stay until the scope around the call ends, if there is one."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if (own := _made.get()) is not None:
+            own.append(self.at)
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
@@ -73,9 +96,7 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(conf).delete(path, True)
+        _delete(self.spark, self.path(name))
 
 
 def fanout(spark: SparkSession) -> int:

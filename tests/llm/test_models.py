@@ -1,5 +1,6 @@
 """Language ID, benchmark search, quotation linking and the pipeline."""
 
+import os
 import random
 import zlib
 
@@ -275,11 +276,15 @@ def test_pipeline(spark, tmp_path):
             assert not any("shared line" in (r.text or "") for r in docs.collect())
     assert kept[0] == kept[1] == set(range(64)) - {61, 62}
     assert kept[2] == kept[1] - {60} and kept[3] == kept[4] == kept[2] - {63}
+    here = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(here))
     assert corpus_pipeline.run(spark, at).count() == 60
+    left = set(os.listdir(here)) - before
+    assert [name.split("-")[0] for name in left] == ["pipeline"]  # the tables of its stages alone
 
 
 def test_registry():
-    assert sorted(int(k.split("_")[0][2:]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in registry.QUERIES) == list(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES)
 
 

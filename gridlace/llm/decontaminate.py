@@ -14,7 +14,7 @@
    the others. Windows with fewer words of those are left out, and no others: nothing that step 3 would accept is lost, at
    any number and length of items. The column latent says which search found a match.
 
-The benchmark is taken in blocks of about ITEMS items and LETTERS characters, and terms are at most 2**BITS buckets, so tables that are
+The benchmark is taken in blocks of about ITEMS items and LETTERS characters (items of over ALONE characters apart from others), and terms are at most 2**BITS buckets, so tables that are
 broadcast have a bound at any size of the benchmark; each block makes one pass for frequencies and one for the search. A document
 stays in its task: nothing is shuffled but counts.
 
@@ -38,14 +38,33 @@ from . import scratch, words
 HOP, RANK, OVER, ROUNDS = 32, 128, 16, 2
 NEAR, SURE, LIKELY, ANSWER, SHORT = 0.7, 0.75, 0.55, 0.75, 8
 ITEMS, LETTERS, BITS, CELLS = 5_000, 1 << 20, 18, 1 << 22
+#: Words of an item beyond which tables a word are made as they are needed, and letters beyond which items have blocks of their own.
+LONG, ALONE = 4096, 1 << 16
 
 
-def _places(own: np.ndarray) -> dict[int, int]:
-    """Bits of the places of each word."""
-    out: dict[int, int] = {}
-    for i, w in enumerate(own.tolist()):
-        out[w] = out.get(w, 0) | 1 << i
-    return out
+class Places:
+    """Bits of the places of each word among words; a mask is as long as these, so for more than LONG of them it is made when it is asked for."""
+
+    def __init__(self, own: np.ndarray):
+        self.at: dict[int, list[int]] = {}
+        for i, w in enumerate(own.tolist()):
+            self.at.setdefault(w, []).append(i)
+        self.masks = {w: self._mask(p) for w, p in self.at.items()} if len(own) <= LONG else None
+
+    @staticmethod
+    def _mask(places: list[int]) -> int:
+        if len(places) == 1:
+            return 1 << places[0]
+        bits = bytearray((places[-1] >> 3) + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    def get(self, word: int) -> int | None:
+        if self.masks is not None:
+            return self.masks.get(word)
+        places = self.at.get(word)
+        return self._mask(places) if places else None
 
 
 @dataclass
@@ -55,7 +74,7 @@ class Item:
     answer: int  # first word of the last sentence
 
     def __post_init__(self):
-        self.whole, self.last = (_places(self.words[i:]) for i in (0, self.answer))
+        self.whole, self.last = (Places(self.words[i:]) for i in (0, self.answer))
 
 
 def _hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +178,7 @@ def latent_basis(passages: DataFrame, weight: np.ndarray, rank: int = RANK, seed
     return q @ turn[:, order]
 
 
-def common(places: dict[int, int], n: int, region: list[int]) -> int:
+def common(places: Places, n: int, region: list[int]) -> int:
     """Length of the longest common subsequence of n words, given by their places, and region; by bits of an integer."""
     v = full = (1 << n) - 1
     for m in filter(None, map(places.get, region)):
@@ -295,8 +314,8 @@ def _judge(index: Index, own: list[int], lo: int, hi: int, item: Item) -> tuple[
     n, region = len(item.words), own[lo:hi]
     # no more words than places whose word is there can be common
     there = 0
-    for m in set(map(item.whole.get, region)):
-        there |= m or 0
+    for w in set(region):
+        there |= item.whole.get(w) or 0
     least = 1 if n < SHORT else LIKELY
     if there.bit_count() / n < least:
         return None
@@ -315,12 +334,16 @@ def _matches(index: Index, h: np.ndarray, first: np.ndarray):
 
     def search(candidates, taken: dict) -> dict[tuple[int, int], tuple]:
         best: dict[tuple[int, int], tuple] = {}
+        last: dict[tuple[int, int], tuple[int, int]] = {}
         for doc, at, items, *cosine in candidates:
             for d, a, p, *c in zip(doc.tolist(), at.tolist(), items.tolist(), *(x.tolist() for x in cosine), strict=True):
-                if (d, p) in taken:
-                    continue
                 n = len(index.items[p].words)
+                if (d, p) in taken or (d, p) in best and best[d, p][4] == n:  # no place is better
+                    continue
                 lo, hi = max(int(first[d]), a - n), min(int(first[d + 1]), a + 2 * HOP + n)
+                if last.get((d, p)) == (lo, hi):  # neighbouring windows of a long item may look at the same words
+                    continue
+                last[d, p] = lo, hi
                 got = _judge(index, own, lo, hi, index.items[p])
                 if got and ((d, p) not in best or got[0] > best[d, p][4]):
                     best[d, p] = (d, p, lo - int(first[d]), hi - int(first[d]), *got, c[0] if c else _cosine(index, h[a : min(a + 2 * HOP, int(first[d + 1]))], p), bool(c))
@@ -336,14 +359,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     store = scratch.Scratch(spark, "latent")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
-    size = bench.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).first()
-    many = max(-(-size["n"] // items), -(-(size["letters"] or 0) // LETTERS))
+    # items are searched with those of about their length: a long one widens what is held for all of its block
+    alone = F.length("text") > ALONE
+    sizes = {r["alone"]: r for r in bench.groupBy(alone.alias("alone")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("letters")).collect()}
+    blocks = []
+    for kind in sorted(sizes):
+        many = max(-(-sizes[kind]["n"] // items), -(-sizes[kind]["letters"] // LETTERS), 1)
+        part = bench.filter(alone == kind)
+        blocks += [part.filter(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k) if many > 1 else part for k in range(many)]
     kinds = [docs.schema["doc_id"].dataType.simpleString(), bench.schema["item"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, word_from long, word_to long, n_common long, share double, paraphrase boolean, cosine double, latent boolean"
     out = spark.createDataFrame([], schema)
-    for block in range(many):
-        own = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == block).collect() if many > 1 else bench.collect()
-        parsed = sorted((x for r in own if (x := parse_item(r["item"], r["text"])) is not None), key=lambda x: (str(x.item), x.words.tobytes()))
+    for block, own in enumerate(blocks):
+        parsed = sorted((x for r in own.collect() if (x := parse_item(r["item"], r["text"])) is not None), key=lambda x: (str(x.item), x.words.tobytes()))
         if not parsed:
             continue
         shared = spark.sparkContext.broadcast(build_index(docs, parsed, store, f"passages-{block}"))

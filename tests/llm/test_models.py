@@ -1,6 +1,7 @@
 """Language ID, benchmark search, quotation linking and the pipeline."""
 
 import os
+import pickle
 import random
 import zlib
 
@@ -157,7 +158,7 @@ def test_common_subsequence():
 
     for _ in range(200):
         a, b = ([rng.randint(0, 6) for _ in range(rng.randint(1, 30))] for _ in range(2))
-        assert decontaminate.common(decontaminate._places(np.array(a)), len(a), b) == plain(a, b)
+        assert decontaminate.common(decontaminate.Places(np.array(a)), len(a), b) == plain(a, b)
 
 
 def test_latent_basis_is_that_of_the_matrix(spark):
@@ -259,6 +260,31 @@ def pipeline_rows():
     return rows + [(63, f"{text(20)} {bench} {text(20)}", "en", "s4", 0)], bench
 
 
+def test_long_benchmark_items(spark, monkeypatch):
+    """Items of 20,000 words, most of them distinct, in blocks apart from short ones; tables stay small whatever the length."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short = text(20_000), text(30)
+    broken = long.split()
+    for i in rng.sample(range(20_000), 3_000):
+        broken[i] = word()
+    items = [(1, long), (2, short)]
+    docs = [(1, f"{text(40)} {long} {text(40)}"), (2, " ".join(broken)), (3, f"{text(50)} {short} {text(50)}"), (4, text(300)), (5, " ".join(long.split()[:9_000]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_common == 20_000 or r.item_id == 2) for r in out} == {(1, 1, True), (2, 1, False), (3, 2, True)}
+    assert next(r.n_common for r in out if r.doc_id == 2) >= 17_000
+    whole = decontaminate.parse_item(1, long)
+    assert whole.whole.masks is None and len(pickle.dumps(whole)) < 100 * len(whole.words)
+    # masks that are made on demand are those of a table
+    own = np.array([rng.randint(0, 40) for _ in range(500)])
+    table = decontaminate.Places(own)
+    monkeypatch.setattr(decontaminate, "LONG", 100)
+    lazy = decontaminate.Places(own)
+    assert lazy.masks is None and all(lazy.get(w) == table.get(w) for w in range(45))
+
+
 def test_pipeline(spark, tmp_path):
     rows, bench = pipeline_rows()
     at = str(tmp_path)

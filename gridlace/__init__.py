@@ -3,7 +3,7 @@
 from .operators.graph import build_spatial_graph
 from .operators.matrix import build_sparse_matrix, compute_square_bins
 from .operators.points import bin_hexagonal, bin_square, get_bin_centers
-from .operators.tiles import load_tile_with_halo, partition_dataset_to_tiles, process_tile_out_of_core, process_tiles, stitch_out_of_core_results
+from .operators.tiles import load_tile_with_halo, partition_dataset_to_tiles, process_appended, process_tile_out_of_core, process_tiles, stitch_out_of_core_results
 from .sources.points import download_dataset, load_coordinates, load_transcript_data
 from .sources.synthetic import generate_vectorized_mock_data
 
@@ -20,6 +20,7 @@ __all__ = [
     "load_tile_with_halo",
     "load_transcript_data",
     "partition_dataset_to_tiles",
+    "process_appended",
     "process_tile_out_of_core",
     "process_tiles",
     "stitch_out_of_core_results",

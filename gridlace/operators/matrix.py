@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlace.sources import shared
 
@@ -23,6 +24,12 @@ BLOCK = 65536
 _BOUND_ROWS = 20
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields, strict=True)))
+    return F.lit(value).cast(kind)
+
+
 def _ranged(rows: DataFrame, major: str, minor: str) -> DataFrame:
     """rows with __part, the number of their range of the order; worked out alike however often the plan runs."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -35,7 +42,7 @@ def _ranged(rows: DataFrame, major: str, minor: str) -> DataFrame:
     key = F.struct(F.col(major).alias("a"), F.col(minor).alias("b"))
     if not bounds:
         return rows.withColumn("__part", F.lit(0))
-    known = F.array(*(F.struct(F.lit(a).cast(kinds[0]).alias("a"), F.lit(b).cast(kinds[1]).alias("b")) for a, b in bounds))
+    known = F.array(*(F.struct(_literal(a, kinds[0]).alias("a"), _literal(b, kinds[1]).alias("b")) for a, b in bounds))
     return rows.withColumn("__part", F.size(F.filter(known, lambda x: x <= key)))
 
 

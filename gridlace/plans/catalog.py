@@ -190,11 +190,17 @@ def _exported(spark, d, form: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
-def _sample_li(spark, d) -> DataFrame:
-    """Lines of orders as points, drawn by the hash of their keys."""
-    s = SOURCES["li"]
-    own = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", *(f"{e} as {n}" for e, n in zip(s.spark, ("x", "y", "gene"), strict=True)))
-    return summary.sample(own, keys=["l_orderkey", "l_linenumber"])
+def _sampled(spark, d, key: str, ids: tuple[str, ...]) -> DataFrame:
+    """Rows of a table as points, drawn by the hash of their ids."""
+    s = SOURCES[key]
+    own = spark.read.parquet(f"{d}/{s.table}.parquet").selectExpr(*ids, *(f"{e} as {n}" for e, n in zip(s.spark, ("x", "y", "gene"), strict=True)))
+    return summary.sample(own, keys=list(ids))
+
+
+def _sampled_sql(key: str, ids: tuple[str, ...]) -> str:
+    s = SOURCES[key]
+    columns = ", ".join([*ids, *(f"{e} AS {n}" for e, n in zip(s.sql, ("x", "y", "gene"), strict=True))])
+    return f"SELECT {columns} FROM {s.table} ORDER BY md5('42:sample:' || {" || ':' || ".join(ids)}) LIMIT {summary.SAMPLE_ROWS}"
 
 
 def _dictionary(spark, d) -> DataFrame:
@@ -292,10 +298,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_matrix_ev": _dense,
         "load_qv_filter_li": _qv,
         "gene_filter_ev": lambda s, d: summary.only_gene(molecules(s, d, "ev"), "click"),
-        "sample_ev": lambda s, d: summary.sample(molecules(s, d, "ev")),
+        "sample_ev": lambda s, d: _sampled(s, d, "ev", ("event_id",)),
         "bin_labels_ev": lambda s, d: summary.bin_labels(_fused(s, d, "ev").cells.groupBy("bin_id").agg(F.sum("n").alias("total"))),
         "degree_labels_ev": lambda s, d: summary.degree_labels(graph.degrees(*_graph(s, d, "ev")[1:])),
-        "sample_li": _sample_li,
+        "sample_li": lambda s, d: _sampled(s, d, "li", ("l_orderkey", "l_linenumber")),
         "fixed_dictionary_ev": _dictionary,
         "fixed_dictionary_coo_ev": lambda s, d: matrix.compute_square_bins(molecules(s, d, "ev"), SOURCES["ev"].resolution, _dictionary(s, d)).cells,
         "fixed_dictionary_coo_cu": lambda s, d: matrix.build_sparse_matrix(_square(s, d, "cu"), genes=_dictionary(s, d)).cells,
@@ -451,7 +457,8 @@ def oracle_sql() -> dict[str, str]:
         "load_qv_filter_li": _base("li") + "SELECT l_extendedprice / 100::DOUBLE AS x, l_quantity * 10::DOUBLE AS y, concat(l_returnflag, l_linestatus) AS gene FROM lineitem WHERE l_quantity >= 20",
         "gene_filter_ev": "SELECT value AS x, user_id::DOUBLE AS y, event_type AS gene FROM events WHERE event_type = 'click'",
         "bin_labels_ev": base + "SELECT bin_id, 'Bin ' || bin_id || chr(10) || 'Total transcripts: ' || sum(n)::BIGINT AS label FROM fc JOIN fb USING (bx, \"by\") GROUP BY bin_id",
-        "sample_li": f"SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {n}' for e, n in zip(SOURCES['li'].sql, ('x', 'y', 'gene'), strict=True))} FROM lineitem ORDER BY md5('42:sample:' || l_orderkey || ':' || l_linenumber) LIMIT 30000",
+        "sample_ev": _sampled_sql("ev", ("event_id",)),
+        "sample_li": _sampled_sql("li", ("l_orderkey", "l_linenumber")),
         "fixed_dictionary_ev": _DICTIONARY + "SELECT gene, gene_id FROM dict",
         "fixed_dictionary_coo_ev": base + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM fc JOIN fb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',
         "fixed_dictionary_coo_cu": _base("cu") + _DICTIONARY.replace("WITH", ",", 1) + 'SELECT bin_id, coalesce(dict.gene_id, -1) AS gene_id, sum(n)::BIGINT AS n FROM sc JOIN sb USING (bx, "by") LEFT JOIN dict USING (gene) GROUP BY ALL',

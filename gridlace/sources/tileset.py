@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from gridlace.functions import binning
 
-from . import points as sources
-
 #: Columns of what is stored; given to readers, as an empty table has no files.
 POINTS = "x double, y double, gene string, tile_x bigint, tile_y bigint, batch int"
 INDEX = "file string, tile_x bigint, tile_y bigint, n bigint, x_min double, x_max double, y_min double, y_max double, batch int"

@@ -41,6 +41,15 @@ def test_crowded_cells(spark, folder):
     assert rows(graph.neighbours(nodes, 10.0), "src", "dst") == all_pairs(pts, 10.0)
 
 
+def test_crowded_cells_of_bins(spark, folder):
+    """Nodes that are named by pairs, as bins are."""
+    rng = random.Random(8)
+    pts = [(i, rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(90)]
+    nodes = spark.createDataFrame(pts, NODE).select(F.struct((F.col("node") % 7).alias("bx"), F.col("node").alias("by")).alias("node"), "cx", "cy")
+    got = graph.neighbours(nodes, 2.0, crowd=20).select(F.least("src.by", "dst.by").alias("a"), F.greatest("src.by", "dst.by").alias("b"))
+    assert rows(got, "a", "b") == all_pairs(pts, 2.0)
+
+
 def test_no_key_has_more_than_a_block(spark, monkeypatch):
     """Largest number of nodes on either side of a key, in a cell that holds all of them."""
     rng = random.Random(5)

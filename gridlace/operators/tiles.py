@@ -144,7 +144,9 @@ def _write(tiled: DataFrame, sizes: tuple[float, float, float], at: tuple[float,
     owners = owners_of(cells, tile_size, resolution)
     for name, df in {"bins": owners, "counts": counts_at(cells, owners), "edges": tile_edges(owners, max_dist, resolution)}.items():
         own = df if only is None else df.join(only, ["owner_x", "owner_y"], "left_semi")
-        own.hint("rebalance", "owner_x", "owner_y").write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
+        # bins are looked up by their owners when points are appended: files along the curve have narrow bounds
+        own = tileset.along_curve(own, F.col("owner_x"), F.col("owner_y"), "owner_x", "owner_y") if name == "bins" else own.hint("rebalance", "owner_x", "owner_y")
+        own.write.mode("overwrite").parquet(f"{out_dir}/{name}/run={n}")
     tileset.enter(spark, f"{out_dir}/log", {"n": n, "full": only is None, "sizes": sizes, "offset": at, "batch": batch})
 
 
@@ -195,9 +197,12 @@ def process_appended(spark: SparkSession, tile_size: float, resolution: float, m
     if done == log[-1]["n"]:
         return spark.createDataFrame([], "owner_x bigint, owner_y bigint")
     new = P.bin_square(tileset.read_points(spark, partition_dir, done), resolution, at=at).select("bx", "by").distinct()
-    known = results(spark, out_dir, "bins").select("bx", "by", F.lit(True).alias("known"))
-    bins = P.get_bin_centers(new.join(known, ["bx", "by"], "left"), "square", resolution, at)
-    bins = bins.withColumn("reach", F.lit(resolution / 2) + F.when(F.col("known"), 0.0).otherwise(sizes[2]))
+    new = shared.written(P.get_bin_centers(new, "square", resolution, at))
+    # a bin's owner is within half a bin of its centre: of the stored ones those in the box around the new are read
+    box = _tiles_within(new.withColumn("reach", F.lit(resolution / 2)), sizes[0]).agg(*(f(f"owner_{c}") for c in "xy" for f in (F.min, F.max))).first()
+    inside = F.col("owner_x").between(box[0], box[1]) & F.col("owner_y").between(box[2], box[3])
+    known = results(spark, out_dir, "bins").filter(inside).select("bx", "by", F.lit(True).alias("known"))
+    bins = new.join(known, ["bx", "by"], "left").withColumn("reach", F.lit(resolution / 2) + F.when(F.col("known"), 0.0).otherwise(sizes[2]))
     index = tileset.read_index(spark, partition_dir)
     tiles_ = index.filter(F.col("batch") > done).select("tile_x", "tile_y").distinct()
     active = tiles_.join(index.filter(F.col("batch") <= done), ["tile_x", "tile_y"], "left_anti")

@@ -60,12 +60,15 @@ class Places:
             bits[i >> 3] |= 1 << (i & 7)
         return int.from_bytes(bits, "little")
 
-    def get(self, word: int) -> int | None:
-        if self.masks is not None:
-            return self.masks.get(word)
+    def _made(self, word: int) -> int | None:
         places = self.at.get(word)
         return self._mask(places) if places else None
 
+    @property
+    def get(self):
+        """A function that gives the mask of a word, or None."""
+        return self._made if self.masks is None else self.masks.get
+
 
 @dataclass
 class Item:
@@ -246,7 +249,6 @@ def _retrieved(index: Index, h: np.ndarray, first: np.ndarray):
     """(document, first word, item, cosine) of windows near a passage of the item in the latent space, in order."""
     doc, at, _, _ = _blocks(first)
     term = index.bucket[_buckets(h)]
-    lead = np.searchsorted(index.owner, np.arange(len(index.items)))
     step = max(1, min(1 << 11, CELLS // len(index.owner)))
     for i in range(0, len(doc), step):
         j = min(i + step, len(doc))
@@ -261,9 +263,12 @@ def _retrieved(index: Index, h: np.ndarray, first: np.ndarray):
         z = sums[: j - i]
         z = z + sums[1 : j - i + 1] * (np.append(doc[i + 1 : j + 1], -1)[: j - i] == doc[i:j])[:, None]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        cosine = np.maximum.reduceat(z @ index.latent, lead, axis=1)
-        w, k = np.nonzero(cosine >= NEAR)
-        yield doc[i + w], at[i + w], k, cosine[w, k]
+        cosine = z @ index.latent
+        w, passage = np.nonzero(cosine >= NEAR)
+        value, k = cosine[w, passage], index.owner[passage]
+        # of the passages of an item, which are neighbours, the nearest
+        lead = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (k[1:] != k[:-1])])) if len(w) else w
+        yield doc[i + w[lead]], at[i + w[lead]], k[lead], np.maximum.reduceat(value, lead) if len(w) else value
 
 
 def _counted(index: Index, h: np.ndarray, first: np.ndarray):
@@ -314,8 +319,8 @@ def _judge(index: Index, own: list[int], lo: int, hi: int, item: Item) -> tuple[
     n, region = len(item.words), own[lo:hi]
     # no more words than places whose word is there can be common
     there = 0
-    for w in set(region):
-        there |= item.whole.get(w) or 0
+    for m in map(item.whole.get, set(region)) if item.whole.masks is None else set(map(item.whole.get, region)):
+        there |= m or 0
     least = 1 if n < SHORT else LIKELY
     if there.bit_count() / n < least:
         return None

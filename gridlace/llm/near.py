@@ -10,7 +10,9 @@
    of rather than one of them. Vertices are compared with their leaders first, on a byte of each minwise value and then on full
    sets; linked vertices share a label. A node under one label has nothing more to give and ends; so a large group of copies
    is linked by stars and never by its pairs. Nodes of up to SMALL vertices and WEIGHT shingles end too: after the last
-   round, their pairs across labels are compared exhaustively by halves of all their hashes, and a node passes on as many pairs as join its labels.
+   round, their pairs across labels are compared exhaustively, first by sizes and parity maps of a few bits a shingle. These bound what two
+   sets have in common from above, so what they leave out is no link. Vertices that stay in a node are compared by halves of all their
+   hashes, and a node passes on as many pairs as join its labels.
    Larger nodes go down one to three levels in a round, by their size.
 4. Every link is confirmed on full sets; components are merged by alternating large and small stars.
 
@@ -27,7 +29,9 @@ similar to several groups joins them; an empty table gives an empty one; only th
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -233,31 +237,87 @@ def _linked(own: list[np.ndarray], n: np.ndarray, comp: np.ndarray) -> list[tupl
     return out
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole nodes out of rows that are sorted by their first column, the node."""
+    held = None  # rows of a node that may go on in the next batch
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        node = batch.column(0).to_numpy()
+        cut = int(np.argmax(node == node[-1]))
+        held = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut)
+    if held is not None:
+        yield held
+
+
+def _bounds(node: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place, the latter exclusive, of each node in a batch of _nodes()."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]]).tolist()
+    return list(itertools.pairwise(edges))
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Parity map of a set: whether the number of its hashes with these low bits is odd. Its width is a power of two, from two bits a hash on.
+
+    Two maps of one width differ in as many bits at most as their sets in hashes; halves of a map laid upon each other are the map of half its width."""
+    width = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _partnered(maps: list[bytes], n: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of each set of one node, whether sizes and maps allow it a link with one under another label."""
+    keep, size = np.zeros(len(n), dtype=bool), np.array([len(x) for x in maps])
+    for width in np.unique(size).tolist():
+        # sizes that allow a link have the same width or the next
+        own, wide = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        at, cells = np.concatenate([own, wide]), width // 8
+        bits = np.frombuffer(b"".join(maps[k] for k in own.tolist()), dtype=np.uint64).reshape(-1, cells)
+        if len(wide):
+            two = np.frombuffer(b"".join(maps[k] for k in wide.tolist()), dtype=np.uint64).reshape(-1, 2, cells)
+            bits = np.concatenate([bits, two[:, 0] ^ two[:, 1]])
+        step = max(1, CELLS // (len(at) * max(cells, 8)))
+        for k in range(0, len(own), step):
+            a, b = at[k : min(k + step, len(own)), None], at[None, k:]
+            i, j = np.nonzero((comp[a] != comp[b]) & (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])))
+            apart = np.bitwise_count(bits[k + i] ^ bits[k + j]).sum(axis=1, dtype=np.int64)
+            i, j = at[k + i], at[k + j]
+            some = (100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (n[i] + n[j])
+            keep[i[some]] = keep[j[some]] = True
+    return keep
+
+
+def _likely(members: DataFrame) -> DataFrame:
+    """(node, vertex, comp) of (node, vertex, comp, n, map) without the vertices that have no link across labels in the node for certain."""
+
+    def run(batches):
+        for batch in _nodes(batches):
+            node, comp, n = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            maps = batch.column(4).to_pylist()
+            keep = pa.array(np.concatenate([_partnered(maps[s:e], n[s:e], comp[s:e]) for s, e in _bounds(node)]))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(3)], ["node", "vertex", "comp"])
+
+    ordered = members.select("node", "vertex", "comp", "n", "map").repartition("node").sortWithinPartitions("node")
+    return ordered.mapInArrow(words.freeing(run), "node long, vertex long, comp long").distinct()
+
+
 def _within(members: DataFrame) -> DataFrame:
     """(a, b, ia, ib) across labels in nodes of (node, vertex, id, n, comp, halves), compared exhaustively node by node."""
 
     def links(batch):
         node, n, comp = (batch.column(k).to_numpy() for k in (0, 3, 4))
         own = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in batch.column(5)]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]]).tolist()
-        out = [(s + x, s + y) for s, e in zip(edges[:-1], edges[1:], strict=True) for x, y in _linked(own[s:e], n[s:e], comp[s:e])]
+        out = [(s + x, s + y) for s, e in _bounds(node) for x, y in _linked(own[s:e], n[s:e], comp[s:e])]
         a, b = (pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ((), ())))
         return pa.RecordBatch.from_arrays([batch.column(c).take(k) for c in (1, 2) for k in (a, b)], ["a", "b", "ia", "ib"])
 
     def run(batches):
-        held = None  # rows of a node that may go on in the next batch
-        for batch in batches:
-            if not len(batch):
-                continue
-            if held is not None:
-                batch = pa.concat_batches([held, batch])
-            node = batch.column(0).to_numpy()
-            cut = int(np.argmax(node == node[-1]))
-            held = batch.slice(cut)
-            if cut:
-                yield links(batch.slice(0, cut))
-        if held is not None:
-            yield links(held)
+        for batch in _nodes(batches):
+            yield links(batch)
 
     ordered = members.select("node", "vertex", "id", "n", "comp", "halves").repartition("node").sortWithinPartitions("node")
     return ordered.mapInArrow(words.freeing(run), _PAIR.format(_kind(members))).distinct()
@@ -271,10 +331,14 @@ def _labels(links: DataFrame) -> DataFrame:
     return two.select(F.col("a").alias("vertex"), "comp")
 
 
-def _full(ids: DataFrame, docs: DataFrame, half: bool = False) -> DataFrame:
+def _halves(own: np.ndarray) -> np.ndarray:
+    return np.unique((own >> np.uint64(32)).astype(np.uint32))
+
+
+def _full(ids: DataFrame, docs: DataFrame, form: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(vertex, n, words): sets of the texts with these ids, each once a task; other texts under one id weren't asked for.
 
-    words has the hashes in full, or the upper halves of them."""
+    words has the hashes in full, or what form makes of them."""
 
     def make(batches):
         seen: set[int] = set()
@@ -283,7 +347,7 @@ def _full(ids: DataFrame, docs: DataFrame, half: bool = False) -> DataFrame:
                 own = {_digest(x): x for k in range(len(edges) - 1) if len(x := hashes[edges[k] : edges[k + 1]])}
                 new = [v for v in own if v not in seen]
                 seen.update(new)
-                sets = [np.unique((own[v] >> np.uint64(32)).astype(np.uint32)) if half else own[v] for v in new]
+                sets = [form(own[v]) if form else own[v] for v in new]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([len(own[v]) for v in new], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["vertex", "n", "words"])
 
     return docs.join(ids, "id", "left_semi").mapInArrow(words.freeing(make), "vertex long, n long, words binary")
@@ -389,9 +453,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = halves.select("vertex", "node", "comp")
     for more in ended:
         rest = rest.unionByName(more)
-    used = store.table(rest.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex"), "used")
-    sets = _full(store.small(used.select("id")), docs, half=True).join(store.small(used), "vertex").select("vertex", "id", "n", "words")
-    members = rest.join(sets.withColumnRenamed("words", "halves"), "vertex")
+
+    def formed(rows: DataFrame, form: Callable, name: str) -> DataFrame:
+        used = store.table(rows.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex"), name)
+        sets = _full(store.small(used.select("id")), docs, form).join(store.small(used), "vertex").select("vertex", "id", "n", "words")
+        return rows.join(sets, "vertex")
+
+    likely = store.table(_likely(formed(rest, _parity, "used").withColumnRenamed("words", "map")), "likely")
+    members = formed(likely, _halves, "left").withColumnRenamed("words", "halves")
     comps = components(links.unionByName(_confirmed(store.compact(_within(members), "pairs"), docs, store, "within")), store, "final")
 
     named = store.table(vertices.select("vertex", "id", "many").join(comps, "vertex", "left").filter("comp is not null or many > 1"), "named")

@@ -258,6 +258,40 @@ def test_near_repeats_and_null_ids(spark):
     assert out == sorted([(3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (None, 2, None, True), (9, 0, 9, True)], key=str)
 
 
+def test_near_sets_of_unlike_texts_stay_where_they_are(spark, monkeypatch):
+    """Texts that share a passage meet in nodes but can't be links: no set of theirs is sent for comparison, only those of the linked pairs."""
+    rng, vocab = random.Random(6), vocabulary(10, 500)
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    common = text(60)
+    rows = [(i, common + " " + text(60)) for i in range(60)]
+    rows += [(60 + i, f"{text(3)} {rows[i][1]} {text(10)}") for i in range(5)]
+    sent, within = [], near._within
+    monkeypatch.setattr(near, "_within", lambda members: sent.extend(r.id for r in members.select("id").collect()) or within(members))
+    monkeypatch.setattr(near, "AGREE", near.TOKENS + 1)  # none is linked by stars
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near.near_duplicates(df), OP8) == brute.near(rows)
+    assert set(sent) == {*range(5), *range(60, 65)}
+
+
+def test_parity_maps_leave_no_link_out():
+    """Pairs around the threshold and around sizes at which maps grow, in one node and many labels."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    own = []
+    for n in (1, 2, 5, 30, 32, 33, 36, 127, 128, 129, 140, 170, 500, 512, 520, 600):
+        base = fresh(n)
+        for _ in range(8):
+            own.append(np.unique(np.concatenate([base[rng.random(n) < rng.uniform(0.85, 1)], fresh(int(rng.integers(0, 1 + n // 5)))])))
+    own = [x for x in own if len(x)] + [fresh(300) for _ in range(40)]
+    n, comp = np.array([len(x) for x in own]), np.arange(len(own)) // 2
+    keep = near._partnered([near._parity(x).tobytes() for x in own], n, comp)
+    share = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    best = [max(share(x, y) for j, y in enumerate(own) if comp[i] != comp[j]) for i, x in enumerate(own)]
+    assert any(b < 0.75 for b in best[:-40]) and sum(b >= 0.75 for b in best) > 30
+    assert all(keep[i] for i, b in enumerate(best) if b >= 0.75)
+    assert not any(keep[i] for i, b in enumerate(best) if b < 0.4)
+
+
 def test_loss_has_one_bound_at_every_depth():
     assert all(near.loss(d) ** near.TREES < 5e-7 for d in range(1, near.DEPTH + 1))
 

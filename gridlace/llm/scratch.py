@@ -17,6 +17,7 @@ BROADCAST_ROWS = 1_000_000
 PART_ROWS = 100_000
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,17 +36,26 @@ def folder(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def freeing_shuffles(spark: SparkSession):
-    """Within it, the shuffle files of an execution go as soon as that execution ends."""
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEAN, before)
+            spark.conf.set(name, before)
+
+
+def freeing_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of an execution go as soon as that execution ends."""
+    return _setting(spark, _CLEAN, "true")
+
+
+def short_batches(spark: SparkSession, size: int):
+    """Within it, executions give Python tasks batches of about so many bytes, one row at least."""
+    return _setting(spark, _BATCH, str(size))
 
 
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)

@@ -35,6 +35,8 @@ from . import scratch, tokens, words
 MEAN, LEAST, MOST, FAN = 1024, 256, 8192, 1024
 #: Digests that a task keeps in mind.
 SEEN = 500_000
+#: Rows that are put together at once.
+ROWS = 512
 
 
 def _digest(raw: bytes | memoryview) -> bytes:
@@ -111,7 +113,8 @@ def write(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     work = scratch.Scratch(spark, "store")
     with scratch.freeing_shuffles(spark):
-        encoded = work.table(encode_chunks(docs, path or tokens.default_path(), end_id), "encoded")
+        with scratch.short_batches(spark, tokens.SLICE * 7 // 8):  # one slice each; long ones would stand in the JVM and in the worker
+            encoded = work.table(encode_chunks(docs, path or tokens.default_path(), end_id), "encoded")
         _placed(encoded.select("doc_id", "n_tokens", "digests"), work).write.option("compression", "zstd").parquet(f"{at}/recipes")
         each = encoded.select(F.explode(F.arrays_zip("digests", "data")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.data").alias("data"))
         once = each.filter("data is not null").groupBy("digest").agg(F.min("data").alias("data"))
@@ -133,15 +136,15 @@ def verify(spark: SparkSession, at: str) -> None:
 
 def read(spark: SparkSession, at: str, path: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) rebuilt from chunks; an error if a chunk is missing or isn't what its digest says."""
-    path = path or tokens.default_path()
+    size = tokens.dtype(path or tokens.default_path()).itemsize
     recipes, chunks = spark.read.parquet(f"{at}/recipes"), spark.read.parquet(f"{at}/chunks")
     places = recipes.select("row", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("seq", "digest"))
     got = places.join(chunks.hint("shuffle_hash"), "digest")
     whole = got.groupBy("row", "doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("seq", "digest", "data")).alias("parts"))
 
     def run(batches):
-        size, unpack = tokens.encoder(path).dtype.itemsize, zstandard.ZstdDecompressor()
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, len(b), ROWS)):
             out = []
             for n, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 plain = []
@@ -162,16 +165,15 @@ def read(spark: SparkSession, at: str, path: str | None = None) -> DataFrame:
 
 def checksums(stored: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read() gave, over unsigned 32-bit ids."""
-    path = path or tokens.default_path()
+    kind = tokens.dtype(path or tokens.default_path())
 
     def run(batches):
-        kind = tokens.encoder(path).dtype
         for batch in batches:
             crc = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype=kind).astype("<u4")) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.mapInArrow(words.freeing(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    id_kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.mapInArrow(words.freeing(run), f"doc_id {id_kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_store(spark, sf_dir: str) -> DataFrame:

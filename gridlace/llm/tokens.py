@@ -9,6 +9,7 @@ other pre-tokenizers, added tokens with spaces) have no such cuts: their texts a
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -43,6 +44,18 @@ def _classes(marks: bytes) -> np.ndarray:
     return out
 
 
+def _dtype(vocab: dict[str, int]) -> np.dtype:
+    return np.dtype("<u2" if max(vocab.values(), default=0) < 65536 else "<u4")
+
+
+@functools.cache
+def dtype(path: str) -> np.dtype:
+    """Type of a tokenizer file's ids, for the driver: tasks that read ids alone need no tokenizer."""
+    from tokenizers import Tokenizer
+
+    return _dtype(Tokenizer.from_file(path).get_vocab(with_added_tokens=True))
+
+
 class Encoder:
     """Ids of texts and texts of ids by a tokenizer file; ids are little-endian, two bytes where they fit."""
 
@@ -60,7 +73,7 @@ class Encoder:
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True)
         #: Whether the cuts described above hold.
         self.level = bool(plain) and self.tok.normalizer is None and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in added.values())
-        self.dtype = np.dtype("<u2" if max(vocab.values(), default=0) < 65536 else "<u4")
+        self.dtype = _dtype(vocab)
         self._class = _classes(bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and not any(chr(b) in t.content for t in added.values())))
         self._added = {i: t.content.encode() for i, t in added.items()}
         self._vocab = vocab
@@ -156,7 +169,9 @@ class Encoder:
         slots = slots[pieces.indices.to_numpy()]
         size = self._size[slots]
         ends = np.cumsum(size)
-        ids = self._ids[np.repeat(self._first[slots] - ends + size, size) + np.arange(ends[-1])]
+        place = np.repeat(self._first[slots] - ends + size, size)
+        place += np.arange(len(place))
+        ids = self._ids[place]
         edges = np.concatenate([[0], ends])[np.searchsorted(at, bounds)]
         self._trim(known)  # what is too long to hold stands last
         return ids, edges
@@ -237,7 +252,9 @@ def cut_points(values: np.ndarray, mean: int, least: int, most: int, window: int
     h = _GEAR[values if values.dtype.itemsize <= 2 else values & 0xFFFF]
     width = 1
     while width < window:
-        h[width:] = h[width:] + (h[:-width] << np.uint64(1)) * np.uint64(2 * width + 1)
+        before = h[:-width] << np.uint64(1)
+        before *= np.uint64(2 * width + 1)
+        h[width:] += before
         width *= 2
     shift = np.uint64(64 - int(mean).bit_length() + 1)
     ends = np.flatnonzero((h >> shift) == 0) + 1
@@ -270,7 +287,9 @@ def cut_many(values: np.ndarray, bounds: np.ndarray, mean: int, least: int, most
     h = _GEAR[values if values.dtype.itemsize <= 2 else values & 0xFFFF]
     width = 1
     while width < window:
-        h[width:] = h[width:] + (h[:-width] << np.uint64(1)) * np.uint64(2 * width + 1)
+        before = h[:-width] << np.uint64(1)
+        before *= np.uint64(2 * width + 1)
+        h[width:] += before
         width *= 2
     ends = np.flatnonzero((h >> np.uint64(64 - int(mean).bit_length() + 1)) == 0) + 1
     edges = np.searchsorted(ends, bounds, side="right")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlace.llm import bpe, lines, media, near, pii, store, substring, tokens
+from gridlace.llm import bpe, lines, media, near, pii, store, substring, tokens, words
 
 from . import brute
 
@@ -379,6 +379,41 @@ def test_store_detects_changes(spark, tmp_path):
         store.read(spark, swapped).collect()
 
 
+def test_store_tasks_hold_little(spark, tmp_path, monkeypatch):
+    """Encoding gets batches of a few MB; reading back loads no tokenizer in its tasks."""
+    sizes, encode = spark.sparkContext.accumulator(0), store.encode_chunks
+    monkeypatch.setattr(tokens, "SLICE", 20_000)
+
+    def watched(docs, path, end_id):
+        def run(batches):
+            for batch in batches:
+                sizes.add(int(batch.num_rows > 10))
+                yield batch
+
+        return encode(docs.mapInArrow(run, docs.schema), path, end_id)
+
+    monkeypatch.setattr(store, "encode_chunks", watched)
+    text = "some words of a text " * 400  # 8,400 bytes
+    df = spark.createDataFrame([(i, f"{i} {text}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    at = str(tmp_path / "store")
+    store.write(df, at)
+    assert sizes.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "20000"
+
+    def checked(run):
+        def wrapped(batches):
+            tokens._encoders.clear()
+            yield from run(batches)
+            if tokens._encoders:
+                raise AssertionError("a task that only reads ids loads the tokenizer")
+
+        return wrapped
+
+    monkeypatch.setattr(words, "freeing", checked)
+    out = store.checksums(store.read(spark, at))
+    assert out.filter("ids_crc32 is not null").count() == 60
+
+
 def test_chunks_are_content_defined():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 50_000, 20_000).astype("<u2")

@@ -45,6 +45,8 @@ TOKENS, TREES, SMALL, WEIGHT, AGREE, JUMP = 128, 15, 2048, 1 << 21, 72, 3
 #: Positions that are set apart for each depth below the roots, and the depth at which they are used up.
 CHOICES = 8
 DEPTH = 1 + (TOKENS - TREES) // CHOICES
+#: Bytes that Python tasks get at once.
+BATCH = 4 << 20
 #: Numbers in a block of a node's matrix of shingles.
 CELLS = 1 << 21
 _R = np.random.Generator(np.random.PCG64(4711))
@@ -421,7 +423,7 @@ def _stars(live: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each document."""
     spark = docs.sparkSession
-    store = scratch.Scratch(spark, "near")
+    store = scratch.Scratch(spark, "near", BATCH)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = store.table(signatures(docs), "signed")
     vertices = signed.filter("vertex is not null").groupBy("vertex").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.count("*").alias("many"), F.min("tokens").alias("tokens"))

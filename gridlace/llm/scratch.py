@@ -81,7 +81,9 @@ def scope(spark: SparkSession):
 class Scratch:
     """Parquet tables of one operator call, in a new subfolder of the shared folder; they stay until the scope around the call ends, if there is one."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch: int | None = None):
+        """batch: short_batches() for what makes the tables."""
+        self.batch = batch
         self.spark, self.at = spark, f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         if (own := _made.get()) is not None:
             own.append(self.at)
@@ -91,7 +93,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write df once and return a reader of what was written; executors may be lost after that."""
-        with freeing_shuffles(self.spark):
+        with freeing_shuffles(self.spark), short_batches(self.spark, self.batch) if self.batch else contextlib.nullcontext():
             df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
